@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------------
@@ -84,3 +84,15 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v
     )
+
+
+def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add or replace a column that is computed once per row.
+
+    A projection would be inlined into the lambda that reads the column and so be computed once
+    per element; a generator of one element is a barrier.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name)).select(
+        *(df.columns if name in df.columns else [*kept, name])
+    )

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.functions.arrays import hold
+
 # --- fixed values -----------------------------------------------------------------------
 FACTOR = 5
 GATES = {  # a step runs when its draw is above the gate
@@ -235,50 +237,77 @@ def shift_map(dx: Column, dy: Column) -> Column:
     return F.array(one, zero, -dx, zero, one, -dy, zero, zero, one)
 
 
-def perspective_map(corners: list[tuple[Column, Column]], h: Column, w: Column) -> Column:
-    """Target-to-source map of the projective map that moves the image corners to ``corners``
-    (top left, top right, bottom left, bottom right).
+def with_perspective_map(
+    variants: DataFrame, offset_x: list[Column], offset_y: list[Column]
+) -> DataFrame:
+    """Add ``_m``, the target-to-source map of the projective map that moves the image corners
+    (top left, top right, bottom right, bottom left) by the offsets.
 
     The forward map of the unit square has a closed form; its adjugate is its inverse up to a
     factor, which the division by the third coordinate removes.
     """
-    (x0, y0), (x1, y1), (x3, y3), (x2, y2) = corners
-    dx1, dy1, dx2, dy2 = x1 - x2, y1 - y2, x3 - x2, y3 - y2
-    sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    zero, h, w = F.lit(0.0), F.col("h"), F.col("w")
+    across, along = (zero, w, w, zero), (zero, zero, h, h)
+    out = hold(
+        variants,
+        "_c",
+        F.struct(
+            *[(a + o).alias(f"x{k}") for k, (a, o) in enumerate(zip(across, offset_x))],
+            *[(a + o).alias(f"y{k}") for k, (a, o) in enumerate(zip(along, offset_y))],
+        ),
+    )
+    x, y = ([F.col(f"_c.{axis}{k}") for k in range(4)] for axis in "xy")
+    dx1, dy1, dx2, dy2 = x[1] - x[2], y[1] - y[2], x[3] - x[2], y[3] - y[2]
+    sx, sy = x[0] - x[1] + x[2] - x[3], y[0] - y[1] + y[2] - y[3]
     det = dx1 * dy2 - dx2 * dy1
-    g = (sx * dy2 - dx2 * sy) / det
-    k = (dx1 * sy - sx * dy1) / det
-    a, b, c = x1 - x0 + g * x1, x3 - x0 + k * x3, x0
-    d, e, f = y1 - y0 + g * y1, y3 - y0 + k * y3, y0
+    out = hold(
+        out,
+        "_d",
+        F.struct(
+            ((sx * dy2 - dx2 * sy) / det).alias("g"), ((dx1 * sy - sx * dy1) / det).alias("k")
+        ),
+    )
+    g, k = F.col("_d.g"), F.col("_d.k")
+    a, b, c = x[1] - x[0] + g * x[1], x[3] - x[0] + k * x[3], x[0]
+    d, e, f = y[1] - y[0] + g * y[1], y[3] - y[0] + k * y[3], y[0]
     adjugate = [
-        e - f * k, c * k - b, b * f - c * e,
-        f * g - d, a - c * g, c * d - a * f,
-        d * k - e * g, b * g - a * k, a * e - b * d,
+        [e - f * k, c * k - b, b * f - c * e],
+        [f * g - d, a - c * g, c * d - a * f],
+        [d * k - e * g, b * g - a * k, a * e - b * d],
     ]
-    scale = [w] * 3 + [h] * 3 + [F.lit(1.0)] * 3
-    return F.array(*[v * s for v, s in zip(adjugate, scale)])
+    rows = [v * s for row, s in zip(adjugate, (w, h, F.lit(1.0))) for v in row]
+    return hold(out, "_m", F.array(*rows)).drop("_c", "_d")
 
 
-def warped(variants: DataFrame, seed: int = 0) -> DataFrame:
-    """Rotation, then the small perspective, each behind its gate."""
-    id_, variant = F.col("image_id"), F.col("variant")
-    h, w = F.col("h"), F.col("w")
+def rotated(variants: DataFrame) -> DataFrame:
+    """Rotation about the integer centre, behind its gate."""
+    mapped = hold(
+        variants,
+        "_m",
+        F.when(F.col("do_rotate"), rotation_map(F.col("angle"), F.col("h"), F.col("w"))),
+    )
+    return _warp_mapped(mapped)
+
+
+def tilted(variants: DataFrame, seed: int = 0) -> DataFrame:
+    """Small perspective, behind its gate: each corner moves by up to half a pixel."""
 
     def offset(k: int) -> Column:
-        u = uniform(id_, variant, STEPS["corner"] + k * len(STEPS), seed)
+        u = uniform(F.col("image_id"), F.col("variant"), STEPS["corner"] + k * len(STEPS), seed)
         return between(u, -PERSPECTIVE_OFFSET, PERSPECTIVE_OFFSET)
 
-    zero = F.lit(0.0)
-    base = [(zero, zero), (w, zero), (zero, h), (w, h)]
-    corners = [(x + offset(2 * k), y + offset(2 * k + 1)) for k, (x, y) in enumerate(base)]
-    out = variants.withColumn("_m", rotation_map(F.col("angle"), h, w)).withColumn(
-        "img", F.when(F.col("do_rotate"), warp(F.col("img"), h, w, F.col("_m"))).otherwise(F.col("img"))
-    )
-    out = out.withColumn("_m", perspective_map(corners, h, w)).withColumn(
-        "img",
-        F.when(F.col("do_perspective"), warp(F.col("img"), h, w, F.col("_m"))).otherwise(F.col("img")),
+    mapped = with_perspective_map(
+        variants, [offset(2 * k) for k in range(4)], [offset(2 * k + 1) for k in range(4)]
     )
-    return out.drop("_m")
+    return _warp_mapped(mapped.withColumn("_m", F.when(F.col("do_perspective"), F.col("_m"))))
+
+
+def _warp_mapped(mapped: DataFrame) -> DataFrame:
+    """Warp the images that have a map ``_m``."""
+    img = F.when(
+        F.col("_m").isNotNull(), warp(F.col("img"), F.col("h"), F.col("w"), F.col("_m"))
+    ).otherwise(F.col("img"))
+    return hold(mapped, "img", img).drop("_m")
 
 
 def translated(variants: DataFrame, seed: int = 0) -> DataFrame:
@@ -288,11 +317,7 @@ def translated(variants: DataFrame, seed: int = 0) -> DataFrame:
     dx = between(uniform(id_, variant, STEPS["shift_x"], seed), -SHIFT_SHARE, SHIFT_SHARE) * w
     dy = between(uniform(id_, variant, STEPS["shift_y"], seed), -SHIFT_SHARE, SHIFT_SHARE) * h
     gate = (variant > 0) & (uniform(id_, variant, STEPS["translate_gate"], seed) < 0.5)
-    return (
-        variants.withColumn("_m", shift_map(dx, dy))
-        .withColumn("img", F.when(gate, warp(F.col("img"), h, w, F.col("_m"))).otherwise(F.col("img")))
-        .drop("_m")
-    )
+    return _warp_mapped(hold(variants, "_m", F.when(gate, shift_map(dx, dy))))
 
 
 def filter_image(img: Column, h: Column, w: Column, kernel: Column) -> Column:
@@ -319,13 +344,13 @@ def filter_image(img: Column, h: Column, w: Column, kernel: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), h * w - 1), at)
 
 
-def motion_kernel(angle: Column, size: int = BLUR_SIZE) -> Column:
-    """A horizontal line of equal weights, rotated by ``angle`` degrees with bilinear weights and
-    zero outside."""
+def motion_kernel(turn: Column, size: int = BLUR_SIZE) -> Column:
+    """A horizontal line of equal weights, turned by the map with bilinear weights and zero
+    outside."""
     c = size // 2
     line = F.array(*[F.lit(1.0 / size if i // size == (size - 1) // 2 else 0.0) for i in range(size * size)])
     n = F.lit(size)
-    rotated = warp(line, n, n, rotation_map(angle, n, n), fill=0.0)
+    rotated = warp(line, n, n, turn, fill=0.0)
     return F.transform(
         rotated,
         lambda v, i: F.struct(
@@ -338,13 +363,9 @@ def motion_blur(variants: DataFrame, seed: int = 0) -> DataFrame:
     id_, variant = F.col("image_id"), F.col("variant")
     runs = F.col("do_blur") & (uniform(id_, variant, STEPS["blur_run"], seed) <= BLUR_INNER)
     angle = between(uniform(id_, variant, STEPS["blur_angle"], seed), 0.0, 180.0)
-    return (
-        variants.withColumn("_k", motion_kernel(angle))
-        .withColumn(
-            "img",
-            F.when(runs, filter_image(F.col("img"), F.col("h"), F.col("w"), F.col("_k"))).otherwise(
-                F.col("img")
-            ),
-        )
-        .drop("_k")
-    )
+    turned = hold(variants, "_t", F.when(runs, rotation_map(angle, F.lit(BLUR_SIZE), F.lit(BLUR_SIZE))))
+    kernels = hold(turned, "_k", F.when(F.col("_t").isNotNull(), motion_kernel(F.col("_t"))))
+    img = F.when(
+        F.col("_k").isNotNull(), filter_image(F.col("img"), F.col("h"), F.col("w"), F.col("_k"))
+    ).otherwise(F.col("img"))
+    return hold(kernels, "img", img).drop("_t", "_k")

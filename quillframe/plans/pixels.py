@@ -103,7 +103,7 @@ _RESAMPLE_SQL = """
       FROM near_y JOIN near_x USING (image_id) JOIN {src} USING (image_id, y, x) GROUP BY image_id, ty, tx)"""
 
 _ROW_SUMS = """SELECT image_id, y::INTEGER AS y, round(sum(v), 5) + 0.0 AS total,
-      round(sum(v * (x + 1)), 4) + 0.0 AS weighted, round(min(v), 6) + 0.0 AS low,
+      round(sum(v * (x + 1)), 6) + 0.0 AS weighted, round(min(v), 6) + 0.0 AS low,
       round(max(v), 6) + 0.0 AS high FROM {src} GROUP BY image_id, y"""
 
 
@@ -121,7 +121,7 @@ def _row_sums(images):
         "image_id",
         "y",
         rounded(_sum("line"), 5).alias("total"),
-        rounded(_weighted("line"), 4).alias("weighted"),
+        rounded(_weighted("line")).alias("weighted"),
         rounded(F.array_min("line")).alias("low"),
         rounded(F.array_max("line")).alias("high"),
     )
@@ -434,8 +434,7 @@ def _gather_sql(src: str, coords: str, out: str) -> str:
     + _TOTAL_SQL.format(src="done"),
 )
 def g4(spark, sf):
-    fanned = au.fan_out(v.unit_images(spark, sf), seed=SEED).withColumn("do_perspective", F.lit(False))
-    return _totals(au.warped(fanned, seed=SEED))
+    return _totals(au.rotated(au.fan_out(v.unit_images(spark, sf), seed=SEED)))
 
 
 @query(
@@ -457,8 +456,7 @@ def g4_translation(spark, sf):
 
 @query("g4_perspective_warp")
 def g4_perspective(spark, sf):
-    fanned = au.fan_out(v.unit_images(spark, sf), seed=SEED).withColumn("do_rotate", F.lit(False))
-    return _totals(au.warped(fanned, seed=SEED))
+    return _totals(au.tilted(au.fan_out(v.unit_images(spark, sf), seed=SEED), seed=SEED))
 
 
 @query(
@@ -738,8 +736,8 @@ def d11_verdict(spark, sf):
 @query(
     "d12_scale_to_source",
     f"""WITH {v.SQL_BOXES}
-    SELECT image_id, box_id, round((x + 0.25) * (0.8 * 2), 6) AS first_x, round((y + 0.25) * (1.25 * 2), 6) AS first_y,
-      round((x + w - 1 + 0.25) * (0.8 * 2), 6) AS third_x, round((y + h - 1 + 0.25) * (1.25 * 2), 6) AS third_y FROM boxes""",
+    SELECT image_id, box_id, round((x + 0.25::DOUBLE) * (0.8::DOUBLE * 2), 6) AS first_x, round((y + 0.25::DOUBLE) * (1.25::DOUBLE * 2), 6) AS first_y,
+      round((x + w - 1 + 0.25::DOUBLE) * (0.8::DOUBLE * 2), 6) AS third_x, round((y + h - 1 + 0.25::DOUBLE) * (1.25::DOUBLE * 2), 6) AS third_y FROM boxes""",
 )
 def d12(spark, sf):
     scaled = v.boxes(spark, sf).withColumn(

@@ -157,13 +157,22 @@ def read_letters(spark: SparkSession, path: str, features: int = 16) -> DataFram
     return letter_rows(_line_key(spark.read.schema(schema).csv(path)), "letter", names)
 
 
+def history_rows(histories: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Objects of parallel arrays to one row per epoch, counted from 1."""
+    keys = keys or []
+    return histories.select(
+        *keys, F.posexplode(F.arrays_zip(*HISTORY_FIELDS)).alias("at", "row")
+    ).select(
+        *keys,
+        (F.col("at") + 1).alias("epoch"),
+        *[F.col(f"row.{f}").alias(f) for f in HISTORY_FIELDS],
+    )
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """One object of parallel arrays to one row per epoch, counted from 1."""
+    """Epoch rows of a history file, one object of parallel arrays."""
     schema = ", ".join(f"{f} array<double>" for f in HISTORY_FIELDS)
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    return doc.select(F.posexplode(F.arrays_zip(*HISTORY_FIELDS)).alias("at", "row")).select(
-        (F.col("at") + 1).alias("epoch"), *[F.col(f"row.{f}").alias(f) for f in HISTORY_FIELDS]
-    )
+    return history_rows(spark.read.schema(schema).option("multiLine", True).json(path))
 
 
 def class_map_rows(doc: DataFrame, column: str) -> DataFrame:

@@ -24,6 +24,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPENT = {"spark": 0.0}
+
+
 def _kind(value):
     if isinstance(value, bool):
         return "bool"
@@ -40,9 +43,11 @@ def _key(row):
 
 def compare(spark, sf_dir: str, fn, sql: str) -> str | None:
     """None when equal, else what differs."""
+    start = time.time()
     df = fn(spark, sf_dir)
     cols = sorted(df.columns)
     got = [tuple(r) for r in df.select(*cols).collect()]
+    SPENT["spark"] = time.time() - start
     con = connect(sf_dir)
     con.execute("SET threads TO 8")
     rel = con.execute(sql)
@@ -65,9 +70,3 @@ def compare(spark, sf_dir: str, fn, sql: str) -> str | None:
         if a != b:
             return f"row {a} != {b}"
     return None
-
-
-def timed(spark, sf_dir, fn, sql):
-    start = time.time()
-    out = compare(spark, sf_dir, fn, sql)
-    return out, time.time() - start

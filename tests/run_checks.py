@@ -31,5 +31,5 @@ for name, fn in catalog.QUERIES.items():
             traceback.print_exc()
     if out is not None and not out.startswith("rows only"):
         bad += 1
-    print(f"{name:34s} {time.time() - start:6.1f}s {out or 'ok'}", flush=True)
+    print(f"{name:34s} {time.time() - start:6.1f}s spark {oracle.SPENT['spark']:5.1f}s {out or 'ok'}", flush=True)
 print("bad:", bad)
