@@ -89,8 +89,12 @@ def candidates(unknown: DataFrame, vocabulary: DataFrame, word: str = "word") ->
     characters, so keys are selective even when many words share a prefix. The distance is tested
     right at the join, before the pairs that met on several keys are made distinct.
     """
-    probe = unknown.select(word, F.explode(_keys(F.col(word), True)).alias("key"))
-    index = vocabulary.select(
+    # A word is a few bytes and fans out to many keys: spread the words, not the keys.
+    parts = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probe = unknown.repartition(parts, word).select(
+        word, F.explode(_keys(F.col(word), True)).alias("key")
+    )
+    index = vocabulary.repartition(parts, "w1").select(
         F.col("w1").alias("candidate"), F.explode(_keys(F.col("w1"), False)).alias("key")
     )
     dist = F.levenshtein(word, "candidate", MAX_DISTANCE)

@@ -87,41 +87,46 @@ def merge_neighbours(ordered: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFram
     """
 
     def step(cur, box):
-        gap = box["x"] - (cur["x"] + cur["w"])
-        drift = F.abs((cur["y"] + cur["h"] / 2) - (box["y"] + box["h"] / 2))
+        gap = box["x"] - (cur["left"] + cur["width"])
+        drift = F.abs((cur["top"] + cur["height"] / 2) - (box["y"] + box["h"] / 2))
         joins = (
             (cur["n"] > 0)
-            & (drift < (cur["h"] + box["h"]) / 2 * LINE_SHARE)
+            & (drift < (cur["height"] + box["h"]) / 2 * LINE_SHARE)
             & (gap < MERGE_GAP)
             & (gap > MERGE_OVERLAP)
         )
-        x, y = F.least(cur["x"], box["x"]), F.least(cur["y"], box["y"])
-        right = F.greatest(cur["x"] + cur["w"], box["x"] + box["w"])
-        bottom = F.greatest(cur["y"] + cur["h"], box["y"] + box["h"])
+        left, top = F.least(cur["left"], box["x"]), F.least(cur["top"], box["y"])
+        right = F.greatest(cur["left"] + cur["width"], box["x"] + box["w"])
+        bottom = F.greatest(cur["top"] + cur["height"], box["y"] + box["h"])
         return {
             "n": F.when(joins, cur["n"]).otherwise(0) + 1,
-            "x": F.when(joins, x).otherwise(box["x"]),
-            "y": F.when(joins, y).otherwise(box["y"]),
-            "w": F.when(joins, right - x + 1).otherwise(box["w"]),
-            "h": F.when(joins, bottom - y + 1).otherwise(box["h"]),
+            "left": F.when(joins, left).otherwise(box["x"]),
+            "top": F.when(joins, top).otherwise(box["y"]),
+            "width": F.when(joins, right - left + 1).otherwise(box["w"]),
+            "height": F.when(joins, bottom - top + 1).otherwise(box["h"]),
             "first_pos": F.when(joins, cur["first_pos"]).otherwise(box["pos"]),
         }
 
+    rect = ["left", "top", "width", "height"]
     grown = fold(
         ordered.select("image_id", "pos", *[F.col(c).cast("long").alias(c) for c in "xywh"]),
         ["image_id"],
         ["pos"],
         ["x", "y", "w", "h"],
-        {"n": ("long", 0), "x": ("long", 0), "y": ("long", 0), "w": ("long", 0), "h": ("long", 0),
-         "first_pos": ("long", -1)},
+        {**{c: ("long", 0) for c in ["n", *rect]}, "first_pos": ("long", -1)},
         step,
-        ["n", "first_pos", "x", "y", "w", "h"],
+        ["n", "first_pos", *rect],
         fold_rows=fold_rows,
     )
     return (
         grown.groupBy("image_id", "first_pos")
-        .agg(F.max_by(F.struct("n", "x", "y", "w", "h"), "n").alias("b"))
-        .select("image_id", "first_pos", F.col("b.n").alias("n_boxes"), "b.x", "b.y", "b.w", "b.h")
+        .agg(F.max_by(F.struct("n", *rect), "n").alias("b"))
+        .select(
+            "image_id",
+            "first_pos",
+            F.col("b.n").alias("n_boxes"),
+            *[F.col(f"b.{c}").alias(short) for c, short in zip(rect, "xywh")],
+        )
     )
 
 

@@ -148,13 +148,17 @@ def score_sequences(
         t.alias("w"),
     )
     # arrays_zip pads to the longest array: a one-token sequence would gain a second row.
-    token = sequences.select(*keys, F.explode(F.slice(steps, F.lit(1), size)).alias("s")).select(
+    token = sequences.select(
+        *keys, F.posexplode(F.slice(steps, F.lit(1), size)).alias("pos", "s")
+    ).select(
         *keys,
+        F.least("pos", F.lit(2)).alias("past"),
         F.coalesce("s.p2", F.lit("")).alias("p2"),
         F.coalesce("s.p1", F.lit("")).alias("p1"),
         "s.w",
     )
-    context = token.groupBy("p2", "p1", "w").agg(F.count("*").alias("n"))
+    # ``past`` tells a missing word from an empty one.
+    context = token.groupBy("past", "p2", "p1", "w").agg(F.count("*").alias("n"))
 
     uni, bi, tri = model.unigrams, model.bigrams, model.trigrams
     known = context.join(
@@ -179,9 +183,9 @@ def score_sequences(
     backed_off = (F.coalesce("c1", F.lit(0)) + 1) / mass
     from_bigram = (F.col("c2") + 1) / (F.coalesce("c1_before", F.lit(1)) + vocabulary)
     probability = (
-        F.when(F.col("p1") == "", backed_off)
-        .when((F.col("p2") == "") & F.col("c2").isNotNull(), from_bigram)
-        .when(F.col("p2") == "", 1 / (F.coalesce("c1_before", F.lit(1)) + vocabulary))
+        F.when(F.col("past") == 0, backed_off)
+        .when((F.col("past") == 1) & F.col("c2").isNotNull(), from_bigram)
+        .when(F.col("past") == 1, 1 / (F.coalesce("c1_before", F.lit(1)) + vocabulary))
         .when(
             F.col("c3").isNotNull(),
             (F.col("c3") + 1) / (F.coalesce("c2_before", F.lit(1)) + vocabulary),
@@ -189,9 +193,11 @@ def score_sequences(
         .when(F.col("c2").isNotNull(), from_bigram)
         .otherwise(backed_off)
     )
-    scored = stable(known.select("p2", "p1", "w", "n", F.log(probability).alias("lp")), "contexts")
+    scored = stable(
+        known.select("past", "p2", "p1", "w", "n", F.log(probability).alias("lp")), "contexts"
+    )
     return (
-        lookup(token, scored, ["p2", "p1", "w"], ["lp"])
+        lookup(token, scored, ["past", "p2", "p1", "w"], ["lp"])
         .groupBy(*keys)
         .agg(F.sum("lp").alias("score"))
     )

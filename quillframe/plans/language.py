@@ -278,13 +278,13 @@ def e5(spark, sf):
     "e6_by_word_length",
     _ANALYSIS_SQL
     + """SELECT word_length, count(*) AS n, sum(is_correct::INTEGER)::BIGINT AS correct,
-      round(avg(is_correct::INTEGER), 9) AS accuracy, round(avg(acc), 6) AS mean_character_accuracy
+      round(avg(is_correct::INTEGER), 9) AS accuracy, round(avg(acc), 9) AS mean_character_accuracy
     FROM rows GROUP BY word_length""",
 )
 def e6(spark, sf):
     out = ev.by_length(_analysis(spark, sf))
     return out.withColumn("accuracy", rounded("accuracy", 9)).withColumn(
-        "mean_character_accuracy", rounded("mean_character_accuracy")
+        "mean_character_accuracy", rounded("mean_character_accuracy", 9)
     )
 
 
@@ -309,10 +309,10 @@ def e8(spark, sf):
 @query(
     "e9_accuracy_spread",
     _ANALYSIS_SQL
-    + """SELECT round(avg(acc), 6) AS mean_accuracy, min(acc) AS min_accuracy, max(acc) AS max_accuracy FROM rows""",
+    + """SELECT round(avg(acc), 9) AS mean_accuracy, min(acc) AS min_accuracy, max(acc) AS max_accuracy FROM rows""",
 )
 def e9(spark, sf):
-    return ev.accuracy_spread(_analysis(spark, sf)).withColumn("mean_accuracy", rounded("mean_accuracy"))
+    return ev.accuracy_spread(_analysis(spark, sf)).withColumn("mean_accuracy", rounded("mean_accuracy", 9))
 
 
 @query(
@@ -358,7 +358,7 @@ def e11(spark, sf):
       UNION ALL SELECT 'accuracy', 'all', metric, value FROM (UNPIVOT spread
         ON mean_accuracy, min_accuracy, max_accuracy INTO NAME metric VALUE value)
       UNION ALL (SELECT 'worst', doc_id || '/' || pos, 'character_accuracy', acc FROM rows ORDER BY acc, doc_id, pos LIMIT 5))
-    SELECT section, key, metric, round(value, 6) + 0.0 AS value FROM report""",
+    SELECT section, key, metric, round(value, 9) + 0.0 AS value FROM report""",
 )
 def k2(spark, sf):
-    return ev.summary(_analysis(spark, sf), ["doc_id", "pos"]).withColumn("value", rounded("value"))
+    return ev.summary(_analysis(spark, sf), ["doc_id", "pos"]).withColumn("value", rounded("value", 9))

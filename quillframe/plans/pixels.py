@@ -102,8 +102,8 @@ _RESAMPLE_SQL = """
     {out} AS (SELECT image_id, ty AS y, tx AS x, sum(wy * wx * {value}) AS v
       FROM near_y JOIN near_x USING (image_id) JOIN {src} USING (image_id, y, x) GROUP BY image_id, ty, tx)"""
 
-_ROW_SUMS = """SELECT image_id, y::INTEGER AS y, round(sum(v), 5) + 0.0 AS total,
-      round(sum(v * (x + 1)), 6) + 0.0 AS weighted, round(min(v), 6) + 0.0 AS low,
+_ROW_SUMS = """SELECT image_id, y::INTEGER AS y, round(sum(v), 9) + 0.0 AS total,
+      round(sum(v * (x + 1)), 9) + 0.0 AS weighted, round(min(v), 6) + 0.0 AS low,
       round(max(v), 6) + 0.0 AS high FROM {src} GROUP BY image_id, y"""
 
 
@@ -120,8 +120,8 @@ def _row_sums(images):
     return rows.select(
         "image_id",
         "y",
-        rounded(_sum("line"), 5).alias("total"),
-        rounded(_weighted("line")).alias("weighted"),
+        rounded(_sum("line"), 9).alias("total"),
+        rounded(_weighted("line"), 9).alias("weighted"),
         rounded(F.array_min("line")).alias("low"),
         rounded(F.array_max("line")).alias("high"),
     )

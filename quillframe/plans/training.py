@@ -28,12 +28,12 @@ def s8(spark, sf):
     path = scratch_path(spark, "histories")
     at = F.sort_array(F.collect_list(F.struct("epoch", "loss", "accuracy")))
     objects = rows.groupBy("run").agg(at.alias("r"))
-    fields = {"val_loss": "loss", "val_wa": "accuracy"}
     objects.select(
         F.to_json(
             F.struct(
                 F.array(F.col("run").cast("double")).alias("train_loss"),
-                *[F.transform("r", lambda e, c=c: e[c]).alias(n) for n, c in fields.items()],
+                F.transform("r", lambda e: e["loss"]).alias("val_loss"),
+                F.transform("r", lambda e: e["accuracy"]).alias("val_wa"),
             )
         ).alias("value")
     ).repartition(8).write.text(path)
@@ -61,11 +61,11 @@ def h1(spark, sf):
 @query(
     "h1_running_mean",
     f"""WITH {v.SQL_EPOCHS} SELECT run, epoch, round(avg(loss) OVER
-      (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM epochs""",
+      (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM epochs""",
 )
 def h1_running(spark, sf):
     out = hi.running_mean(_epochs(spark, sf), ["run"], ["epoch"])
-    return out.select("run", "epoch", rounded("running_mean").alias("running_mean"))
+    return out.select("run", "epoch", rounded("running_mean", 9).alias("running_mean"))
 
 
 _BEST_SQL = f"""WITH {v.SQL_EPOCHS}, before AS (SELECT *, min(loss) OVER p AS low, max(accuracy) OVER p AS high

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillframe.functions.arrays import log_softmax
 from quillframe.functions.geometry import rectangle_points
 from quillframe.functions.text import SPACE, words
+from quillframe.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,17 +38,8 @@ pairs AS (
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("tokens"))
-
-
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of the documents with their tokens; lines without tokens are left out."""
-    split = table(spark, sf, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")
-    )
-    return split.select("doc_id", "line", words(F.col("raw")).alias("tokens")).where(
-        F.size("tokens") > 0
-    )
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return texts.select("doc_id", words(F.col("text")).alias("tokens"))
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +130,8 @@ sheet AS (
 def images(spark: SparkSession, sf: str) -> DataFrame:
     """8-bit level images ``(image_id, h, w, img)`` of three shapes."""
     bits = F.pmod(F.col("vec_id"), F.lit(3)).cast("int")
-    return table(spark, sf, "embeddings").select(
+    vectors = spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return vectors.select(
         F.col("vec_id").alias("image_id"),
         F.get(F.array(F.lit(8), F.lit(4), F.lit(2)), bits).alias("h"),
         F.get(F.array(F.lit(8), F.lit(16), F.lit(32)), bits).alias("w"),
@@ -179,7 +172,8 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
             F.transform(F.slice("embedding", t * CLASSES + 1, F.lit(CLASSES)), lambda v: v.cast("double"))
         ),
     )
-    return table(spark, sf, "embeddings").select(
+    vectors = spread(table(spark, sf, "embeddings"), "vec_id")
+    return vectors.select(
         F.col("vec_id").alias("sample_id"), "label", F.lit(STEPS).alias("len"), steps.alias("lp")
     )
 

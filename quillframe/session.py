@@ -52,3 +52,13 @@ def stable(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small input over the cores before work that is heavy per row.
+
+    Splits are made by bytes, so a small file may be one task. An input with a split per core, as
+    any large one has, is left alone and not shuffled. For frames that only read and project.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -160,9 +160,9 @@ def read_letters(spark: SparkSession, path: str, features: int = 16) -> DataFram
 def history_rows(histories: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Objects of parallel arrays to one row per epoch, counted from 1."""
     keys = keys or []
-    return histories.select(
-        *keys, F.posexplode(F.arrays_zip(*HISTORY_FIELDS)).alias("at", "row")
-    ).select(
+    none = F.array().cast("array<double>")
+    series = [F.coalesce(f, none).alias(f) for f in HISTORY_FIELDS]
+    return histories.select(*keys, F.posexplode(F.arrays_zip(*series)).alias("at", "row")).select(
         *keys,
         (F.col("at") + 1).alias("epoch"),
         *[F.col(f"row.{f}").alias(f) for f in HISTORY_FIELDS],
