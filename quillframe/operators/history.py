@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.operators.ordering import fold, running
+from quillframe.operators.ordering import FOLD_ROWS, fold, running
 
 # --- fixed values -----------------------------------------------------------------------
 EARLY_STOP_PATIENCE = 8
@@ -141,7 +141,9 @@ def _scheduled(marked: DataFrame, run: str, period: int, rates: list[float]) ->
     )
 
 
-def trainer_schedule(series: DataFrame, run: str, loss: str) -> DataFrame:
+def trainer_schedule(
+    series: DataFrame, run: str, loss: str, fold_rows: int = FOLD_ROWS
+) -> DataFrame:
     """Library schedule: an improvement beats the best by a relative threshold, and the rate is
     cut when the bad epochs exceed the patience.
 
@@ -177,6 +179,7 @@ def trainer_schedule(series: DataFrame, run: str, loss: str) -> DataFrame:
         step,
         ["improved"],
         guess=least_before,
+        fold_rows=fold_rows,
     )
     rates = _rates(RATE_START, RATE_FACTOR, RATE_FLOOR, SMALLEST_CUT)
     return _scheduled(marked, run, PLATEAU_PATIENCE + 1, rates)

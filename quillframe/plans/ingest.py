@@ -120,6 +120,59 @@ def s5(spark, sf):
     )
 
 
+def _little_endian(value, size=4):
+    """Hex of an integer column, low byte first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(value, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(size)])
+
+
+@query(
+    "s6_image_read",
+    f"""WITH {v.SQL_SHAPES}
+    SELECT image_id, h, w, count(*) * 3 AS levels, (sum(level) * 3)::BIGINT AS total,
+      sum(level * (y * w + x + 1))::BIGINT AS weighted FROM pixels GROUP BY ALL""",
+)
+def s6(spark, sf):
+    """The vectors as small 24-bit bitmap files, read by the image reader.
+
+    A text writer writes the bytes of a string as they are; the line end behind a bitmap is not
+    looked at.
+    """
+    images = v.images(spark, sf).withColumn("image_id", F.col("image_id").cast("bigint"))
+    size = F.col("h") * F.col("w") * 3
+    header = F.concat(
+        F.lit("424D"), _little_endian(size + 54), F.lit("00000000"), F.lit("36000000"), F.lit("28000000"),
+        _little_endian(F.col("w")), _little_endian(F.col("h")), F.lit("0100"), F.lit("1800"), F.lit("00000000"),
+        _little_endian(size), F.lit("00" * 16),
+    )
+    # Rows are stored from the bottom up.
+    pixel = F.transform("img", lambda e: F.repeat(F.lpad(F.hex(e.cast("int")), 2, "0"), F.lit(3)))
+    rows = F.transform(
+        F.sequence(F.col("h") - 1, F.lit(0), F.lit(-1)),
+        lambda y: F.array_join(F.slice("_px", y * F.col("w") + 1, F.col("w")), ""),
+    )
+    bitmap = images.withColumn("_px", pixel).select(
+        "image_id", F.unhex(F.concat(header, F.array_join(rows, ""))).cast("string").alias("value")
+    )
+    path = scratch_path(spark, "bitmaps")
+    bitmap.repartition("image_id").write.partitionBy("image_id").text(path)
+    read = readers.read_images(spark, path)
+    gray = F.transform(
+        F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.get("rgb", i * 3).cast("bigint") * (i + 1)
+    )
+
+    def total(c):
+        return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, e: a + e)
+
+    return read.select(
+        F.regexp_extract("origin", "image_id=([0-9]+)", 1).cast("bigint").alias("image_id"),
+        "h",
+        "w",
+        F.size("rgb").cast("bigint").alias("levels"),
+        total(F.transform("rgb", lambda e: e.cast("bigint"))).alias("total"),
+        total(gray).alias("weighted"),
+    )
+
+
 @query(
     "s7_letter_rows",
     """WITH rows AS (SELECT vec_id, label, list_transform(embedding[1:16],

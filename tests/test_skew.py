@@ -65,16 +65,9 @@ def test_chunked_fold_with_a_far_reaching_state(series):
     same(od.fold(*args, fold_rows=5000), od.fold(*args, fold_rows=300))
 
 
-def test_schedules_of_a_hot_run(series, monkeypatch):
-    plain = hi.schedule_difference(series, "run", "loss")
-    rows = plain.collect()
-    monkeypatch.setattr(od.fold, "__kwdefaults__", None)
-    monkeypatch.setattr(od, "FOLD_ROWS", 200)
-    defaults = list(od.fold.__defaults__)
-    defaults[-1] = 200
-    monkeypatch.setattr(od.fold, "__defaults__", tuple(defaults))
-    split = hi.schedule_difference(series, "run", "loss").collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, split))
+def test_schedules_of_a_hot_run(series):
+    plain = hi.trainer_schedule(series, "run", "loss")
+    same(plain, hi.trainer_schedule(series, "run", "loss", fold_rows=200))
 
 
 @pytest.fixture(scope="module")
