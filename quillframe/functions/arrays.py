@@ -90,7 +90,8 @@ def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add or replace a column that is computed once per row.
 
     A projection would be inlined into the lambda that reads the column and so be computed once
-    per element; a generator of one element is a barrier.
+    per element, or be repeated in the emptiness test that the optimizer puts below an explode of
+    the column. A generator of one element is a barrier to both.
     """
     kept = [c for c in df.columns if c != name]
     return df.select(*kept, F.explode(F.array(value)).alias(name)).select(

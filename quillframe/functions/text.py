@@ -12,8 +12,12 @@ BLANK = len(CHARSET)
 # The 62 classes of the character classifier, in class order.
 CLASS_CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 CAPTION_DEFAULT = "Not found in CSV"
-# What Python's str.split() and str.strip() treat as whitespace, in a form that both Java
-# regular expressions and RE2 read.
+# What Python's str.split() and str.strip() treat as whitespace.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# The same as a character class that both Java regular expressions and RE2 read.
 SPACE = (
     r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -22,7 +26,7 @@ SPACE = (
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(s, F.lit(SPACE_CHARS))
 
 
 def words(s: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions.arrays import hold
 from quillframe.operators.ngrams import LanguageModel, vocabulary_scores
 from quillframe.operators.skew import lookup
 from quillframe.session import stable
@@ -12,6 +13,7 @@ from quillframe.session import stable
 MAX_DISTANCE = 2
 DISTANCE_PENALTY = 2.0
 SHORT = 20  # longest vocabulary word keyed by its deletions
+BROADCAST_KEYS = 4_000_000  # most probe keys sent to every executor; more are shuffled
 PIECES = 8  # pieces of a longer word, of which two may hold the edits
 
 # Offsets a long word's middle part can take: (length difference, shift of the middle) with
@@ -22,19 +24,26 @@ _SHIFTS = [
 _CUTS = [(i, j) for i in range(PIECES) for j in range(i + 1, PIECES)]
 
 
-def _cut_one(word: Column) -> Column:
-    """The word with each of its characters left out."""
-    return F.when(F.length(word) > 0, F.transform(
-        F.sequence(F.lit(1), F.length(word)),
-        lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))),
-    )).otherwise(F.array().cast("array<string>"))
+def _without(word: Column, at: Column) -> Column:
+    return F.concat(
+        F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.length(word))
+    )
 
 
 def _deletion_keys(word: Column) -> Column:
-    """The word with up to two characters left out."""
-    once = F.array_distinct(_cut_one(word))
-    twice = F.flatten(F.transform(once, _cut_one))
-    return F.array_distinct(F.concat(F.array(word), once, twice))
+    """The word with up to two characters left out; the second always stands after the first."""
+    n = F.length(word)
+    none = F.array().cast("array<string>")
+    once = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: _without(word, i)))
+    twice = F.transform(
+        once,
+        lambda w, i: F.when(
+            i < n - 1, F.transform(F.sequence(i + 1, n - 1), lambda j: _without(w, j))
+        ).otherwise(none),
+    )
+    return F.concat(
+        F.array(word), F.coalesce(once, none), F.coalesce(F.flatten(twice), none)
+    )
 
 
 def _piece_keys(word: Column, length: Column, probe: bool) -> Column:
@@ -91,12 +100,16 @@ def candidates(unknown: DataFrame, vocabulary: DataFrame, word: str = "word") ->
     """
     # A word is a few bytes and fans out to many keys: spread the words, not the keys.
     parts = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probe = unknown.repartition(parts, word).select(
-        word, F.explode(_keys(F.col(word), True)).alias("key")
-    )
-    index = vocabulary.repartition(parts, "w1").select(
-        F.col("w1").alias("candidate"), F.explode(_keys(F.col("w1"), False)).alias("key")
+    asked = hold(unknown.repartition(parts, word), "keys", _keys(F.col(word), True))
+    probe = stable(asked.select(word, F.explode("keys").alias("key")), "keys")
+    few = probe.count() <= BROADCAST_KEYS
+    probe = F.broadcast(probe) if few else probe
+    index = hold(vocabulary.repartition(parts, "w1"), "keys", _keys(F.col("w1"), False)).select(
+        F.col("w1").alias("candidate"), F.explode("keys").alias("key")
     )
+    if not few:
+        # The optimizer sees the size of the words, not of their keys, and must not broadcast them.
+        index = index.hint("merge")
     dist = F.levenshtein(word, "candidate", MAX_DISTANCE)
     return (
         probe.join(index, "key")
@@ -119,7 +132,7 @@ def scored_candidates(words: DataFrame, model: LanguageModel, word: str = "word"
     """Candidates of the unknown words with ``score = ln p - 2 dist``."""
     scores = vocabulary_scores(model).select(F.col("w1").alias("candidate"), "score", "n")
     pairs = candidates(unknown_words(words, model, word), model.unigrams, word)
-    found = lookup(pairs, scores, ["candidate"], ["score"])
+    found = lookup(pairs, scores, ["candidate"], ["score"], total=model.tokens)
     return found.withColumn("score", F.col("score") - F.col("dist") * DISTANCE_PENALTY)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions.arrays import argmax, top_classes
+from quillframe.functions.arrays import argmax, hold, top_classes
 
 BEAM = 10
 NEG_INF = float("-inf")
@@ -68,7 +68,8 @@ def beam_paths(lp: Column, length: Column, blank: int, classes: int, beam: int =
 def beam_rows(samples: DataFrame, id_: str, blank: int, classes: int, beam: int = BEAM) -> DataFrame:
     """One row per sample and rank (from 1) with labels and score."""
     paths = beam_paths(F.col("lp"), F.col("len"), blank, classes, beam)
-    return samples.select(id_, F.posexplode(paths).alias("at", "p")).select(
+    held = hold(samples, "_paths", paths)
+    return held.select(id_, F.posexplode("_paths").alias("at", "p")).select(
         id_,
         (F.col("at") + 1).alias("rank"),
         F.col("p.labels").alias("labels"),

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions.arrays import hold
 from quillframe.operators.ordering import with_ordinal
 from quillframe.operators.skew import lookup
 from quillframe.session import stable
@@ -33,26 +34,40 @@ def ngram_counts(
     tokens: str = "tokens",
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Counts of n-grams over the tokens of all segments in ``order``, across segment ends.
+    """Counts of n-grams over the tokens of all segments in ``order``, across segment ends."""
+    grams = window_counts(segments, order, n, tokens, chunk_rows)
+    return grams.where(F.col(f"w{n}").isNotNull())
 
-    N-grams inside a segment come from its array, without a shuffle. Only the ``n - 1`` tokens at
-    each end of a segment are ordered globally, to find the n-grams that cross an end; a segment
-    shorter than that is in the edge table whole, so crossings may span several.
+
+def window_counts(
+    segments: DataFrame,
+    order: Sequence[str],
+    n: int,
+    tokens: str = "tokens",
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Counts of the n tokens from each token on, null past the end of the sequence.
+
+    Summed over their last words these are the counts of all shorter n-grams too. Windows inside a
+    segment come from its array, without a shuffle. Only the ``n - 1`` tokens at each end of a
+    segment are ordered globally, for the windows that run into the next segments; a segment
+    shorter than that is in the edge table whole, so a window may span several.
     """
     names = [f"w{i + 1}" for i in range(n)]
     words = segments.where(F.size(tokens) > 0).select(*order, F.col(tokens).alias("t"))
 
     span = F.size("t") - (n - 1)
     shifted = F.arrays_zip(*[F.slice("t", F.lit(i + 1), span).alias(names[i]) for i in range(n)])
-    inner = words.where(F.size("t") >= n).select(F.explode(shifted).alias("g")).select("g.*")
+    inner = hold(words.where(F.size("t") >= n), "g", shifted).select(F.explode("g").alias("g"))
     return (
-        inner.unionByName(_crossings(words, list(order), n, chunk_rows))
+        inner.select("g.*")
+        .unionByName(_end_windows(words, list(order), n, chunk_rows))
         .groupBy(*names)
         .agg(F.count("*").alias("n"))
     )
 
 
-def _crossings(words: DataFrame, order: list[str], n: int, chunk_rows: int) -> DataFrame:
+def _end_windows(words: DataFrame, order: list[str], n: int, chunk_rows: int) -> DataFrame:
     size = F.size("t")
     at_ends = F.array_distinct(
         F.concat(
@@ -60,73 +75,78 @@ def _crossings(words: DataFrame, order: list[str], n: int, chunk_rows: int) -> D
             F.sequence(F.greatest(F.lit(0), size - (n - 1)), size - 1),
         )
     )
-    edges = words.select(
-        *order, size.alias("len"), F.explode(F.transform(at_ends, lambda i: F.struct(
-            i.alias("pos"), F.get("t", i).alias("w")))).alias("e"),
-    ).select(*order, "len", "e.pos", "e.w")
+    ends = F.transform(at_ends, lambda i: F.struct(i.alias("pos"), F.get("t", i).alias("w")))
+    # Written before it is ordered: placing rows by range reads its input twice.
+    edges = stable(
+        hold(words.withColumn("len", size), "e", ends)
+        .select(*order, "len", F.explode("e").alias("e"))
+        .select(*order, "len", "e.pos", "e.w"),
+        "edges",
+    )
     numbered = with_ordinal(edges, [*order, "pos"])
 
     # A chunk also gets the first n - 1 rows of the next one, so that a window sees past its end.
     home = F.floor(F.col("ord") / chunk_rows)
     halo = (F.col("ord") % chunk_rows < n - 1) & (F.col("ord") >= chunk_rows)
-    in_chunks = numbered.withColumn(
+    in_chunks = numbered.withColumn("home", home).withColumn(
         "chunk", F.explode(F.when(halo, F.array(home, home - 1)).otherwise(F.array(home)))
-    ).withColumn("own", F.col("chunk") == home)
-    ahead = Window.partitionBy("chunk").orderBy("ord")
-    row = F.struct(F.struct(*order).alias("seg"), "len", "pos", "w")
-    seen = in_chunks.select(
-        "own", row.alias("r0"), *[F.lead(row, k).over(ahead).alias(f"r{k}") for k in range(1, n)]
     )
-
-    def follows(a: str, b: str):
-        same = F.col(f"{a}.seg") == F.col(f"{b}.seg")
-        return F.when(same, F.col(f"{b}.pos") == F.col(f"{a}.pos") + 1).otherwise(
-            (F.col(f"{a}.pos") == F.col(f"{a}.len") - 1) & (F.col(f"{b}.pos") == 0)
+    ahead = Window.partitionBy("chunk").orderBy("ord")
+    # What follows one of the last n - 1 tokens of a segment is in the table without a gap.
+    starts = (F.col("chunk") == F.col("home")) & (F.col("pos") > F.col("len") - n)
+    return (
+        in_chunks.withColumn("starts", starts)
+        .select(
+            "starts", *[F.lead("w", k).over(ahead).alias(f"w{k + 1}") for k in range(1, n)], F.col("w").alias("w1")
         )
-
-    joined = F.col(f"r{n - 1}").isNotNull()
-    for k in range(1, n):
-        joined = joined & follows(f"r{k - 1}", f"r{k}")
-    crosses = F.col("r0.seg") != F.col(f"r{n - 1}.seg")
-    return seen.where(F.col("own") & joined & crosses).select(
-        *[F.col(f"r{k}.w").alias(f"w{k + 1}") for k in range(n)]
+        .where("starts")
+        .select(*[f"w{k + 1}" for k in range(n)])
     )
 
 
 @dataclass
 class LanguageModel:
-    """Written count tables ``(w1, n)``, ``(w1, w2, n)``, ``(w1, w2, w3, n)``."""
+    """Written count tables ``(w1, n)``, ``(w1, w2, n)``, ``(w1, w2, w3, n)`` and their sizes."""
 
+    vocabulary: int
+    tokens: int
     unigrams: DataFrame
     bigrams: DataFrame | None = None
     trigrams: DataFrame | None = None
 
     @classmethod
-    def build(cls, segments: DataFrame, order: Sequence[str], orders: int = 3) -> LanguageModel:
-        tables = [stable(unigram_counts(segments), "unigrams")]
-        for n in range(2, orders + 1):
-            tables.append(stable(ngram_counts(segments, order, n), f"ngrams{n}"))
-        return cls(*tables)
-
-
-def _smoothing(model: LanguageModel):
-    vocabulary = model.unigrams.agg(F.count("*").alias("v")).scalar()
-    mass = model.unigrams.agg((F.sum("n") + F.count("*")).alias("m")).scalar()
-    return vocabulary, mass
+    def build(cls, segments: DataFrame, order: Sequence[str], n: int = 3) -> LanguageModel:
+        """Count once, the longest n-grams, and roll the shorter ones up from that table."""
+        if n == 1:
+            tables = [stable(unigram_counts(segments), "unigrams")]
+        else:
+            windows = stable(window_counts(segments, order, n), "windows")
+            tables = []
+            for k in range(1, n + 1):
+                names = [f"w{i + 1}" for i in range(k)]
+                known = windows.where(F.col(names[-1]).isNotNull())
+                if k < n:
+                    known = stable(known.groupBy(*names).agg(F.sum("n").alias("n")), "ngrams")
+                tables.append(known)
+        size = totals(tables[0]).first()
+        return cls(size["vocabulary"], size["tokens"], *tables)
+
+    @property
+    def mass(self) -> int:
+        return self.tokens + self.vocabulary
 
 
 def vocabulary_scores(model: LanguageModel) -> DataFrame:
     """``ln((n + 1) / (N + V))`` of each known word."""
-    _, mass = _smoothing(model)
-    return model.unigrams.select("w1", "n", F.log((F.col("n") + 1) / mass).alias("score"))
+    return model.unigrams.select("w1", "n", F.log((F.col("n") + 1) / model.mass).alias("score"))
 
 
 def score_words(rows: DataFrame, word: str, model: LanguageModel) -> DataFrame:
     """Add ``score``; an unknown word counts 0."""
-    _, mass = _smoothing(model)
     counts = model.unigrams.select(F.col("w1").alias(word), F.col("n"), F.col("n").alias("_n"))
-    found = lookup(rows, counts, [word], ["_n"])
-    return found.withColumn("score", F.log((F.coalesce("_n", F.lit(0)) + 1) / mass)).drop("_n")
+    found = lookup(rows, counts, [word], ["_n"], total=model.tokens)
+    score = F.log((F.coalesce("_n", F.lit(0)) + 1) / model.mass)
+    return found.withColumn("score", score).drop("_n")
 
 
 def score_sequences(
@@ -137,7 +157,7 @@ def score_sequences(
     The probability of a token depends on itself and the two before it, so each distinct context
     is scored once, however often it occurs.
     """
-    vocabulary, mass = _smoothing(model)
+    vocabulary, mass = model.vocabulary, model.mass
     keys = list(keys)
     t = F.col(tokens)
     size = F.size(t)
@@ -148,9 +168,8 @@ def score_sequences(
         t.alias("w"),
     )
     # arrays_zip pads to the longest array: a one-token sequence would gain a second row.
-    token = sequences.select(
-        *keys, F.posexplode(F.slice(steps, F.lit(1), size)).alias("pos", "s")
-    ).select(
+    stepped = hold(sequences, "_steps", F.slice(steps, F.lit(1), size))
+    token = stepped.select(*keys, F.posexplode("_steps").alias("pos", "s")).select(
         *keys,
         F.least("pos", F.lit(2)).alias("past"),
         F.coalesce("s.p2", F.lit("")).alias("p2"),
@@ -178,7 +197,7 @@ def score_sequences(
             F.col("n").alias("_weight"),
             F.col("n").alias(value),
         )
-        known = lookup(known, renamed, on, [value], weight="_weight")
+        known = lookup(known, renamed, on, [value], weight="_weight", total=model.tokens)
 
     backed_off = (F.coalesce("c1", F.lit(0)) + 1) / mass
     from_bigram = (F.col("c2") + 1) / (F.coalesce("c1_before", F.lit(1)) + vocabulary)
@@ -196,8 +215,10 @@ def score_sequences(
     scored = stable(
         known.select("past", "p2", "p1", "w", "n", F.log(probability).alias("lp")), "contexts"
     )
-    return (
+    summed = (
         lookup(token, scored, ["past", "p2", "p1", "w"], ["lp"])
         .groupBy(*keys)
         .agg(F.sum("lp").alias("score"))
     )
+    empty = sequences.where(size == 0).select(*keys, F.lit(0.0).alias("score"))
+    return summed.unionByName(empty)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions.arrays import hold
 from quillframe.session import stable
 
 WINDOW_ROWS = 2_000_000  # most rows of one group in one window task
@@ -191,12 +192,11 @@ def fold(
         return F.slice(states, F.lit(2), F.size(rows))
 
     def unpack(chunks: DataFrame, entry: Column) -> DataFrame:
-        paired = chunks.select(
-            *keys,
-            F.explode(
-                F.arrays_zip(F.col("_rows").alias("item"), trace(entry, F.col("_rows")).alias("st"))
-            ).alias("z"),
+        traced = hold(chunks, "_states", trace(entry, F.col("_rows")))
+        zipped = hold(
+            traced, "_z", F.arrays_zip(F.col("_rows").alias("item"), F.col("_states").alias("st"))
         )
+        paired = zipped.select(*keys, F.explode("_z").alias("z"))
         return paired.select(
             *keys,
             *[F.col(f"z.item.{c}").alias(c) for c in fields],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_SHARE = 1_000  # a key is heavy above this fraction of the weight, so at most 1,000 are
+HEAVY_SHARE = 1_000  # a key is heavy above this fraction of the weight
 SPREAD = 1_024
 
 
@@ -18,19 +18,20 @@ def lookup(
     values: Sequence[str],
     weight: str = "n",
     share: int = HEAVY_SHARE,
+    total: int | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` with ``table`` (one row per key) that adds ``values``.
 
-    ``weight`` says how often a key is expected. Keys above 1/share of the total weight are at
-    most ``share`` in number, so they may be broadcast; rows they serve get a spare join key that
+    ``weight`` says how often a key is expected, ``total`` is its sum where known. Keys above
+    1/share of the total are fewer than ``share``, so they may be broadcast; rows they serve get a spare join key that
     spreads over partitions and finds nothing, and only the other keys are shuffled to meet.
     """
     on, values = list(on), list(values)
-    total = table.agg(F.sum(weight)).scalar()
-    heavy = table.where(F.col(weight) * share > total).select(
-        *on, F.struct(*values).alias("_heavy")
-    )
-    light = table.where(F.col(weight) * share <= total).select(
+    if total is None:
+        total = table.agg(F.sum(weight)).first()[0] or 0
+    limit = total // share
+    heavy = table.where(F.col(weight) > limit).select(*on, F.struct(*values).alias("_heavy"))
+    light = table.where(F.col(weight) <= limit).select(
         *on, F.struct(*values).alias("_light"), F.lit(0).alias("_spare")
     )
     marked = rows.join(F.broadcast(heavy), on, "left").withColumn(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quillframe.functions import text as tx
 from quillframe.functions.arrays import one_hot
 from quillframe.operators import dataset as ds
-from quillframe.operators import evaluation as ev
 from quillframe.operators.images import tile_grid
 from quillframe.plans import views as v
 from quillframe.plans.registry import query, rounded
@@ -251,26 +250,10 @@ def s10(spark, sf):
 
 # --- sinks ------------------------------------------------------------------------------------
 
-@query("k1_analysis_csv")
-def k1(spark, sf):
-    """The analysis written as CSV and read back."""
-    rows = ev.analysis(v.pairs(spark, sf)).drop("character_accuracy_exact")
-    path = scratch_path(spark, "analysis")
-    writers.write_analysis(rows, path)
-    return (
-        spark.read.schema(rows.schema)
-        .option("header", True)
-        .option("escape", '"')
-        .csv(path)
-        .groupBy("error_type", "word_length")
-        .agg(F.count("*").alias("n"), F.sum("character_errors").alias("errors"))
-    )
-
-
 @query(
     "k3_result_records",
     f"""WITH {v.SQL_INDEX} SELECT word_id || '.png' AS image, word AS ground_truth,
-      translate(word, 'aeiou', 'eioua') AS prediction, (ord // 128)::INTEGER AS batch
+      translate(word, 'aeiou', 'eioua') AS prediction, (ord // 10000)::INTEGER AS batch
     FROM accepted""",
 )
 def k3(spark, sf):
@@ -278,7 +261,7 @@ def k3(spark, sf):
         F.concat("word_id", F.lit(".png")).alias("image"),
         F.col("word").alias("ground_truth"),
         F.translate("word", "aeiou", "eioua").alias("prediction"),
-        F.floor(F.col("ord") / 128).cast("int").alias("batch"),
+        F.floor(F.col("ord") / 10_000).cast("int").alias("batch"),
     )
     path = scratch_path(spark, "records")
     # One task per folder: without it every task would write a file into every batch folder.

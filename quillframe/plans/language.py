@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillframe.functions.arrays import hold
 from quillframe.functions.text import edit_distance, words
 from quillframe.operators import correction as co
 from quillframe.operators import evaluation as ev
 from quillframe.operators import ngrams as ng
 from quillframe.plans import views as v
 from quillframe.plans.registry import query, rounded
+from quillframe.session import scratch_path
+from quillframe.sources import writers
 
 # DuckDB's edit distance counts bytes: the accented letters of the texts are exchanged for single
 # bytes first, which leaves distances between characters.
@@ -70,9 +73,8 @@ _ASKED_SQL = """
 
 def _garbled(spark, sf):
     """Words of the conversations and what a recogniser made of them."""
-    rows = v.table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.posexplode(words(F.col("text"))).alias("pos", "true_text")
-    )
+    turns = hold(v.table(spark, sf, "conversations"), "tokens", words(F.col("text")))
+    rows = turns.select("conv_id", "turn", F.posexplode("tokens").alias("pos", "true_text"))
     key = F.col("conv_id") + F.col("turn") + F.col("pos")
     return rows.select(
         "conv_id",
@@ -108,7 +110,9 @@ def l4(spark, sf):
       WHEN c3 IS NOT NULL THEN (c3 + 1) / (coalesce(cp, 1) + v)
       WHEN c2 IS NOT NULL THEN (c2 + 1) / (coalesce(c1p, 1) + v)
       ELSE (coalesce(c1, 0) + 1) / (t + v) END)), 6) AS score
-    FROM found, size GROUP BY conv_id, turn""",
+    FROM found, size GROUP BY conv_id, turn
+    UNION ALL SELECT conv_id, turn, 0.0 FROM conversations
+      WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM asked)""",
 )
 def l5(spark, sf):
     """Turns of the conversations, as recognised, under the model of the documents."""
@@ -117,7 +121,7 @@ def l5(spark, sf):
         "conv_id",
         "turn",
         F.transform("t", lambda w, i: v.garbled(w, F.col("conv_id") + F.col("turn") + i)).alias("tokens"),
-    ).where(F.size("tokens") > 0)
+    )
     out = ng.score_sequences(sequences, ["conv_id", "turn"], _model(spark, sf))
     return out.withColumn("score", rounded("score"))
 
@@ -362,3 +366,22 @@ def e11(spark, sf):
 )
 def k2(spark, sf):
     return ev.summary(_analysis(spark, sf), ["doc_id", "pos"]).withColumn("value", rounded("value", 9))
+
+
+@query(
+    "k1_analysis_csv",
+    _ANALYSIS_SQL
+    + """SELECT error_type, word_length, count(*) AS n, sum(character_errors)::BIGINT AS errors,
+      sum(is_correct::INTEGER)::BIGINT AS correct FROM rows GROUP BY error_type, word_length""",
+)
+def k1(spark, sf):
+    """The analysis written as CSV, read back and counted."""
+    rows = _analysis(spark, sf).drop("character_accuracy_exact")
+    path = scratch_path(spark, "analysis")
+    writers.write_analysis(rows, path)
+    back = spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+    return back.groupBy("error_type", "word_length").agg(
+        F.count("*").alias("n"),
+        F.sum("character_errors").alias("errors"),
+        F.sum(F.col("is_correct").cast("long")).alias("correct"),
+    )

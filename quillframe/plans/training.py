@@ -36,7 +36,7 @@ def s8(spark, sf):
                 F.transform("r", lambda e: e["accuracy"]).alias("val_wa"),
             )
         ).alias("value")
-    ).repartition(8).write.text(path)
+    ).write.text(path)
     # One object per line here; a single pretty-printed file is what read_history is for.
     schema = ", ".join(f"{f} array<double>" for f in readers.HISTORY_FIELDS)
     out = readers.history_rows(spark.read.schema(schema).json(path).withColumn("run", F.get("train_loss", F.lit(0)).cast("bigint")), ["run"])

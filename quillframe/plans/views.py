@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.functions.arrays import log_softmax
+from quillframe.functions.arrays import hold, log_softmax
 from quillframe.functions.geometry import rectangle_points
 from quillframe.functions.text import SPACE, words
 from quillframe.session import spread
@@ -39,7 +39,7 @@ pairs AS (
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     texts = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return texts.select("doc_id", words(F.col("text")).alias("tokens"))
+    return hold(texts, "tokens", words(F.col("text"))).drop("text")
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +249,11 @@ def index_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     word = F.concat("o_orderpriority", F.when(key % 19 == 0, "%").otherwise(""))
     tail = F.concat_ws(" ", *[F.lit(v) for v in _FILLER[3:]], word)
-    return table(spark, sf, "orders").select(
+    orders = spread(
+        table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
+        "o_orderkey",
+    )
+    return orders.select(
         key.alias("line_no"),
         F.when(key % 17 == 0, head).otherwise(F.concat_ws(" ", head, tail)).alias("raw"),
     )
