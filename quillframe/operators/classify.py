@@ -13,7 +13,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillframe.functions.arrays import argmax
 from quillframe.session import stable
@@ -79,8 +78,10 @@ def nearest(
     the driver.
     """
     spark = train.sparkSession
-    n_train, n_test = train.count(), test.count()
+    n_train = train.count()
     n_pivots = max(1, min(MAX_PIVOTS, n_train // train_block))
+    if test.isEmpty():
+        return spark.createDataFrame([], _FOUND)
     pivot_rows = train.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("features").collect()
     if not pivot_rows:
         return spark.createDataFrame([], _FOUND)
@@ -109,7 +110,7 @@ def nearest(
     far = np.array([stats[c]["far"] for c in cells])
     close = np.array([stats[c]["near"] for c in cells])
 
-    def visits_of(features: pd.Series) -> pd.Series:
+    def visits_of(features: pd.Series) -> pd.DataFrame:
         d = _distances(np.stack(features.to_numpy()).astype(np.float64), pivots[cells])
         reach = d + far
         order = np.argsort(reach, axis=1)
@@ -117,30 +118,42 @@ def nearest(
         bound = np.take_along_axis(reach, order, 1)[np.arange(len(d)), enough.argmax(1)]
         least = np.maximum(0.0, np.maximum(d - far, close - d))
         keep = least <= bound[:, None] * (1 + 1e-12) + 1e-12
-        return pd.Series([cells[row].astype("int32") for row in keep])
-
-    visits = F.pandas_udf(visits_of, T.ArrayType(T.IntegerType()))
-    blocks = F.create_map(
-        *[F.lit(v) for c in cells for v in (int(c), math.ceil(stats[c]["n"] / train_block))]
+        return pd.DataFrame(
+            {
+                "home": cells[d.argmin(axis=1)].astype("int32"),
+                "cells": [cells[row].astype("int32") for row in keep],
+            }
+        )
+
+    visits = F.pandas_udf(visits_of, "home int, cells array<int>")
+    visiting = stable(
+        test.withColumn("v", visits("features")).select("id", "features", "v.home", "v.cells"),
+        "visits",
     )
-    groups = max(1, math.ceil(n_test / test_block))
+    homes = {r["home"]: r["count"] for r in visiting.groupBy("home").count().collect()}
 
-    def spread(column: str, parts):
-        return F.pmod(F.xxhash64(column), parts).cast("int")
+    def blocks(column: str, sizes: dict[int, int], rows: int):
+        """Number of blocks of at most about ``rows`` rows per cell."""
+        known = [F.lit(v) for c, size in sizes.items() for v in (int(c), math.ceil(size / rows))]
+        return F.create_map(*known)[F.col(column)]
 
+    def block(parts):
+        return F.pmod(F.xxhash64("id"), parts).cast("int")
+
+    # Test rows of one cell stay together, so that a block of them asks few other cells.
+    per_cell = blocks("cell", {c: stats[c]["n"] for c in stats}, train_block)
+    keys = ["cell", "block", "home", "part"]
     asking = (
-        test.select("id", "features", spread("id", F.lit(groups)).alias("part"), F.explode(visits("features")).alias("cell"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
-    )
-    offering = celled.select(
-        "id", "label", "features", "cell",
-        spread("id", blocks[F.col("cell")]).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"),
+        visiting.withColumn("part", block(blocks("home", homes, test_block)))
+        .withColumn("cell", F.explode("cells"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), per_cell - 1)))
+        .select("id", "features", *keys)
     )
-    keys = ["cell", "block", "part"]
+    asked = stable(asking.select(*keys).distinct(), "asked")
+    offering = celled.withColumn("block", block(per_cell)).join(asked, ["cell", "block"])
     found = (
         asking.groupBy(*keys)
-        .cogroup(offering.groupBy(*keys))
+        .cogroup(offering.select("id", "label", "features", *keys).groupBy(*keys))
         .applyInPandas(_nearest_in_block(k), _FOUND)
     )
     # k rows per block and test row are left.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import strip, words
+from quillframe.functions.arrays import hold
+from quillframe.functions.text import words
 
 # --- fixed values -----------------------------------------------------------------------
 INDEX_FIELDS = 9  # fewest tokens of a valid index line
@@ -35,9 +36,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_training_index(lines: DataFrame) -> DataFrame:
     """Training dialect: ``well_formed``, ``word_id``, ``status`` and the joined ``word``."""
-    part = words(F.col("raw"))
+    part = F.col("_part")
     n = F.size(part)
-    return lines.select(
+    return hold(lines, "_part", words(F.col("raw"))).select(
         *[c for c in lines.columns if c != "raw"],
         (n >= INDEX_FIELDS).alias("well_formed"),
         F.get(part, F.lit(0)).alias("word_id"),
@@ -57,10 +58,12 @@ def training_index(lines: DataFrame) -> DataFrame:
 
 def corpus_index(lines: DataFrame) -> DataFrame:
     """Language-model dialect: no blank or ``#`` lines, nine tokens, last token, any status."""
-    part = words(F.col("raw"))
-    return lines.where(
-        ~F.startswith(strip(F.col("raw")), F.lit("#")) & (F.size(part) >= INDEX_FIELDS)
-    ).select(*[c for c in lines.columns if c != "raw"], F.element_at(part, -1).alias("word"))
+    part = F.col("_part")
+    return (
+        hold(lines, "_part", words(F.col("raw")))
+        .where(~F.startswith(F.get(part, F.lit(0)), F.lit("#")) & (F.size(part) >= INDEX_FIELDS))
+        .select(*[c for c in lines.columns if c != "raw"], F.element_at(part, -1).alias("word"))
+    )
 
 
 def first_caption(rows: DataFrame, order: Column) -> DataFrame:
