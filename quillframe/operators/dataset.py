@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.text import CLASS_CHARS, encodable, encode, image_path
 from quillframe.operators.ordering import with_ordinal
+from quillframe.session import stable
 from quillframe.sources.readers import parse_training_index
 
 BATCH_ROWS = 128
@@ -62,8 +63,12 @@ def coverage(checked: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def accepted(checked: DataFrame, order: list[str]) -> DataFrame:
-    """Accepted rows with their 0-based ordinal ``ord``."""
-    rows = checked.where(F.col("outcome") == "ok").drop("outcome")
+    """Accepted rows with their 0-based ordinal ``ord``.
+
+    Written before they are ordered: placing rows by range reads its input twice, and the join
+    with the images should run once.
+    """
+    rows = stable(checked.where(F.col("outcome") == "ok").drop("outcome"), "accepted")
     return with_ordinal(rows, order)
 
 
