@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.arrays import hold
-from quillframe.operators.ngrams import LanguageModel, vocabulary_scores
+from quillframe.operators.ngrams import LanguageModel
 from quillframe.operators.skew import lookup
 from quillframe.session import stable
 
@@ -91,12 +91,12 @@ def _keys(word: Column, probe: bool) -> Column:
     return F.array_distinct(F.concat(short, long_))
 
 
-def candidates(unknown: DataFrame, vocabulary: DataFrame, word: str = "word") -> DataFrame:
-    """Pairs ``(word, candidate, dist)`` within distance 2, by blocking keys and then the distance.
+def _matches(unknown: DataFrame, vocabulary: DataFrame, word: str, carry: list[str]) -> DataFrame:
+    """Pairs ``(word, candidate, dist)`` within distance 2 with the ``carry`` columns of the
+    candidate. A pair comes once per key it meets on.
 
     Both inputs hold distinct words. Two words share a key only if they agree on all but a few
-    characters, so keys are selective even when many words share a prefix. The distance is tested
-    right at the join, before the pairs that met on several keys are made distinct.
+    characters, so keys are selective even when many words share a prefix.
     """
     # A word is a few bytes and fans out to many keys: spread the words, not the keys.
     parts = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -105,7 +105,7 @@ def candidates(unknown: DataFrame, vocabulary: DataFrame, word: str = "word") ->
     few = probe.count() <= BROADCAST_KEYS
     probe = F.broadcast(probe) if few else probe
     index = hold(vocabulary.repartition(parts, "w1"), "keys", _keys(F.col("w1"), False)).select(
-        F.col("w1").alias("candidate"), F.explode("keys").alias("key")
+        F.col("w1").alias("candidate"), *carry, F.explode("keys").alias("key")
     )
     if not few:
         # The optimizer sees the size of the words, not of their keys, and must not broadcast them.
@@ -114,13 +114,16 @@ def candidates(unknown: DataFrame, vocabulary: DataFrame, word: str = "word") ->
     return (
         probe.join(index, "key")
         .where(F.abs(F.length(word) - F.length("candidate")) <= MAX_DISTANCE)
-        .withColumn("dist", dist)
+        .select(word, "candidate", dist.alias("dist"), *carry)
         .where(F.col("dist") >= 0)
-        .select(word, "candidate", "dist")
-        .distinct()
     )
 
 
+def candidates(unknown: DataFrame, vocabulary: DataFrame, word: str = "word") -> DataFrame:
+    """All pairs ``(word, candidate, dist)`` within distance 2."""
+    return _matches(unknown, vocabulary, word, []).distinct()
+
+
 def unknown_words(rows: DataFrame, model: LanguageModel, word: str = "word") -> DataFrame:
     """Distinct words outside the vocabulary; known ones skip the search."""
     return rows.select(word).distinct().join(
@@ -128,19 +131,21 @@ def unknown_words(rows: DataFrame, model: LanguageModel, word: str = "word") ->
     )
 
 
-def scored_candidates(words: DataFrame, model: LanguageModel, word: str = "word") -> DataFrame:
-    """Candidates of the unknown words with ``score = ln p - 2 dist``."""
-    scores = vocabulary_scores(model).select(F.col("w1").alias("candidate"), "score", "n")
-    pairs = candidates(unknown_words(words, model, word), model.unigrams, word)
-    found = lookup(pairs, scores, ["candidate"], ["score"], total=model.tokens)
-    return found.withColumn("score", F.col("score") - F.col("dist") * DISTANCE_PENALTY)
+def _scored(words: DataFrame, model: LanguageModel, word: str) -> DataFrame:
+    """Candidates of the unknown words with ``score = ln p - 2 dist``, repeated per common key."""
+    pairs = _matches(unknown_words(words, model, word), model.unigrams, word, ["n"])
+    score = F.log((F.col("n") + 1) / model.mass) - F.col("dist") * DISTANCE_PENALTY
+    return pairs.select(word, "candidate", "dist", score.alias("score"))
 
 
 def best_corrections(words: DataFrame, model: LanguageModel, word: str = "word") -> DataFrame:
-    """Unknown words with their best candidate; ties go to the nearer, then the smaller word."""
-    ranked = scored_candidates(words, model, word)
+    """Unknown words with their best candidate; ties go to the nearer, then the smaller word.
+
+    A repeated pair does not change the least element, so pairs go to the aggregate as they are
+    and each task sends on one candidate per word.
+    """
     best = F.min_by("candidate", F.struct(-F.col("score"), "dist", "candidate"))
-    return ranked.groupBy(word).agg(best.alias("corrected"))
+    return _scored(words, model, word).groupBy(word).agg(best.alias("corrected"))
 
 
 def top_corrections(
@@ -149,7 +154,8 @@ def top_corrections(
     """The n best candidates per unknown word, with their rank from 1."""
     order = Window.partitionBy(word).orderBy(F.desc("score"), "dist", "candidate")
     return (
-        scored_candidates(words, model, word)
+        _scored(words, model, word)
+        .distinct()
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= n)
     )

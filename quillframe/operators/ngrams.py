@@ -136,11 +136,6 @@ class LanguageModel:
         return self.tokens + self.vocabulary
 
 
-def vocabulary_scores(model: LanguageModel) -> DataFrame:
-    """``ln((n + 1) / (N + V))`` of each known word."""
-    return model.unigrams.select("w1", "n", F.log((F.col("n") + 1) / model.mass).alias("score"))
-
-
 def score_words(rows: DataFrame, word: str, model: LanguageModel) -> DataFrame:
     """Add ``score``; an unknown word counts 0."""
     counts = model.unigrams.select(F.col("w1").alias(word), F.col("n"), F.col("n").alias("_n"))

@@ -454,7 +454,35 @@ def g4_translation(spark, sf):
     return _totals(au.translated(au.fan_out(v.unit_images(spark, sf), seed=SEED), seed=SEED))
 
 
-@query("g4_perspective_warp")
+def _offset(k: int) -> str:
+    u = _u_sql(str(au.STEPS["corner"] + k * len(au.STEPS)))
+    return f"({u} - 0.5)"
+
+
+@query(
+    "g4_perspective_warp",
+    f"""WITH {_VARIANT_PIXELS},
+    corner AS (SELECT image_id, variant, h, w, {_gate("perspective")} AS on_,
+        {_offset(0)} AS x0, {_offset(1)} AS y0, w + {_offset(2)} AS x1, {_offset(3)} AS y1,
+        w + {_offset(4)} AS x2, h + {_offset(5)} AS y2, {_offset(6)} AS x3, h + {_offset(7)} AS y3 FROM variants),
+    bend AS (SELECT *, ((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3))
+          / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) AS g,
+        ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2))
+          / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) AS k FROM corner),
+    fwd AS (SELECT *, x1 - x0 + g * x1 AS a, x3 - x0 + k * x3 AS b, x0 AS c,
+        y1 - y0 + g * y1 AS d, y3 - y0 + k * y3 AS e, y0 AS f FROM bend),
+    coords AS (SELECT p.image_id, p.variant, i,
+        w * ((e - f * k) * x + (c * k - b) * y + (b * f - c * e))
+          / ((d * k - e * g) * x + (b * g - a * k) * y + (a * e - b * d)) AS sx,
+        h * ((f * g - d) * x + (a - c * g) * y + (c * d - a * f))
+          / ((d * k - e * g) * x + (b * g - a * k) * y + (a * e - b * d)) AS sy
+      FROM px p JOIN fwd USING (image_id, variant, h, w) WHERE on_),
+    {_gather_sql("px", "coords", "bent")},
+    done AS (SELECT image_id, variant, i, v FROM bent UNION ALL
+      SELECT px.image_id, px.variant, i, v FROM px JOIN corner USING (image_id, variant) WHERE NOT on_)
+    """
+    + _TOTAL_SQL.format(src="done"),
+)
 def g4_perspective(spark, sf):
     return _totals(au.tilted(au.fan_out(v.unit_images(spark, sf), seed=SEED), seed=SEED))
 
@@ -482,7 +510,29 @@ def g5(spark, sf):
     return _cells(out).withColumn("v", rounded("v"))
 
 
-@query("g5_motion_blur")
+@query(
+    "g5_motion_blur",
+    f"""WITH {_VARIANT_PIXELS},
+    turn AS (SELECT image_id, variant, {_gate("blur")} AND {_step("blur_run")} <= {au.BLUR_INNER} AS on_,
+        radians({_range("blur_angle", 0.0, 180.0)}) AS r FROM variants),
+    cell AS (SELECT image_id, variant, ky, kx, cos(r) * (kx - 1) - sin(r) * (ky - 1) + 1 AS sx,
+        sin(r) * (kx - 1) + cos(r) * (ky - 1) + 1 AS sy
+      FROM turn, (SELECT unnest(range(0, 3)) AS ky) a, (SELECT unnest(range(0, 3)) AS kx) b WHERE on_),
+    kernel AS (SELECT image_id, variant, ky - 1 AS dy, kx - 1 AS dx, sum(
+        CASE oy WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END
+        * CASE ox WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END
+        * CASE WHEN floor(sy) + oy = 1 AND floor(sx) + ox BETWEEN 0 AND 2 THEN 1.0::DOUBLE / 3 ELSE 0 END) AS k
+      FROM cell, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(oy, ox) GROUP BY image_id, variant, ky, kx),
+    asked AS (SELECT p.image_id, p.variant, i, k,
+        CASE WHEN y + dy < 0 THEN -(y + dy) WHEN y + dy > h - 1 THEN 2 * (h - 1) - (y + dy) ELSE y + dy END AS y,
+        CASE WHEN x + dx < 0 THEN -(x + dx) WHEN x + dx > w - 1 THEN 2 * (w - 1) - (x + dx) ELSE x + dx END AS x
+      FROM px p JOIN kernel USING (image_id, variant)),
+    done AS (SELECT a.image_id, a.variant, a.i, sum(k * p.v) AS v FROM asked a JOIN px p USING (image_id, variant, y, x)
+        GROUP BY a.image_id, a.variant, a.i
+      UNION ALL SELECT px.image_id, px.variant, i, v FROM px JOIN turn USING (image_id, variant) WHERE NOT on_)
+    """
+    + _TOTAL_SQL.format(src="done"),
+)
 def g5_motion(spark, sf):
     return _totals(au.motion_blur(au.fan_out(v.unit_images(spark, sf), seed=SEED), seed=SEED))
 
