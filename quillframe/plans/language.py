@@ -136,12 +136,24 @@ def l6(spark, sf):
     return v.pairs(spark, sf).select("doc_id", F.col("pos").cast("bigint").alias("pos"), dist.alias("dist"))
 
 
+# Every word is compared with every known one. An edit changes the counts of at most two letters
+# by one, so the counts of some letters rule most pairs out before the distance is taken.
+_LETTERS = "eaiontrs"
+_letters_near = (
+    "(" + " + ".join(f"abs(u.{c}_ - k.{c}_)" for c in _LETTERS) + ") <= 4"
+)
+
+
+def _letters(e: str) -> str:
+    return ", ".join(f"length({e}) - length(replace({e}, '{c}', '')) AS {c}_" for c in _LETTERS)
+
+
 _CANDIDATE_SQL = f"""WITH {_COUNT_SQL}, {_ASKED_SQL},
     unknown AS (SELECT DISTINCT word FROM garbled WHERE word NOT IN (SELECT w1 FROM uni)),
-    u AS (SELECT word, {_plain('word')} AS p, length(word) AS len FROM unknown),
-    k AS (SELECT w1, n, {_plain('w1')} AS p, length(w1) AS len FROM uni),
+    u AS (SELECT word, {_plain('word')} AS p, length(word) AS len, {_letters('word')} FROM unknown),
+    k AS (SELECT w1, n, {_plain('w1')} AS p, length(w1) AS len, {_letters('w1')} FROM uni),
     pair AS (SELECT word, w1 AS candidate, n, levenshtein(u.p, k.p)::INTEGER AS dist FROM u JOIN k
-      ON k.len BETWEEN u.len - 2 AND u.len + 2 WHERE levenshtein(u.p, k.p) <= 2),
+      ON k.len BETWEEN u.len - 2 AND u.len + 2 AND {_letters_near} WHERE levenshtein(u.p, k.p) <= 2),
     scored AS (SELECT *, ln((n + 1) / (t + v)) - 2.0 * dist AS score FROM pair, size),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, dist, candidate) AS rank FROM scored)"""
 
