@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import lines, packing
+from quillframe.llm import decontamination, lines, minhash, packing, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,135 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that ten documents share leave every document."""
     out = lines.drop_shared_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _remainder(of: int):
+    """crc32 of the id as text, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+@query("op2_differencing_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes, copies together."""
+    out = sharding.shard(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+_OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1]
+    ELSE unnest(list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS g
+  FROM w WHERE len(ws) > 1
+  UNION SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE 100 * c >= 80 * (a.n + b.n - c)
+), e AS (
+  SELECT x, y FROM l UNION SELECT y, x FROM l
+), r(node, near) AS (
+  SELECT x, y FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.near
+), c AS (
+  SELECT node, min(near) AS comp FROM r GROUP BY node
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(comp, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(comp, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
+"""
+
+
+@query("op4_superminhash_groups", _OP4)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their two-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+@query("op5_noisy_or_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), _remainder(5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_sentences",
+        F.size("offending").cast("long").alias("n_offending"),
+    )
+
+
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x,
+    len(embedding) AS dim
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.i = c.i AND q.dim = c.dim AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0 GROUP BY 1, 2
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d
+) WHERE rank <= 10
+"""
+
+
+@query("op7_no_random_access_topk", _OP7)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of each hundredth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+_OP8 = r"""
+WITH d AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM d
+), s AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(ws) >= 5
+    THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || ' |' || len(ws)] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id
+), c AS (
+  SELECT a.id AS doc_id, b.id AS item_id, count(*) / any_value(n.n) AS share
+  FROM s a JOIN s b ON a.kind = 'd' AND b.kind = 'i' AND a.g = b.g JOIN n ON n.id = b.id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(n.n)
+), f AS (
+  SELECT doc_id, count(*) AS n_items, array_to_string(list(item_id ORDER BY item_id), ',') AS item_ids,
+    max(share) AS containment FROM c GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids,
+  round(coalesce(containment, 0), 6) AS containment, n_items IS NOT NULL AS contaminated
+FROM documents LEFT JOIN f USING (doc_id)
+"""
+
+
+@query("op8_sized_minhash_containment", _OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items inside documents, four fifths of their five-word shingles."""
+    out = decontamination.find_items(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return out.select(
+        "doc_id",
+        F.size("items").cast("long").alias("n_items"),
+        F.array_join("items", ",").alias("item_ids"),
+        F.round("containment", 6).alias("containment"),
+        "contaminated",
+    )

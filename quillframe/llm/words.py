@@ -16,7 +16,7 @@ PIECE_BYTES = 4 << 20  # texts of about so many bytes are hashed at a time; a lo
 LONG_WORD = 256  # longer words are hashed one by one
 
 _BYTE = np.arange(256)
-_SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
+SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
 _LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 _C1 = np.uint64(0x9E3779B97F4A7C15)
 _C2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -53,16 +53,23 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word in order, and the ``n + 1`` bounds of the texts in that array."""
+def hashed_words(
+    data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE, starts: bool = False
+) -> tuple[np.ndarray, ...]:
+    """Hash of each word in order, and the ``n + 1`` bounds of the texts in that array.
+
+    ``space`` says of each byte whether it parts words; with ``starts``, the third array has each
+    word's place in the bytes from ``bounds[0]`` on.
+    """
     n = len(bounds) - 1
     data = data[bounds[0] : bounds[-1]]
     at = bounds - bounds[0]
     if len(data) == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(n + 1, dtype=np.int64)
+        none = np.zeros(0, dtype=np.uint64), np.zeros(n + 1, dtype=np.int64)
+        return (*none, np.zeros(0, dtype=np.int64)) if starts else none
     low = np.zeros(len(data) + 8, dtype=np.uint8)
     np.take(_LOWER, data, out=low[:-8])
-    letter = ~_SPACE[data]
+    letter = ~space[data]
     full = at[:-1] < at[1:]
     opens, closes = letter.copy(), letter.copy()
     first, last = at[:-1][full], at[1:][full] - 1
@@ -87,7 +94,7 @@ def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     for i in np.flatnonzero(size > LONG_WORD):
         word = low[start[i] : start[i] + size[i]].tobytes()
         value[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return value, of_text
+    return (value, of_text, start) if starts else (value, of_text)
 
 
 def shingled(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
