@@ -196,41 +196,33 @@ def near_duplicates(
         "signed",
     )
     named = signed.where("doc_id is not null and n > 0")
-    classes = named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    member = stable(named.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep", "n"), "member")
+    same = ["d1", "d2", "n"]
+    classes = stable(named.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     lead = named.join(
-        classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"], "left_semi"
+        classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi"
     )
     spread = lead.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), "n")
     common = spread.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y"))
     buckets = stable(
         spread.join(common.where("x < y").select("key"), "key", "left_semi"), "buckets"
     )
-    reps = stable(buckets.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    reps = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = stable(shingle_sets(docs, reps, k), "sets")
-    labels = _grouped(buckets, sets, percent, rounds)
-    linked = stable(
-        member.join(labels, member.rep == labels.node, "left").select(
-            F.col("doc_id").alias("node"), "rep", F.coalesce("comp", "rep").alias("comp")
+    # An id with several texts belongs to several classes and so joins them.
+    member = named.select("doc_id", *same).join(classes, same).select("doc_id", "rep")
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y"))
+    bridges = stable(
+        member.join(several.where("x < y").select("doc_id"), "doc_id", "left_semi").select(
+            F.col("doc_id").alias("a"), F.col("rep").alias("b")
         ),
-        "linked",
+        "bridges",
     )
-    # An id with several texts belongs to several classes and so joins them.
-    several = linked.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-    bridges = several.where("a < b").select("a", "b")
-    if not bridges.isEmpty():
-        over = components(
-            linked.select(F.col("comp").alias("a"), F.col("node").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        linked = linked.drop("comp").join(over, "node", "left").select(
-            "node", "rep", F.coalesce("comp", "node").alias("comp")
-        )
-    found = linked.groupBy("node").agg(F.min("comp").alias("comp"))
-    out = signed.select("doc_id", "n").join(found, F.col("doc_id") == F.col("node"), "left")
-    own = F.coalesce("comp", "doc_id")
-    return out.select(
+    labels = _grouped(buckets, sets, bridges, percent, rounds)
+    out = signed.join(classes, same, "left").select(
+        "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")
+    )
+    own = F.coalesce("comp", "rep", "doc_id")
+    return out.join(labels, out.rep == labels.node, "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         own.alias("component_id"),
@@ -238,10 +230,17 @@ def near_duplicates(
     )
 
 
-def _grouped(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """``node`` and ``comp`` for the representatives that are linked with another one."""
-    nothing = buckets.where("false").select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
-    labels, links, tested = nothing, None, None
+def _grouped(
+    buckets: DataFrame, sets: DataFrame, bridges: DataFrame, percent: int, rounds: int
+) -> DataFrame:
+    """``node`` and ``comp`` for the representatives that are linked with another one.
+
+    ``bridges (a, b)`` are links that need no test.
+    """
+    labels = buckets.where("false").select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
+    links = tested = None
+    if not bridges.isEmpty():
+        links, labels = bridges, components(bridges)
 
     def close(n: Column, m: Column) -> Column:
         """Sizes that allow the similarity."""
@@ -251,8 +250,6 @@ def _grouped(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int) ->
         now = buckets.join(labels, buckets.rep == labels.node, "left").select(
             "key", "rep", "n", F.coalesce("comp", "rep").alias("comp")
         )
-        if turn:
-            now = stable(now, "now")
         split = now.groupBy("key").agg(
             F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(turn))).alias("c"),
             F.min("comp").alias("x"),

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontamination, lines, minhash, packing, sharding, topk, toxicity
+from quillframe.llm import (
+    counts,
+    decontamination,
+    lines,
+    minhash,
+    packing,
+    sharding,
+    topk,
+    toxicity,
+    training_order,
+)
+from quillframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +201,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("containment", 6).alias("containment"),
         "contaminated",
     )
+
+
+@query("op1_feistel_order")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of 2048 ids in training order, read back from their shards."""
+    path = scratch_path(spark, "order")
+    training_order.materialise(table(spark, sf_dir, "documents"), path)
+    return training_order.read_slots(spark, path).drop("ids")
+
+
+@query("op6_separator_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, found in flat files of all documents' ids."""
+    path = scratch_path(spark, "flat")
+    counts.write_flat(table(spark, sf_dir, "documents"), path)
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
+    return counts.scan_flat(spark, path).withColumn("file", part)

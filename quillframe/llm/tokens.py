@@ -38,6 +38,15 @@ class Encoder:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
 
+    def plain(self, text: str) -> np.ndarray:
+        """Ids with the strings of special tokens taken as ordinary text."""
+        if self.fast is not None:
+            return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
+        self.slow.encode_special_tokens = True
+        ids = self.slow.encode(text, add_special_tokens=False).ids
+        self.slow.encode_special_tokens = False
+        return np.array(ids, dtype=np.uint32)
+
 
 @lru_cache(maxsize=4)
 def encoder(name: str = "byte_bpe_50k") -> Encoder:

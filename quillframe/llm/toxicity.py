@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm import words
+from quillframe.session import stable
 
-FEATURES = 1 << 18
+FEATURES = 1 << 20
 MAX_ROWS = 16_384  # labelled documents that the model is fitted on
 EPOCHS = 120
+EVIDENCE = 15.0  # least Poisson likelihood ratio of a feature that may get a weight
+MAX_FEATURES = 4_096
 
 _ASCII_PUNCTUATION = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 _PARTS = words.SPACE | _ASCII_PUNCTUATION
@@ -30,66 +33,94 @@ class Model:
 
 
 def sentences(data: np.ndarray, bounds: np.ndarray):
-    """Of some texts: feature of each word, first word of each sentence with words, the
-    sentences' texts, and the sentences' bytes from and to (within the text)."""
+    """Of some texts: features, the sentence each is in, and of the sentences that hold words the
+    text and the bytes from and to (within the text).
+
+    A feature is a hashed word, or five bytes in a row of one word and the byte before it, so that
+    stems and endings count whatever they are joined to.
+    """
     value, own, start = words.hashed_words(data, bounds, _PARTS, starts=True)
-    bytes_ = data[bounds[0] : bounds[-1]]
+    none = np.zeros(0, dtype=np.int64)
+    if len(value) == 0:
+        return none, none, none, none, none
+    raw = data[bounds[0] : bounds[-1]]
     at = bounds - bounds[0]
-    feature = (value % np.uint64(FEATURES)).astype(np.int32)
-    stops = np.flatnonzero(_ENDS[bytes_]) + 1
-    cut = np.unique(np.concatenate([at[:-1], stops]))
+    cut = np.unique(np.concatenate([at[:-1], np.flatnonzero(_ENDS[raw]) + 1]))
     sentence = np.searchsorted(cut, start, side="right") - 1
-    first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(value) else np.zeros(0, np.int64)
-    text = np.searchsorted(own, first, side="right") - 1
+    first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
     which = sentence[first]
-    ends = np.append(cut, at[-1])[which + 1] if len(which) else which
-    return feature, first, text, cut[which] - at[text], ends - at[text]
+    text = np.searchsorted(own, first, side="right") - 1
+
+    parted = _PARTS[raw]
+    low = np.zeros(len(raw) + 8, dtype=np.uint8)
+    np.take(words.LOWER, raw, out=low[1:-7])
+    low[1:-7][parted] = 0
+    low[at[:-1][at[:-1] < at[1:]]] = 0  # the byte before a text
+    letter = low != 0
+    inside = letter[1:-3] & letter[2:-2] & letter[3:-1] & letter[4:]
+    edge = np.zeros(len(low), dtype=bool)
+    edge[at] = True  # a run must not go over the end of a text
+    inside &= ~(edge[1:-3] | edge[2:-2] | edge[3:-1])
+    place = np.flatnonzero(inside[: len(raw)])
+    eight = np.ndarray(shape=(len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
+    run = words.mix(eight[place] & np.uint64((1 << 40) - 1))
+    feature = np.concatenate([value, run]) % np.uint64(FEATURES)
+    of = np.concatenate([sentence, np.searchsorted(cut, place, side="right") - 1])
+    ends = np.append(cut, at[-1])[which + 1]
+    return (
+        feature.astype(np.int64), np.searchsorted(which, of), text,
+        cut[which] - at[text], ends - at[text],
+    )
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * z))
+
+
 def fit(
     feature: np.ndarray,
-    first: np.ndarray,
+    sentence: np.ndarray,
     text: np.ndarray,
     label: np.ndarray,
     epochs: int = EPOCHS,
-    rate: float = 0.1,
-    l1: float = 2e-5,
+    rate: float = 0.2,
+    l2: float = 1e-4,
 ) -> Model:
     """Fit sentence weights to document labels.
 
-    A sentence is toxic with probability ``p = sigmoid(bias + sum of its words' weights)``, a
-    document with ``1 - product(1 - p)`` (noisy-or). Adam steps on the log loss of the documents,
-    each followed by a soft threshold, which leaves words without evidence at zero.
+    A sentence is toxic with probability ``p = sigmoid(bias + sum of its features' weights)``, a
+    document with ``1 - product(1 - p)`` (noisy-or). ``feature`` and ``sentence`` are pairs,
+    ``text`` tells the document of each sentence. Adam steps on the log loss of the documents.
     """
-    weight, bias = np.zeros(FEATURES), -4.0
-    share = label.mean() if len(label) else 0.0
-    if len(first) == 0 or share in (0.0, 1.0):
-        return Model(weight.astype(np.float32), -12.0 if share < 1.0 else 12.0)
+    weight = np.zeros(FEATURES, dtype=np.float32)
     n = len(label)
-    of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(feature))))
-    seen = np.unique(feature)
-    column = np.searchsorted(seen, feature)
-    w, m1, m2 = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
-    w[-1] = bias
+    share = label.mean() if n else 0.0
+    if share in (0.0, 1.0):
+        return Model(weight, -12.0 if share < 1.0 else 12.0)
+    chosen, column = np.unique(feature, return_inverse=True)
+    w, m1, m2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    w[-1] = -4.0
     for step in range(1, epochs + 1):
-        z = np.add.reduceat(w[column], first) + w[-1]
+        z = np.bincount(sentence, weights=w[column], minlength=len(text)) + w[-1]
         total = np.bincount(text, weights=_softplus(z), minlength=n)
         clear = np.exp(-np.maximum(total, 1e-9))
         slope = np.where(label == 1, -clear / (1 - clear), 1.0) / n
-        pull = slope[text] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(column, weights=pull[of_word], minlength=len(seen)), pull.sum())
+        pull = slope[text] * _sigmoid(z)
+        grad = np.append(
+            np.bincount(column, weights=pull[sentence], minlength=len(chosen)), pull.sum()
+        )
+        grad[:-1] += l2 * w[:-1]
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
-        pace = rate / (1 + step / 60)
-        scale = pace / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-        w -= scale * m1 / (1 - 0.9**step)
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - np.minimum(scale[:-1] * l1, pace), 0)
-    weight[seen] = w[:-1]
-    return Model(weight.astype(np.float32), float(w[-1]))
+        w -= rate / (1 + step / 60) * m1 / (1 - 0.9**step) / (
+            np.sqrt(m2 / (1 - 0.99**step)) + 1e-8
+        )
+    weight[chosen] = w[:-1]
+    return Model(weight, float(w[-1]))
 
 
 def train(
@@ -100,11 +131,16 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = MAX_ROWS,
+    max_features: int = MAX_FEATURES,
+    least: float = EVIDENCE,
 ) -> Model:
     """Fit on at most ``max_rows`` labelled documents, those with the least hash of the id.
 
-    ``usable`` says of a row of ``labels`` whether it may be learned from. The bound keeps the
-    broadcast ids and the collected word features small at any size of the tables.
+    ``usable`` says of a row of ``labels`` whether it may be learned from; ids with several rows
+    are toxic if one row says so. The executors count in how many documents, and toxic ones,
+    each feature is; the ``max_features`` with the most evidence, of ``least`` or more, may get a
+    weight, so words of a few documents stay out. What the driver then fits on is the places of
+    these features in the sentences of the bounded sample.
     """
     chosen = (
         labels.where(usable & labels[label_col].isNotNull() & labels[id_col].isNotNull())
@@ -113,39 +149,96 @@ def train(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(
-        F.broadcast(chosen), "doc_id"
+    texts = (
+        docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+        .join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
+        .select("text", "label")
+    )
+    spark = docs.sparkSession
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, toxic = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+        rows = bad = 0
+        for batch in batches:
+            label = batch.column(1).to_numpy()
+            rows, bad = rows + len(label), bad + int(label.sum())
+            data, at = words.texts_of(batch.column(0))
+            for low, high in words.pieces(data, at):
+                feature, sentence, text, _, _ = sentences(data, at[low : high + 1])
+                if len(feature) == 0:
+                    continue
+                pair = np.unique(text[sentence] * FEATURES + feature)
+                held = pair % FEATURES
+                seen += np.bincount(held, minlength=FEATURES)
+                toxic += np.bincount(held[label[low:high][pair // FEATURES] == 1], minlength=FEATURES)
+        every = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(every, -1)), pa.array(np.append(seen[every], rows)),
+             pa.array(np.append(toxic[every], bad))],
+            ["feature", "seen", "toxic"],
+        )
+
+    counts = stable(
+        texts.mapInArrow(counted, "feature long, seen long, toxic long")
+        .groupBy("feature")
+        .agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+        .where("toxic > 1 or feature < 0"),
+        "features",
     )
+    total = counts.where("feature < 0").first()
+    share = total["toxic"] / total["seen"] if total and total["seen"] else 0.0
+    expected = F.col("seen") * F.lit(share)
+    ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / expected) - F.col("toxic") + expected)
+    best = (
+        counts.where((F.col("feature") >= 0) & (F.col("toxic") > expected) & (ratio >= least))
+        .orderBy(ratio.desc(), "feature")
+        .limit(max_features)
+        .select("feature")
+        .toArrow()["feature"]
+        .to_numpy()
+    ) if share else np.zeros(0, dtype=np.int64)
+    wanted = spark.sparkContext.broadcast(np.sort(best))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = np.full(FEATURES, False)
+        of[wanted.value] = True
         for batch in batches:
             data, at = words.texts_of(batch.column(0))
             for low, high in words.pieces(data, at):
-                feature, first, text, _, _ = sentences(data, at[low : high + 1])
-                sized = np.diff(np.append(first, len(feature)))
-                rows = np.arange(high - low + 1)
-                by_text = np.searchsorted(text, rows)
-                word_at = np.append(first, len(feature))[by_text]
+                feature, sentence, text, _, _ = sentences(data, at[low : high + 1])
+                use = of[feature] if len(feature) else np.zeros(0, bool)
+                feature, sentence = feature[use], sentence[use]
+                order = np.argsort(sentence, kind="stable")
+                feature, sentence = feature[order], sentence[order]
+                by_text = np.searchsorted(text, np.arange(high - low + 1))
+                edge = np.searchsorted(sentence, by_text)
+                local = sentence - np.repeat(by_text[:-1], np.diff(edge))
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(x.astype(np.int32)))
+                    for x in (feature, local)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(1).slice(low, high - low),
-                        pa.ListArray.from_arrays(pa.array(word_at.astype(np.int32)), pa.array(feature)),
-                        pa.ListArray.from_arrays(
-                            pa.array(by_text.astype(np.int32)), pa.array(sized.astype(np.int32))
-                        ),
-                    ],
-                    ["label", "words", "sizes"],
+                    [batch.column(1).slice(low, high - low), pa.array(np.diff(by_text)), *lists],
+                    ["label", "n", "feature", "sentence"],
                 )
 
-    got = texts.select("text", "label").mapInArrow(
-        featured, "label int, words array<int>, sizes array<int>"
+    got = texts.mapInArrow(
+        featured, "label int, n long, feature array<int>, sentence array<int>"
     ).toArrow()
-    sizes = got["sizes"].combine_chunks()
-    feature = got["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    each = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    text = np.repeat(np.arange(got.num_rows), sizes.value_lengths().to_numpy(zero_copy_only=False))
-    first = np.cumsum(each) - each
-    return fit(feature, first, text, got["label"].to_numpy())
+    if got.num_rows == 0:
+        return fit(*[np.zeros(0, dtype=np.int64)] * 4)
+    n = got["n"].to_numpy()
+    each = got["feature"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    flat = [
+        got[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        for c in ("feature", "sentence")
+    ]
+    return fit(
+        flat[0],
+        flat[1] + np.repeat(np.cumsum(n) - n, each),
+        np.repeat(np.arange(len(n)), n),
+        got["label"].to_numpy(),
+    )
 
 
 def score(
@@ -169,12 +262,10 @@ def score(
             data, at = words.texts_of(batch.column(1))
             for low, high in words.pieces(data, at):
                 rows = high - low
-                feature, first, text, start, end = sentences(data, at[low : high + 1])
-                z = np.zeros(0) if len(first) == 0 else (
-                    np.add.reduceat(weight[feature].astype(np.float64), first) + bias
-                )
+                feature, sentence, text, start, end = sentences(data, at[low : high + 1])
+                z = np.bincount(sentence, weights=weight[feature], minlength=len(text)) + bias
                 total = np.bincount(text, weights=_softplus(z), minlength=rows)
-                p = 1 / (1 + np.exp(-z))
+                p = _sigmoid(z)
                 bad = np.flatnonzero(p >= at_least)
                 spans = pa.StructArray.from_arrays(
                     [pa.array(start[bad]), pa.array(end[bad]), pa.array(p[bad])], fields=list(span)

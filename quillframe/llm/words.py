@@ -17,7 +17,7 @@ LONG_WORD = 256  # longer words are hashed one by one
 
 _BYTE = np.arange(256)
 SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
-_LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
+LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 _C1 = np.uint64(0x9E3779B97F4A7C15)
 _C2 = np.uint64(0xBF58476D1CE4E5B9)
 _C3 = np.uint64(0x94D049BB133111EB)
@@ -68,7 +68,7 @@ def hashed_words(
         none = np.zeros(0, dtype=np.uint64), np.zeros(n + 1, dtype=np.int64)
         return (*none, np.zeros(0, dtype=np.int64)) if starts else none
     low = np.zeros(len(data) + 8, dtype=np.uint8)
-    np.take(_LOWER, data, out=low[:-8])
+    np.take(LOWER, data, out=low[:-8])
     letter = ~space[data]
     full = at[:-1] < at[1:]
     opens, closes = letter.copy(), letter.copy()
