@@ -84,7 +84,7 @@ def _index(k: int, hashes: int):
 
 def _search(k: int, hashes: int, classes: list[int], marks, keys, shingles):
     schema = pa.schema([
-        ("uid", pa.int64()), ("doc_id", pa.int64()),
+        ("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()),
         ("keys", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64())),
     ])
 
@@ -138,7 +138,7 @@ def _search(k: int, hashes: int, classes: list[int], marks, keys, shingles):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(serial + np.arange(rows)), batch.column(0).slice(low, rows),
-                        words.lists(key, key_at), words.lists(shared, shared_at),
+                        batch.column(2).slice(low, rows), words.lists(key, key_at), words.lists(shared, shared_at),
                     ],
                     schema=schema,
                 )
@@ -168,7 +168,8 @@ def find_items(
     an item's minimum, so signatures are computed for such windows alone; a bitmap of fixed size
     tells them. Candidates are verified exactly, on the shingles of the whole document.
 
-    Returns one row per document: uid (this run's number of the row), doc_id, items (sorted ids),
+    Returns one row per document: uid (this run's number of the row), doc_id, text_hash
+    (``xxhash64`` of the text as given), items (sorted ids),
     containment (the largest share found, 0 if none) and contaminated.
 
     Defined cases: empty or null texts and items hold nothing; an item of fewer than ``k`` words is
@@ -193,9 +194,13 @@ def find_items(
         return spark.sparkContext.broadcast(bitmap_of(hashed, "h"))
 
     work = _search(k, hashes, classes, shared("marks"), shared("keys"), shared("shingles"))
-    two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    three = docs.select(
+        docs[id_col].cast("long").alias("doc_id"),
+        docs[text_col].alias("text"),
+        F.xxhash64(docs[text_col]).alias("text_hash"),
+    )
     scanned = stable(
-        two.mapInArrow(work, "uid long, doc_id long, keys array<long>, shared array<long>"), "scanned"
+        three.mapInArrow(work, "uid long, doc_id long, text_hash long, keys array<long>, shared array<long>"), "scanned"
     )
     candidates = (
         scanned.select("uid", F.explode("keys").alias("key"))
@@ -212,9 +217,10 @@ def find_items(
         .groupBy("uid")
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("share").alias("containment"))
     )
-    return scanned.select("uid", "doc_id").join(verified, "uid", "left").select(
+    return scanned.select("uid", "doc_id", "text_hash").join(verified, "uid", "left").select(
         "uid",
         "doc_id",
+        "text_hash",
         F.coalesce("items", F.array().cast("array<long>")).alias("items"),
         F.coalesce("containment", F.lit(0.0)).alias("containment"),
         F.col("containment").isNotNull().alias("contaminated"),

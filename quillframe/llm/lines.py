@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.arrays import hold
+from quillframe.session import stable
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\f\r"
@@ -59,13 +60,15 @@ def drop_shared_lines(
     keyed = docs.select(
         docs[id_col].alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text")
     )
-    found = (
+    # Written, so that the join below reads both sides anew and Spark can split a hot hash.
+    found = stable(
         keyed.select(F.explode(F.array_distinct(_hashes(F.col("_text"), min_chars))).alias("h"))
         .where("h is not null")
         .groupBy("h.a", "h.b")
         .count()
         .where(F.col("count") >= min_docs)
-        .select("a", "b")
+        .select("a", "b"),
+        "shared_lines",
     )
     placed = keyed.select(
         "_id", "_t", F.posexplode(_hashes(F.col("_text"), min_chars)).alias("_at", "h")

@@ -241,6 +241,38 @@ def train(
     )
 
 
+def _scored(data: np.ndarray, bounds: np.ndarray, weight: np.ndarray, bias: float):
+    """Of some texts: minus the log probability of being clean; of their sentences: the
+    probability, the text and the bytes from and to."""
+    feature, sentence, text, start, end = sentences(data, bounds)
+    z = np.bincount(sentence, weights=weight[feature], minlength=len(text)) + bias
+    total = np.bincount(text, weights=_softplus(z), minlength=len(bounds) - 1)
+    return total, _sigmoid(z), text, start, end
+
+
+def drop_toxic(
+    docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5
+) -> DataFrame:
+    """``docs`` without the rows that score ``at_least`` or more; all columns pass through.
+
+    The scan that scores a text also drops it, so nothing is shuffled. Cases are those of ``score``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+    column = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias = shared.value
+        for batch in batches:
+            data, at = words.texts_of(batch.column(column))
+            keep = [
+                -np.expm1(-_scored(data, at[low : high + 1], weight, bias)[0]) < at_least
+                for low, high in words.pieces(data, at)
+            ]
+            yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5
 ) -> DataFrame:
@@ -262,10 +294,7 @@ def score(
             data, at = words.texts_of(batch.column(1))
             for low, high in words.pieces(data, at):
                 rows = high - low
-                feature, sentence, text, start, end = sentences(data, at[low : high + 1])
-                z = np.bincount(sentence, weights=weight[feature], minlength=len(text)) + bias
-                total = np.bincount(text, weights=_softplus(z), minlength=rows)
-                p = _sigmoid(z)
+                total, p, text, start, end = _scored(data, at[low : high + 1], weight, bias)
                 bad = np.flatnonzero(p >= at_least)
                 spans = pa.StructArray.from_arrays(
                     [pa.array(start[bad]), pa.array(end[bad]), pa.array(p[bad])], fields=list(span)
