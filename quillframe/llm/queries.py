@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.llm import (
     counts,
     decontamination,
+    katz,
     lines,
     minhash,
     packing,
@@ -218,3 +219,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts.write_flat(table(spark, sf_dir, "documents"), path)
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
     return counts.scan_flat(spark, path).withColumn("file", part)
+
+
+@query("op3_katz_backoff")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a bigram model of nine tenths of them."""
+    out = katz.score(table(spark, sf_dir, "documents"), _remainder(10) != 0)
+    return out.select("*", (_remainder(10) == 0).alias("held_out")).drop("learned")
