@@ -15,7 +15,8 @@ from quillframe.llm.graph import components
 from quillframe.session import stable
 
 BANDS, BAND_ROWS = 40, 6  # a pair at 0.8 misses all bands with probability (1 - 0.8**6)**40 = 5e-6
-ROUNDS = 3
+ROUNDS = 4
+BLOCK = 256  # members of a bucket on each side of a block comparison
 SEED = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHALLOW = 6  # levels of the permutations that are traced from the draws alone
@@ -179,9 +180,9 @@ def near_duplicates(
     2. The classes' SuperMinHash signatures are cut to bands; classes that share a band are
        candidates. Only bands with two classes or more go on.
     3. Of each band's bucket, every member is compared with one centre, exactly, on full sets;
-       what is linked is joined by union-find. After ``rounds`` rounds with other centres, all
-       pairs left in a bucket that are still in different components are compared, so no
-       candidate goes untested and a large group of near copies isn't spread to all its pairs.
+       what is linked is joined by union-find. After ``rounds`` rounds with other centres, the members
+       that are still apart from their bucket's largest component are compared with all others, in
+       blocks, so no candidate goes untested and a group of near copies isn't spread to all its pairs.
 
     Defined cases: an empty or null text, or one without words, has an empty set and is linked with
     nothing; rows that share an id are one node of the graph and each has a result row; a row
@@ -242,46 +243,136 @@ def _grouped(
     if not bridges.isEmpty():
         links, labels = bridges, components(bridges)
 
-    def close(n: Column, m: Column) -> Column:
-        """Sizes that allow the similarity."""
-        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-    for turn in range(rounds + 1):
-        now = buckets.join(labels, buckets.rep == labels.node, "left").select(
+    def labelled() -> DataFrame:
+        return buckets.join(labels, buckets.rep == labels.node, "left").select(
             "key", "rep", "n", F.coalesce("comp", "rep").alias("comp")
         )
+
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - both
+    for turn in range(rounds):
+        now = labelled()
+        # Turn by turn the centre is any member, or the one with most links so far: the text that
+        # the others are copies of.
+        rank = F.struct(F.lit(0).cast("long"), F.xxhash64("rep", F.lit(turn)))
+        if turn % 2 and links is not None:
+            ends = links.select(F.explode(F.array("a", "b")).alias("rep"))
+            now = now.join(ends.groupBy("rep").count(), "rep", "left")
+            rank = F.struct(F.coalesce("count", F.lit(0).cast("long")), F.xxhash64("rep", F.lit(turn)))
         split = now.groupBy("key").agg(
-            F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(turn))).alias("c"),
+            F.max_by(F.struct("rep", "n", "comp"), rank).alias("c"),
             F.min("comp").alias("x"),
             F.max("comp").alias("y"),
         ).where("x < y")
-        if turn < rounds:
-            other = split.select("key", F.col("c.rep").alias("r2"), F.col("c.n").alias("n2"), F.col("c.comp").alias("c2"))
-            met = now.join(other, "key").where("comp <> c2")
-        else:  # all pairs of a bucket between its components
-            left = now.join(split.select("key"), "key", "left_semi")
-            right = left.select("key", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-            met = left.join(right, "key").where("comp <> c2 and rep < r2")
+        centre = split.select(
+            "key", F.col("c.rep").alias("r2"), F.col("c.n").alias("n2"), F.col("c.comp").alias("c2")
+        )
         pairs = (
-            met.where(close(F.col("n"), F.col("n2")))
-            .select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b"), "n", "n2")
+            now.join(centre, "key")
+            .where("comp <> c2")
+            .where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+            .select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b"))
             .distinct()
         )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stable(pairs, "pairs")
-        fresh = pairs.select("a", "b")
-        tested = fresh if tested is None else tested.union(fresh)
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - both
+        tested = pairs if tested is None else tested.union(pairs)
         passed = stable(
-            fresh.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b"),
+            pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b"),
             "links",
         )
-        if passed.isEmpty():
-            continue
-        links = passed if links is None else links.union(passed)
-        labels = components(links)
-    return labels
+        if not passed.isEmpty():
+            links = passed if links is None else links.union(passed)
+            labels = components(links)
+    passed = stable(_rest(labelled(), sets, percent), "links")
+    if passed.isEmpty():
+        return labels
+    return components(passed if links is None else links.union(passed))
+
+
+def _rest(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between the components that are left in each bucket.
+
+    In most buckets one component holds nearly all members. The others are compared with it and
+    with each other, in blocks of at most about ``BLOCK`` members, each pair of blocks in one task;
+    members of the large component don't meet each other. A task gives one link from a member to
+    each component it is close to, not all pairs.
+    """
+    sized = now.groupBy("key", "comp").count()
+    keys = (
+        sized.groupBy("key")
+        .agg(
+            F.max_by("comp", F.struct("count", "comp")).alias("main"),
+            F.max("count").alias("most"),
+            F.sum("count").alias("all"),
+        )
+        .where("most < all")
+        .select(
+            "key",
+            "main",
+            F.ceil(F.col("most") / BLOCK).cast("int").alias("mb"),
+            F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rb"),
+        )
+    )
+
+    def task(kind: str, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+
+    def over(n: str, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("comp") == F.col("main"), F.col("mb")).otherwise(F.col("rb")))
+    dealt = (
+        now.join(keys, "key")
+        .withColumn("own", own.cast("int"))
+        .withColumn(
+            "tasks",
+            F.when(F.col("comp") == F.col("main"), over("rb", lambda i: task("main", F.col("own"), i))).otherwise(
+                F.concat(
+                    over("mb", lambda i: task("main", i, F.col("own"))),
+                    over("rb", lambda i: task("rest", F.least("own", i), F.greatest("own", i))),
+                )
+            ),
+        )
+        .select("key", "rep", "comp", "tasks")
+        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        .select("key", "rep", "comp", "shingles", F.explode("tasks").alias("t"))
+        .select("key", "t.kind", "t.x", "t.y", "rep", "comp", "shingles")
+    )
+    return (
+        dealt.groupBy("key", "kind", "x", "y")
+        .applyInArrow(lambda t: _close(t, percent), "a long, b long")
+        .distinct()
+    )
+
+
+def _close(table: pa.Table, percent: int) -> pa.Table:
+    """One link from each row to each component with a later row that is close enough."""
+    rep, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
+    column = table["shingles"].combine_chunks()
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(rep)), size)
+    _, word, seen = np.unique(
+        column.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True
+    )
+    shared = seen > 1
+    place = (np.cumsum(shared) - 1)[word]
+    keep = shared[word]
+    row, place = row[keep], place[keep]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    both = np.zeros((len(rep), len(rep)), dtype=np.float32)  # whole numbers below 2**24 are exact
+    for low in range(0, int(shared.sum()), 4096):
+        part = slice(*np.searchsorted(place, [low, low + 4096]))
+        held = np.zeros((len(rep), 4096), dtype=np.float32)
+        held[row[part], place[part] - low] = 1
+        both += held @ held.T
+    both = both.astype(np.int64)
+    near = both * 100 >= (size[:, None] + size[None, :] - both) * percent
+    i, j = np.nonzero(near & (comp[:, None] != comp[None, :]) & (rep[:, None] < rep[None, :]))
+    _, first = np.unique(np.stack([rep[i], comp[j]]), axis=1, return_index=True)
+    i, j = i[first], j[first]
+    return pa.table({"a": pa.array(rep[i], pa.int64()), "b": pa.array(rep[j], pa.int64())})

@@ -15,7 +15,7 @@ from quillframe.llm.tokens import encoder
 
 LENGTH = 2048
 END_ID = 50_256
-SHARD_ROWS = 131_072  # 512 MB of 2048 ids
+SHARD_ROWS = 32_768  # 128 MB of 2048 ids
 LEAST_SHARDS = 64
 ROUNDS = 6
 #: What stands before the ids of a record.
