@@ -102,7 +102,7 @@ def scan_flat(
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     placed = scanned.withColumn("at", F.coalesce(F.sum("n").over(before), zero)).withColumn(
-        "last", F.col("at") + F.element_at("ends", -1)
+        "last", F.col("at") + F.try_element_at("ends", F.lit(-1))
     )
     stitched = placed.select(
         "file",

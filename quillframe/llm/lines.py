@@ -81,8 +81,9 @@ def drop_shared_lines(
         .withColumnRenamed("_id", "_did")
         .withColumnRenamed("_t", "_dt")
     )
+    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     whole = docs.select(
-        *[c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")],
+        F.struct(*[docs[c] for c in others], F.lit(0).alias("_")).alias("_row"),
         docs[id_col].alias("_id"),
         F.xxhash64(text).alias("_t"),
         text.alias("_text"),
@@ -97,15 +98,13 @@ def drop_shared_lines(
     )
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     joined = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    out = lines.select(
+    whole_text = F.when(F.size("_gone") == 0, F.col("_text")).otherwise(joined)
+    return lines.select(
         *[
-            F.when(F.size("_gone") == 0, F.col("_text")).otherwise(joined).alias(text_col)
-            if c == text_col
-            else F.col(c)
+            whole_text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c)
             for c in docs.columns
             if c not in ("n_lines", "n_dropped")
         ],
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_dropped"),
     )
-    return out

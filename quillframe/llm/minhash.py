@@ -185,8 +185,8 @@ def near_duplicates(
        blocks, so no candidate goes untested and a group of near copies isn't spread to all its pairs.
 
     Defined cases: an empty or null text, or one without words, has an empty set and is linked with
-    nothing; rows that share an id are one node of the graph and each has a result row; a row
-    without an id is linked with nothing, its component is null and it is kept; other columns are
+    nothing; rows that share an id are one node of the graph and each has a result row, but
+    one without words stands alone; a row without an id is linked with nothing, its component is null and it is kept; other columns are
     ignored, whatever their names; an empty table gives no rows. Texts are never cut.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
