@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillframe.llm import words
 from quillframe.session import scratch_path, stable
 
-BLOCK_BYTES = 16 << 20  # text whose n-grams are counted together; at most 2**20 texts
+BLOCK_BYTES = 6 << 20  # text whose n-grams are counted together; at most 2**20 texts
 BUCKET_BYTES = 8 << 20  # text for each bucket of n-grams
 _ROW = 16  # bytes that a text counts besides its own, so that a block of empty texts is bounded too
 CUT = 5  # counts up to this are discounted
