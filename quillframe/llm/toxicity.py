@@ -15,8 +15,8 @@ from quillframe.session import stable
 
 FEATURES = 1 << 20
 MAX_ROWS = 16_384  # labelled documents that the model is fitted on
-EPOCHS = 120
-EVIDENCE = 15.0  # least Poisson likelihood ratio of a feature that may get a weight
+EPOCHS = 300
+EVIDENCE = 10.0  # least Poisson likelihood ratio of a feature that may get a weight
 MAX_FEATURES = 4_096
 
 _ASCII_PUNCTUATION = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
@@ -88,7 +88,7 @@ def fit(
     label: np.ndarray,
     epochs: int = EPOCHS,
     rate: float = 0.2,
-    l2: float = 1e-4,
+    l2: float = 1e-6,
 ) -> Model:
     """Fit sentence weights to document labels.
 
