@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +59,22 @@ def one_hot(label: Column, classes: int = 10) -> Column:
     )
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that its lambdas read but don't compute again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def argmax(scores: Column) -> Column:
     """Position of the largest score, the first one on ties."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
 def log_softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    # The offset is computed once per array and handed to the outer lambda as its element.
-    offset = F.array(top + F.log(total))
-    return F.flatten(F.transform(offset, lambda o: F.transform(scores, lambda v: v - o)))
+    def shifted(top: Column) -> Column:
+        total = F.aggregate(scores, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+        return once(top + F.log(total), lambda o: F.transform(scores, lambda v: v - o))
+
+    return once(F.array_max(scores), shifted)
 
 
 def top_classes(scores: Column, k: int) -> Column:

@@ -123,22 +123,13 @@ def loader_jitter(variants: DataFrame, seed: int = 0) -> DataFrame:
     gate = (variant > 0) & (uniform(id_, variant, STEPS["jitter_gate"], seed) < 0.5)
     b = between(uniform(id_, variant, STEPS["jitter_brightness"], seed), *JITTER)
     c = between(uniform(id_, variant, STEPS["jitter_contrast"], seed), *JITTER)
-    bright = variants.withColumn("_g", gate).withColumn("_b", b).withColumn("_c", c).withColumn(
-        "img", _map(F.col("img"), F.col("_g"), lambda v: _clip(v * F.col("_b")))
-    )
+    drawn = hold(variants, "_j", F.struct(gate.alias("g"), b.alias("b"), c.alias("c")))
+    by, on = F.col("_j"), F.col("_j.g")
+    bright = hold(drawn, "img", _map(F.col("img"), on, lambda v: _clip(v * by["b"])))
     mean = F.aggregate("img", F.lit(0.0), lambda acc, v: acc + v) / F.size("img")
-    return (
-        bright.withColumn("_m", mean)
-        .withColumn(
-            "img",
-            _map(
-                F.col("img"),
-                F.col("_g"),
-                lambda v: _clip(v * F.col("_c") + F.col("_m") * (1.0 - F.col("_c"))),
-            ),
-        )
-        .drop("_g", "_b", "_c", "_m")
-    )
+    pulled = hold(bright, "_m", mean)
+    img = _map(F.col("img"), on, lambda v: _clip(v * by["c"] + F.col("_m") * (1.0 - by["c"])))
+    return hold(pulled, "img", img).drop("_j", "_m")
 
 
 def erase_rectangles(variants: DataFrame, seed: int = 0) -> DataFrame:

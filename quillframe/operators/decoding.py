@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions.arrays import argmax, hold, top_classes
+from quillframe.functions.arrays import argmax, hold, once, top_classes
 
 BEAM = 10
 NEG_INF = float("-inf")
@@ -92,6 +92,10 @@ def ctc_loss(lp: Column, length: Column, labels: Column, blank: int) -> Column:
         F.flatten(F.transform(labels, lambda c: F.array(F.lit(blank), c.cast("int")))),
         F.array(F.lit(blank)),
     )
+    return once(extended, lambda e: _loss_of(lp, length, e, blank))
+
+
+def _loss_of(lp: Column, length: Column, extended: Column, blank: int) -> Column:
     states = F.size(extended)
     no = F.lit(NEG_INF)
     first = F.transform(
@@ -112,12 +116,15 @@ def ctc_loss(lp: Column, length: Column, labels: Column, blank: int) -> Column:
         return F.transform(extended, state)
 
     alpha = F.aggregate(F.slice(lp, F.lit(2), F.greatest(length - 1, F.lit(0))), first, advance)
-    total = _log_sum(
-        F.get(alpha, states - 1),
-        F.when(states >= 2, F.get(alpha, states - 2)).otherwise(no),
-        no,
+
+    def total(a: Column) -> Column:
+        return _log_sum(
+            F.get(a, states - 1), F.when(states >= 2, F.get(a, states - 2)).otherwise(no), no
+        )
+
+    return once(
+        once(alpha, total), lambda t: F.when(t == NEG_INF, F.lit(0.0)).otherwise(-t)
     )
-    return F.when(total == NEG_INF, 0.0).otherwise(-total)
 
 
 def batch_loss(samples: DataFrame, batch: str, loss: str = "loss", labels: str = "labels") -> DataFrame:

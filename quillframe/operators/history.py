@@ -36,16 +36,23 @@ def running_mean(
 
 
 def best_so_far(series: DataFrame, run: str, loss: str, accuracy: str) -> DataFrame:
-    """Strictly best loss and accuracy up to each epoch, and their epochs."""
+    """Strictly best loss and accuracy up to each epoch, and their epochs.
+
+    The first best loss must be below infinity, the first best accuracy above 0; NaN is no
+    improvement.
+    """
+    known = F.when(~F.isnan(accuracy), F.col(accuracy))
     before = running(
         series,
         [run],
         ["epoch"],
-        {"_low": ("min", F.col(loss), False), "_high": ("max", F.col(accuracy), False)},
+        {"_low": ("min", F.col(loss), False), "_high": ("max", known, False)},
+    )
+    marked = before.withColumn("_low", _or_infinite(F.col("_low"))).withColumn(
+        "is_best_loss", F.coalesce(F.col(loss) < F.col("_low"), F.lit(False))
+    ).withColumn(
+        "is_best_accuracy", F.coalesce(known > F.coalesce("_high", F.lit(0.0)), F.lit(False))
     )
-    marked = before.withColumn(
-        "is_best_loss", F.coalesce(F.col(loss) < F.col("_low"), F.lit(True))
-    ).withColumn("is_best_accuracy", F.col(accuracy) > F.coalesce("_high", F.lit(0.0)))
     out = running(
         marked,
         [run],
@@ -59,8 +66,8 @@ def best_so_far(series: DataFrame, run: str, loss: str, accuracy: str) -> DataFr
             ),
         },
     )
-    return out.withColumn("best_loss", F.least("_low", loss)).withColumn(
-        "best_accuracy", F.greatest("_high", accuracy)
+    return out.withColumn("best_loss", F.least("_low", _or_infinite(F.col(loss)))).withColumn(
+        "best_accuracy", F.greatest(F.col("_high"), known)
     ).drop("_low", "_high")
 
 
@@ -77,19 +84,25 @@ def change(series: DataFrame, run: str, value: str) -> DataFrame:
 def _improved(series: DataFrame, run: str, loss: str) -> DataFrame:
     out = running(series, [run], ["epoch"], {"_low": ("min", F.col(loss), False)})
     return out.withColumn(
-        "improved", F.coalesce(F.col(loss) < F.col("_low"), F.lit(True))
+        "improved", F.coalesce(F.col(loss) < _or_infinite(F.col("_low")), F.lit(False))
     ).drop("_low")
 
 
+def _or_infinite(low: Column) -> Column:
+    """A loss that any finite one is below, where there is none or it is NaN."""
+    infinite = F.lit(float("inf"))
+    return F.coalesce(F.nanvl(low, infinite), infinite)
+
+
 def _since_improved(marked: DataFrame, run: str) -> DataFrame:
-    """Epochs since the last improvement. The first epoch always is one."""
+    """Epochs since the last improvement, or since the start of the run (epochs count from 1)."""
     out = running(
         marked,
         [run],
         ["epoch"],
         {"_at": ("last", F.when(F.col("improved"), F.col("epoch")), True)},
     )
-    return out.withColumn("since_best", F.col("epoch") - F.col("_at")).withColumnRenamed(
+    return out.withColumn("since_best", F.col("epoch") - F.coalesce("_at", F.lit(0))).withColumnRenamed(
         "_at", "best_epoch"
     )
 
@@ -153,7 +166,7 @@ def trainer_schedule(
     keep = 1.0 - PLATEAU_THRESHOLD
 
     def step(state: Column, item: Column):
-        better = item[loss] < state["best"] * keep
+        better = F.coalesce(item[loss] < state["best"] * keep, F.lit(False))
         return {
             "best": F.when(better, item[loss]).otherwise(state["best"]),
             "improved": better,
@@ -166,7 +179,7 @@ def trainer_schedule(
             run,
             "_chunk",
             F.struct(
-                F.coalesce(low, F.lit(float("inf"))).alias("best"), F.lit(False).alias("improved")
+                _or_infinite(low).alias("best"), F.lit(False).alias("improved")
             ).alias("_entry"),
         )
 

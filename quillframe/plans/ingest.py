@@ -174,30 +174,33 @@ def s6(spark, sf):
 
 @query(
     "s7_letter_rows",
-    """WITH rows AS (SELECT vec_id, label, list_transform(embedding[1:16],
+    """WITH rows AS (SELECT vec_id, label, unnest(range(4))::INTEGER AS part, list_transform(embedding,
          lambda e: floor((e + 1) * 8)::INTEGER) AS f FROM embeddings)
-    SELECT vec_id, label::INTEGER AS label, list_sum(f)::DOUBLE AS total, f[1]::DOUBLE AS first_feature,
-      f[16]::DOUBLE AS last_feature FROM rows""",
+    SELECT vec_id, part, label::INTEGER AS label, array_to_string(f[part * 16 + 1 : part * 16 + 16], ',') AS features
+    FROM rows""",
 )
 def s7(spark, sf):
-    """A letter CSV made from the vectors, read back; the id rides along as a last column."""
-    vectors = v.table(spark, sf, "embeddings")
+    """A letter CSV made from the vectors, four rows of 16 values each, read back; the row's key
+    rides along as a last column."""
+    vectors = v.table(spark, sf, "embeddings").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(3)))
+    )
     level = F.transform(
-        F.slice("embedding", 1, 16), lambda e: F.floor((e + 1) * 8).cast("string")
+        F.slice("embedding", F.col("part") * 16 + 1, F.lit(16)),
+        lambda e: F.floor((e + 1) * 8).cast("string"),
     )
     letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("label") + 1, F.lit(1))
     path = scratch_path(spark, "letters")
     vectors.select(
-        F.concat_ws(",", letter, F.array_join(level, ","), F.col("vec_id").cast("string")).alias("value")
+        F.concat_ws(",", letter, F.array_join(level, ","), (F.col("vec_id") * 4 + F.col("part")).cast("string")).alias("value")
     ).write.text(path)
     rows = readers.read_letters(spark, path, features=17)
-    feature = F.slice("features", 1, 16)
+    key = F.element_at("features", 17).cast("bigint")
     return rows.select(
-        F.element_at("features", 17).cast("bigint").alias("vec_id"),
+        F.floor(key / 4).alias("vec_id"),
+        (key % 4).cast("int").alias("part"),
         "label",
-        F.aggregate(feature, F.lit(0.0), lambda a, e: a + e).alias("total"),
-        F.get("features", F.lit(0)).cast("double").alias("first_feature"),
-        F.get("features", F.lit(15)).cast("double").alias("last_feature"),
+        F.array_join(F.transform(F.slice("features", 1, 16), lambda e: e.cast("int").cast("string")), ",").alias("features"),
     )
 
 

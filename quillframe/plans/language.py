@@ -266,12 +266,13 @@ def e2(spark, sf):
     "e3_sample_analysis",
     _ANALYSIS_SQL
     + """SELECT doc_id, pos, is_correct, word_length, character_errors, round(exact, 9) + 0.0 AS character_accuracy_exact,
-      length_difference FROM rows""",
+      acc + 0.0 AS character_accuracy, length_difference FROM rows""",
 )
 def e3(spark, sf):
     return _analysis(spark, sf).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "is_correct", "word_length", "character_errors",
-        rounded("character_accuracy_exact", 9).alias("character_accuracy_exact"), "length_difference",
+        rounded("character_accuracy_exact", 9).alias("character_accuracy_exact"),
+        (F.col("character_accuracy") + 0.0).alias("character_accuracy"), "length_difference",
     )
 
 

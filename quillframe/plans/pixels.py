@@ -29,15 +29,22 @@ def _weighted(arr):
 # --- arrays -------------------------------------------------------------------------------------
 
 _RGB_SQL = f"""WITH {v.SQL_SHAPES}, rgb AS (
-      SELECT image_id, ((y * w + x) // 3)::INTEGER AS pixel, ((y * w + x) % 3)::INTEGER AS channel, level
-      FROM pixels WHERE y * w + x < 63)"""
+      SELECT image_id, ((y * w + x - channel + 64) % 64)::INTEGER AS pixel, channel, level
+      FROM pixels CROSS JOIN (SELECT unnest([0, 1, 2])::INTEGER AS channel))"""
 
 
 def _rgb(spark, sf):
-    """Levels read as 21 R, G, B pixels: ``(image_id, pixel, channel, level)``."""
+    """Levels read as R, G, B pixels, each value and the two after it (around the end):
+    ``(image_id, pixel, channel, level)``."""
+    around = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.size("img") - 1),
+            lambda i: F.array(*[F.get("img", (i + c) % F.size("img")) for c in range(3)]),
+        )
+    )
     return (
         v.images(spark, sf)
-        .select("image_id", F.posexplode(F.slice("img", 1, 63)).alias("i", "level"))
+        .select("image_id", F.posexplode(around).alias("i", "level"))
         .select(
             "image_id",
             F.floor(F.col("i") / 3).cast("int").alias("pixel"),
@@ -55,8 +62,8 @@ def _rgb(spark, sf):
 )
 def a1(spark, sf):
     pixels = F.transform(
-        F.sequence(F.lit(0), F.lit(20)),
-        lambda i: ar.luma(F.get("img", i * 3), F.get("img", i * 3 + 1), F.get("img", i * 3 + 2)),
+        F.sequence(F.lit(0), F.size("img") - 1),
+        lambda i: ar.luma(*[F.get("img", (i + c) % F.size("img")) for c in range(3)]),
     )
     return v.images(spark, sf).select("image_id", F.posexplode(pixels).alias("pixel", "l")).select(
         "image_id", "pixel", rounded("l").alias("luma")
@@ -787,7 +794,10 @@ def d11_verdict(spark, sf):
     "d12_scale_to_source",
     f"""WITH {v.SQL_BOXES}
     SELECT image_id, box_id, round((x + 0.25::DOUBLE) * (0.8::DOUBLE * 2), 6) AS first_x, round((y + 0.25::DOUBLE) * (1.25::DOUBLE * 2), 6) AS first_y,
-      round((x + w - 1 + 0.25::DOUBLE) * (0.8::DOUBLE * 2), 6) AS third_x, round((y + h - 1 + 0.25::DOUBLE) * (1.25::DOUBLE * 2), 6) AS third_y FROM boxes""",
+      round((x + w - 1 + 0.25::DOUBLE) * (0.8::DOUBLE * 2), 6) AS second_x, round((y + 0.25::DOUBLE) * (1.25::DOUBLE * 2), 6) AS second_y,
+      round((x + w - 1 + 0.25::DOUBLE) * (0.8::DOUBLE * 2), 6) AS third_x, round((y + h - 1 + 0.25::DOUBLE) * (1.25::DOUBLE * 2), 6) AS third_y,
+      round((x + 0.25::DOUBLE) * (0.8::DOUBLE * 2), 6) AS fourth_x, round((y + h - 1 + 0.25::DOUBLE) * (1.25::DOUBLE * 2), 6) AS fourth_y
+    FROM boxes""",
 )
 def d12(spark, sf):
     scaled = v.boxes(spark, sf).withColumn(
@@ -798,7 +808,7 @@ def d12(spark, sf):
         "box_id",
         *[
             rounded(F.get("p", F.lit(i))[c]).alias(f"{n}_{c}")
-            for i, n in ((0, "first"), (2, "third"))
+            for i, n in enumerate(("first", "second", "third", "fourth"))
             for c in ("x", "y")
         ],
     )

@@ -15,9 +15,22 @@ from quillframe.session import scratch_path, stable
 from quillframe.sources import readers
 
 
+#: The series of a history, made from an epoch.
+_SERIES = {
+    "train_loss": lambda e: e["loss"] / 2,
+    "val_loss": lambda e: e["loss"],
+    "val_cer": lambda e: e["loss"] / 8,
+    "val_wa": lambda e: e["accuracy"],
+    "val_wer": lambda e: 1 - e["accuracy"],
+    "learning_rate": lambda e: 0.5 / e["epoch"],
+}
+
+
 @query(
     "s8_history_json",
-    f"WITH {v.SQL_EPOCHS} SELECT run, epoch, round(loss, 6) AS val_loss, accuracy AS val_wa FROM epochs",
+    f"""WITH {v.SQL_EPOCHS} SELECT run, epoch, round(loss / 2, 6) AS train_loss, round(loss, 6) AS val_loss,
+      round(loss / 8, 6) AS val_cer, accuracy AS val_wa, round(1 - accuracy, 6) AS val_wer,
+      round(0.5 / epoch, 6) AS learning_rate FROM epochs""",
 )
 def s8(spark, sf):
     """Histories written as objects of parallel arrays, one per run, and read back.
@@ -30,17 +43,18 @@ def s8(spark, sf):
     objects = rows.groupBy("run").agg(at.alias("r"))
     objects.select(
         F.to_json(
-            F.struct(
-                F.array(F.col("run").cast("double")).alias("train_loss"),
-                F.transform("r", lambda e: e["loss"]).alias("val_loss"),
-                F.transform("r", lambda e: e["accuracy"]).alias("val_wa"),
-            )
+            F.struct("run", *[F.transform("r", series).alias(f) for f, series in _SERIES.items()])
         ).alias("value")
     ).write.text(path)
     # One object per line here; a single pretty-printed file is what read_history is for.
-    schema = ", ".join(f"{f} array<double>" for f in readers.HISTORY_FIELDS)
-    out = readers.history_rows(spark.read.schema(schema).json(path).withColumn("run", F.get("train_loss", F.lit(0)).cast("bigint")), ["run"])
-    return out.select("run", F.col("epoch").cast("bigint").alias("epoch"), rounded("val_loss").alias("val_loss"), "val_wa")
+    schema = ", ".join(["run bigint", *[f"{f} array<double>" for f in readers.HISTORY_FIELDS]])
+    out = readers.history_rows(spark.read.schema(schema).json(path), ["run"])
+    exact = ("val_wa",)
+    return out.select(
+        "run",
+        F.col("epoch").cast("bigint").alias("epoch"),
+        *[F.col(f) if f in exact else rounded(f).alias(f) for f in readers.HISTORY_FIELDS],
+    )
 
 
 def _epochs(spark, sf):
@@ -249,13 +263,13 @@ def m3(spark, sf):
 
 @query(
     "m3_predicted_class",
-    f"""WITH {v.SQL_LOGITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY lp DESC, c) AS r
-      FROM lp WHERE t = 0)
-    SELECT sample_id, c::INTEGER AS predicted, round(exp(lp), 6) AS probability FROM ranked WHERE r = 1""",
+    f"""WITH {v.SQL_LOGITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id, t ORDER BY lp DESC, c) AS r
+      FROM lp)
+    SELECT sample_id, t::INTEGER AS step, c::INTEGER AS predicted, round(exp(lp), 6) AS probability FROM ranked WHERE r = 1""",
 )
 def m3_class(spark, sf):
-    """Class and probability from given scores: the first step of each sample."""
-    first = v.logits(spark, sf).select("sample_id", F.get("lp", F.lit(0)).alias("s"))
-    return first.select(
-        "sample_id", argmax(F.col("s")).alias("predicted"), rounded(F.exp(F.array_max("s"))).alias("probability")
+    """Class and probability from given scores: each step of each sample."""
+    steps = v.logits(spark, sf).select("sample_id", F.posexplode("lp").alias("step", "s"))
+    return steps.select(
+        "sample_id", "step", argmax(F.col("s")).alias("predicted"), rounded(F.exp(F.array_max("s"))).alias("probability")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,25 +126,24 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select("image.*")
     )
-    channels = F.col("nChannels")
-    byte = F.transform(
-        F.sequence(F.lit(0), F.length("data") - 1),
-        lambda i: F.conv(F.substring(F.hex("data"), i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
+    # Spark has no function from bytes to numbers, so NumPy reads them, a batch of images at a time.
+    levels = F.pandas_udf(_rgb_levels, "array<int>")
+    return image.select(
+        "origin",
+        F.col("height").alias("h"),
+        F.col("width").alias("w"),
+        levels("data", "nChannels").alias("rgb"),
     )
-    level = image.select("origin", "height", "width", "nChannels", byte.alias("byte"))
-    # The source stores B, G, R (and alpha); one channel stands for all three.
-    rgb = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.col("height") * F.col("width") - 1),
-            lambda i: F.array(
-                *[
-                    F.get("byte", i * channels + F.when(channels == 1, 0).otherwise(c))
-                    for c in (2, 1, 0)
-                ]
-            ),
-        )
-    )
-    return level.select("origin", F.col("height").alias("h"), F.col("width").alias("w"), rgb.alias("rgb"))
+
+
+def _rgb_levels(data: pd.Series, channels: pd.Series) -> pd.Series:
+    """R, G, B levels of images stored as B, G, R (and alpha); one channel stands for all three."""
+    out = []
+    for raw, n in zip(data, channels):
+        pixel = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
+        rgb = np.repeat(pixel, 3, axis=1) if n == 1 else pixel[:, 2::-1]
+        out.append(rgb.astype(np.int32).ravel())
+    return pd.Series(out)
 
 
 def letter_rows(rows: DataFrame, letter: str, features: list[str]) -> DataFrame:
