@@ -18,15 +18,20 @@ from quillframe.functions.arrays import argmax
 from quillframe.session import stable
 
 NEIGHBOURS = 5
-TRAIN_BLOCK = 16_384  # most training rows beside each other in a task
-TEST_BLOCK = 4_096
-MAX_PIVOTS = 64
+TRAIN_BLOCK = 4_096  # most training rows beside each other in a task
+TEST_BLOCK = 1_024
 
 _FOUND = "id long, near_id long, near_label int, dist double"
 
 
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.sqrt(((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
+    """Distances up to rounding, by one matrix product."""
+    square = (points**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2.0 * points @ centres.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _matrix(features: pd.Series) -> np.ndarray:
+    return np.stack(features.to_numpy()).astype(np.float64)
 
 
 def _nearest_in_block(k: int):
@@ -35,24 +40,27 @@ def _nearest_in_block(k: int):
     def run(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         if test.empty or train.empty:
             return pd.DataFrame(columns=["id", "near_id", "near_label", "dist"])
-        q = np.stack(test["features"].to_numpy()).astype(np.float64)
-        x = np.stack(train["features"].to_numpy()).astype(np.float64)
-        ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
-        xx = (x * x).sum(1)
+        q, x = _matrix(test["features"]), _matrix(train["features"])
+        ids, labels, asked = (c.to_numpy() for c in (train["id"], train["label"], test["id"]))
+        qq, xx = (q * q).sum(1), (x * x).sum(1)
         out = []
-        for at, row in enumerate(q):
+        for low in range(0, len(q), 256):
+            part = slice(low, low + 256)
             # The product form finds the candidates, the difference form decides among them.
-            rough = xx - 2.0 * (x @ row) + row @ row
-            kth = np.partition(rough, min(k, len(x)) - 1)[min(k, len(x)) - 1]
-            near = np.flatnonzero(rough <= kth + 1e-10 * (row @ row + xx.max() + 1.0))
-            dist = np.sqrt(((x[near] - row) ** 2).sum(1))
-            best = np.lexsort((ids[near], dist))[:k]
+            rough = xx[None, :] - 2.0 * q[part] @ x.T + qq[part, None]
+            at = min(k, len(x)) - 1
+            kth = np.partition(rough, at, axis=1)[:, at]
+            row, near = np.nonzero(rough <= (kth + 1e-10 * (qq[part] + xx.max() + 1.0))[:, None])
+            dist = np.sqrt(((x[near] - q[part][row]) ** 2).sum(1))
+            order = np.lexsort((ids[near], dist, row))
+            row, near, dist = row[order], near[order], dist[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
             out.append(
                 pd.DataFrame(
                     {
-                        "id": test["id"].iat[at],
-                        "near_id": ids[near][best],
-                        "near_label": labels[near][best],
+                        "id": asked[part][row[best]],
+                        "near_id": ids[near[best]],
+                        "near_label": labels[near[best]],
                         "dist": dist[best],
                     }
                 )
@@ -62,6 +70,11 @@ def _nearest_in_block(k: int):
     return run
 
 
+def cells_for(rows: int) -> int:
+    """Number of cells of a training table; grows with the square root of its rows."""
+    return max(4, math.isqrt(rows) // 4)
+
+
 def nearest(
     test: DataFrame,
     train: DataFrame,
@@ -71,94 +84,93 @@ def nearest(
 ) -> DataFrame:
     """The exact k nearest training rows ``(id, near_id, near_label, dist)`` of every test row.
 
-    Training rows go to the cell of their nearest pivot. Cell sizes and radii bound the distance
-    of the k-th neighbour, and a test row visits only cells that can hold one as near. Cells are
-    cut to blocks of bounded size, whatever share of the rows a cell holds, and a block returns k
-    rows per test row. Only the pivots and one line per cell, at most ``MAX_PIVOTS`` of each, pass
-    the driver.
+    Training rows go to the cell of their nearest pivot; there are ``cells_for`` pivots. A test row
+    first searches its home cell, which gives a bound for the k-th distance, and then those other
+    cells that, by their rows' distances to the pivot, may hold a row within it. Cells are cut to blocks of
+    bounded size, whatever share of the rows a cell holds; a block of test rows meets one of
+    training rows as a matrix product, and k rows per test row leave it.
+
+    Pivots and one line per cell pass the driver, as many as the root of the training rows. On
+    vectors of many dimensions without clusters the bounds exclude little, so an exact search stays
+    as much work as test rows times training rows there.
     """
     spark = train.sparkSession
-    n_train = train.count()
-    n_pivots = max(1, min(MAX_PIVOTS, n_train // train_block))
-    if test.isEmpty():
-        return spark.createDataFrame([], _FOUND)
-    pivot_rows = train.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("features").collect()
-    if not pivot_rows:
+    pivot_rows = (
+        train.orderBy(F.xxhash64("id"), "id").limit(cells_for(train.count())).select("features").collect()
+    )
+    if not pivot_rows or test.isEmpty():
         return spark.createDataFrame([], _FOUND)
     pivots = np.array([r["features"] for r in pivot_rows], dtype=np.float64)
 
     def cell_of(features: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(features.to_numpy()).astype(np.float64), pivots)
+        d = _distances(_matrix(features), pivots)
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell]})
 
     place = F.pandas_udf(cell_of, "cell int, d double")
     celled = stable(
-        train.withColumn("c", place("features")).select(
-            "id", "label", "features", "c.cell", "c.d"
-        ),
+        train.withColumn("c", place("features")).select("id", "label", "features", "c.cell", "c.d"),
         "cells",
     )
-    stats = {
-        r["cell"]: r
-        for r in celled.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.max("d").alias("far"), F.min("d").alias("near"))
-        .collect()
-    }
-    cells = np.array(sorted(stats), dtype=np.int64)
-    n = np.array([stats[c]["n"] for c in cells])
-    far = np.array([stats[c]["far"] for c in cells])
-    close = np.array([stats[c]["near"] for c in cells])
-
-    def visits_of(features: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(features.to_numpy()).astype(np.float64), pivots[cells])
-        reach = d + far
-        order = np.argsort(reach, axis=1)
-        enough = np.take(n, order).cumsum(axis=1) >= min(k, n.sum())
-        bound = np.take_along_axis(reach, order, 1)[np.arange(len(d)), enough.argmax(1)]
-        least = np.maximum(0.0, np.maximum(d - far, close - d))
-        keep = least <= bound[:, None] * (1 + 1e-12) + 1e-12
-        return pd.DataFrame(
-            {
-                "home": cells[d.argmin(axis=1)].astype("int32"),
-                "cells": [cells[row].astype("int32") for row in keep],
-            }
-        )
-
-    visits = F.pandas_udf(visits_of, "home int, cells array<int>")
-    visiting = stable(
-        test.withColumn("v", visits("features")).select("id", "features", "v.home", "v.cells"),
-        "visits",
+    asking = stable(
+        test.withColumn("c", place("features")).select("id", "features", F.col("c.cell").alias("home")),
+        "asking",
+    )
+    stats = celled.groupBy("cell").agg(F.count("*"), F.max("d"), F.min("d")).collect()
+    cells = np.array([r[0] for r in stats])
+    far, close = (np.array([r[i] for r in stats]) for i in (2, 3))
+    per_cell = spark.createDataFrame(
+        [(r[0], math.ceil(r[1] / train_block)) for r in stats], "cell int, blocks int"
     )
-    homes = {r["home"]: r["count"] for r in visiting.groupBy("home").count().collect()}
+    per_home = asking.groupBy("home").agg(F.ceil(F.count("*") / test_block).cast("int").alias("parts"))
+    # Test rows of one cell stay together, so that a block of them asks few other cells.
+    asking = asking.join(per_home, "home").withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    ).drop("parts")
+    blocked = celled.join(per_cell, "cell").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    )
+    keys = ["cell", "block", "home", "part"]
 
-    def blocks(column: str, sizes: dict[int, int], rows: int):
-        """Number of blocks of at most about ``rows`` rows per cell."""
-        known = [F.lit(v) for c, size in sizes.items() for v in (int(c), math.ceil(size / rows))]
-        return F.create_map(*known)[F.col(column)]
+    def search(visits: DataFrame) -> DataFrame:
+        """Nearest rows in the cells of ``visits (id, features, home, part, cell)``."""
+        wide = (
+            visits.join(per_cell, "cell")
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("id", "features", *keys)
+        )
+        wanted = stable(wide.select(*keys).distinct(), "asked")
+        offering = blocked.join(wanted, ["cell", "block"]).select("id", "label", "features", *keys)
+        return (
+            wide.groupBy(*keys)
+            .cogroup(offering.groupBy(*keys))
+            .applyInPandas(_nearest_in_block(k), _FOUND)
+        )
 
-    def block(parts):
-        return F.pmod(F.xxhash64("id"), parts).cast("int")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "near_id"))
 
-    # Test rows of one cell stay together, so that a block of them asks few other cells.
-    per_cell = blocks("cell", {c: stats[c]["n"] for c in stats}, train_block)
-    keys = ["cell", "block", "home", "part"]
-    asking = (
-        visiting.withColumn("part", block(blocks("home", homes, test_block)))
-        .withColumn("cell", F.explode("cells"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), per_cell - 1)))
-        .select("id", "features", *keys)
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+    at_home = stable(best(search(asking.withColumn("cell", F.col("home")))), "home")
+    bound = at_home.groupBy("id").agg(F.max("dist").alias("dist"), F.count("*").alias("n"))
+    reach = F.when(F.col("n") >= k, F.col("dist")).otherwise(F.lit(float("inf")))
+
+    def others_of(features: pd.Series, home: pd.Series, within: pd.Series) -> pd.Series:
+        d = _distances(_matrix(features), pivots[cells])
+        least = np.maximum(d - far, close - d)
+        # Distances by products are rounded; the slack is far above that and only lets more in.
+        slack = 1e-6 * (1 + d + far)
+        keep = (least - slack <= within.to_numpy()[:, None]) & (cells[None, :] != home.to_numpy()[:, None])
+        return pd.Series([cells[row].astype("int32") for row in keep])
+
+    others = F.pandas_udf(others_of, "array<int>")
+    visits = (
+        asking.join(bound.select("id", reach.alias("within")), "id", "left")
+        .withColumn("within", F.coalesce("within", F.lit(float("inf"))))
+        .select("id", "features", "home", "part", F.explode(others("features", "home", "within")).alias("cell"))
     )
-    asked = stable(asking.select(*keys).distinct(), "asked")
-    offering = celled.withColumn("block", block(per_cell)).join(asked, ["cell", "block"])
-    found = (
-        asking.groupBy(*keys)
-        .cogroup(offering.select("id", "label", "features", *keys).groupBy(*keys))
-        .applyInPandas(_nearest_in_block(k), _FOUND)
-    )
-    # k rows per block and test row are left.
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "near_id"))
-    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    return best(at_home.unionByName(search(visits)))
 
 
 def majority(neighbours: DataFrame) -> DataFrame:

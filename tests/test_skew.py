@@ -248,6 +248,23 @@ def test_nearest_neighbours_in_blocks(spark):
         assert got[i] == list(ids[np.lexsort((ids, d))][:5])
 
 
+def test_few_cells_are_searched_where_rows_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(4, 6)) * 100
+    x = centres[rng.integers(4, size=4_000)] + rng.normal(size=(4_000, 6))
+    df = spark.createDataFrame([(i, 0, p.tolist()) for i, p in enumerate(x)], "id long, label int, features array<double>")
+    asked = []
+    stable = cl.stable
+    monkeypatch.setattr(
+        cl, "stable", lambda d, label: asked.append(o) or o if (o := stable(d, label)) is not None and label == "asked" else o
+    )
+    cl.nearest(df.where("id % 4 = 1"), df.where("id % 4 <> 1")).count()
+    cells = cl.cells_for(3_000)
+    searched = asked[0].union(asked[1]).select("home", "cell").distinct().count()
+    assert cells > 8 and searched < 0.3 * cells * cells
+    assert asked[0].count() >= cells / 2
+
+
 def test_results_do_not_depend_on_partitions(spark, boxes):
     one = ly.reading_order(boxes.repartition(1))
     same(one, ly.reading_order(boxes.repartition(7)))
