@@ -195,7 +195,8 @@ def keep_components(stats: DataFrame, text_threshold: float, min_area: int = MIN
 def kept_pixels(labelled: DataFrame, kept: DataFrame) -> DataFrame:
     """Pixels of kept components, without those that are link only."""
     text = labelled.where(F.col("is_text"))
-    return text.join(kept.select("image_id", "comp"), ["image_id", "comp"], "left_semi")
+    marked = kept.select("image_id", "comp", F.col("area").alias("n"), F.lit(True).alias("_kept"))
+    return lookup(text, marked, ["image_id", "comp"], ["_kept"]).where("_kept").drop("_kept")
 
 
 def reach(stats: DataFrame) -> DataFrame:
@@ -222,14 +223,15 @@ def dilated_runs(pixels: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataF
     """
     rows = _runs(pixels.select("image_id", "comp", "y", F.col("x").alias("x_first"), F.col("x").alias("x_last")))
     box = reach(stats).join(sizes, "image_id").select(
-        "image_id", "comp", "niter",
+        "image_id", "comp", F.col("area").alias("n"), "niter",
         F.greatest(F.lit(0), "win_left").alias("wl"), F.least("img_w", "win_right").alias("wr"),
         F.greatest(F.lit(0), "win_top").alias("wt"), F.least("img_h", "win_bottom").alias("wb"),
     )
     k = F.col("niter") + 1
     ahead = F.floor(k / 2)
     behind = k - 1 - ahead
-    wide = rows.join(box, ["image_id", "comp"]).select(
+    boxed = lookup(rows, box, ["image_id", "comp"], ["niter", "wl", "wr", "wt", "wb"])
+    wide = boxed.where(F.col("niter").isNotNull()).select(
         "image_id", "comp",
         F.greatest(F.col("x_first") - behind, F.col("wl")).cast("int").alias("x_first"),
         F.least(F.col("x_last") + ahead, F.col("wr") - 1).cast("int").alias("x_last"),

@@ -17,22 +17,16 @@ VALIDATION_EVERY = 10
 def outcomes(lines: DataFrame, images: DataFrame, root: str = "words") -> DataFrame:
     """Every line with its one outcome; the first reason that holds wins.
 
-    ``images`` holds the ``path`` of each image present. Only lines that can need an image are
-    given a join key, the cheap tests come first.
+    ``images`` holds the ``path`` of each image present. Only lines that can need an image go
+    through the join; those the cheap tests reject stay where they are, so that no key of theirs can
+    grow hot.
     """
     parsed = parse_training_index(lines).withColumn("labels", encode(F.col("word")))
-    asked = parsed.withColumn(
-        "path",
-        F.when(
-            F.col("well_formed") & (F.col("status") == "ok"), image_path(F.col("word_id"), root)
-        ),
-    )
-    # A null key would send every rejected line to one task.
-    join_key = F.coalesce("path", F.concat(F.lit("\n"), F.xxhash64("word_id", "word").cast("string")))
+    needs = F.coalesce(F.col("well_formed") & (F.col("status") == "ok"), F.lit(False))
+    asked = parsed.withColumn("path", F.when(needs, image_path(F.col("word_id"), root)))
     present = images.select(F.col("path").alias("_path"), F.lit(True).alias("_present")).distinct()
-    found = asked.withColumn("_key", join_key).join(
-        present, F.col("_key") == F.col("_path"), "left"
-    )
+    met = asked.where(needs).join(present, F.col("path") == F.col("_path"), "left").drop("_path")
+    found = met.unionByName(asked.where(~needs).withColumn("_present", F.lit(None).cast("boolean")))
     return found.select(
         *[c for c in lines.columns if c != "raw"],
         "word_id",

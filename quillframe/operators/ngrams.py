@@ -106,7 +106,10 @@ def _end_windows(words: DataFrame, order: list[str], n: int, chunk_rows: int) ->
 
 @dataclass
 class LanguageModel:
-    """Written count tables ``(w1, n)``, ``(w1, w2, n)``, ``(w1, w2, w3, n)`` and their sizes."""
+    """Written count tables ``(w1, n)``, ``(w1, w2, n)``, ``(w1, w2, w3, n)`` and their sizes.
+
+    From two words on, ``before`` is the count of the words without the last.
+    """
 
     vocabulary: int
     tokens: int
@@ -126,8 +129,12 @@ class LanguageModel:
                 names = [f"w{i + 1}" for i in range(k)]
                 known = windows.where(F.col(names[-1]).isNotNull())
                 if k < n:
-                    known = stable(known.groupBy(*names).agg(F.sum("n").alias("n")), "ngrams")
-                tables.append(known)
+                    known = known.groupBy(*names).agg(F.sum("n").alias("n"))
+                if k > 1:
+                    # The count of an n-gram's context stands beside it, so that scoring needs no join for it.
+                    shorter = tables[-1].select(*names[:-1], F.col("n"), F.col("n").alias("before"))
+                    known = lookup(known, shorter, names[:-1], ["before"])
+                tables.append(known if k == n == 1 else stable(known, "ngrams"))
         size = totals(tables[0]).first()
         return cls(size["vocabulary"], size["tokens"], *tables)
 
@@ -138,8 +145,8 @@ class LanguageModel:
 
 def score_words(rows: DataFrame, word: str, model: LanguageModel) -> DataFrame:
     """Add ``score``; an unknown word counts 0."""
-    counts = model.unigrams.select(F.col("w1").alias(word), F.col("n"), F.col("n").alias("_n"))
-    found = lookup(rows, counts, [word], ["_n"], total=model.tokens)
+    counts = model.unigrams.select(F.col("w1").alias(word), F.col("n").alias("_n"))
+    found = lookup(rows, counts, [word], ["_n"], weight=None)
     score = F.log((F.coalesce("_n", F.lit(0)) + 1) / model.mass)
     return found.withColumn("score", score).drop("_n")
 
@@ -175,31 +182,37 @@ def score_sequences(
     context = token.groupBy("past", "p2", "p1", "w").agg(F.count("*").alias("n"))
 
     uni, bi, tri = model.unigrams, model.bigrams, model.trigrams
-    known = context.join(
-        tri.select(F.col("w1").alias("p2"), F.col("w2").alias("p1"), F.col("w3").alias("w"),
-                   F.col("n").alias("c3")),
-        ["p2", "p1", "w"],
-        "left",
-    )
-    for on, table, value in (
-        (["p2", "p1"], bi, "c2_before"),
-        (["p1", "w"], bi, "c2"),
-        (["p1"], uni, "c1_before"),
-        (["w"], uni, "c1"),
-    ):
-        renamed = table.select(
-            *[F.col(f"w{i + 1}").alias(k) for i, k in enumerate(on)],
-            F.col("n").alias("_weight"),
-            F.col("n").alias(value),
-        )
-        known = lookup(known, renamed, on, [value], weight="_weight", total=model.tokens)
+    long_ = tri.select(
+        F.col("w1").alias("p2"), F.col("w2").alias("p1"), F.col("w3").alias("w"), "n",
+        F.col("n").alias("c3"), F.col("before").alias("c2_before"),
+    )
+    known = lookup(
+        context, long_, ["p2", "p1", "w"], ["c3", "c2_before"], total=model.tokens,
+        needed=F.col("past") == 2,
+    )
+    # A missing word is the empty string here, which no table holds; a lookup that can't be needed is spread.
+    pairs = bi.select(
+        F.col("w1").alias("p1"), F.col("w2").alias("w"), "n", F.col("n").alias("c2"),
+        F.col("before").alias("c1_before"),
+    )
+    known = lookup(
+        known, pairs, ["p1", "w"], ["c2", "c1_before"], weight=None,
+        needed=(F.col("past") > 0) & F.col("c3").isNull(),
+    )
+    # One count more is asked at most: the word's, or its context's for an unknown pair at place 1.
+    alone = (F.col("past") == 1) & F.col("c2").isNull()
+    known = lookup(
+        known.withColumn("w1", F.when(alone, F.col("p1")).otherwise(F.col("w"))),
+        uni.select("w1", F.col("n").alias("c1")), ["w1"], ["c1"], weight=None,
+        needed=F.col("c3").isNull() & F.col("c2").isNull(),
+    )
 
     backed_off = (F.coalesce("c1", F.lit(0)) + 1) / mass
     from_bigram = (F.col("c2") + 1) / (F.coalesce("c1_before", F.lit(1)) + vocabulary)
     probability = (
         F.when(F.col("past") == 0, backed_off)
         .when((F.col("past") == 1) & F.col("c2").isNotNull(), from_bigram)
-        .when(F.col("past") == 1, 1 / (F.coalesce("c1_before", F.lit(1)) + vocabulary))
+        .when(F.col("past") == 1, 1 / (F.coalesce("c1", F.lit(1)) + vocabulary))
         .when(
             F.col("c3").isNotNull(),
             (F.col("c3") + 1) / (F.coalesce("c2_before", F.lit(1)) + vocabulary),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.session import stable
+
 HEAVY_SHARE = 1_000  # a key is heavy above this fraction of the weight
 SPREAD = 1_024
 
@@ -16,28 +18,54 @@ def lookup(
     table: DataFrame,
     on: Sequence[str],
     values: Sequence[str],
-    weight: str = "n",
+    weight: str | None = "n",
     share: int = HEAVY_SHARE,
     total: int | None = None,
+    needed: Column | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` with ``table`` (one row per key) that adds ``values``.
 
     ``weight`` says how often a key is expected, ``total`` is its sum where known. Keys above
     1/share of the total are fewer than ``share``, so they may be broadcast; rows they serve get a spare join key that
     spreads over partitions and finds nothing, and only the other keys are shuffled to meet.
+
+    With ``weight`` None the rows themselves are counted, so that keys which the table lacks are
+    known to be heavy too. Rows for which ``needed`` is false are spread like those already served.
     """
     on, values = list(on), list(values)
+    if weight is None:
+        often = rows.where(needed) if needed is not None else rows
+        often = often.groupBy(*on).agg(F.count("*").alias("_often"))
+        often = stable(often.where(F.col("_often") > 1), "often")
+        limit = (often.agg(F.sum("_often")).first()[0] or 0) // share
+        keys = often.where(F.col("_often") > limit).select(*on)  # fewer than ``share``
+        heavy = F.broadcast(keys).join(table, on, "left").select(
+            *on, F.struct(*values).alias("_heavy")
+        )
+        return _meet(rows, heavy, table, on, values, needed)
     if total is None:
         total = table.agg(F.sum(weight)).first()[0] or 0
     limit = total // share
     heavy = table.where(F.col(weight) > limit).select(*on, F.struct(*values).alias("_heavy"))
-    light = table.where(F.col(weight) <= limit).select(
-        *on, F.struct(*values).alias("_light"), F.lit(0).alias("_spare")
-    )
+    return _meet(rows, heavy, table.where(F.col(weight) <= limit), on, values, needed)
+
+
+def _meet(
+    rows: DataFrame,
+    heavy: DataFrame,
+    light: DataFrame,
+    on: list[str],
+    values: list[str],
+    needed: Column | None,
+) -> DataFrame:
+    light = light.select(*on, F.struct(*values).alias("_light"), F.lit(0).alias("_spare"))
+    served = F.col("_heavy").isNotNull()
+    if needed is not None:
+        served = served | ~needed
     marked = rows.join(F.broadcast(heavy), on, "left").withColumn(
         "_spare",
         F.when(
-            F.col("_heavy").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))
+            served, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))
         )
         .otherwise(0)
         .cast("int"),
