@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,15 +12,23 @@ from pyspark.sql import functions as F
 from quillframe.session import stable
 
 
+EDGES = 250_000  # edges that one task reduces to a forest
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``comp``, the least node it reaches, for all nodes of the edges ``(a, b)``.
 
-    Each partition first reduces its edges to a forest by union-find, in memory bounded by the
-    partition. The forests meet in rounds of least labels, each followed by taking over the label
-    of one's label, which halves what is left of a path. Joins on a label that many nodes share
-    are plain shuffled joins, which Spark splits where they are skewed.
+    Union-find first reduces the edges to forests, ``EDGES`` of them at a time. One forest is the
+    answer. Several meet in rounds of least labels, each followed by taking over the label of one's label,
+    which halves what is left of a path. Joins on a label that many nodes share are plain
+    shuffled joins, which Spark splits where they are skewed.
     """
-    trees = edges.select("a", "b").mapInArrow(_forest, "node long, near long")
+    pairs = edges.select("a", "b")
+    tasks = max(1, math.ceil(pairs.count() / EDGES))
+    dealt = pairs.coalesce(1) if tasks == 1 else pairs.repartition(tasks)
+    trees = stable(dealt.mapInArrow(_forest, "node long, near long"), "forest")
+    if tasks == 1:
+        return trees.withColumnRenamed("near", "comp")
     both = stable(trees.union(trees.select("near", "node")).distinct(), "forest")
     labels = stable(
         both.groupBy("node").agg(F.min("near").alias("near")).select(
@@ -51,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of each tree's nodes to its least node."""
+    """Every node with the least node of its tree."""
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -67,7 +76,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(a), root(b)
             if a != b:
                 above[max(a, b)] = min(a, b)
-    nodes = [x for x in above if root(x) != x]
+    nodes = list(above)
     yield pa.RecordBatch.from_pydict(
         {"node": pa.array(nodes, pa.int64()), "near": pa.array([root(x) for x in nodes], pa.int64())}
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.llm import (
     counts,
     decontamination,
+    graph,
     katz,
     lines,
     minhash,
@@ -21,7 +22,6 @@ from quillframe.llm import (
     training_order,
 )
 from quillframe.llm.differencing import multiway, windows
-from quillframe.llm.graph import components
 from quillframe.llm.tokens import encoder
 
 #: One text of each kind, repeated rows, ties, rows without an id, and columns whose names clash.
@@ -207,11 +207,13 @@ def test_superminhash_estimates():
     assert sorted(np.floor(one[0]).astype(int)) == list(range(240))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [250_000, 9])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(graph, "EDGES", at_once)
     edges = [(i, i + 1) for i in range(0, 99)] + [(500, 200), (300, 500), (7, 600)]
     got = {
         r.node: r.comp
-        for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+        for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
     }
     assert {got[i] for i in range(100)} == {0} and got[600] == 0
     assert {got[i] for i in (200, 300, 500)} == {200}
