@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import CLASS_CHARS, encodable, encode, image_path
+from quillframe.operators.augment import uniform
 from quillframe.operators.ordering import with_ordinal
 from quillframe.session import stable
 from quillframe.sources.readers import parse_training_index
@@ -122,10 +123,9 @@ def cap_records(rows: DataFrame, order: list[str], count: int | None) -> DataFra
 
 
 def seeded_order(rows: DataFrame, id_: str, seed: int) -> DataFrame:
-    """Training order that depends on id and seed alone, not on the partitioning."""
-    return rows.withColumn("shuffle_key", F.xxhash64(F.col(id_), F.lit(seed))).orderBy(
-        "shuffle_key", id_
-    )
+    """Training order that depends on the numeric id and the seed alone, not on the partitioning."""
+    key = uniform(F.col(id_), F.lit(0), 0, seed)
+    return rows.withColumn("shuffle_key", key).orderBy("shuffle_key", id_)
 
 
 def half_split(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from quillframe.functions import text as tx
 from quillframe.functions.arrays import one_hot
 from quillframe.operators import dataset as ds
+from quillframe.operators.augment import MIXER, MODULUS, MULTIPLIER
 from quillframe.operators.images import tile_grid
+from quillframe.operators.ordering import with_ordinal
 from quillframe.plans import views as v
 from quillframe.plans.registry import query, rounded
-from quillframe.session import scratch_path
+from quillframe.session import scratch_path, stable
 from quillframe.sources import readers, writers
 
 CHARS_SQL = tx.CHARSET.replace("'", "''")
@@ -436,10 +438,45 @@ def r9(spark, sf):
     return rows.select("split", "batch", text("targets"), text("lengths"))
 
 
-@query("r10_seeded_order")
+def _drawn_sql(id_: str, seed: int) -> str:
+    """The uniform draw of an id, as SQL."""
+    h = f"({id_} % {MODULUS})"
+    for part in (0, 0, seed):
+        h = f"(({h} * {MULTIPLIER} + {part + 1}) % {MODULUS})"
+    return f"((({h} * {MIXER}) % {MODULUS} * {MULTIPLIER}) % {MODULUS} / {MODULUS}.0::DOUBLE)"
+
+
+_DRAWN_SQL = _drawn_sql("line_no", 42)
+
+
+@query(
+    "r10_seeded_order",
+    f"""WITH {v.SQL_INDEX}, drawn AS (SELECT line_no, word_id, {_DRAWN_SQL} AS u FROM checked
+      WHERE outcome NOT IN ('invalid_format', 'bad_status'))
+    SELECT line_no, word_id, round(u, 9) AS shuffle_key, row_number() OVER (ORDER BY u, line_no) - 1 AS place FROM drawn""",
+)
 def r10(spark, sf):
-    rows = readers.training_index(v.index_lines(spark, sf))
-    return ds.seeded_order(rows, "word_id", 42).select("line_no", "word_id", "shuffle_key")
+    """The epoch's order, with each line's place in it."""
+    rows = stable(readers.training_index(v.index_lines(spark, sf)).select("line_no", "word_id"), "index")
+    drawn = ds.seeded_order(rows, "line_no", 42)
+    return with_ordinal(drawn, ["shuffle_key", "line_no"], "place").select(
+        "line_no", "word_id", rounded("shuffle_key", 9).alias("shuffle_key"), "place"
+    )
+
+
+@query(
+    "r8_r10_seeded_batches",
+    f"""WITH {v.SQL_INDEX}, drawn AS (SELECT line_no, {_DRAWN_SQL} AS u FROM checked
+      WHERE outcome NOT IN ('invalid_format', 'bad_status')),
+    placed AS (SELECT line_no, row_number() OVER (ORDER BY u, line_no) - 1 AS place, count(*) OVER () AS n FROM drawn)
+    SELECT line_no, place // 128 AS batch FROM placed WHERE (place // 128 + 1) * 128 <= n""",
+)
+def r8_r10(spark, sf):
+    """Fixed-size batches of an epoch in its seeded order; the short last one is dropped."""
+    order = r10(spark, sf).select(
+        "line_no", F.lit("train").alias("split"), F.col("place").alias("split_ord")
+    )
+    return ds.with_batches(stable(order, "order")).select("line_no", "batch")
 
 
 @query(

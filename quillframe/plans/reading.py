@@ -104,28 +104,29 @@ def b5(spark, sf):
     return out.withColumn("text", rounded("text"))
 
 
-_SENTENCE_SQL = f"""{v.SQL_BOXES}, sentence AS (
-      SELECT image_id, string_agg(o_orderpriority, ' ' ORDER BY y, x, box_id) AS sentence, count(*) AS n_words
-      FROM boxes JOIN orders ON box_id = o_orderkey GROUP BY image_id)"""
+_SENTENCE_SQL = f"""{_ORDER_SQL}, sentence AS (
+      SELECT image_id, string_agg(o_orderpriority, ' ' ORDER BY pos) AS sentence, count(*) AS n_words
+      FROM ordered JOIN orders ON box_id = o_orderkey GROUP BY image_id)"""
 
 
 def _sentences(spark, sf):
-    """Order priorities stand for the words of the boxes."""
+    """Order priorities stand for the words of the boxes, joined in reading order."""
     words = v.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("box_id"), F.col("o_orderpriority").alias("text")
     )
-    placed = ly.with_rect(v.boxes(spark, sf)).join(words, "box_id")
-    return ly.sentences(placed, ["image_id"], ["y", "x", "box_id"])
+    placed = stable(_ordered(spark, sf).join(words, "box_id"), "placed")
+    return ly.sentences(placed, ["image_id"], ["pos"])
 
 
-@query("b6_sentences", f"WITH {_SENTENCE_SQL} SELECT image_id, sentence, n_words FROM sentence")
+@query("b6_sentences", _with(_SENTENCE_SQL) + "SELECT image_id, sentence, n_words FROM sentence")
 def b6(spark, sf):
     return _sentences(spark, sf)
 
 
 @query(
     "b7_caption_lookup",
-    f"""WITH {_SENTENCE_SQL}, captions AS (
+    _with(_SENTENCE_SQL)
+    + """, captions AS (
       SELECT o_custkey AS image_id, arg_min(o_orderstatus || '/' || o_orderpriority, o_orderkey) AS caption
       FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey)
     SELECT image_id || '.png' AS filename, sentence, coalesce(caption, 'Not found in CSV') AS ground_truth
@@ -133,14 +134,18 @@ def b6(spark, sf):
 )
 def b7(spark, sf):
     """A third of the images has no caption."""
+    sentences = _sentences(spark, sf).select(
+        F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("filename"), "sentence"
+    )
+    return ly.with_captions(sentences, _captions(spark, sf))
+
+
+def _captions(spark, sf):
     name = F.concat(F.col("o_custkey").cast("string"), F.lit(".png"))
     rows = v.table(spark, sf, "orders").where(F.col("o_custkey") % 3 != 0).select(
         name.alias("filename"), F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("caption"), "o_orderkey"
     )
-    sentences = _sentences(spark, sf).select(
-        F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("filename"), "sentence"
-    )
-    return ly.with_captions(sentences, first_caption(rows, F.col("o_orderkey")))
+    return first_caption(rows, F.col("o_orderkey"))
 
 
 # --- decoding -----------------------------------------------------------------------------------
@@ -194,6 +199,40 @@ def c2_best(spark, sf):
     return rows.where(F.col("rank") == 1).select("sample_id", _text(F.col("labels")).alias("text"))
 
 
+_VECTORS = 500  # the scores of so many vectors stand for those of the crops
+
+
+@query(
+    "b_recognised_pages",
+    _with(f"""{_MERGE_SQL}, {_GREEDY_SQL}""")
+    + f""", crops AS (SELECT image_id, first_pos, least({v.PAGE_W} - greatest(0, x - 2), w + 4) AS w,
+        least({v.PAGE_H} - greatest(0, y - 2), h + 4) AS h FROM merged),
+    read AS (SELECT image_id, string_agg(text, ' ' ORDER BY first_pos) AS prediction FROM crops
+      JOIN greedy ON sample_id = (image_id * 31 + first_pos) % {_VECTORS} WHERE w > 0 AND h > 0 AND text <> ''
+      GROUP BY image_id),
+    captions AS (
+      SELECT o_custkey AS image_id, arg_min(o_orderstatus || '/' || o_orderpriority, o_orderkey) AS caption
+      FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey)
+    SELECT image_id || '.png' AS image, coalesce(caption, 'Not found in CSV') AS ground_truth, prediction
+    FROM read LEFT JOIN captions USING (image_id)""",
+)
+def recognised_pages(spark, sf):
+    """Boxes to result records: reading order, merge, padded crops, best path, sentence, caption."""
+    crops = ly.padded_crops(_merged(spark, sf).drop("n_boxes"), v.PAGE_W, v.PAGE_H)
+    best = de.beam_rows(v.logits(spark, sf), "sample_id", v.BLANK_CLASS, v.CLASSES).where(F.col("rank") == 1)
+    texts = best.select("sample_id", _text(F.col("labels")).alias("text"))
+    sample = (F.col("image_id") * 31 + F.col("first_pos")) % _VECTORS
+    words = stable(
+        crops.withColumn("sample_id", sample).join(texts, "sample_id").where(F.col("text") != ""), "words"
+    )
+    pages = ly.sentences(words, ["image_id"], ["first_pos"]).select(
+        F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("filename"), "sentence"
+    )
+    return ly.with_captions(pages, _captions(spark, sf)).select(
+        F.col("filename").alias("image"), "ground_truth", F.col("sentence").alias("prediction")
+    )
+
+
 def _labelled(spark, sf):
     """Labels of up to three characters from the class of the vector, with repeats among them."""
     a = (F.col("label") % 7).cast("int")
