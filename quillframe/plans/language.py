@@ -136,8 +136,9 @@ def l6(spark, sf):
     return v.pairs(spark, sf).select("doc_id", F.col("pos").cast("bigint").alias("pos"), dist.alias("dist"))
 
 
-# Every word is compared with every known one. An edit changes the counts of at most two letters
-# by one, so the counts of some letters rule most pairs out before the distance is taken.
+# Two edits leave at least one of three pieces of the known word whole, moved by at most two places
+# in the other word. So pairs meet on a piece, and on a few letters' counts, of which an edit changes at most two
+# by one, before the distance is taken.
 _LETTERS = "eaiontrs"
 _letters_near = (
     "(" + " + ".join(f"abs(u.{c}_ - k.{c}_)" for c in _LETTERS) + ") <= 4"
@@ -145,15 +146,24 @@ _letters_near = (
 
 
 def _letters(e: str) -> str:
-    return ", ".join(f"length({e}) - length(replace({e}, '{c}', '')) AS {c}_" for c in _LETTERS)
+    return ", ".join(f"(length({e}) - length(replace({e}, '{c}', '')))::TINYINT AS {c}_" for c in _LETTERS)
 
 
 _CANDIDATE_SQL = f"""WITH {_COUNT_SQL}, {_ASKED_SQL},
     unknown AS (SELECT DISTINCT word FROM garbled WHERE word NOT IN (SELECT w1 FROM uni)),
     u AS (SELECT word, {_plain('word')} AS p, length(word) AS len, {_letters('word')} FROM unknown),
     k AS (SELECT w1, n, {_plain('w1')} AS p, length(w1) AS len, {_letters('w1')} FROM uni),
-    pair AS (SELECT word, w1 AS candidate, n, levenshtein(u.p, k.p)::INTEGER AS dist FROM u JOIN k
-      ON k.len BETWEEN u.len - 2 AND u.len + 2 AND {_letters_near} WHERE levenshtein(u.p, k.p) <= 2),
+    three AS (SELECT unnest([0, 1, 2]) AS piece),
+    known AS (SELECT k.*, piece, substr(p, (len * piece // 3 + 1)::BIGINT,
+        (len * (piece + 1) // 3 - len * piece // 3)::BIGINT) AS part FROM k, three),
+    sized AS (SELECT u.*, unnest(range(greatest(len - 2, 0), len + 3)) AS other FROM u),
+    moved AS (SELECT sized.*, piece, unnest([-2, -1, 0, 1, 2]) AS shift FROM sized, three),
+    spelled AS (SELECT DISTINCT word, p, other, piece, {', '.join(c + '_' for c in _LETTERS)},
+        substr(p, (other * piece // 3 + 1 + shift)::BIGINT, (other * (piece + 1) // 3 - other * piece // 3)::BIGINT) AS part
+      FROM moved WHERE other * piece // 3 + shift >= 0),
+    met AS (SELECT DISTINCT u.word, k.w1, u.p AS a, k.p AS b, k.n FROM spelled u JOIN known k
+      ON u.other = k.len AND u.piece = k.piece AND u.part = k.part AND {_letters_near}),
+    pair AS (SELECT word, w1 AS candidate, n, levenshtein(a, b)::INTEGER AS dist FROM met WHERE levenshtein(a, b) <= 2),
     scored AS (SELECT *, ln((n + 1) / (t + v)) - 2.0 * dist AS score FROM pair, size),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, dist, candidate) AS rank FROM scored)"""
 
