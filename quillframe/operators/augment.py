@@ -52,7 +52,7 @@ STEPS = {
             "angle", "shift_x", "shift_y", "contrast_by", "brightness_by", "gamma_by",
             "cut_x", "cut_y", "erase_run", "erase_area", "erase_aspect", "erase_x", "erase_y",
             "erase_fill", "blur_run", "blur_angle", "noise_a", "noise_b", "jitter_gate",
-            "jitter_brightness", "jitter_contrast", "translate_gate", "corner",
+            "jitter_brightness", "jitter_contrast", "translate_gate", "turn_gate", "turn_angle", "corner",
         ]
     )
 }
@@ -212,11 +212,12 @@ def warp(img: Column, h: Column, w: Column, m: Column, fill: float = WHITE) -> C
     return F.transform(F.transform(F.sequence(F.lit(0), h * w - 1), source), blend)
 
 
-def rotation_map(angle: Column, h: Column, w: Column) -> Column:
-    """Target-to-source map of a rotation by ``angle`` degrees about the integer centre."""
+def rotation_map(angle: Column, h: Column, w: Column, exact: bool = False) -> Column:
+    """Target-to-source map of a rotation by ``angle`` degrees about the integer centre, or about
+    the ``exact`` one, half a pixel between the middle pixels of an even side."""
     rad = F.radians(angle)
     cos, sin = F.cos(rad), F.sin(rad)
-    cx, cy = F.floor(w / 2), F.floor(h / 2)
+    cx, cy = ((w - 1) / 2, (h - 1) / 2) if exact else (F.floor(w / 2), F.floor(h / 2))
     zero, one = F.lit(0.0), F.lit(1.0)
     return F.array(
         cos, -sin, cx - cos * cx + sin * cy, sin, cos, cy - sin * cx - cos * cy, zero, zero, one
@@ -301,6 +302,20 @@ def _warp_mapped(mapped: DataFrame) -> DataFrame:
     return hold(mapped, "img", img).drop("_m")
 
 
+def loader_rotated(variants: DataFrame, seed: int = 0) -> DataFrame:
+    """The loader's small rotation about the true image centre, for half of the variants."""
+    id_, variant = F.col("image_id"), F.col("variant")
+    gate = (variant > 0) & (uniform(id_, variant, STEPS["turn_gate"], seed) < 0.5)
+    angle = between(uniform(id_, variant, STEPS["turn_angle"], seed), -ROTATE_DEGREES, ROTATE_DEGREES)
+    turned = rotation_map(angle, F.col("h"), F.col("w"), exact=True)
+    return _warp_mapped(hold(variants, "_m", F.when(gate, turned)))
+
+
+def loader_variants(variants: DataFrame, seed: int = 0) -> DataFrame:
+    """All that the loader does to a variant: rotation, then shift, then jitter."""
+    return loader_jitter(translated(loader_rotated(variants, seed), seed), seed)
+
+
 def translated(variants: DataFrame, seed: int = 0) -> DataFrame:
     """The loader's shift by up to a twentieth of each side."""
     id_, variant = F.col("image_id"), F.col("variant")

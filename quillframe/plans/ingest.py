@@ -77,21 +77,23 @@ def s3(spark, sf):
     WHERE caption IS NOT NULL GROUP BY filename""",
 )
 def s4(spark, sf):
-    """Captions of many rows per file name, through CSV files."""
+    """Captions of many rows per file name, through CSV files with a header each."""
     path = scratch_path(spark, "captions")
     raw = v.index_lines(spark, sf).select("line_no", tx.words(F.col("raw")).alias("p"))
-    row = F.concat_ws(
-        ",",
-        F.concat(F.get(F.split(F.get("p", F.lit(0)), "-"), F.lit(1)), F.lit(".png")),
-        F.when(F.size("p") >= 9, F.get("p", F.lit(8))),
-    )
+    name = F.concat(F.get(F.split(F.get("p", F.lit(0)), "-"), F.lit(1)), F.lit(".png"))
     (
         raw.repartitionByRange("line_no")
         .sortWithinPartitions("line_no")
-        .select(row.alias("value"))
-        .write.text(path)
+        .select(
+            name.alias("filename"),
+            F.when(F.size("p") >= 9, F.get("p", F.lit(8))).alias("caption"),
+        )
+        .write.option("header", True)
+        .option("nullValue", "\u0000")
+        .option("escape", '"')
+        .csv(path)
     )
-    return readers.read_captions(spark, path, header=False)
+    return readers.read_captions(spark, path)
 
 
 _SCAN_EXT = (".jpg", ".PNG", ".jpeg", ".gif", ".pgm", ".bmp", ".xml", ".Gt", ".txt", ".zip", "")

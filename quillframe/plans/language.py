@@ -11,7 +11,7 @@ from quillframe.operators import evaluation as ev
 from quillframe.operators import ngrams as ng
 from quillframe.plans import views as v
 from quillframe.plans.registry import query, rounded
-from quillframe.session import scratch_path
+from quillframe.session import scratch_path, stable
 from quillframe.sources import writers
 
 # DuckDB's edit distance counts bytes: the accented letters of the texts are exchanged for single
@@ -388,7 +388,11 @@ def e11(spark, sf):
     SELECT section, key, metric, round(value, 9) + 0.0 AS value FROM report""",
 )
 def k2(spark, sf):
-    return ev.summary(_analysis(spark, sf), ["doc_id", "pos"]).withColumn("value", rounded("value", 9))
+    """The report, written as a file and read back."""
+    path = scratch_path(spark, "summary")
+    writers.write_summary(ev.summary(stable(_analysis(spark, sf), "analysis"), ["doc_id", "pos"]), path)
+    rows = spark.read.schema("section string, key string, metric string, value double").option("header", True).csv(path)
+    return rows.withColumn("value", rounded("value", 9))
 
 
 @query(

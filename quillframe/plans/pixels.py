@@ -444,6 +444,23 @@ def g4(spark, sf):
     return _totals(au.rotated(au.fan_out(v.unit_images(spark, sf), seed=SEED)))
 
 
+@query(
+    "g4_loader_rotation",
+    f"""WITH {_VARIANT_PIXELS},
+    turn AS (SELECT image_id, variant, variant > 0 AND {_step("turn_gate")} < 0.5 AS on_,
+        radians({_range("turn_angle", -5.0, 5.0)}) AS r, (w - 1) / 2 AS cx, (h - 1) / 2 AS cy FROM variants),
+    coords AS (SELECT image_id, variant, i, cos(r) * (x - cx) - sin(r) * (y - cy) + cx AS sx,
+        sin(r) * (x - cx) + cos(r) * (y - cy) + cy AS sy FROM px JOIN turn USING (image_id, variant) WHERE on_),
+    {_gather_sql("px", "coords", "turned")},
+    done AS (SELECT image_id, variant, i, v FROM turned UNION ALL
+      SELECT px.image_id, px.variant, i, v FROM px JOIN turn USING (image_id, variant) WHERE NOT on_)
+    """
+    + _TOTAL_SQL.format(src="done"),
+)
+def g4_loader(spark, sf):
+    return _totals(au.loader_rotated(au.fan_out(v.unit_images(spark, sf), seed=SEED), seed=SEED))
+
+
 @query(
     "g4_translation_warp",
     f"""WITH {_VARIANT_PIXELS},

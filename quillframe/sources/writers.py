@@ -13,6 +13,18 @@ def write_analysis(analysis: DataFrame, path: str) -> None:
     analysis.write.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
 
 
+def write_summary(report: DataFrame, path: str) -> None:
+    """The summary report as one CSV file, in the order of its sections.
+
+    A report has a row for each word length and a few more, so one task writes it.
+    """
+    sections = ("totals", "by_length", "error_types", "error_prone_lengths", "accuracy", "worst")
+    place = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section"))
+    number = F.col("key").try_cast("long")
+    ordered = report.coalesce(1).sortWithinPartitions(place, number, "key", "metric")
+    ordered.write.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+
+
 def write_records(records: DataFrame, path: str, batch: str | None = None) -> None:
     """Result records (image, ground_truth, prediction) as JSON lines, in folders per batch."""
     writer = records.write
