@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillframe.session import stable
 
 HEAVY_SHARE = 1_000  # a key is heavy above this fraction of the weight
-SPREAD = 1_024
 
 
 def lookup(
@@ -26,11 +25,11 @@ def lookup(
     """Left join of ``rows`` with ``table`` (one row per key) that adds ``values``.
 
     ``weight`` says how often a key is expected, ``total`` is its sum where known. Keys above
-    1/share of the total are fewer than ``share``, so they may be broadcast; rows they serve get a spare join key that
-    spreads over partitions and finds nothing, and only the other keys are shuffled to meet.
+    1/share of the total are fewer than ``share``, so they may be broadcast; rows they serve are not
+    shuffled, and only the other keys' rows are, to meet.
 
     With ``weight`` None the rows themselves are counted, so that keys which the table lacks are
-    known to be heavy too. Rows for which ``needed`` is false are spread like those already served.
+    known to be heavy too. Rows for which ``needed`` is false are not shuffled either.
     """
     on, values = list(on), list(values)
     if weight is None:
@@ -58,20 +57,16 @@ def _meet(
     values: list[str],
     needed: Column | None,
 ) -> DataFrame:
-    light = light.select(*on, F.struct(*values).alias("_light"), F.lit(0).alias("_spare"))
+    """Rows that the broadcast keys serve, or that need nothing, stay in their tasks; the others
+    are shuffled to meet. Both parts read the rows, so rows should be cheap or written."""
     served = F.col("_heavy").isNotNull()
     if needed is not None:
-        served = served | ~needed
-    marked = rows.join(F.broadcast(heavy), on, "left").withColumn(
-        "_spare",
-        F.when(
-            served, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))
-        )
-        .otherwise(0)
-        .cast("int"),
-    )
-    found = marked.join(light, [*on, "_spare"], "left")
-    return found.select(
-        *rows.columns,
-        *[F.coalesce(F.col(f"_heavy.{v}"), F.col(f"_light.{v}")).alias(v) for v in values],
-    )
+        served = served | ~F.coalesce(needed, F.lit(False))
+    marked = rows.join(F.broadcast(heavy), on, "left")
+    light = light.select(*on, F.struct(*values).alias("_light"))
+    rest = marked.where(~served).drop("_heavy").join(light, on, "left")
+    found = [
+        marked.where(served).select(*rows.columns, *[F.col(f"_heavy.{v}").alias(v) for v in values]),
+        rest.select(*rows.columns, *[F.col(f"_light.{v}").alias(v) for v in values]),
+    ]
+    return found[0].union(found[1])
