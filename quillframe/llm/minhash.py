@@ -136,16 +136,20 @@ def _signed(k: int, bands: int, rows: int):
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``doc_id`` and sorted distinct shingle hashes of the documents in ``wanted (doc_id)``.
 
-    A bitmap of fixed size spares most other texts; the exact join comes after it.
+    A bitmap of fixed size keeps most other texts out of the exact join, which comes before the sets
+    are built; where the bitmap is full, the texts go through the join.
     """
     bitmap = bitmap_of(wanted.select(F.xxhash64("doc_id").alias("h")), "h")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = passes(shared.value, batch.column(2).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(kept)).select([0, 1])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maybe = passes(shared.value, batch.column(2).to_numpy().view(np.uint64))
-            batch = batch.filter(pa.array(maybe))
             data, at = words.texts_of(batch.column(1))
             for low, high in words.pieces(data, at):
                 hashed = words.hashed_words(data, at[low : high + 1])
@@ -155,8 +159,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 )
 
     three = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = three.mapInArrow(work, "doc_id long, shingles array<long>")
-    return sets.join(wanted, "doc_id", "left_semi")
+    some = three.mapInArrow(maybe, "doc_id long, text string").join(wanted, "doc_id", "left_semi")
+    return some.mapInArrow(work, "doc_id long, shingles array<long>")
 
 
 def near_duplicates(
