@@ -106,10 +106,7 @@ def _end_windows(words: DataFrame, order: list[str], n: int, chunk_rows: int) ->
 
 @dataclass
 class LanguageModel:
-    """Written count tables ``(w1, n)``, ``(w1, w2, n)``, ``(w1, w2, w3, n)`` and their sizes.
-
-    From two words on, ``before`` is the count of the words without the last.
-    """
+    """Written count tables ``(w1, n)``, ``(w1, w2, n)``, ``(w1, w2, w3, n)`` and their sizes."""
 
     vocabulary: int
     tokens: int
@@ -129,12 +126,8 @@ class LanguageModel:
                 names = [f"w{i + 1}" for i in range(k)]
                 known = windows.where(F.col(names[-1]).isNotNull())
                 if k < n:
-                    known = known.groupBy(*names).agg(F.sum("n").alias("n"))
-                if k > 1:
-                    # The count of an n-gram's context stands beside it, so that scoring needs no join for it.
-                    shorter = tables[-1].select(*names[:-1], F.col("n"), F.col("n").alias("before"))
-                    known = lookup(known, shorter, names[:-1], ["before"])
-                tables.append(known if k == n == 1 else stable(known, "ngrams"))
+                    known = stable(known.groupBy(*names).agg(F.sum("n").alias("n")), "ngrams")
+                tables.append(known)
         size = totals(tables[0]).first()
         return cls(size["vocabulary"], size["tokens"], *tables)
 
@@ -179,45 +172,51 @@ def score_sequences(
         "s.w",
     )
     # ``past`` tells a missing word from an empty one.
-    context = token.groupBy("past", "p2", "p1", "w").agg(F.count("*").alias("n"))
+    context = stable(
+        token.groupBy("past", "p2", "p1", "w").agg(F.count("*").alias("n")), "contexts"
+    )
 
     uni, bi, tri = model.unigrams, model.bigrams, model.trigrams
+    # A probability needs a trigram count, then one bigram count (the context's where the trigram is
+    # known, else the pair's), then at most one unigram count. A missing word is the empty string, which no
+    # table holds. A lookup reads its rows more than once, so each result is written for the next.
     long_ = tri.select(
-        F.col("w1").alias("p2"), F.col("w2").alias("p1"), F.col("w3").alias("w"), "n",
-        F.col("n").alias("c3"), F.col("before").alias("c2_before"),
-    )
-    known = lookup(
-        context, long_, ["p2", "p1", "w"], ["c3", "c2_before"], total=model.tokens,
-        needed=F.col("past") == 2,
-    )
-    # A missing word is the empty string here, which no table holds; a lookup that can't be needed is spread.
-    pairs = bi.select(
-        F.col("w1").alias("p1"), F.col("w2").alias("w"), "n", F.col("n").alias("c2"),
-        F.col("before").alias("c1_before"),
-    )
+        F.col("w1").alias("p2"), F.col("w2").alias("p1"), F.col("w3").alias("w"),
+        F.col("n").alias("c3"),
+    )
+    # A context is one row, so no trigram is hot.
+    deep = F.col("past") == 2
+    known = stable(
+        context.where(deep)
+        .join(long_, ["p2", "p1", "w"], "left")
+        .select(*context.columns, "c3")
+        .union(context.where(~deep).withColumn("c3", F.lit(None).cast("long"))),
+        "contexts",
+    )
+    whole = F.col("c3").isNotNull()
+    paired = known.withColumn("w1", F.when(whole, F.col("p2")).otherwise(F.col("p1"))).withColumn(
+        "w2", F.when(whole, F.col("p1")).otherwise(F.col("w"))
+    )
+    known = stable(
+        lookup(
+            paired, bi.select("w1", "w2", F.col("n").alias("c2")), ["w1", "w2"], ["c2"],
+            weight=None, needed=F.col("past") > 0,
+        ).drop("w1", "w2"),
+        "contexts",
+    )
+    # Where a pair is known, and for every second token, the count of the word before counts.
+    before = (F.col("past") == 1) | F.col("c2").isNotNull()
     known = lookup(
-        known, pairs, ["p1", "w"], ["c2", "c1_before"], weight=None,
-        needed=(F.col("past") > 0) & F.col("c3").isNull(),
-    )
-    # One count more is asked at most: the word's, or its context's for an unknown pair at place 1.
-    alone = (F.col("past") == 1) & F.col("c2").isNull()
-    known = lookup(
-        known.withColumn("w1", F.when(alone, F.col("p1")).otherwise(F.col("w"))),
-        uni.select("w1", F.col("n").alias("c1")), ["w1"], ["c1"], weight=None,
-        needed=F.col("c3").isNull() & F.col("c2").isNull(),
+        known.withColumn("w1", F.when(before, F.col("p1")).otherwise(F.col("w"))),
+        uni.select("w1", F.col("n").alias("c1")), ["w1"], ["c1"], weight=None, needed=~whole,
     )
 
     backed_off = (F.coalesce("c1", F.lit(0)) + 1) / mass
-    from_bigram = (F.col("c2") + 1) / (F.coalesce("c1_before", F.lit(1)) + vocabulary)
+    from_bigram = (F.coalesce("c2", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(1)) + vocabulary)
     probability = (
         F.when(F.col("past") == 0, backed_off)
-        .when((F.col("past") == 1) & F.col("c2").isNotNull(), from_bigram)
-        .when(F.col("past") == 1, 1 / (F.coalesce("c1", F.lit(1)) + vocabulary))
-        .when(
-            F.col("c3").isNotNull(),
-            (F.col("c3") + 1) / (F.coalesce("c2_before", F.lit(1)) + vocabulary),
-        )
-        .when(F.col("c2").isNotNull(), from_bigram)
+        .when(whole, (F.col("c3") + 1) / (F.coalesce("c2", F.lit(1)) + vocabulary))
+        .when(before, from_bigram)
         .otherwise(backed_off)
     )
     scored = stable(
