@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from quillframe.functions.geometry import corner_order, snap_square
 from quillframe.operators.skew import lookup
-from quillframe.session import stable
+from quillframe.session import discard, stable
 
 MIN_AREA = 10
 TILE = 256
@@ -149,6 +149,7 @@ def connected(edges: DataFrame) -> DataFrame:
             labels.select("image_id", F.col("root").alias("near"), F.col("comp").alias("c")),
             ["image_id", "near"],
         ).groupBy("image_id", "root").agg(F.min("c").alias("c"))
+        old = labels
         lower = stable(
             labels.join(heard, ["image_id", "root"]).select(
                 "image_id", "root", F.least("comp", "c").alias("comp"),
@@ -156,6 +157,7 @@ def connected(edges: DataFrame) -> DataFrame:
             ),
             "labels",
         )
+        discard(old)
         if lower.where("moved").isEmpty():
             return lower.drop("moved")
         shared = lower.groupBy("image_id", F.col("comp")).agg(F.count("*").alias("n"))
@@ -172,6 +174,7 @@ def connected(edges: DataFrame) -> DataFrame:
             ),
             "labels",
         )
+        discard(lower, jump)
 
 
 def statistics(labelled: DataFrame) -> DataFrame:

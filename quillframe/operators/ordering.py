@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.arrays import hold
-from quillframe.session import stable
+from quillframe.session import discard, stable
 
 WINDOW_ROWS = 2_000_000  # most rows of one group in one window task
 FOLD_ROWS = 1_024  # most rows of one group in one array
@@ -236,10 +236,12 @@ def fold(
             break
         again = chunks.join(wrong.select(*in_chunk, F.col("_true").alias("_entry")), in_chunk)
         right = compared.where(F.col("_entry").eqNullSafe(F.col("_true")))
+        old = known
         known = stable(
             right.select(*in_chunk, "_entry", "_exit").unionByName(
                 again.select(*in_chunk, "_entry", leave(F.col("_entry")).alias("_exit"))
             ),
             "fold",
         )
+        discard(old)
     return unpack(chunks.join(known.select(*in_chunk, "_entry"), in_chunk), F.col("_entry"))

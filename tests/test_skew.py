@@ -268,3 +268,17 @@ def test_few_cells_are_searched_where_rows_cluster(spark, monkeypatch):
 def test_results_do_not_depend_on_partitions(spark, boxes):
     one = ly.reading_order(boxes.repartition(1))
     same(one, ly.reading_order(boxes.repartition(7)))
+
+
+def test_replaced_tables_are_deleted(spark, sf):
+    import glob
+
+    from quillframe.plans import catalog
+    from quillframe.session import shared_dir
+
+    place = shared_dir(spark).removeprefix("file:") + "/quillframe/"
+    before = set(glob.glob(place + "*"))
+    rows = catalog.QUERIES["d2_components_across_tiles"](spark, sf)
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in set(glob.glob(place + "*")) - before]
+    assert left.count("labels") <= 1 and left.count("jump") == 0
+    assert rows.count() > 0
