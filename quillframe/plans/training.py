@@ -261,6 +261,17 @@ def m3(spark, sf):
     return _mlp(spark, sf)
 
 
+@query(
+    "m3_prediction_range",
+    """WITH halves AS (SELECT vec_id, label, ntile(2) OVER (ORDER BY vec_id) AS half FROM embeddings)
+    SELECT vec_id AS id, label::INTEGER AS label, true AS in_range FROM halves WHERE half = 2""",
+)
+def m3_range(spark, sf):
+    """Every test row gets one of the ten classes, with the largest of ten probabilities."""
+    in_range = F.col("predicted").between(0, 9) & F.col("probability").between(0.1 - 1e-9, 1.0 + 1e-9)
+    return _mlp(spark, sf).select("id", F.col("label").cast("int").alias("label"), in_range.alias("in_range"))
+
+
 @query(
     "m3_predicted_class",
     f"""WITH {v.SQL_LOGITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id, t ORDER BY lp DESC, c) AS r

@@ -132,3 +132,15 @@ def test_stop_without_any_improvement(spark):
     series = spark.createDataFrame([(1, i, NAN) for i in range(1, 13)], "run int, epoch int, loss double")
     got = hi.early_stop(series, "run", "loss").orderBy("epoch").collect()
     assert [r.epoch for r in got] == list(range(1, 9)) and [r.stops for r in got] == [False] * 7 + [True]
+
+
+def test_classifier_learns_what_can_be_learned(spark):
+    from quillframe.operators import classify as cl
+    from quillframe.operators.evaluation import classification_accuracy
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(4, 8)) * 3
+    rows = [(i, i % 4, (centres[i % 4] + rng.normal(size=8)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    got = cl.predict(cl.fit_mlp(df.where("id < 300"), (16,), 8, 4), df.where("id >= 300"))
+    assert classification_accuracy(got, "label", "predicted").first().accuracy > 0.9
