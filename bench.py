@@ -31,6 +31,8 @@ HEADLINES = [
     "h2_best_so_far",
     "h5_trainer_schedule",
     "m1_nearest_neighbours",
+    "s6_image_read",
+    "g2_loader_jitter",
 ]
 
 
