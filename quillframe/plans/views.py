@@ -206,14 +206,14 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- index lines: orders as a word index --------------------------------------------------------
 
-_FILLER = ("154", "408", "768", "27", "51", "AT")
+_FILLER = ("9", "11", "12", "13", "14", "X")
 
 SQL_INDEX = """
 index_lines AS (
   SELECT o_orderkey AS line_no,
     'a' || (o_custkey % 100) || '-' || o_custkey || '-' || o_orderkey || ' '
-      || CASE WHEN o_orderstatus = 'P' THEN 'err' ELSE 'ok' END || ' 154 408 768'
-      || CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE ' 27 51 AT ' || o_orderpriority
+      || CASE WHEN o_orderstatus = 'P' THEN 'err' ELSE 'ok' END || ' 9 11 12'
+      || CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE ' 13 14 X ' || o_orderpriority
       || CASE WHEN o_orderkey % 19 = 0 THEN '%' ELSE '' END END AS raw
   FROM orders),
 parsed AS (

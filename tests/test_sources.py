@@ -11,13 +11,13 @@ from quillframe.operators import dataset as ds
 from quillframe.sources import readers, writers
 
 INDEX = """# a comment line with enough tokens to pass as a sample
-a01-000u-00-00 ok 154 408 768 27 51 AT A
-a01-000u-00-01 err 154 507 766 213 48 NN MOVE
+q7-31-0-0 ok 9 1 2 3 4 X A
+q7-31-0-1 err 9 5 6 7 8 X MOVE
 
-a01-000u-00-02 ok 154 796 764 70 50 TO to day
+q7-31-0-2 ok 9 1 1 2 2 X to day
 short line
-a01-000u-00-03 ok 154 919 757 166 78 VB café
-  a01-000u-00-04 ok 154 1185 754 126 61 NPT Mr.
+q7-31-0-3 ok 9 3 3 4 4 X café
+  q7-31-0-4 ok 9 5 5 6 6 X Mr.
 """
 
 
@@ -36,8 +36,8 @@ def test_index_dialects(spark, tmp_path):
 
 def test_outcomes_sum_to_the_lines(spark, tmp_path):
     lines = readers.read_lines(spark, write_index(tmp_path))
-    have = ["a01-000u-00-00", "a01-000u-00-03", "a01-000u-00-04"]
-    images = spark.createDataFrame([(f"words/a01/a01-000u/{i}.png",) for i in have], "path string")
+    have = ["q7-31-0-0", "q7-31-0-3", "q7-31-0-4"]
+    images = spark.createDataFrame([(f"words/q7/q7-31/{i}.png",) for i in have], "path string")
     got = {r.outcome: r.n for r in ds.reject_counts(ds.outcomes(lines, images)).collect()}
     # The comment counts as a bad status, the blank line as a bad format.
     assert got == {"bad_status": 2, "invalid_format": 2, "missing_image": 1, "encode_error": 1, "ok": 2}
