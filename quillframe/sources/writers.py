@@ -38,12 +38,13 @@ def box_lines(boxes: DataFrame, image: str = "image_id", points: str = "points")
 
 def write_boxes(boxes: DataFrame, path: str, buckets: int = 64) -> None:
     """Box lines as text below ``bucket=n/``; an image stays in one bucket folder, so folders do
-    not grow with the images."""
-    lines = box_lines(boxes)
-    lines.select(
+    not grow with the images. Rows are rebalanced by bucket, so a folder gets a file for each
+    partition's worth of its lines and not one from every task."""
+    lines = box_lines(boxes).select(
         F.pmod(F.xxhash64("image_id"), F.lit(buckets)).alias("bucket"),
         F.concat_ws("\t", "image_id", "line").alias("value"),
-    ).write.partitionBy("bucket").text(path)
+    )
+    lines.hint("rebalance", "bucket").write.partitionBy("bucket").text(path)
 
 
 def write_features(features: DataFrame, path: str) -> None:
