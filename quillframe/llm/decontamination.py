@@ -14,13 +14,11 @@ from quillframe.llm.bitmap import bitmap_of, passes
 from quillframe.session import stable
 
 HASHES = 64
-LEAST_CLASS = 8
 _SEEDS = words.mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
-    """Least power of two that is not below the size, ``LEAST_CLASS`` at least."""
-    n = np.maximum(n, LEAST_CLASS)
+    """Least power of two that is not below the size."""
     return (1 << np.ceil(np.log2(n)).astype(np.int64)).astype(np.int64)
 
 
@@ -164,7 +162,7 @@ def find_items(
     shingles, ``u`` apart, so that a passage lies whole in one and the similarity of window and
     item is large enough for MinHash, whatever the document's length. An item and a window that
     agree in any of ``hashes`` minima are candidates (at 0.8 of an item inside one window a
-    miss has probability below 1e-5). A window can only agree where it holds a shingle that is
+    miss has probability below 1e-5, for items of one shingle and more, since classes begin at one). A window can only agree where it holds a shingle that is
     an item's minimum, so signatures are computed for such windows alone; a bitmap of fixed size
     tells them. Candidates are verified exactly, on the shingles of the whole document.
 

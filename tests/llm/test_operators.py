@@ -247,6 +247,23 @@ def test_items(spark, docs, odd, none):
     assert unnamed.select("contaminated", F.size("items")).first() == (True, 0)
 
 
+def test_short_items(spark, docs):
+    """Items of one and two shingles, thousands of them, at the start of a text and inside it."""
+    rng = np.random.default_rng(17)
+    pick = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 100_000, n))
+    items = [(i, pick(5 + i % 2)) for i in range(8_000)]
+    texts = [f"{pick((0, 3, 40)[i % 3])} {t} {pick(40)}" for i, t in items]
+    of = {}
+    for i, t in items:
+        for s in brute.shingles(t, 5):
+            of.setdefault(s, set()).add(i)
+    near = [sorted(set().union(*(of.get(s, ()) for s in brute.shingles(t, 5)))) for t in texts]
+    want = {i: brute.contained(t, [items[j] for j in near[i]]) for i, t in enumerate(texts)}
+    got = decontamination.find_items(docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    missed = [r.doc_id for r in got if list(r["items"]) != want[r.doc_id]]
+    assert len(got) == len(texts) and all(want.values()) and not missed, f"{len(missed)} missed"
+
+
 # --- language model -----------------------------------------------------------------------------
 
 
