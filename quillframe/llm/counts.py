@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from quillframe.llm.tokens import encoder
 
 END_ID = 50_256
 BLOCK_BYTES = 1 << 20
+WHOLE_BYTES = 64 << 20  # a larger file is read by byte ranges, about so much in a task
 
 
 def write_flat(
@@ -47,8 +50,31 @@ def write_flat(
     )
 
 
+def _opened(path: str):
+    """A file, named as Spark names it, for reads at any place."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(f"{ {'s3a': 's3'}.get(scheme, scheme) }:{quote(rest, safe='/:@')}")
+    return store.open_input_file(inner)
+
+
+def _reachable(path: str) -> bool:
+    try:
+        _opened(path).close()
+    except (pa.ArrowException, ImportError, OSError, ValueError):
+        return False
+    return True
+
+
 def scan_flat(
-    spark: SparkSession, path: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES
+    spark: SparkSession,
+    path: str,
+    end_id: int = END_ID,
+    block_bytes: int = BLOCK_BYTES,
+    whole_bytes: int = WHOLE_BYTES,
 ) -> DataFrame:
     """Documents of flat token files: file, ordinal in the file, start and number of ids.
 
@@ -57,6 +83,12 @@ def scan_flat(
     sum of end ids its first ordinal, and the running maximum of the last end id's place says where
     the document that is open at the block's start began. No block is read twice.
 
+    A file of up to ``whole_bytes`` is one row of Spark's reader, so it may be in any store. Of a larger
+    one only the length is listed; its blocks are dealt to tasks that read their byte ranges through Arrow's
+    file systems (local, s3, gs, and hdfs where libhdfs is installed), whatever its length. In a
+    store that Arrow can't open from the driver, files are read whole, and Spark's reader stops with an
+    error above 2 GiB. The scan over a file's blocks is one task with the places of its end ids.
+
     Returns file (path), ordinal, start, n_tokens (without the end id) and closed (whether an
     end id was found; false for what stands after a file's last one). Defined cases: an end id right after
     another is an empty document; an empty file has none; a file with an odd number of bytes is an error.
@@ -64,17 +96,26 @@ def scan_flat(
     if block_bytes % 2:
         raise ValueError("a block must hold whole ids")
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    blocks = files.select(
-        F.col("path").alias("file"),
-        "length",
-        "content",
-        F.explode(
-            F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))
-        ).alias("block"),
-    ).select(
-        F.when(F.col("length") % 2 == 0, F.col("file"))
-        .otherwise(F.raise_error(F.concat(F.lit("odd length: "), F.col("file"))))
-        .alias("file"),
+    large = files.where(F.col("length") > whole_bytes).select("path", "length")
+    total, one = large.agg(F.sum("length"), F.min("path")).first()
+    ranged = one is not None and _reachable(one)
+
+    def cut(files: DataFrame, *content: str) -> DataFrame:
+        return files.select(
+            F.col("path").alias("file"),
+            "length",
+            *content,
+            F.explode(
+                F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))
+            ).alias("block"),
+        ).withColumn(
+            "file",
+            F.when(F.col("length") % 2 == 0, F.col("file"))
+            .otherwise(F.raise_error(F.concat(F.lit("odd length: "), F.col("file")))),
+        )
+
+    blocks = cut(files.where(F.col("length") <= whole_bytes) if ranged else files, "content").select(
+        "file",
         "block",
         F.substring("content", (F.col("block") * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("ids"),
     )
@@ -82,22 +123,45 @@ def scan_flat(
         ("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("ends", pa.list_(pa.int32()))
     ])
 
+    def found(names: pa.Array, numbers: pa.Array, raws) -> pa.RecordBatch:
+        n, ends = [], []
+        for raw in raws:
+            ids = np.frombuffer(raw, dtype="<u2")
+            n.append(len(ids))
+            ends.append(np.flatnonzero(ids == end_id).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [names.cast(pa.string()), numbers, pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int32()))],
+            schema=schema,
+        )
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ends = [], []
-            for raw in batch.column(2):
-                ids = np.frombuffer(raw.as_buffer(), dtype="<u2")
-                n.append(len(ids))
-                ends.append(np.flatnonzero(ids == end_id).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.string()), batch.column(1), pa.array(n, pa.int64()),
-                    pa.array(ends, pa.list_(pa.int32())),
-                ],
-                schema=schema,
-            )
-
-    scanned = blocks.mapInArrow(work, "file string, block long, n long, ends array<int>")
+            yield found(batch.column(0), batch.column(1), (raw.as_buffer() for raw in batch.column(2)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranges(batch: pa.RecordBatch):
+            name, file = None, None
+            for row in batch.to_pylist():
+                if row["file"] != name:
+                    name, file = row["file"], _opened(row["file"])
+                start = row["block"] * block_bytes
+                want = min(block_bytes, row["length"] - start)
+                raw = file.read_at(want, start)
+                if len(raw) != want:
+                    raise OSError(f"{name} has changed while it was read")
+                yield raw
+
+        for batch in batches:
+            yield found(batch.column(0), batch.column(2), ranges(batch))
+
+    returns = "file string, block long, n long, ends array<int>"
+    scanned = blocks.mapInArrow(work, returns)
+    if ranged:
+        run = max(1, WHOLE_BYTES // block_bytes)
+        dealt = cut(large).repartition(
+            math.ceil(total / WHOLE_BYTES), "file", F.floor(F.col("block") / run)
+        ).sortWithinPartitions("file", "block")
+        scanned = scanned.union(dealt.select("file", "length", "block").mapInArrow(read, returns))
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

@@ -392,6 +392,28 @@ def test_flat_files(spark, docs, tmp_path, block):
         at += r.n_tokens + 1
 
 
+def test_flat_ranges(spark, docs, tmp_path):
+    """Files above the bound are read by byte ranges: the same rows, and no limit of 2 GiB."""
+    path = str(tmp_path / "flat files%20")
+    counts.write_flat(docs([f"text {i} " * (i % 9) for i in range(60)]).repartition(3), path)
+    (tmp_path / "flat files%20" / "open.bin").write_bytes(np.array([5, 50256, 7], "<u2").tobytes())
+    want = sorted(counts.scan_flat(spark, path).collect())
+    for block, whole in ((2, 0), (6, 0), (64, 100), (1 << 20, 6)):
+        assert sorted(counts.scan_flat(spark, path, block_bytes=block, whole_bytes=whole).collect()) == want
+    ends = [0, 1_073_741_823, 1_073_741_824, 1_200_000_000]
+    with open(tmp_path / "large.bin", "wb") as f:  # zeros that take no disk
+        for e in ends:
+            f.seek(2 * e)
+            f.write(np.array([50256], "<u2").tobytes())
+        f.truncate(2 * 1_200_000_011)
+    got = counts.scan_flat(spark, str(tmp_path / "large.bin")).orderBy("ordinal").collect()
+    stops = [*ends, 1_200_000_011]
+    starts = [0, *(e + 1 for e in ends)]
+    assert [(r.ordinal, r.start, r.n_tokens, r.closed) for r in got] == [
+        (i, a, b - a, i < len(ends)) for i, (a, b) in enumerate(zip(starts, stops))
+    ]
+
+
 def test_flat_cases(spark, odd, none, tmp_path):
     (tmp_path / "open.bin").write_bytes(np.array([5, 50256, 50256, 7, 8], "<u2").tobytes())
     (tmp_path / "empty.bin").write_bytes(b"")
