@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quillframe.llm import decontamination, lines, minhash, packing, toxicity  # noqa: E402
-from quillframe.session import scratch_path  # noqa: E402
+from quillframe.session import scratch_path, stable  # noqa: E402
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +32,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id.
 
-    Rows without an id stay. Of several rows with one id, one stays.
+    Groups are of rows: rows that share an id are linked only by what their texts share, so those
+    with unrelated texts all stay. Of rows with one id and the same text (none or an empty one
+    included) one stays. Rows without an id stay.
     """
-    groups = minhash.near_duplicates(docs, k=5)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
-        return kept.select(docs.columns)
-    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(first).select(docs.columns)
+        gone = minhash.near_duplicates(docs, k=5).where(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    several = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = docs.where("doc_id is not null").join(again, "doc_id", "left_anti").unionByName(several)
+    # Row numbers rise with the id, so the least row of a group has its least id.
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stable(placed.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = minhash.near_duplicates(rows, id_col="_row", k=5).where(~F.col("kept")).select(F.col("doc_id").alias("_row"))
+    kept = rows.join(gone, "_row", "left_anti").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,22 @@ def test_near_duplicate_stage(spark, sf, given, rows):
     assert sorted(r.doc_id for r in twice.collect()) == sorted(want)
 
 
+def test_near_duplicates_of_one_id(spark, sf, docs):
+    """Rows that share an id and nothing else all stay, and bridge no groups."""
+    text = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
+    rows = [
+        (7, text("a")), (7, text("b")), (7, text("a")), (3, text("c")), (5, text("c")), (5, text("d")),
+        (9, text("d", 31)), (9, text("e")), (8, ""), (8, ""), (8, None), (8, None), (8, text("f")),
+        (None, text("e")), (None, text("g")), (None, text("g")),
+    ]
+    got = STAGES["near_duplicates"](spark, docs([t for _, t in rows], [i for i, _ in rows]).repartition(4), sf)
+    want = [
+        (7, text("a")), (7, text("b")), (3, text("c")), (5, text("d")), (9, text("e")), (8, ""), (8, None), (8, text("f")),
+        (None, text("e")), (None, text("g")), (None, text("g")),
+    ]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_decontamination_stage(spark, sf, given, rows):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = STAGES["decontamination"](spark, given, sf)
