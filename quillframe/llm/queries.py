@@ -11,6 +11,7 @@ from quillframe.llm import (
     counts,
     decontamination,
     katz,
+    licenses,
     lines,
     minhash,
     packing,
@@ -226,3 +227,47 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a bigram model of nine tenths of them."""
     out = katz.score(table(spark, sf_dir, "documents"), _remainder(10) != 0)
     return out.select("*", (_remainder(10) == 0).alias("held_out")).drop("learned")
+
+
+def _templates_sql() -> str:
+    """Rows of the templates: number, label, base, least share, words, words in keys, place, word, in a key, first key."""
+    rows = []
+    for i, t in enumerate(licenses.TEMPLATES):
+        own, keys = licenses.words_and_keys(t)
+        must = {j for at, n in keys for j in range(at, at + n)}
+        rows += [
+            f"({i}, '{t.label}', {t.base}, {t.least}, {len(own)}, {len(must)}, {j}, '{w}', {int(j in must)}, {min(must)})"
+            for j, w in enumerate(own)
+        ]
+    return ", ".join(rows)
+
+
+_OP11 = rf"""
+WITH t(num, label, base, least, size, must, off, word, in_key, first_key) AS (VALUES {_templates_sql()}),
+d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), w AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d
+), m AS (
+  SELECT r, label, base, w.i - t.off AS start, w.i - t.off + any_value(first_key) AS key,
+    count(*) / any_value(size) AS share
+  FROM w JOIN t USING (word) GROUP BY r, num, label, base, w.i - t.off
+  HAVING sum(in_key) = any_value(must) AND share >= any_value(least)
+)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words,
+  count(*) FILTER (base) AS n_base, CAST(min(key) FILTER (base) AS BIGINT) AS first_word,
+  CAST(max(key) FILTER (base) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+  round(coalesce(max(share), 0), 9) AS score
+FROM d LEFT JOIN m USING (r) GROUP BY r
+"""
+
+
+@query("op11_rare_word_licenses", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents name or quote."""
+    out = licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents")))
+    return out.withColumn("score", F.round("score", 9))
