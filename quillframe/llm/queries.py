@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.llm import (
     counts,
     decontamination,
+    divergence,
     katz,
     licenses,
     lines,
@@ -271,3 +272,52 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that documents name or quote."""
     out = licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents")))
     return out.withColumn("score", F.round("score", 9))
+
+
+_OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), w AS (
+  SELECT lang, source, r, unnest(ws) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), l AS (
+  SELECT lang, sum(lang_n) AS lang_total, count(*) AS v FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), h AS (
+  SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term
+), c AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(h.n, 0) AS n
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+), s AS (
+  SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source
+), p AS (
+  SELECT c.lang, c.source, c.term, c.n,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (c.n + 2) // (s.total + 2 * l.v) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (c.lang_n + 2) // (l.lang_total + 2 * l.v) AS BIGINT) AS q
+  FROM c JOIN s USING (lang, source) JOIN l USING (lang)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_source_divergence", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language and the terms that set each apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
