@@ -46,26 +46,10 @@ def collapse(docs: DataFrame, lang_col: str, source_col: str, text_col: str) ->
     return texts.join(copies, key).select("lang", "text", "of"), rows.select("lang", "source").distinct()
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Longs byte by byte: the empty high bytes of small numbers compress to nothing."""
-    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _longs(raw: pa.Scalar) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(8, -1).T).view("<i8").ravel()
-
-
 def _terms(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Terms of some texts in order, and the text of each."""
     letter = ~PARTS[data]
-    full = bounds[:-1] < bounds[1:]
-    first, last = bounds[:-1][full], bounds[1:][full] - 1
-    opens, closes = letter.copy(), letter.copy()
-    opens[1:] &= ~letter[:-1]
-    closes[:-1] &= ~letter[1:]
-    opens[first], closes[last] = letter[first], letter[last]
-    start = np.flatnonzero(opens)
-    size = np.flatnonzero(closes) + 1 - start
+    start, size = words.runs(letter, bounds)
     ends = np.concatenate([[0], np.cumsum(size)])
     own = pa.LargeStringArray.from_buffers(
         len(start), pa.py_buffer(ends), pa.py_buffer(words.LOWER[data[letter]])
@@ -83,37 +67,18 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[first], *[np.add.reduceat(v[order], first) for v in values]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
-    """Rows of a partition in runs of about ``PIECE_BYTES`` of text."""
-    held, size = [], 0
-    for batch in batches:
-        length = np.diff(words.texts_of(batch.column(text))[1]) + 16
-        low = 0
-        while low < batch.num_rows:
-            reach = np.cumsum(length[low:]) + size
-            take = min(int(np.searchsorted(reach, PIECE_BYTES)) + 1, batch.num_rows - low)
-            held.append(batch.slice(low, take))
-            size = int(reach[take - 1])
-            low += take
-            if size >= PIECE_BYTES:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 _SENT = pa.schema([
     ("lang", pa.string()), ("bucket", pa.int64()), ("sources", pa.list_(pa.string())),
     ("terms", pa.binary()), ("sizes", pa.binary()), ("entries", pa.binary()),
 ])
 
 
-def _count(buckets: int):
+def _count(buckets: int, piece_bytes: int):
     """Counts of a piece: of each lang and bucket its terms, and for each term and source the
     occurrences and documents, texts weighted by their copies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _pieces(batches, 1):
+        for table in words.gathered(batches, 1, piece_bytes):
             data, bounds = words.texts_of(table.column(1))
             coded, text = _terms(data, bounds)
             every, term = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
@@ -163,8 +128,8 @@ def _count(buckets: int):
                             pa.array([b], pa.int64()),
                             pa.array([sources.dictionary.take(pa.array(names)).to_pylist()], _SENT.types[2]),
                             pa.array([joined], pa.binary()),
-                            pa.array([_planes(np.concatenate([size, entries]))], pa.binary()),
-                            pa.array([_planes(np.concatenate([local, n[run], docs[run]]))], pa.binary()),
+                            pa.array([words.planes(np.concatenate([size, entries]))], pa.binary()),
+                            pa.array([words.planes(np.concatenate([local, n[run], docs[run]]))], pa.binary()),
                         ],
                         schema=_SENT,
                     )
@@ -176,8 +141,8 @@ def _kept(least: int):
     """Of a lang and bucket: one row for each kept term and source that has it."""
 
     def work(table: pa.Table) -> pa.Table:
-        sizes = [_longs(x).reshape(2, -1) for x in table["sizes"]]
-        parts = [_longs(x).reshape(3, -1) for x in table["entries"]]
+        sizes = [words.longs(x).reshape(2, -1) for x in table["sizes"]]
+        parts = [words.longs(x).reshape(3, -1) for x in table["entries"]]
         size, entries = np.concatenate(sizes, axis=1)
         local, n, docs = np.concatenate(parts, axis=1)
         raw = pa.py_buffer(b"".join(x.as_py() for x in table["terms"]))
@@ -216,14 +181,16 @@ def term_counts(
     lang_col: str = "lang",
     source_col: str = "source",
     text_col: str = "text",
+    piece_bytes: int = PIECE_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """Counts ``lang, bucket, source, term, n, lang_n, head`` of the terms in at least ``least`` documents
     of their lang, and the ``lang, source`` groups. ``head`` is 1 in one row of each term, else 0."""
     size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")).cast("long"))).first()[0] or 0
-    buckets = max(64, math.ceil(size / BUCKET_BYTES))
+    buckets = max(64, math.ceil(size / bucket_bytes))
     texts, groups = collapse(docs, lang_col, source_col, text_col)
     sent = texts.mapInArrow(
-        _count(buckets),
+        _count(buckets, piece_bytes),
         "lang string, bucket long, sources array<string>, terms binary, sizes binary, entries binary",
     )
     counts = sent.groupBy("lang", "bucket").applyInArrow(
@@ -292,6 +259,7 @@ def audit(
     lang_col: str = "lang",
     source_col: str = "source",
     text_col: str = "text",
+    **pieces,
 ) -> DataFrame:
     """Divergence of each source from the other sources of its lang, and its most telling terms.
 
@@ -299,7 +267,8 @@ def audit(
     that at least ``least`` of its documents hold. A group gives a term ``p = 1 + floor(10^9 (count + 2) / (N +
     2 V))``, N its occurrences of kept terms; ``f(p, q) = floor((p - q)^2 / (p + q))``. Rows of part ``pair``
     have another source and the sum of f over all kept terms; rows of part ``term`` the ``top`` terms with
-    the largest f among those the group holds more often than the lang as a whole.
+    the largest f among those the group holds more often than the lang as a whole. ``pieces`` goes to
+    ``term_counts``.
 
     1. Identical texts of a lang become one text with its sources' multiplicities (``collapse``).
     2. Each text is tokenized once. A piece of texts adds its terms' occurrences and documents per
@@ -318,7 +287,7 @@ def audit(
     ones too; a group without terms has its pairs, and no terms; other columns are ignored, whatever
     their names; a lang without kept terms has pairs of value 0; an empty table gives no rows.
     """
-    counts, groups = term_counts(docs, least, lang_col, source_col, text_col)
+    counts, groups = term_counts(docs, least, lang_col, source_col, text_col, **pieces)
     of_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("head").alias("heads"))
     of_lang = of_group.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum("heads").alias("v"))
     known = (

@@ -17,6 +17,7 @@ from quillframe.llm import (
     minhash,
     packing,
     sharding,
+    spelling,
     topk,
     toxicity,
     training_order,
@@ -321,3 +322,10 @@ FROM r WHERE part = 'pair' OR rank <= 10
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of the sources of each language and the terms that set each apart."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_partenum_spelling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some with a letter taken out, and the frequent words they are variants of."""
+    counted = spelling.count_words(table(spark, sf_dir, "documents"), drop_one_in=31)
+    return spelling.variants(counted)

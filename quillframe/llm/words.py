@@ -97,6 +97,46 @@ def hashed_words(
     return (value, of_text, start) if starts else (value, of_text)
 
 
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of true values; a run ends with its text."""
+    full = bounds[:-1] < bounds[1:]
+    first, last = bounds[:-1][full], bounds[1:][full] - 1
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    opens[first], closes[last] = inside[first], inside[last]
+    start = np.flatnonzero(opens)
+    return start, np.flatnonzero(closes) + 1 - start
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.Table]:
+    """Rows of a partition, however they are batched, in tables of about ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        length = np.diff(texts_of(batch.column(text))[1]) + 16
+        low = 0
+        while low < batch.num_rows:
+            reach = np.cumsum(length[low:]) + size
+            take = min(int(np.searchsorted(reach, limit)) + 1, batch.num_rows - low)
+            held.append(batch.slice(low, take))
+            size = int(reach[take - 1])
+            low += take
+            if size >= limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Longs byte by byte: the empty high bytes of small numbers compress to nothing."""
+    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def longs(raw: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def shingled(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the ``k`` words from each place on, and the bounds of the texts in that array.
 

@@ -72,11 +72,9 @@ def test_against_dense_sums(spark):
         assert got(divergence.audit(table(spark, rows).repartition(3), least)) == slow(rows, least)
 
 
-def test_many_pieces_and_buckets(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "PIECE_BYTES", 2_000)
-    monkeypatch.setattr(divergence, "BUCKET_BYTES", 100)
+def test_many_pieces_and_buckets(spark):
     rows = corpus(2, 300, 200, 50)
-    assert got(divergence.audit(table(spark, rows), 3)) == slow(rows, 3)
+    assert got(divergence.audit(table(spark, rows), 3, piece_bytes=2_000, bucket_bytes=100)) == slow(rows, 3)
 
 
 def test_odd_rows(spark):
