@@ -72,6 +72,33 @@ def snap_square(points: Column, left: Column, top: Column, right: Column, bottom
     return F.when(near_square(points), extrema_points(left, top, right, bottom)).otherwise(points)
 
 
+def homography(points: Column, w: Column, h: Column) -> Column:
+    """Map from the rectangle ``0..w, 0..h`` to the four corners, clockwise from the top left.
+
+    The eight unknowns of the projective map have a closed form for a rectangle, so no system is
+    solved per row. Null where the corners admit no such map.
+    """
+    x0, x1, x2, x3 = (F.get(points, F.lit(i))["x"] for i in range(4))
+    y0, y1, y2, y3 = (F.get(points, F.lit(i))["y"] for i in range(4))
+    dx1, dy1, dx2, dy2 = x1 - x2, y1 - y2, x3 - x2, y3 - y2
+    sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    den = dx1 * dy2 - dx2 * dy1
+    g = F.when(den != 0, (sx * dy2 - dx2 * sy) / den)
+    k = F.when(den != 0, (dx1 * sy - sx * dy1) / den)
+    parts = {
+        "a": (x1 - x0 + g * x1) / w, "b": (x3 - x0 + k * x3) / h, "c": x0,
+        "d": (y1 - y0 + g * y1) / w, "e": (y3 - y0 + k * y3) / h, "f": y0,
+        "g": g / w, "k": k / h,
+    }
+    return F.when(den != 0, F.struct(*[v.cast("double").alias(n) for n, v in parts.items()]))
+
+
+def mapped(m: Column, x: Column, y: Column) -> Column:
+    """Image of a point under a homography."""
+    scale = m["g"] * x + m["k"] * y + 1.0
+    return point((m["a"] * x + m["b"] * y + m["c"]) / scale, (m["d"] * x + m["e"] * y + m["f"]) / scale)
+
+
 def truncated_line(points: Column) -> Column:
     """``x0,y0,x1,y1,...`` with truncated integers."""
     return F.array_join(

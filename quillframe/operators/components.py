@@ -7,8 +7,11 @@ very large image nor one component that holds most pixels ends up in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,85 +273,187 @@ def run_pixels(runs: DataFrame) -> DataFrame:
 
 # --- least-area rectangles ----------------------------------------------------------------
 
-_RECT = "struct<points:array<struct<x:double,y:double>>,area:double>"
-
-
-def _hull(pts: np.ndarray) -> np.ndarray:
-    """Convex hull of integer points, without collinear ones."""
-    pts = np.unique(pts, axis=0)
-    if len(pts) < 3:
-        return pts
-
-    def chain(order) -> list:
-        out: list = []
-        for p in order:
-            while len(out) > 1 and (
-                (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1])
-                - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])
-            ) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(chain(pts) + chain(pts[::-1]))
-
-
-def _least_rectangle(xs, ys) -> dict:
-    hull = _hull(np.column_stack([xs, ys]).astype(np.int64)).astype(np.float64)
-    edges = np.roll(hull, -1, axis=0) - hull
-    length = np.hypot(edges[:, 0], edges[:, 1])
-    if len(hull) == 1:
-        along = np.array([[1.0, 0.0]])
-    else:
-        along = edges[length > 0] / length[length > 0][:, None]
-    across = np.column_stack([-along[:, 1], along[:, 0]])
-    u, v = hull @ along.T, hull @ across.T
-    spans = u.max(0) - u.min(0), v.max(0) - v.min(0)
-    area = spans[0] * spans[1]
-    best = int(np.flatnonzero(area <= area.min() + 1e-9)[0])
-    corners = [
-        (u[:, best].min(), v[:, best].min()),
-        (u[:, best].max(), v[:, best].min()),
-        (u[:, best].max(), v[:, best].max()),
-        (u[:, best].min(), v[:, best].max()),
-    ]
-    pts = [a * along[best] + b * across[best] for a, b in corners]
-    return {
-        "points": [{"x": float(p[0]), "y": float(p[1])} for p in pts],
-        "area": float(area[best]),
-    }
+HULL_ROWS = 1_024  # rows of a component whose hull is found together
+_PAIRS = 1 << 22  # directions times points that are projected at once
+
 
+def _chain(group: np.ndarray, y: np.ndarray, x: np.ndarray, sign: int) -> np.ndarray:
+    """Places of the corners of each group's left (``sign`` 1) or right (-1) hull.
 
-def _rectangles(points: pd.Series) -> pd.DataFrame:
-    rows = [
-        _least_rectangle([p["x"] for p in pts], [p["y"] for p in pts]) for pts in points
+    Rows are in order of group and ``y`` (distinct in a group). A point on or inside the line
+    between its neighbours is no corner, whatever else is left out, so all such points of all groups
+    go at once, until none is left.
+    """
+    keep = np.arange(len(group))
+    while len(keep) > 2:
+        a, b, c = keep[:-2], keep[1:-1], keep[2:]
+        inner = (group[a] == group[b]) & (group[b] == group[c])
+        turn = (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+        gone = np.flatnonzero(inner & (sign * turn >= 0)) + 1
+        if len(gone) == 0:
+            break
+        keep = np.delete(keep, gone)
+    return keep
+
+
+def _hulls(group: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Convex hulls ``(group, y, x)`` of groups of points, corners in cyclic order."""
+    order = np.lexsort((x, y, group))
+    group, y, x = group[order], y[order], x[order]
+    again = (group[1:] == group[:-1]) & (y[1:] == y[:-1]) & (x[1:] == x[:-1])
+    group, y, x = (np.delete(v, np.flatnonzero(again)) for v in (group, y, x))
+    first = np.concatenate([[True], (group[1:] != group[:-1]) | (y[1:] != y[:-1])])[: len(group)]
+    last = np.concatenate([first[1:], [True]])[: len(group)]
+    left, right = np.flatnonzero(first), np.flatnonzero(last)
+    left = left[_chain(group[left], y[left], x[left], 1)]
+    right = right[_chain(group[right], y[right], x[right], -1)]
+    place = np.concatenate([left, right])
+    side = np.repeat([0, 1], [len(left), len(right)])
+    # Down the left side, up the right one; a row with one point is on both sides and counts once.
+    order = np.lexsort((np.where(side == 0, y[place], -y[place]), side, group[place]))
+    place, side = place[order], side[order]
+    both = np.flatnonzero(np.bincount(place, minlength=len(group)) == 2)
+    place = place[~(np.isin(place, both) & (side == 1))]
+    return group[place], y[place], x[place]
+
+
+def _first_quadrant(dx: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The directions in lowest terms, turned by right angles until dx > 0 and dy >= 0."""
+    by = np.maximum(np.gcd(dx, dy), 1)
+    dx, dy = dx // by, dy // by
+    turned = [
+        ((dx > 0) & (dy >= 0), dx, dy), ((dx <= 0) & (dy > 0), dy, -dx),
+        ((dx < 0) & (dy <= 0), -dx, -dy), ((dx >= 0) & (dy < 0), -dy, dx),
     ]
-    return pd.DataFrame(rows, columns=["points", "area"])
+    cases = [c for c, _, _ in turned]
+    return (np.select(cases, [u for _, u, _ in turned], 1), np.select(cases, [w for _, _, w in turned], 0))
+
+
+def _calipers(group: np.ndarray, y: np.ndarray, x: np.ndarray, n: int):
+    """Of each of ``n`` hulls the least-area rectangle with a side along one of its edges:
+    corners ``(n, 4, 2)`` as x, y and areas.
+
+    Spans are whole numbers, so areas are exact to one rounding; of equal areas the direction in the
+    first quadrant with the smallest slope counts.
+    """
+    corners, areas = np.zeros((n, 4, 2)), np.zeros(n)
+    bounds = np.searchsorted(group, np.arange(n + 1))
+    size = np.diff(bounds)
+    low = 0
+    while low < n:
+        high = low + max(1, int(np.searchsorted(np.cumsum(size[low:] ** 2), _PAIRS, side="right")))
+        high = min(high, n)
+        at = slice(bounds[low], bounds[high])
+        g, gy, gx = group[at] - low, y[at], x[at]
+        first, own = bounds[low:high] - bounds[low], size[low:high]
+        after = np.arange(len(g)) + 1
+        after[first + own - 1] = first
+        dx, dy = _first_quadrant(gx[after] - gx, gy[after] - gy)
+        edge = np.repeat(np.arange(len(g)), own[g])  # each edge meets all points of its hull
+        start = np.cumsum(own[g]) - own[g]
+        point = np.repeat(first[g], own[g]) + np.arange(len(edge)) - start[edge]
+        u = gx[point] * dx[edge] + gy[point] * dy[edge]
+        w = gy[point] * dx[edge] - gx[point] * dy[edge]
+        u0, u1 = np.minimum.reduceat(u, start), np.maximum.reduceat(u, start)
+        w0, w1 = np.minimum.reduceat(w, start), np.maximum.reduceat(w, start)
+        norm = dx * dx + dy * dy
+        area = (u1 - u0).astype(np.float64) * (w1 - w0) / norm
+        best = np.lexsort((dy / dx, area, g))[first]
+        dx, dy, norm, u0, u1, w0, w1 = (v[best] for v in (dx, dy, norm, u0, u1, w0, w1))
+        for k, (a, b) in enumerate(((u0, w0), (u1, w0), (u1, w1), (u0, w1))):
+            corners[low:high, k, 0] = (a * dx - b * dy) / norm
+            corners[low:high, k, 1] = (a * dy + b * dx) / norm
+        areas[low:high] = area[best]
+        low = high
+    return corners, areas
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ys, xs = batch.column("ys"), batch.column("xs")
+    group = np.repeat(np.arange(batch.num_rows), ys.value_lengths().to_numpy())
+    return group, *[a.flatten().to_numpy().astype(np.int64) for a in (ys, xs)]
+
+
+def _hull_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        group, y, x = _hulls(*_flat(batch))
+        edge = pa.array(np.searchsorted(group, np.arange(batch.num_rows + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], *[pa.ListArray.from_arrays(edge, pa.array(v)) for v in (y, x)]],
+            ["image_id", "comp", "ys", "xs"],
+        )
+
+
+def _rectangle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.num_rows
+        group, y, x = _hulls(*_flat(batch))
+        corners, areas = _calipers(group, y, x, n)
+        first = np.searchsorted(group, np.arange(n))
+        ends = [f.reduceat(v, first) if n else v for v in (x, y) for f in (np.minimum, np.maximum)]
+        points = pa.StructArray.from_arrays(
+            [pa.array(np.ascontiguousarray(corners[:, :, i]).ravel()) for i in range(2)], ["x", "y"]
+        )
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:2], *[pa.array(e.astype(np.int32)) for e in ends],
+                pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4, dtype=np.int32)), points),
+                pa.array(areas),
+            ],
+            ["image_id", "comp", "left", "right", "top", "bottom", "points", "area"],
+        )
 
 
 def least_rectangles(runs: DataFrame) -> DataFrame:
     """Least-area rectangle of each component.
 
-    Only the two ends of each row can be on the hull, so a component sends at most twice its
-    height to the hull helper.
+    Only the two ends of each row can be on the hull. Hulls are found for ``HULL_ROWS`` rows at a time
+    and merged, so what one task holds of a component is the corners of its parts. Ties between
+    rectangles go to the one whose side has the smallest slope in the first quadrant.
     """
     ends = runs.groupBy("image_id", "comp", "y").agg(
-        F.min("x_first").alias("x_first"), F.max("x_last").alias("x_last")
+        F.min("x_first").cast("long").alias("x_first"), F.max("x_last").cast("long").alias("x_last")
     )
-    point = F.array(*[F.struct(F.col(c).alias("x"), F.col("y").alias("y")) for c in ("x_first", "x_last")])
-    packed = ends.groupBy("image_id", "comp").agg(
-        F.flatten(F.collect_list(point)).alias("pts"),
-        F.min("x_first").alias("left"),
-        F.max("x_last").alias("right"),
-        F.min("y").alias("top"),
-        F.max("y").alias("bottom"),
+    rows = F.collect_list(F.struct(F.col("y").cast("long").alias("y"), "x_first", "x_last"))
+    parts = ends.groupBy("image_id", "comp", F.floor(F.col("y") / HULL_ROWS).alias("part")).agg(rows.alias("r"))
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
+    key = f"image_id {kinds['image_id']}, comp {kinds['comp']}"
+    hulls = parts.select(
+        "image_id",
+        "comp",
+        F.concat(*[F.transform("r", lambda p: p["y"])] * 2).alias("ys"),
+        F.concat(F.transform("r", lambda p: p["x_first"]), F.transform("r", lambda p: p["x_last"])).alias("xs"),
+    ).mapInArrow(_hull_batches, f"{key}, ys array<long>, xs array<long>")
+    # Lists are collected in one pass, so both have the parts in the same order.
+    merged = hulls.groupBy("image_id", "comp").agg(F.collect_list(F.struct("ys", "xs")).alias("h"))
+    whole = merged.select(
+        "image_id",
+        "comp",
+        F.flatten(F.transform("h", lambda p: p["ys"])).alias("ys"),
+        F.flatten(F.transform("h", lambda p: p["xs"])).alias("xs"),
     )
-    rect = F.pandas_udf(_rectangles, _RECT)
-    return packed.withColumn("r", rect("pts")).select(
-        "image_id", "comp", "left", "top", "right", "bottom", "r.points", "r.area"
+    return whole.mapInArrow(
+        _rectangle_batches,
+        f"{key}, left int, right int, top int, bottom int, points array<struct<x:double,y:double>>, area double",
+    ).select("image_id", "comp", "left", "top", "right", "bottom", "points", "area")
+
+
+def boxes_of(runs: DataFrame) -> DataFrame:
+    """Boxes ``image_id, box_id, points`` of dilated components: rectangle, snap, corner order."""
+    rects = least_rectangles(runs)
+    snapped = snap_square(F.col("points"), *[F.col(c) for c in ("left", "top", "right", "bottom")])
+    return rects.select(
+        "image_id", F.col("comp").alias("box_id"), corner_order(snapped).alias("points")
     )
 
 
+def component_runs(labelled: DataFrame, kept: DataFrame) -> DataFrame:
+    """Row runs of the kept components, link-only pixels included."""
+    marked = kept.select("image_id", "comp", F.col("area").alias("n"), F.lit(True).alias("_kept"))
+    pixels = lookup(labelled, marked, ["image_id", "comp"], ["_kept"]).where("_kept")
+    return _runs(pixels.select("image_id", "comp", "y", F.col("x").alias("x_first"), F.col("x").alias("x_last")))
+
+
 def detect_boxes(
     pixels: DataFrame,
     sizes: DataFrame,
@@ -360,12 +465,7 @@ def detect_boxes(
     """Score maps to four-corner boxes: label, filter, dilate, rectangle, snap, corner order."""
     labelled = stable(label(binarise(pixels, low_text, link_threshold), tile), "labelled")
     kept = stable(keep_components(statistics(labelled), text_threshold), "components")
-    runs = dilated_runs(kept_pixels(labelled, kept), kept, sizes)
-    rects = least_rectangles(runs)
-    snapped = snap_square(F.col("points"), *[F.col(c) for c in ("left", "top", "right", "bottom")])
-    return rects.select(
-        "image_id", F.col("comp").alias("box_id"), corner_order(snapped).alias("points")
-    )
+    return boxes_of(dilated_runs(kept_pixels(labelled, kept), kept, sizes))
 
 
 # --- profiles -----------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from quillframe.functions import geometry as geo
 from quillframe.operators import augment as au
 from quillframe.operators import components as cc
 from quillframe.operators import images as im
+from quillframe.operators import polygons as po
 from quillframe.plans import views as v
 from quillframe.plans.registry import query, rounded
 from quillframe.session import stable
@@ -566,6 +567,14 @@ def g5_motion(spark, sf):
 _FG = f"v > {v.LOW_TEXT} OR link > {v.LINK}"
 
 
+_KEPT_SQL = f"""stats AS (SELECT image_id, comp, count(*) AS area, min(x) AS "left", min(y) AS top,
+        max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, max(v) AS max_text
+      FROM labelled GROUP BY image_id, comp),
+    kept AS (SELECT * FROM stats WHERE area >= 10 AND max_text >= {v.TEXT}),
+    kept_px AS (SELECT l.* FROM labelled l JOIN kept USING (image_id, comp) WHERE is_text),
+    spread AS (SELECT *, floor(2 * sqrt(area * least(width, height) / (width * height)))::INTEGER AS niter FROM kept)"""
+
+
 def _labels_sql(grid: str, src: str) -> str:
     """Connected components by reachability from the first pixel in raster order."""
     return f"""{grid},
@@ -578,12 +587,7 @@ def _labels_sql(grid: str, src: str) -> str:
         ON reach.image_id = step.image_id AND reach.id = step.a WHERE reach.r < step.b),
     root AS (SELECT image_id, id, min(r) AS comp FROM reach GROUP BY image_id, id),
     labelled AS (SELECT fg.*, comp FROM fg JOIN root USING (image_id, id)),
-    stats AS (SELECT image_id, comp, count(*) AS area, min(x) AS "left", min(y) AS top,
-        max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, max(v) AS max_text
-      FROM labelled GROUP BY image_id, comp),
-    kept AS (SELECT * FROM stats WHERE area >= 10 AND max_text >= {v.TEXT}),
-    kept_px AS (SELECT l.* FROM labelled l JOIN kept USING (image_id, comp) WHERE is_text),
-    spread AS (SELECT *, floor(2 * sqrt(area * least(width, height) / (width * height)))::INTEGER AS niter FROM kept)"""
+    {_KEPT_SQL}"""
 
 
 def _with(sql: str) -> str:
@@ -593,9 +597,10 @@ def _with(sql: str) -> str:
 _D = _labels_sql(v.SQL_GRID, "grid")
 _SIZE = 8
 
-_DILATED_SQL = f"""{_D},
-    win AS (SELECT image_id, comp, niter, greatest(0, "left" - niter) AS wl, least({_SIZE}, "left" + width + niter + 1) AS wr,
-        greatest(0, top - niter) AS wt, least({_SIZE}, top + height + niter + 1) AS wb FROM spread),
+
+def _grown_sql(height: int, width: int) -> str:
+    return f"""win AS (SELECT image_id, comp, niter, greatest(0, "left" - niter) AS wl, least({width}, "left" + width + niter + 1) AS wr,
+        greatest(0, top - niter) AS wt, least({height}, top + height + niter + 1) AS wb FROM spread),
     grown AS (SELECT DISTINCT p.image_id, p.comp, p.y + oy AS y, p.x + ox AS x
       FROM kept_px p JOIN win USING (image_id, comp),
         LATERAL (SELECT unnest(range(-(niter - (niter + 1) // 2), (niter + 1) // 2 + 1)) AS oy) a,
@@ -603,6 +608,9 @@ _DILATED_SQL = f"""{_D},
       WHERE p.y + oy >= wt AND p.y + oy < wb AND p.x + ox >= wl AND p.x + ox < wr)"""
 
 
+_DILATED_SQL = f"{_D}, {_grown_sql(_SIZE, _SIZE)}"
+
+
 def _labelled(spark, sf):
     return stable(cc.label(cc.binarise(v.grid(spark, sf), v.LOW_TEXT, v.LINK)), "labelled")
 
@@ -691,9 +699,52 @@ def d7(spark, sf):
     return cc.least_rectangles(_runs(spark, sf)).select("image_id", "comp", rounded("area", 5).alias("area"))
 
 
-@query("d7_d9_detected_boxes")
+def _boxes_sql(runs: str = "grown") -> str:
+    """Least-area rectangles of the pixels in ``runs``, snapped and in corner order.
+
+    Directions are whole numbers in lowest terms, turned into the first quadrant; the least area counts, then
+    the least slope.
+    """
+    return f"""ends AS (SELECT image_id, comp, y, min(x)::BIGINT AS x FROM {runs} GROUP BY ALL
+      UNION SELECT image_id, comp, y, max(x)::BIGINT FROM {runs} GROUP BY ALL),
+    pair AS (SELECT a.image_id, a.comp, (b.x - a.x) // greatest(1, gcd(b.x - a.x, b.y - a.y)) AS px,
+        (b.y - a.y) // greatest(1, gcd(b.x - a.x, b.y - a.y)) AS py
+      FROM ends a JOIN ends b ON a.image_id = b.image_id AND a.comp = b.comp),
+    dirs AS (SELECT DISTINCT image_id, comp,
+        CASE WHEN px = 0 AND py = 0 THEN 1 WHEN px > 0 AND py >= 0 THEN px WHEN px <= 0 AND py > 0 THEN py
+          WHEN px < 0 THEN -px ELSE -py END::BIGINT AS dx,
+        CASE WHEN px = 0 AND py = 0 THEN 0 WHEN px > 0 AND py >= 0 THEN py WHEN px <= 0 AND py > 0 THEN -px
+          WHEN px < 0 THEN -py ELSE px END::BIGINT AS dy FROM pair),
+    turned AS (SELECT image_id, comp, dx, dy, min(x * dx + y * dy) AS u0, max(x * dx + y * dy) AS u1,
+        min(y * dx - x * dy) AS w0, max(y * dx - x * dy) AS w1, (dx * dx + dy * dy)::DOUBLE AS norm
+      FROM dirs JOIN ends USING (image_id, comp) GROUP BY image_id, comp, dx, dy),
+    sized AS (SELECT *, (u1 - u0)::DOUBLE * (w1 - w0) / norm AS area,
+        row_number() OVER (PARTITION BY image_id, comp ORDER BY (u1 - u0)::DOUBLE * (w1 - w0) / norm, dy::DOUBLE / dx) AS best
+      FROM turned),
+    rects AS (SELECT image_id, comp, [[(u0 * dx - w0 * dy) / norm, (u0 * dy + w0 * dx) / norm],
+        [(u1 * dx - w0 * dy) / norm, (u1 * dy + w0 * dx) / norm], [(u1 * dx - w1 * dy) / norm, (u1 * dy + w1 * dx) / norm],
+        [(u0 * dx - w1 * dy) / norm, (u0 * dy + w1 * dx) / norm]] AS p FROM sized WHERE best = 1),
+    sides AS (SELECT *, sqrt((p[1][1] - p[2][1]) * (p[1][1] - p[2][1]) + (p[1][2] - p[2][2]) * (p[1][2] - p[2][2])) AS w,
+        sqrt((p[2][1] - p[3][1]) * (p[2][1] - p[3][1]) + (p[2][2] - p[3][2]) * (p[2][2] - p[3][2])) AS h FROM rects),
+    outer_box AS (SELECT image_id, comp, min(x)::DOUBLE AS x0, max(x)::DOUBLE AS x1, min(y)::DOUBLE AS y0, max(y)::DOUBLE AS y1
+      FROM ends GROUP BY image_id, comp),
+    snapped AS (SELECT image_id, comp, CASE WHEN abs(1 - greatest(w, h) / (least(w, h) + 1e-5::DOUBLE)) <= 0.1::DOUBLE
+        THEN [[x0, y0], [x1, y0], [x1, y1], [x0, y1]] ELSE p END AS p FROM sides JOIN outer_box USING (image_id, comp)),
+    led AS (SELECT *, (SELECT arg_min(i, (p[i][1] + p[i][2], i)) FROM range(1, 5) r(i)) AS s FROM snapped),
+    boxes AS (SELECT image_id, comp, list_transform(range(0, 4), lambda k: p[(s - 1 + k) % 4 + 1]) AS p FROM led)"""
+
+
+_LINE_SQL = """array_to_string(flatten(list_transform({points},
+      lambda q: list_transform(q, lambda c: trunc(c)::INTEGER))), ',')"""
+
+
+@query(
+    "d7_d9_detected_boxes",
+    _with(f"{_DILATED_SQL}, {_boxes_sql()}")
+    + f"SELECT image_id, comp::BIGINT AS box_id, {_LINE_SQL.format(points='p')} AS line FROM boxes",
+)
 def d7_boxes(spark, sf):
-    """Score maps to boxes in one go; ties between rectangles of one area make this rows only."""
+    """Score maps to boxes in one go."""
     pixels = v.grid(spark, sf)
     boxes = cc.detect_boxes(pixels, _sizes(pixels), v.TEXT, v.LINK, v.LOW_TEXT)
     return boxes.select("image_id", "box_id", geo.truncated_line(F.col("points")).alias("line"))
@@ -846,3 +897,126 @@ def d13(spark, sf):
     return boxes.withColumn("polygon", polygon).select(
         "image_id", "box_id", geo.truncated_line(F.coalesce("polygon", "points")).alias("line")
     )
+
+
+# --- polygons -----------------------------------------------------------------------------------------
+
+# A band is one component by construction. Its crop is the box turned upright; "m" maps crop to source.
+_CROP_SQL = f"""{v.SQL_BANDS},
+    labelled AS (SELECT image_id, y, x, v, link, v > {v.LOW_TEXT} AS is_text,
+        min(y * 4294967296 + x) OVER (PARTITION BY image_id, band) AS comp FROM band_px WHERE {_FG}),
+    {_KEPT_SQL}, {_grown_sql(v.BAND_H, v.BAND_W)}, {_boxes_sql()},
+    corner AS (SELECT image_id, comp, p, p[1][1] AS x0, p[2][1] AS x1, p[3][1] AS x2, p[4][1] AS x3,
+        p[1][2] AS y0, p[2][2] AS y1, p[3][2] AS y2, p[4][2] AS y3 FROM boxes),
+    measured AS (SELECT *, floor(sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)) + 1)::INTEGER AS w,
+        floor(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) + 1)::INTEGER AS h,
+        (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS den FROM corner),
+    warp AS (SELECT *, ((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / den AS pg,
+        ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / den AS pk
+      FROM measured WHERE w >= 10 AND h >= 10 AND den <> 0),
+    m AS (SELECT image_id, comp, w, h, (x1 - x0 + pg * x1) / w AS a, (x3 - x0 + pk * x3) / h AS b, x0 AS c,
+        (y1 - y0 + pg * y1) / w AS d, (y3 - y0 + pk * y3) / h AS e, y0 AS f, pg / w AS g, pk / h AS k FROM warp),
+    cell AS (SELECT *, unnest(range(0, h)) AS cy FROM (SELECT *, unnest(range(0, w)) AS cx FROM m) z),
+    seen AS (SELECT image_id, comp, cx, cy, round_even((a * cx + b * cy + c) / (g * cx + k * cy + 1.0::DOUBLE), 0)::BIGINT AS x,
+        round_even((d * cx + e * cy + f) / (g * cx + k * cy + 1.0::DOUBLE), 0)::BIGINT AS y FROM cell),
+    hit AS (SELECT seen.image_id, seen.comp, cx, cy FROM seen JOIN labelled l
+      ON l.image_id = seen.image_id AND l.comp = seen.comp AND l.x = seen.x AND l.y = seen.y),
+    profile AS (SELECT image_id, comp, cx AS x, min(cy) AS y_top, max(cy) AS y_bottom, max(cy) - min(cy) + 1 AS span
+      FROM hit GROUP BY image_id, comp, cx HAVING count(*) >= 2),
+    placed AS (SELECT p.*, least(floor(x / (w / 11.0::DOUBLE)), 10)::INTEGER AS segment,
+        (y_top + y_bottom) * 0.5::DOUBLE AS cy FROM profile p JOIN m USING (image_id, comp)),
+    seg AS (SELECT image_id, comp, segment, avg(x) AS centre_x, avg(cy) AS centre_y, max(span) AS max_span,
+        arg_min(x, (-span, x)) AS pivot_x, arg_min(cy, (-span, x)) AS pivot_y FROM placed GROUP BY image_id, comp, segment),
+    judged AS (SELECT boxes.image_id, boxes.comp, boxes.p, m.w, m.h, CASE WHEN m.w IS NULL THEN 'small'
+        WHEN any_value(m.h) * 0.7 < coalesce(max(max_span), -1) THEN 'span'
+        WHEN count(*) FILTER (segment % 2 = 1) < 5 THEN 'pivot'
+        WHEN any_value(m.w) / 11.0::DOUBLE < max(max_span) FILTER (segment % 2 = 1) * 0.25 THEN 'narrow' ELSE 'line' END AS verdict,
+        quantile_disc(max_span, 0.5) FILTER (segment % 2 = 1) * 1.45::DOUBLE / 2 AS half
+      FROM boxes LEFT JOIN m USING (image_id, comp) LEFT JOIN seg USING (image_id, comp)
+      GROUP BY boxes.image_id, boxes.comp, boxes.p, m.w, m.h),
+    centre AS (SELECT o.image_id, o.comp, o.segment // 2 AS i, half, o.pivot_x::DOUBLE AS x, o.pivot_y AS y,
+        coalesce(r.centre_x, 0) - coalesce(l.centre_x, 0) AS dx, coalesce(r.centre_y, 0) - coalesce(l.centre_y, 0) AS dy
+      FROM seg o JOIN judged j ON j.image_id = o.image_id AND j.comp = o.comp AND verdict = 'line' AND o.segment % 2 = 1
+      LEFT JOIN seg l ON l.image_id = o.image_id AND l.comp = o.comp AND l.segment = o.segment - 1
+      LEFT JOIN seg r ON r.image_id = o.image_id AND r.comp = o.comp AND r.segment = o.segment + 1),
+    normal AS (SELECT image_id, comp, i, half, x, y,
+        x - CASE WHEN dx = 0 THEN 0.0 ELSE -half * dy / sqrt(dx * dx + dy * dy) END AS x0,
+        y - CASE WHEN dx = 0 THEN half ELSE half * dx / sqrt(dx * dx + dy * dy) END AS y0,
+        x + CASE WHEN dx = 0 THEN 0.0 ELSE -half * dy / sqrt(dx * dx + dy * dy) END AS x1,
+        y + CASE WHEN dx = 0 THEN half ELSE half * dx / sqrt(dx * dx + dy * dy) END AS y1 FROM centre)"""
+
+
+def _band_polygons(spark, sf):
+    pixels = v.bands(spark, sf)
+    sizes = pixels.select("image_id").distinct().select(
+        "image_id", F.lit(v.BAND_H).alias("img_h"), F.lit(v.BAND_W).alias("img_w")
+    )
+    return pixels, sizes
+
+
+@query(
+    "d11_crop_pivots",
+    _with(_CROP_SQL)
+    + """SELECT image_id, comp::BIGINT AS comp, i::INTEGER AS i, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(x0, 6) + 0.0 AS x0,
+      round(y0, 6) + 0.0 AS y0, round(x1, 6) + 0.0 AS x1, round(y1, 6) + 0.0 AS y1 FROM normal""",
+)
+def d11_pivots(spark, sf):
+    """Pivots and normals of bowed words in the upright crops of their boxes."""
+    pixels, sizes = _band_polygons(spark, sf)
+    labelled = stable(cc.label(cc.binarise(pixels, v.LOW_TEXT, v.LINK), 64), "labelled")
+    kept = stable(cc.keep_components(cc.statistics(labelled), v.TEXT), "kept")
+    boxes = cc.boxes_of(cc.dilated_runs(cc.kept_pixels(labelled, kept), kept, sizes))
+    cropped = stable(po.crops(boxes.withColumnRenamed("box_id", "comp")), "crops")
+    profile = po.crop_profile(cropped, stable(cc.component_runs(labelled, kept), "runs"))
+    found = po.pivots(cropped, profile).where("verdict = 'line'")
+    return found.select("image_id", "comp", F.posexplode("pivots").alias("i", "p")).select(
+        "image_id", "comp", "i", *[rounded(f"p.{c}").alias(c) for c in ("x", "y", "x0", "y0", "x1", "y1")]
+    )
+
+
+# Outer normals at each reach, the pixels of the ones that are tested, and the first free one.
+_POLYGON_SQL = f"""{_CROP_SQL},
+    slopes AS (SELECT a.image_id, a.comp, a.half, (b.y - a.y) / (b.x - a.x) + (c.y - b.y) / (c.x - b.x) AS start_slope,
+        (d.y - e.y) / (d.x - e.x) + (c.y - d.y) / (c.x - d.x) AS end_slope
+      FROM normal a JOIN normal b USING (image_id, comp) JOIN normal c USING (image_id, comp)
+      JOIN normal d USING (image_id, comp) JOIN normal e USING (image_id, comp)
+      WHERE a.i = 0 AND b.i = 1 AND c.i = 2 AND d.i = 3 AND e.i = 4),
+    pushed AS (SELECT n.image_id, n.comp, n.i // 4 AS side, step, CASE WHEN n.i = 0 THEN -1.0::DOUBLE ELSE 1.0 END AS sign,
+        2 * s.half * (0.5::DOUBLE + 0.2::DOUBLE * step) AS push, CASE WHEN n.i = 0 THEN start_slope ELSE end_slope END AS slope,
+        n.x0, n.y0, n.x1, n.y1
+      FROM normal n JOIN slopes s USING (image_id, comp), range(0, 7) t(step) WHERE n.i IN (0, 4)),
+    edge AS (SELECT image_id, comp, side, step, x0 + sign * push AS x0, y0 + sign * (slope * push) AS y0,
+        x1 + sign * push AS x1, y1 + sign * (slope * push) AS y1 FROM pushed),
+    whole AS (SELECT image_id, comp, side, step, trunc(x0)::BIGINT AS x0, trunc(y0)::BIGINT AS y0, trunc(x1)::BIGINT AS x1,
+        trunc(y1)::BIGINT AS y1 FROM edge WHERE step < 6),
+    turn AS (SELECT image_id, comp, side, step, least(x0, x1) AS ax, CASE WHEN x1 < x0 THEN y1 ELSE y0 END AS ay,
+        abs(x1 - x0) AS dx, CASE WHEN x1 < x0 THEN y0 - y1 ELSE y1 - y0 END AS dy FROM whole),
+    walk AS (SELECT *, greatest(dx, abs(dy)) AS n, least(dx, abs(dy)) AS q, unnest(range(0, greatest(dx, abs(dy)) + 1)) AS t FROM turn),
+    drawn AS (SELECT image_id, comp, side, step, ax + CASE WHEN dx >= abs(dy) THEN t ELSE o END AS cx,
+        ay + sign(dy)::BIGINT * CASE WHEN dx >= abs(dy) THEN o ELSE t END AS cy
+      FROM (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(0, ceil(q * t / n::DOUBLE - 0.5::DOUBLE))::BIGINT END AS o FROM walk) z),
+    touched AS (SELECT DISTINCT image_id, comp, side, step FROM drawn JOIN hit USING (image_id, comp, cx, cy)),
+    free AS (SELECT image_id, comp, side, min(step) AS step FROM edge ANTI JOIN touched USING (image_id, comp, side, step)
+      GROUP BY image_id, comp, side),
+    tip AS (SELECT edge.* FROM edge JOIN free USING (image_id, comp, side, step)),
+    ring AS (SELECT image_id, comp, CASE WHEN side = 0 THEN 0 ELSE 6 END AS o, x0 AS x, y0 AS y FROM tip
+      UNION ALL SELECT image_id, comp, CASE WHEN side = 0 THEN 13 ELSE 7 END, x1, y1 FROM tip
+      UNION ALL SELECT image_id, comp, 1 + i, x0, y0 FROM normal
+      UNION ALL SELECT image_id, comp, 12 - i, x1, y1 FROM normal),
+    polygon AS (SELECT image_id, comp, list([(a * x + b * y + c) / (g * x + k * y + 1.0::DOUBLE),
+        (d * x + e * y + f) / (g * x + k * y + 1.0::DOUBLE)] ORDER BY o) AS q FROM ring JOIN m USING (image_id, comp) GROUP BY image_id, comp),
+    shape AS (SELECT image_id, comp, verdict, coalesce(q, p) AS q FROM judged LEFT JOIN polygon USING (image_id, comp))"""
+
+
+@query(
+    "d13_detected_polygons",
+    _with(_POLYGON_SQL)
+    + """SELECT image_id, comp::BIGINT AS box_id, verdict, len(q) AS n_points, unnest(range(0, len(q)))::INTEGER AS i,
+      round(unnest(list_transform(q, lambda c: c[1])), 4) + 0.0 AS x, round(unnest(list_transform(q, lambda c: c[2])), 4) + 0.0 AS y FROM shape""",
+)
+def d13_polygons(spark, sf):
+    """Score maps of bowed words to polygons, and to boxes where the centre line is rejected."""
+    found = po.detect_polygons(*_band_polygons(spark, sf), v.TEXT, v.LINK, v.LOW_TEXT, tile=64)
+    return found.select(
+        "image_id", "box_id", "verdict", F.size("shape").cast("long").alias("n_points"), F.posexplode("shape").alias("i", "p")
+    ).select("image_id", "box_id", "verdict", "n_points", "i", rounded("p.x", 4).alias("x"), rounded("p.y", 4).alias("y"))

@@ -204,6 +204,50 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- bands: suppliers as curved words on score maps ----------------------------------------------
+
+BAND_H, BAND_W = 192, 224  # of an image with three bands
+
+# A band is bowed by up to 21 pixels, 6 to 9 high (some higher, some short), and links its letters by columns
+# that are no text.
+SQL_BANDS = f"""
+bands AS (
+  SELECT s_suppkey // 3 AS image_id, s_suppkey AS band, 64 * (s_suppkey % 3) + 22 AS y0, 4 + s_suppkey % 11 AS x0,
+    CASE WHEN s_suppkey % 10 = 7 THEN 12 + s_suppkey % 6 ELSE 60 + s_suppkey * 37 % 140 END AS length,
+    CASE WHEN s_suppkey % 9 = 0 THEN 16 ELSE 6 + s_suppkey % 4 END AS high, s_suppkey % 7 - 3 AS bow FROM supplier),
+band_px AS (
+  SELECT image_id, band, (y0 + floor(bow * ((2 * c - length) * (2 * c - length) // (4 * length)) / 7) + r)::INTEGER AS y,
+    (x0 + c)::INTEGER AS x, CASE WHEN c % 13 = 12 THEN 0.05::DOUBLE ELSE 0.5 + (c * 7 + r) % 5 / 10.0::DOUBLE END AS v,
+    CASE WHEN c % 13 = 12 THEN 0.9::DOUBLE ELSE 0.1 END AS link
+  FROM (SELECT *, unnest(range(0, length)) AS c FROM bands) b, LATERAL (SELECT unnest(range(0, high)) AS r) h)"""
+
+
+def bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Score maps ``(image_id, y, x, text, link)`` with one bowed word per supplier."""
+    s = F.col("s_suppkey")
+    length = F.when(s % 10 == 7, 12 + s % 6).otherwise(60 + s * 37 % 140)
+    high = F.when(s % 9 == 0, F.lit(16).cast("long")).otherwise(6 + s % 4)
+    columns = spread(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select(
+        F.expr("s_suppkey div 3").alias("image_id"),
+        (64 * (s % 3) + 22).alias("y0"),
+        (4 + s % 11).alias("x0"),
+        length.alias("length"),
+        high.alias("high"),
+        (s % 7 - 3).alias("bow"),
+        F.explode(F.sequence(F.lit(0).cast("long"), length - 1)).alias("c"),
+    )
+    cells = columns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("r"))
+    sag = F.floor((2 * F.col("c") - F.col("length")) * (2 * F.col("c") - F.col("length")) / (4 * F.col("length")))
+    gap = F.col("c") % 13 == 12
+    return cells.select(
+        "image_id",
+        (F.col("y0") + F.floor(F.col("bow") * sag / 7) + F.col("r")).cast("int").alias("y"),
+        (F.col("x0") + F.col("c")).cast("int").alias("x"),
+        F.when(gap, 0.05).otherwise(0.5 + (F.col("c") * 7 + F.col("r")) % 5 / 10.0).alias("text"),
+        F.when(gap, 0.9).otherwise(0.1).alias("link"),
+    )
+
+
 # --- index lines: orders as a word index --------------------------------------------------------
 
 _FILLER = ("9", "11", "12", "13", "14", "X")
