@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.geometry import bounding_rect, pad_and_clip, rectangle_points
 from quillframe.functions.text import CAPTION_DEFAULT
-from quillframe.operators.ordering import FOLD_ROWS, exceeds, fold, with_position
+from quillframe.operators.ordering import FOLD_ROWS, Carry, exceeds, fold, with_position
 
 LINE_SHARE = 0.5
 MERGE_GAP = 30
@@ -24,12 +24,15 @@ def with_rect(boxes: DataFrame) -> DataFrame:
     )
 
 
-def reading_order(boxes: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def reading_order(
+    boxes: DataFrame, fold_rows: int = FOLD_ROWS, rounds: list[int] | None = None
+) -> DataFrame:
     """Boxes ``(image_id, box_id, x, y, w, h)`` with line and reading position.
 
     A box joins the line when its centre is within half the mean height of the line's mean centre,
     both over the line so far. ``line`` names the line by the top order of its first box, so that
-    lines of a split image need no common counter.
+    lines of a split image need no common counter. While a line goes on, boxes only add to its sums, so
+    chunks inside a line compose (``rounds`` as in ``fold``).
     """
     centred = boxes.select(
         "image_id",
@@ -75,39 +78,63 @@ def reading_order(boxes: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
         step,
         ["line_cy", "line_box"],
         fold_rows=fold_rows,
+        carry=Carry(
+            "line_box",
+            {
+                "n": ("add", F.size),
+                "sum_y": ("add", lambda rows: _total(rows, "cy")),
+                "sum_h": ("add", lambda rows: _total(rows, "h")),
+            },
+        ),
+        rounds=rounds,
     )
     return with_position(lined, ["image_id"], ["line_cy", "line_box", "cx", "cy", "box_id"])
 
 
-def merge_neighbours(ordered: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def _total(rows: Column, field: str) -> Column:
+    return F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, r: acc + r[field])
+
+
+def merge_neighbours(
+    ordered: DataFrame, fold_rows: int = FOLD_ROWS, rounds: list[int] | None = None
+) -> DataFrame:
     """Merge boxes that follow each other closely on one height, chained on the growing box.
 
     The grown box is measured again at each step, one pixel larger each time. Returns one row per
-    merged box: ``image_id, first_pos, n_boxes, x, y, w, h``.
+    merged box: ``image_id, first_pos, n_boxes, x, y, w, h``. The right and lower ends climb by one
+    with each box, the left and upper ones only fall, so chunks inside a merged box compose (``rounds``
+    as in ``fold``).
     """
 
     def step(cur, box):
-        gap = box["x"] - (cur["left"] + cur["width"])
-        drift = F.abs((cur["top"] + cur["height"] / 2) - (box["y"] + box["h"] / 2))
+        gap = box["x"] - cur["right"]
+        height = cur["bottom"] - cur["top"]
+        drift = F.abs((cur["top"] + height / 2) - (box["y"] + box["h"] / 2))
         joins = (
             (cur["n"] > 0)
-            & (drift < (cur["height"] + box["h"]) / 2 * LINE_SHARE)
+            & (drift < (height + box["h"]) / 2 * LINE_SHARE)
             & (gap < MERGE_GAP)
             & (gap > MERGE_OVERLAP)
         )
-        left, top = F.least(cur["left"], box["x"]), F.least(cur["top"], box["y"])
-        right = F.greatest(cur["left"] + cur["width"], box["x"] + box["w"])
-        bottom = F.greatest(cur["top"] + cur["height"], box["y"] + box["h"])
+        right, bottom = box["x"] + box["w"], box["y"] + box["h"]
         return {
             "n": F.when(joins, cur["n"]).otherwise(0) + 1,
-            "left": F.when(joins, left).otherwise(box["x"]),
-            "top": F.when(joins, top).otherwise(box["y"]),
-            "width": F.when(joins, right - left + 1).otherwise(box["w"]),
-            "height": F.when(joins, bottom - top + 1).otherwise(box["h"]),
+            "left": F.when(joins, F.least(cur["left"], box["x"])).otherwise(box["x"]),
+            "top": F.when(joins, F.least(cur["top"], box["y"])).otherwise(box["y"]),
+            "right": F.when(joins, F.greatest(cur["right"], right) + 1).otherwise(right),
+            "bottom": F.when(joins, F.greatest(cur["bottom"], bottom) + 1).otherwise(bottom),
             "first_pos": F.when(joins, cur["first_pos"]).otherwise(box["pos"]),
         }
 
-    rect = ["left", "top", "width", "height"]
+    def least(field: str):
+        return "low", lambda rows: F.array_min(F.transform(rows, lambda r: r[field]))
+
+    def climbed(low: str, size: str):
+        return "climb", lambda rows: F.array_max(
+            F.transform(rows, lambda r, i: r[low] + r[size] + F.size(rows) - i)
+        )
+
+    rect = ["left", "top", "right", "bottom"]
     grown = fold(
         ordered.select("image_id", "pos", *[F.col(c).cast("long").alias(c) for c in "xywh"]),
         ["image_id"],
@@ -117,6 +144,14 @@ def merge_neighbours(ordered: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFram
         step,
         ["n", "first_pos", *rect],
         fold_rows=fold_rows,
+        carry=Carry(
+            "first_pos",
+            {
+                "n": ("add", F.size), "left": least("x"), "top": least("y"),
+                "right": climbed("x", "w"), "bottom": climbed("y", "h"),
+            },
+        ),
+        rounds=rounds,
     )
     return (
         grown.groupBy("image_id", "first_pos")
@@ -125,7 +160,10 @@ def merge_neighbours(ordered: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFram
             "image_id",
             "first_pos",
             F.col("b.n").alias("n_boxes"),
-            *[F.col(f"b.{c}").alias(short) for c, short in zip(rect, "xywh")],
+            F.col("b.left").alias("x"),
+            F.col("b.top").alias("y"),
+            (F.col("b.right") - F.col("b.left")).alias("w"),
+            (F.col("b.bottom") - F.col("b.top")).alias("h"),
         )
     )
 

@@ -9,6 +9,7 @@ order, so that no task gets more than one chunk of a group.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,6 +155,23 @@ def with_position(
 
 State = dict[str, Column]
 
+SPAN_ROWS = 65_536  # most rows that one task folds again in a row
+
+
+@dataclass(frozen=True)
+class Carry:
+    """How a stretch of rows without a reset moves the state, whatever the state is.
+
+    ``anchor`` is a field that stays equal as long as nothing resets. ``fields`` maps the other
+    fields that change to a kind and a value over a chunk's rows: ``add`` (the value is added), ``low`` (the
+    lesser counts) or ``climb`` (one is added with each row and the greater counts; the value is what
+    the rows alone would lead to). Fields that are not named stay. Such moves compose, so
+    the state before every chunk follows from running sums, minima and maxima.
+    """
+
+    anchor: str
+    fields: Mapping[str, tuple[str, Callable[[Column], Column]]]
+
 
 def fold(
     df: DataFrame,
@@ -165,14 +183,23 @@ def fold(
     emit: Sequence[str],
     guess: Callable[[DataFrame], DataFrame] | None = None,
     fold_rows: int = FOLD_ROWS,
+    carry: Carry | None = None,
+    rounds: list[int] | None = None,
 ) -> DataFrame:
     """Ordered fold per group, for rules whose state resets on the data.
 
     Returns ``keys + order + items`` and the ``emit`` fields of the state after each row.
     ``init`` maps a state field to ``(type, start value)``; ``step(state, item)`` gives the next
-    fields. A group above ``fold_rows`` is folded in chunks: each chunk starts from a guessed
-    state, and chunks whose guess differs from the state the chunk before really ends in are
-    folded again, until all agree. That fixed point is the sequential result.
+    fields. A group above ``fold_rows`` is folded in chunks, each from a guessed state, and where a
+    chunk's state is not what the chunk before ends in, chunks are folded again until all agree.
+    That fixed point is the sequential result.
+
+    Two things keep the rounds few. With ``carry``, chunks without a reset are moves and chunks with one
+    are constants; composed by a prefix scan they give all entry states of a round at once, so a
+    stretch without resets takes two or three rounds however long it is. And each round folds on
+    through twice as many following chunks as the one before (up to ``SPAN_ROWS`` rows), so a
+    correction that shifts all later resets passes many chunks in one round. ``rounds`` gets the
+    number of chunks that each round starts from.
     """
     keys, order, items = list(keys), list(order), list(items)
     fields = list(dict.fromkeys([*order, *items]))
@@ -214,34 +241,130 @@ def fold(
         .agg(packed),
         "fold",
     )
-
-    def leave(entry: Column) -> Column:
-        return F.aggregate(F.col("_rows"), entry, advance)
-
-    first = (
-        chunks.join(guess(chunks), in_chunk)
-        if guess
-        else chunks.withColumn("_entry", start)
+    moves = [
+        fn(F.col("_rows")).cast("bigint").alias(f"_by_{name}") for name, (_, fn) in carry.fields.items()
+    ] if carry else []
+    first = chunks.join(guess(chunks), in_chunk) if guess else chunks.withColumn("_entry", start)
+    exit_state = F.aggregate(F.col("_rows"), F.col("_entry"), advance)
+    known = stable(
+        first.select(*in_chunk, "_entry", exit_state.alias("_exit"), F.size("_rows").alias("_m"), *moves), "fold"
     )
-    known = stable(first.select(*in_chunk, "_entry", leave(F.col("_entry")).alias("_exit")), "fold")
+    span = 1
     while True:
         handed = known.select(
             *keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_exit").alias("_handed")
         )
-        compared = known.join(handed, in_chunk, "left").withColumn(
-            "_true", F.coalesce("_handed", start)
+        wrong = known.join(handed, in_chunk, "left").where(
+            ~F.col("_entry").eqNullSafe(F.coalesce("_handed", start))
         )
-        wrong = compared.where(~F.col("_entry").eqNullSafe(F.col("_true")))
-        if wrong.isEmpty():
+        n = wrong.count()
+        if n == 0:
             break
-        again = chunks.join(wrong.select(*in_chunk, F.col("_true").alias("_entry")), in_chunk)
-        right = compared.where(F.col("_entry").eqNullSafe(F.col("_true")))
+        if rounds is not None:
+            rounds.append(n)
+        proposed = _entries(known, keys, start, init, carry) if carry else known.join(
+            handed, in_chunk, "left"
+        ).withColumn("_next", F.coalesce("_handed", start)).drop("_handed")
+        proposed = stable(
+            proposed.withColumn("_changed", ~F.col("_entry").eqNullSafe(F.col("_next"))).withColumn(
+                "_span", F.floor(F.col("_chunk") / span)
+            ),
+            "fold",
+        )
+        in_span = [*keys, "_span"]
+        begins = proposed.where("_changed").groupBy(*in_span).agg(F.min("_chunk").alias("_begin"))
+        marked = proposed.join(begins, in_span, "left").withColumn(
+            "_again", F.coalesce(F.col("_chunk") >= F.col("_begin"), F.lit(False))
+        )
+        again = (
+            marked.where("_again").select(*in_chunk, "_span", "_next", "_entry", "_exit")
+            .join(chunks, in_chunk)
+            .groupBy(*in_span)
+            .agg(F.sort_array(F.collect_list(F.struct("_chunk", "_next", "_entry", "_exit", "_rows"))).alias("_c"))
+        )
         old = known
+        refolded = again.select(*keys, F.explode(_through(F.col("_c"), advance)).alias("z")).select(
+            *keys, F.col("z._chunk").alias("_chunk"), F.col("z._entry").alias("_entry"), F.col("z._exit").alias("_exit")
+        )
+        summary = [c for c in known.columns if c not in (*in_chunk, "_entry", "_exit")]
         known = stable(
-            right.select(*in_chunk, "_entry", "_exit").unionByName(
-                again.select(*in_chunk, "_entry", leave(F.col("_entry")).alias("_exit"))
+            marked.where("not _again").select(*old.columns).unionByName(
+                refolded.join(marked.select(*in_chunk, *summary), in_chunk).select(*old.columns)
             ),
             "fold",
         )
-        discard(old)
+        discard(old, proposed)
+        span = min(span * 2, max(1, SPAN_ROWS // fold_rows))
     return unpack(chunks.join(known.select(*in_chunk, "_entry"), in_chunk), F.col("_entry"))
+
+
+def _through(chunks: Column, advance: Callable[[Column, Column], Column]) -> Column:
+    """Entry and exit of chunks in a row, the first one entered in its ``_next``. A chunk whose
+    entry is what it was keeps its exit and is not folded."""
+    begin = F.get(chunks, F.lit(0))["_next"]
+
+    def passed(done: Column, chunk: Column) -> Column:
+        entry = F.element_at(done, -1)["_exit"]
+        out = F.when(entry.eqNullSafe(chunk["_entry"]), chunk["_exit"]).otherwise(
+            F.aggregate(chunk["_rows"], entry, advance)
+        )
+        return F.concat(
+            done, F.array(F.struct(chunk["_chunk"].alias("_chunk"), entry.alias("_entry"), out.alias("_exit")))
+        )
+
+    none = F.struct(F.lit(-1).cast("bigint").alias("_chunk"), begin.alias("_entry"), begin.alias("_exit"))
+    done = F.aggregate(chunks, F.array(none), passed)
+    return F.slice(done, F.lit(2), F.size(chunks))
+
+
+def _entries(known: DataFrame, keys: list[str], start: Column, init, carry: Carry) -> DataFrame:
+    """``known`` with ``_next``: the state before each chunk as its predecessors' moves and constants give it.
+
+    A chunk whose anchor changes is a constant. Between two constants the moves compose: sums add up, minima
+    and maxima run, and what climbs is compared after taking off the rows passed so far.
+    """
+    resets = ~F.col(f"_entry.{carry.anchor}").eqNullSafe(F.col(f"_exit.{carry.anchor}"))
+    marked = stable(
+        running(
+            known.withColumn("_resets", resets),
+            keys,
+            ["_chunk"],
+            {"_base": ("count", F.when(F.col("_resets"), 1), False), "_past": ("sum", F.col("_m"), False)},
+        ).withColumn("_past", F.coalesce("_past", F.lit(0))),
+        "moves",
+    )
+    bases = marked.where("_resets").select(
+        *keys,
+        (F.col("_base") + 1).alias("_base"),
+        F.col("_exit").alias("_from"),
+        (F.col("_past") + F.col("_m")).alias("_from_past"),
+    )
+    fn = {"add": "sum", "low": "min", "climb": "max"}
+    own = {
+        name: F.col(f"_by_{name}") - (F.col("_past") + F.col("_m") if kind == "climb" else 0)
+        for name, (kind, _) in carry.fields.items()
+    }
+    moved = running(
+        marked,
+        [*keys, "_base"],
+        ["_chunk"],
+        {f"_run_{name}": (fn[kind], own[name], False) for name, (kind, _) in carry.fields.items()},
+    ).join(bases, [*keys, "_base"], "left")
+    moved = moved.withColumn("_from", F.coalesce("_from", start)).withColumn(
+        "_from_past", F.coalesce("_from_past", F.lit(0))
+    )
+
+    def entry(name: str) -> Column:
+        held = F.col(f"_from.{name}")
+        kind = carry.fields[name][0] if name in carry.fields else "same"
+        run = F.col(f"_run_{name}") if kind != "same" else None
+        if kind == "add":
+            return held + F.coalesce(run, F.lit(0))
+        if kind == "low":
+            return F.least(held, run)
+        if kind == "climb":
+            return F.greatest(held - F.col("_from_past"), run) + F.col("_past")
+        return held
+
+    state = F.struct(*[entry(name).cast(t).alias(name) for name, (t, _) in init.items()])
+    return moved.select(*known.columns, state.alias("_next"))

@@ -108,6 +108,62 @@ def test_reading_order_and_merge(boxes):
     assert merged.agg(F.sum("n_boxes")).first()[0] == boxes.count()
 
 
+def plain_lines(rows):
+    """Line of each box ``(id, x, y, w, h)`` by a loop: the first box of the line."""
+    centred = sorted((y + h // 2, b, h) for b, x, y, w, h in rows)
+    out, cur = {}, None
+    for cy, b, h in centred:
+        if cur and abs(cy - cur[1] / cur[0]) < cur[2] / cur[0] * 0.5:
+            cur = (cur[0] + 1, cur[1] + cy, cur[2] + h, cur[3])
+        else:
+            cur = (1, cy, h, b)
+        out[b] = cur[3]
+    return out
+
+
+def plain_merge(rows):
+    """Merged boxes of ``(x, y, w, h)`` in order by a loop: first place, number of boxes, rectangle."""
+    out = []
+    for pos, (x, y, w, h) in enumerate(rows):
+        if out:
+            first, n, left, top, width, height = out[-1]
+            drift = abs((top + height / 2) - (y + h / 2))
+            gap = x - (left + width)
+            if drift < (height + h) / 2 * 0.5 and -10 < gap < 30:
+                a, b = min(left, x), min(top, y)
+                right, bottom = max(left + width, x + w), max(top + height, y + h)
+                out[-1] = (first, n + 1, a, b, right - a + 1, bottom - b + 1)
+                continue
+        out.append((pos, 1, x, y, w, h))
+    return out
+
+
+def layouts(kind, n):
+    rng = random.Random(n)
+    if kind == "one line":  # no reset at all
+        return [(i, 40 * i + (i * 7) % 5, 100 + (i * 13) % 4, 28 + i % 6, 20 + i % 3) for i in range(n)]
+    if kind == "steps":  # each reset depends on the one before, through the whole group
+        return [(i, (i * 37) % 500, 3 * i, 25, 20) for i in range(n)]
+    return [(i, rng.randrange(900), rng.randrange(n // 4), 20 + i % 40, 10 + rng.randrange(12)) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind,n,most", [("one line", 100_000, 12), ("steps", 12_000, 12), ("mixed", 8_000, 12)])
+def test_long_groups_take_few_rounds(spark, kind, n, most):
+    rows = layouts(kind, n)
+    df = spark.createDataFrame([(7, *r) for r in rows], "image_id long, box_id long, x int, y int, w int, h int")
+    rounds = []
+    got = ly.reading_order(df, fold_rows=100, rounds=rounds).toPandas()
+    assert 0 < len(rounds) <= most
+    assert dict(zip(got.box_id, got.line_box)) == plain_lines(rows)
+    got = got.sort_values("pos")
+    ordered = spark.createDataFrame(got[["image_id", "pos", "x", "y", "w", "h"]])
+    rounds = []
+    merged = ly.merge_neighbours(ordered, fold_rows=100, rounds=rounds).toPandas()
+    assert 0 < len(rounds) <= most
+    want = plain_merge(got[["x", "y", "w", "h"]].values.tolist())
+    assert sorted(merged[["first_pos", "n_boxes", "x", "y", "w", "h"]].values.tolist()) == [list(r) for r in want]
+
+
 def test_sentence_parts(spark, monkeypatch):
     words = spark.range(500).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id", F.col("id").cast("string").alias("text")
