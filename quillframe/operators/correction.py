@@ -13,7 +13,6 @@ from quillframe.session import stable
 MAX_DISTANCE = 2
 DISTANCE_PENALTY = 2.0
 SHORT = 20  # longest vocabulary word keyed by its deletions
-BROADCAST_KEYS = 4_000_000  # most probe keys sent to every executor; more are shuffled
 PIECES = 8  # pieces of a longer word, of which two may hold the edits
 
 # Offsets a long word's middle part can take: (length difference, shift of the middle) with
@@ -91,37 +90,49 @@ def _keys(word: Column, probe: bool) -> Column:
     return F.array_distinct(F.concat(short, long_))
 
 
-def _matches(unknown: DataFrame, vocabulary: DataFrame, word: str, carry: list[str]) -> DataFrame:
-    """Pairs ``(word, candidate, dist)`` within distance 2 with the ``carry`` columns of the
-    candidate. A pair comes once per key it meets on.
-
-    Both inputs hold distinct words. Two words share a key only if they agree on all but a few
-    characters, so keys are selective even when many words share a prefix.
-    """
+def vocabulary_keys(vocabulary: DataFrame, word: str = "w1") -> DataFrame:
+    """Blocking keys ``(key, candidate)`` of distinct words, several for each word."""
     # A word is a few bytes and fans out to many keys: spread the words, not the keys.
+    parts = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = hold(vocabulary.select(word).repartition(parts, word), "keys", _keys(F.col(word), False))
+    return keyed.select(F.explode("keys").alias("key"), F.col(word).alias("candidate"))
+
+
+def probe_keys(unknown: DataFrame, word: str = "word") -> DataFrame:
+    """Blocking keys ``(word, key)`` that candidates of distinct words can have."""
     parts = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = hold(unknown.repartition(parts, word), "keys", _keys(F.col(word), True))
-    probe = stable(asked.select(word, F.explode("keys").alias("key")), "keys")
-    few = probe.count() <= BROADCAST_KEYS
-    probe = F.broadcast(probe) if few else probe
-    index = hold(vocabulary.repartition(parts, "w1"), "keys", _keys(F.col("w1"), False)).select(
-        F.col("w1").alias("candidate"), *carry, F.explode("keys").alias("key")
-    )
-    if not few:
-        # The optimizer sees the size of the words, not of their keys, and must not broadcast them.
-        index = index.hint("merge")
+    asked = hold(unknown.select(word).repartition(parts, word), "keys", _keys(F.col(word), True))
+    return asked.select(word, F.explode("keys").alias("key"))
+
+
+def near_pairs(probe: DataFrame, index: DataFrame, word: str = "word") -> DataFrame:
+    """Distinct ``(word, candidate, dist)`` within distance 2 of words and candidates that share a key.
+
+    Two words share a key only if they agree on all but a few characters, so keys are selective
+    even when many words share a prefix. How the two tables meet is left to the optimizer, so both
+    should be written: it does not see how many keys a word makes.
+    """
     dist = F.levenshtein(word, "candidate", MAX_DISTANCE)
     return (
         probe.join(index, "key")
         .where(F.abs(F.length(word) - F.length("candidate")) <= MAX_DISTANCE)
-        .select(word, "candidate", dist.alias("dist"), *carry)
+        .select(word, "candidate", dist.alias("dist"))
         .where(F.col("dist") >= 0)
+        .distinct()
     )
 
 
-def candidates(unknown: DataFrame, vocabulary: DataFrame, word: str = "word") -> DataFrame:
-    """All pairs ``(word, candidate, dist)`` within distance 2."""
-    return _matches(unknown, vocabulary, word, []).distinct()
+def candidates(
+    unknown: DataFrame, vocabulary: DataFrame, word: str = "word", index: DataFrame | None = None
+) -> DataFrame:
+    """All pairs ``(word, candidate, dist)`` within distance 2. Both inputs hold distinct words.
+
+    ``index`` is the vocabulary's kept keys (``fuzzy_index.FuzzyIndex.keys``); without one they are made
+    for this search alone.
+    """
+    if index is None:
+        index = stable(vocabulary_keys(vocabulary), "index")
+    return near_pairs(stable(probe_keys(unknown, word), "probe"), index, word)
 
 
 def unknown_words(rows: DataFrame, model: LanguageModel, word: str = "word") -> DataFrame:
@@ -131,21 +142,22 @@ def unknown_words(rows: DataFrame, model: LanguageModel, word: str = "word") ->
     )
 
 
-def _scored(words: DataFrame, model: LanguageModel, word: str) -> DataFrame:
-    """Candidates of the unknown words with ``score = ln p - 2 dist``, repeated per common key."""
-    pairs = _matches(unknown_words(words, model, word), model.unigrams, word, ["n"])
+def _scored(
+    words: DataFrame, model: LanguageModel, word: str, index: DataFrame | None = None
+) -> DataFrame:
+    """Candidates of the unknown words with ``score = ln p - 2 dist``."""
+    pairs = candidates(unknown_words(words, model, word), model.unigrams, word, index)
+    known = pairs.join(model.unigrams.select(F.col("w1").alias("candidate"), "n"), "candidate")
     score = F.log((F.col("n") + 1) / model.mass) - F.col("dist") * DISTANCE_PENALTY
-    return pairs.select(word, "candidate", "dist", score.alias("score"))
-
+    return known.select(word, "candidate", "dist", score.alias("score"))
 
-def best_corrections(words: DataFrame, model: LanguageModel, word: str = "word") -> DataFrame:
-    """Unknown words with their best candidate; ties go to the nearer, then the smaller word.
 
-    A repeated pair does not change the least element, so pairs go to the aggregate as they are
-    and each task sends on one candidate per word.
-    """
+def best_corrections(
+    words: DataFrame, model: LanguageModel, word: str = "word", index: DataFrame | None = None
+) -> DataFrame:
+    """Unknown words with their best candidate; ties go to the nearer, then the smaller word."""
     best = F.min_by("candidate", F.struct(-F.col("score"), "dist", "candidate"))
-    return _scored(words, model, word).groupBy(word).agg(best.alias("corrected"))
+    return _scored(words, model, word, index).groupBy(word).agg(best.alias("corrected"))
 
 
 def top_corrections(
@@ -155,20 +167,21 @@ def top_corrections(
     order = Window.partitionBy(word).orderBy(F.desc("score"), "dist", "candidate")
     return (
         _scored(words, model, word)
-        .distinct()
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= n)
     )
 
 
-def correct(rows: DataFrame, model: LanguageModel, word: str = "word") -> DataFrame:
+def correct(
+    rows: DataFrame, model: LanguageModel, word: str = "word", index: DataFrame | None = None
+) -> DataFrame:
     """Add ``corrected``: the best candidate, or the word itself when known or without one.
 
     Corrections are found once per distinct word and looked up; the word frequencies of the rows
-    say which keys are heavy.
+    say which keys are heavy. ``index`` as in ``candidates``.
     """
     counts = rows.groupBy(word).agg(F.count("*").alias("n"))
-    fixes = stable(best_corrections(counts, model, word).join(counts, word), "corrections")
+    fixes = stable(best_corrections(counts, model, word, index).join(counts, word), "corrections")
     return lookup(rows, fixes, [word], ["corrected"]).withColumn(
         "corrected", F.coalesce("corrected", word)
     )

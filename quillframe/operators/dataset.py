@@ -147,7 +147,7 @@ def class_dimension(df: DataFrame) -> DataFrame:
 
 
 def with_class_char(rows: DataFrame, classes: DataFrame, label: str = "label") -> DataFrame:
-    """The class table has 62 rows, so it is broadcast."""
-    return rows.join(F.broadcast(classes), rows[label] == classes["class_id"], "left").drop(
+    """Left lookup of the character; whether the class table is broadcast follows from its size."""
+    return rows.join(classes, rows[label] == classes["class_id"], "left").drop(
         "class_id"
     )

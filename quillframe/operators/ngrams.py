@@ -53,21 +53,30 @@ def window_counts(
     segment are ordered globally, for the windows that run into the next segments; a segment
     shorter than that is in the edge table whole, so a window may span several.
     """
-    names = [f"w{i + 1}" for i in range(n)]
-    words = segments.where(F.size(tokens) > 0).select(*order, F.col(tokens).alias("t"))
-
-    span = F.size("t") - (n - 1)
-    shifted = F.arrays_zip(*[F.slice("t", F.lit(i + 1), span).alias(names[i]) for i in range(n)])
-    inner = hold(words.where(F.size("t") >= n), "g", shifted).select(F.explode("g").alias("g"))
+    # Written before it is ordered: placing rows by range reads its input twice.
+    edges = stable(segment_edges(segments, order, n, tokens), "edges")
     return (
-        inner.select("g.*")
-        .unionByName(_end_windows(words, list(order), n, chunk_rows))
-        .groupBy(*names)
+        inner_windows(segments, n, tokens)
+        .unionByName(windows_at_ends(edges, order, n, chunk_rows))
+        .groupBy(*[f"w{i + 1}" for i in range(n)])
         .agg(F.count("*").alias("n"))
     )
 
 
-def _end_windows(words: DataFrame, order: list[str], n: int, chunk_rows: int) -> DataFrame:
+def inner_windows(segments: DataFrame, n: int, tokens: str = "tokens") -> DataFrame:
+    """The n tokens from each token on that has as many after it in its segment."""
+    names = [f"w{i + 1}" for i in range(n)]
+    words = segments.where(F.size(tokens) >= n).select(F.col(tokens).alias("t"))
+    span = F.size("t") - (n - 1)
+    shifted = F.arrays_zip(*[F.slice("t", F.lit(i + 1), span).alias(names[i]) for i in range(n)])
+    return hold(words, "g", shifted).select(F.explode("g").alias("g")).select("g.*")
+
+
+def segment_edges(
+    segments: DataFrame, order: Sequence[str], n: int, tokens: str = "tokens"
+) -> DataFrame:
+    """The ``n - 1`` tokens ``w`` at each end of a segment with their ``pos`` and the segment's ``len``."""
+    words = segments.where(F.size(tokens) > 0).select(*order, F.col(tokens).alias("t"))
     size = F.size("t")
     at_ends = F.array_distinct(
         F.concat(
@@ -76,13 +85,22 @@ def _end_windows(words: DataFrame, order: list[str], n: int, chunk_rows: int) ->
         )
     )
     ends = F.transform(at_ends, lambda i: F.struct(i.alias("pos"), F.get("t", i).alias("w")))
-    # Written before it is ordered: placing rows by range reads its input twice.
-    edges = stable(
+    if n == 1:
+        ends = F.slice(ends, 1, 0)  # nothing runs over an end
+    return (
         hold(words.withColumn("len", size), "e", ends)
         .select(*order, "len", F.explode("e").alias("e"))
-        .select(*order, "len", "e.pos", "e.w"),
-        "edges",
+        .select(*order, "len", "e.pos", "e.w")
     )
+
+
+def windows_at_ends(
+    edges: DataFrame, order: Sequence[str], n: int, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """The n tokens from each of the last ``n - 1`` tokens of a segment on, across following segments.
+
+    ``edges`` is the written table of all segments' edges, in any order of rows.
+    """
     numbered = with_ordinal(edges, [*order, "pos"])
 
     # A chunk also gets the first n - 1 rows of the next one, so that a window sees past its end.

@@ -226,7 +226,7 @@ def s9(spark, sf):
     dimension = readers.read_class_map(spark, path)
     vectors = v.table(spark, sf, "embeddings")
     return (
-        vectors.join(F.broadcast(dimension), vectors["label"] == dimension["class_id"])
+        vectors.join(dimension, vectors["label"] == dimension["class_id"])
         .groupBy("class_id", "ch")
         .agg(F.count("*").alias("n"))
     )

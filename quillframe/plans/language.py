@@ -9,6 +9,8 @@ from quillframe.functions.text import edit_distance, words
 from quillframe.operators import correction as co
 from quillframe.operators import evaluation as ev
 from quillframe.operators import ngrams as ng
+from quillframe.operators.fuzzy_index import FuzzyIndex
+from quillframe.operators.kept_counts import KeptCounts
 from quillframe.plans import views as v
 from quillframe.plans.registry import query, rounded
 from quillframe.session import scratch_path, stable
@@ -62,6 +64,19 @@ def l3(spark, sf):
     return ng.ngram_counts(v.segments(spark, sf), ["doc_id"], 3)
 
 
+@query("l3_incremental_trigrams", f"WITH {_COUNT_SQL} SELECT w1, w2, w3, n FROM tri")
+def l3_kept(spark, sf):
+    """Trigrams of documents that come by language, one language at a time, with a compaction between."""
+    kept = KeptCounts(spark, scratch_path(spark, "counts"), ["doc_id"], 3)
+    langs = v.table(spark, sf, "documents").select("doc_id", "lang")
+    segments = stable(v.segments(spark, sf).join(langs, "doc_id"), "segments")
+    for lang in ("fr", "de", "es"):
+        kept.add(lang, segments.where(F.col("lang") == lang))
+    kept.compact()
+    kept.add("rest", segments.where("lang is null or lang not in ('fr', 'de', 'es')"))
+    return kept.counts(3)
+
+
 _ASKED_SQL = """
     asked AS (SELECT conv_id, turn, u.pos - 1 AS pos, t[u.pos] AS true_text FROM (
         SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '{space}+'), lambda w: w <> '') AS t
@@ -174,6 +189,16 @@ def l7(spark, sf):
     return co.candidates(co.unknown_words(_garbled(spark, sf), model), model.unigrams)
 
 
+@query("l7_kept_index_candidates", _CANDIDATE_SQL + "SELECT word, candidate, dist FROM pair")
+def l7_kept(spark, sf):
+    """The same pairs from a kept index: English words first, the others as an increment, then compacted."""
+    model = _model(spark, sf, 1)
+    docs = v.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", words(F.col("text")).alias("tokens"))
+    index = FuzzyIndex.create(ng.unigram_counts(docs).select("w1"), scratch_path(spark, "fuzzy"))
+    index.add(model.unigrams)
+    return index.compact().search(co.unknown_words(_garbled(spark, sf), model))
+
+
 _CORRECT_SQL = (
     _CANDIDATE_SQL
     + """, corrected AS (SELECT g.*, coalesce(r.candidate, g.word) AS corrected

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillframe.functions.text import decode
 from quillframe.operators import decoding as de
 from quillframe.operators import layout as ly
+from quillframe.operators.ordering import with_ordinal
 from quillframe.plans import views as v
 from quillframe.plans.pixels import _D, _kept, _with
 from quillframe.plans.registry import query, rounded
@@ -79,7 +80,8 @@ def b3(spark, sf):
 @query(
     "b4_padded_crops",
     _with(_MERGE_SQL)
-    + f""", crops AS (SELECT image_id, first_pos, greatest(0, x - 2) AS x, greatest(0, y - 2) AS y,
+    + f""", numbered AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS ord, count(*) OVER () AS n_samples FROM greedy),
+    crops AS (SELECT image_id, first_pos, greatest(0, x - 2) AS x, greatest(0, y - 2) AS y,
         least({v.PAGE_W} - greatest(0, x - 2), w + 4) AS w, least({v.PAGE_H} - greatest(0, y - 2), h + 4) AS h FROM merged)
     SELECT * FROM crops WHERE w > 0 AND h > 0""",
 )
@@ -199,16 +201,14 @@ def c2_best(spark, sf):
     return rows.where(F.col("rank") == 1).select("sample_id", _text(F.col("labels")).alias("text"))
 
 
-_VECTORS = 500  # the scores of so many vectors stand for those of the crops
-
-
 @query(
     "b_recognised_pages",
     _with(f"""{_MERGE_SQL}, {_GREEDY_SQL}""")
-    + f""", crops AS (SELECT image_id, first_pos, least({v.PAGE_W} - greatest(0, x - 2), w + 4) AS w,
+    + f""", numbered AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS ord, count(*) OVER () AS n_samples FROM greedy),
+    crops AS (SELECT image_id, first_pos, least({v.PAGE_W} - greatest(0, x - 2), w + 4) AS w,
         least({v.PAGE_H} - greatest(0, y - 2), h + 4) AS h FROM merged),
     read AS (SELECT image_id, string_agg(text, ' ' ORDER BY first_pos) AS prediction FROM crops
-      JOIN greedy ON sample_id = (image_id * 31 + first_pos) % {_VECTORS} WHERE w > 0 AND h > 0 AND text <> ''
+      JOIN numbered ON ord = (image_id * 31 + first_pos) % n_samples WHERE w > 0 AND h > 0 AND text <> ''
       GROUP BY image_id),
     captions AS (
       SELECT o_custkey AS image_id, arg_min(o_orderstatus || '/' || o_orderpriority, o_orderkey) AS caption
@@ -217,13 +217,17 @@ _VECTORS = 500  # the scores of so many vectors stand for those of the crops
     FROM read LEFT JOIN captions USING (image_id)""",
 )
 def recognised_pages(spark, sf):
-    """Boxes to result records: reading order, merge, padded crops, best path, sentence, caption."""
+    """Boxes to result records: reading order, merge, padded crops, best path, sentence, caption.
+
+    The vectors' scores stand for those of the crops, all vectors in turn.
+    """
     crops = ly.padded_crops(_merged(spark, sf).drop("n_boxes"), v.PAGE_W, v.PAGE_H)
     best = de.beam_rows(v.logits(spark, sf), "sample_id", v.BLANK_CLASS, v.CLASSES).where(F.col("rank") == 1)
-    texts = best.select("sample_id", _text(F.col("labels")).alias("text"))
-    sample = (F.col("image_id") * 31 + F.col("first_pos")) % _VECTORS
+    texts = stable(best.select("sample_id", _text(F.col("labels")).alias("text")), "texts")
+    turn = (F.col("image_id") * 31 + F.col("first_pos")) % max(texts.count(), 1)
+    texts = with_ordinal(texts, ["sample_id"])
     words = stable(
-        crops.withColumn("sample_id", sample).join(texts, "sample_id").where(F.col("text") != ""), "words"
+        crops.withColumn("ord", turn).join(texts, "ord").where(F.col("text") != ""), "words"
     )
     pages = ly.sentences(words, ["image_id"], ["first_pos"]).select(
         F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("filename"), "sentence"

@@ -144,3 +144,29 @@ def test_classifier_learns_what_can_be_learned(spark):
     df = spark.createDataFrame(rows, "id long, label int, features array<double>")
     got = cl.predict(cl.fit_mlp(df.where("id < 300"), (16,), 8, 4), df.where("id >= 300"))
     assert classification_accuracy(got, "label", "predicted").first().accuracy > 0.9
+
+
+def test_every_vector_can_serve_a_crop(spark, sf, tmp_path, monkeypatch):
+    """Sparse ids, and more vectors than the small tables have."""
+    import oracle
+
+    from quillframe.plans import catalog
+
+    spark.read.parquet(f"{sf}/orders.parquet").write.parquet(str(tmp_path / "orders.parquet"))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    more = vectors.unionByName(vectors.withColumn("vec_id", F.col("vec_id") + 10_000))
+    more = more.withColumn("vec_id", F.col("vec_id") * 3 + 1)
+    more.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    name = "b_recognised_pages"
+    monkeypatch.setattr(oracle, "connect", _views)
+    assert oracle.compare(spark, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name]) is None
+    assert more.count() == 1_000
+
+
+def _views(folder):
+    import duckdb
+
+    out = duckdb.connect()
+    for name in ("orders", "embeddings"):
+        out.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    return out
