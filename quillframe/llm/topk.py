@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 512  # vectors, and queries, that meet in one task
+RESOLVE = 4  # the vectors still possible are scored once they are at most so many times k
 
 
-def no_random_access(queries, query_ids, vectors, vector_ids, k):
+def no_random_access(queries, query_ids, vectors, vector_ids, k, read=None):
     """Top ``k`` of ``vectors`` for each query: (query row, vector row, score), ties to smaller ids.
 
     Each component has a list of the vectors by that component, read from its high end where the
     query's component is positive and from its low end where it is negative. After some depth a
     vector's score lies between its known components plus the worst, and plus the best, that the
-    unread part of each list can hold. A query is done when no vector outside its best ``k`` can
-    reach the k-th lower bound; the scores of those left are then resolved. The bounds of all
-    vectors, those not seen in any list too, come from four matrix products for each depth.
+    unread part of each list can hold. Vectors whose upper bound is under the k-th lower bound are
+    out; a query reads no further once at most ``RESOLVE * k`` vectors are left, and the scores of
+    those are then resolved. The bounds of all vectors, those not seen in any list too, come from
+    four matrix products for each depth. Depths double up to half of the lists and then grow by a
+    sixteenth of them. ``read`` (a list) gets the depth that each query has read, with its row.
     """
     n, dim = vectors.shape
     down = np.sort(vectors, axis=0)[::-1]
@@ -41,13 +44,16 @@ def no_random_access(queries, query_ids, vectors, vector_ids, k):
         worst[own], best[own] = floor, floor
         kth = np.partition(worst, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), floor)
         alive = (best >= kth[:, None]) & ~own
-        done = (alive.sum(axis=1) <= np.minimum(k, real)) | (depth == n)
+        done = (alive.sum(axis=1) <= RESOLVE * np.minimum(k, real)) | (depth == n)
         for row in np.flatnonzero(done):
             at = np.flatnonzero(alive[row])
             score = vectors[at] @ q[row]
             top = np.lexsort((vector_ids[at], -score))[:k]
             out.append((np.full(len(top), open_[row]), at[top], score[top]))
-        open_, depth = open_[~done], depth * 2
+            if read is not None:
+                read.append((int(open_[row]), depth))
+        open_ = open_[~done]
+        depth = depth * 2 if 4 * depth <= n else depth + max(1, n // 16)
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))

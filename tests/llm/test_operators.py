@@ -375,6 +375,31 @@ def test_sorted_reading_stops_early(monkeypatch):
     assert np.allclose(score, np.sort((v @ q[0])[:10])[::-1])
 
 
+@pytest.mark.parametrize("block", [512, 2_000])
+def test_reading_stops_on_the_given_vectors(spark, block):
+    """Nine tenths of the queries are settled before the lists are read to the end."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    v = np.floor(1024 * np.array([r["embedding"] for r in rows], dtype=np.float32).astype(np.float64))
+    ids = np.array([r["vec_id"] for r in rows])
+    asked = ids % 100 == 0
+    short = total = 0
+    for low in range(0, len(v), block):
+        read = []
+        at = slice(low, low + block)
+        a, b, score = topk.no_random_access(v[asked], ids[asked], v[at], ids[at], 10, read)
+        n = len(v[at])
+        assert sorted(row for row, _ in read) == list(range(asked.sum()))
+        if n < 100:
+            continue
+        short, total = short + sum(depth < n for _, depth in read), total + len(read)
+        for row in range(asked.sum()):
+            exact = v[at] @ v[asked][row]
+            own = np.flatnonzero(ids[at] != ids[asked][row])
+            best = own[np.lexsort((ids[at][own], -exact[own]))[:10]]
+            assert b[a == row].tolist() == best.tolist()
+    assert short >= 0.9 * total > 0
+
+
 # --- token files --------------------------------------------------------------------------------
 
 
