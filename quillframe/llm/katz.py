@@ -125,9 +125,9 @@ def _total(table: pa.Table) -> pa.Table:
     answers = np.zeros(len(place), dtype=np.uint8)
     _, first = np.unique(place[held], return_index=True)
     answers[held[first]] = 1
-    back = total[place].astype("<u4") if total.max(initial=0) < 2**32 else None
-    if back is None:
-        raise OverflowError("an n-gram occurs more than 2**32 times")
+    # Four bytes hold all but the counts of the commonest n-grams of hundreds of gigabytes of text.
+    width = 4 if total.max(initial=0) < 2**32 else 8
+    back = total[place].astype(f"<u{width}")
     size = table["size"][0].as_py()
     low = np.bincount(total[total <= CUT + 1], minlength=CUT + 2)[1:]
     n = table.num_rows
@@ -136,6 +136,7 @@ def _total(table: pa.Table) -> pa.Table:
         "size": pa.array([size] * (n + 1), pa.int32()),
         "bucket": pa.array([*table["bucket"].to_pylist(), table["bucket"][0].as_py()], pa.int64()),
         "block": pa.array([*table["block"].to_pylist(), None], pa.int64()),
+        "width": pa.array([width] * (n + 1), pa.int32()),
         "totals": pa.array([back[a:b].tobytes() for a, b in zip(edges, edges[1:])] + [None], pa.binary()),
         "answers": pa.array(
             [np.packbits(answers[a:b]).tobytes() for a, b in zip(edges, edges[1:])] + [None], pa.binary()
@@ -213,7 +214,7 @@ def score(
         .groupBy("size", "bucket")
         .applyInArrow(
             _total,
-            "kind string, size int, bucket long, block long, totals binary, answers binary, "
+            "kind string, size int, bucket long, block long, width int, totals binary, answers binary, "
             "of_counts array<long>",
         ),
         "answered",
@@ -242,7 +243,7 @@ def score(
     texts = three.mapInArrow(
         numbered, "block long, place long, doc_id long, text string, learns boolean"
     )
-    back = answered.where("kind = 'back'").select("block", "size", "bucket", "totals", "answers")
+    back = answered.where("kind = 'back'").select("block", "size", "bucket", "width", "totals", "answers")
     scored = _by_kind(
         texts.groupBy("block")
         .cogroup(back.groupBy("block"))
@@ -286,8 +287,11 @@ def _evaluate(left: pa.Table, right: pa.Table, discount: np.ndarray, whole: floa
     total, answers = [], []
     for size, (keys, _, _) in enumerate(block.grams, 1):
         rows = np.flatnonzero(sizes == size)
-        parts = [np.frombuffer(right["totals"][int(i)].as_buffer(), "<u4") for i in rows]
-        total.append(np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.int64))
+        widths = right["width"].to_numpy()
+        parts = [
+            np.frombuffer(right["totals"][int(i)].as_buffer(), f"<u{widths[i]}").astype(np.int64) for i in rows
+        ]
+        total.append(np.concatenate([*parts, np.zeros(0, np.int64)]))
         bits = [
             np.unpackbits(np.frombuffer(right["answers"][int(i)].as_buffer(), np.uint8))[: len(p)]
             for i, p in zip(rows, parts)
