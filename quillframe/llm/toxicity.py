@@ -17,7 +17,6 @@ FEATURES = 1 << 20
 MAX_ROWS = 16_384  # labelled documents that the model is fitted on
 EPOCHS = 300
 EVIDENCE = 10.0  # least Poisson likelihood ratio of a feature that may get a weight
-MAX_FEATURES = 4_096
 
 _ASCII_PUNCTUATION = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 _PARTS = words.SPACE | _ASCII_PUNCTUATION
@@ -36,7 +35,7 @@ def sentences(data: np.ndarray, bounds: np.ndarray):
     """Of some texts: features, the sentence each is in, and of the sentences that hold words the
     text and the bytes from and to (within the text).
 
-    A feature is a hashed word, or five bytes in a row of one word and the byte before it, so that
+    A feature is a hashed word, or four bytes in a row of one word and the byte before them, so that
     stems and endings count whatever they are joined to.
     """
     value, own, start = words.hashed_words(data, bounds, _PARTS, starts=True)
@@ -51,21 +50,18 @@ def sentences(data: np.ndarray, bounds: np.ndarray):
     which = sentence[first]
     text = np.searchsorted(own, first, side="right") - 1
 
-    parted = _PARTS[raw]
-    low = np.zeros(len(raw) + 8, dtype=np.uint8)
-    np.take(words.LOWER, raw, out=low[1:-7])
-    low[1:-7][parted] = 0
-    low[at[:-1][at[:-1] < at[1:]]] = 0  # the byte before a text
+    # A zero before each text keeps runs inside their text, whatever texts share the batch.
+    moved = np.arange(len(raw)) + np.repeat(np.arange(len(at) - 1), np.diff(at)) + 1
+    low = np.zeros(len(raw) + len(at) + 7, dtype=np.uint8)
+    low[moved] = np.where(_PARTS[raw], 0, words.LOWER[raw])
+    back = np.zeros(len(low), dtype=np.int64)
+    back[moved] = np.arange(len(raw))
     letter = low != 0
-    inside = letter[1:-3] & letter[2:-2] & letter[3:-1] & letter[4:]
-    edge = np.zeros(len(low), dtype=bool)
-    edge[at] = True  # a run must not go over the end of a text
-    inside &= ~(edge[1:-3] | edge[2:-2] | edge[3:-1])
-    place = np.flatnonzero(inside[: len(raw)])
+    place = np.flatnonzero(letter[1:-7] & letter[2:-6] & letter[3:-5] & letter[4:-4])
     eight = np.ndarray(shape=(len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
     run = words.mix(eight[place] & np.uint64((1 << 40) - 1))
     feature = np.concatenate([value, run]) % np.uint64(FEATURES)
-    of = np.concatenate([sentence, np.searchsorted(cut, place, side="right") - 1])
+    of = np.concatenate([sentence, np.searchsorted(cut, back[place + 1], side="right") - 1])
     ends = np.append(cut, at[-1])[which + 1]
     return (
         feature.astype(np.int64), np.searchsorted(which, of), text,
@@ -131,16 +127,20 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = MAX_ROWS,
-    max_features: int = MAX_FEATURES,
     least: float = EVIDENCE,
 ) -> Model:
     """Fit on at most ``max_rows`` labelled documents, those with the least hash of the id.
 
     ``usable`` says of a row of ``labels`` whether it may be learned from; ids with several rows
     are toxic if one row says so. The executors count in how many documents, and toxic ones,
-    each feature is; the ``max_features`` with the most evidence, of ``least`` or more, may get a
-    weight, so words of a few documents stay out. What the driver then fits on is the places of
-    these features in the sentences of the bounded sample.
+    each feature is; all with evidence of ``least`` or more may get a weight, so words of a few
+    documents stay out. What the driver then fits on is the places of these features, of which
+    there are at most ``FEATURES``, in the sentences of the bounded sample.
+
+    Defined cases: null and empty texts have no features; labels that are null, or of a null or
+    unknown id, are not learned from; a document that has several rows is learned from in each; other
+    columns are ignored, whatever their names; without rows, or with labels of one kind, the
+    model gives that kind to all texts (clean, where there are no rows).
     """
     chosen = (
         labels.where(usable & labels[label_col].isNotNull() & labels[id_col].isNotNull())
@@ -191,8 +191,6 @@ def train(
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / expected) - F.col("toxic") + expected)
     best = (
         counts.where((F.col("feature") >= 0) & (F.col("toxic") > expected) & (ratio >= least))
-        .orderBy(ratio.desc(), "feature")
-        .limit(max_features)
         .select("feature")
         .toArrow()["feature"]
         .to_numpy()

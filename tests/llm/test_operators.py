@@ -326,11 +326,94 @@ def test_toxicity(spark, docs, odd, none):
     assert toxicity.score(docs(["vile"]), unlabelled).first().score < 0.5
 
 
-def test_held_out_toxicity():
-    """On the given documents: four of five held-out toxic ones found, hardly a clean one."""
-    from pyspark.sql import SparkSession
+def slow_sentences(text):
+    """Features of each sentence of a text that has words, one byte at a time."""
+    raw, out = text.encode(), []
+    parts = set(b" \t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    start = 0
+    for end in [i + 1 for i, c in enumerate(raw) if c in b".!?\n"] + [len(raw)]:
+        own = []
+        i = start
+        while i < end:
+            j = i
+            while j < end and low[j] not in parts:
+                j += 1
+            if j > i:
+                word = np.frombuffer(low[i:j], np.uint8)
+                own.append(int(toxicity.words.hashed_words(word, np.array([0, j - i]), toxicity._PARTS)[0][0]))
+                for k in range(i, j - 3):
+                    before = bytes([low[k - 1] if k > i else 0])
+                    value = np.array([int.from_bytes(before + low[k : k + 4], "little")], np.uint64)
+                    own.append(int(toxicity.words.mix(value)[0]))
+            i = max(j, i + 1)
+        if own:
+            out.append([f % toxicity.FEATURES for f in own])
+        start = end
+    return out
+
+
+def slow_score(text, weight, bias):
+    clean = 1.0
+    for own in slow_sentences(text):
+        clean *= 1 - 1 / (1 + np.exp(-(bias + sum(float(weight[f]) for f in own))))
+    return 1 - clean
+
 
-    spark, sf = SparkSession.getActiveSession(), "/root/testdata/sf0.1"
+def test_noisy_or_against_a_slow_form(docs):
+    rng = np.random.default_rng(12)
+    parts = ["Vile", "words", "nasty-ness", "ünïcode", "a", "abcd", "abc", "...", "! ", "\n", ".", " ", "日本語", "endings"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(120)] + ["", "abcd", "x. abcde"]
+    model = toxicity.Model(rng.normal(size=toxicity.FEATURES).astype(np.float32) * 0.7, -1.5)
+    got = {r.doc_id: r for r in toxicity.score(docs(texts).coalesce(1), model).collect()}
+    for i, text in enumerate(texts):
+        assert abs(got[i].score - slow_score(text, model.weight, model.bias)) < 1e-6
+        assert got[i].n_sentences == len(slow_sentences(text))
+    # The same whatever texts stand next to it.
+    again = {r.doc_id: r.score for r in toxicity.score(docs(texts).repartition(50), model).collect()}
+    assert all(again[i] == r.score for i, r in got.items())
+
+
+def test_fit_is_at_a_minimum_of_the_loss():
+    """The slope of the documents' log loss, by differences, nearly vanishes where the fit ends."""
+    rng = np.random.default_rng(13)
+    n_features, sentence, feature, text, label = 6, [], [], [], []
+    for d in range(200):
+        label.append(int(rng.random() < 0.4))
+        for _ in range(3):
+            own = rng.choice(n_features, 2, replace=False)
+            if label[-1] and rng.random() < 0.5:
+                own[0] = 0
+            feature += own.tolist()
+            sentence += [len(text)] * 2
+            text.append(d)
+    arrays = [np.array(x) for x in (feature, sentence, text, label)]
+    model = toxicity.fit(*arrays, epochs=3_000, rate=0.1, l2=0.0)
+
+    def loss(w, b):
+        total = 0.0
+        for d in range(200):
+            clean = 1.0
+            for s in np.flatnonzero(arrays[2] == d):
+                clean /= 1 + np.exp(b + w[arrays[0][arrays[1] == s]].sum())
+            total -= np.log(1 - clean if label[d] else clean)
+        return total / 200
+
+    w = model.weight[:n_features].astype(np.float64)
+    for i in range(n_features + 1):
+        step = np.zeros(n_features)
+        move = 0.0
+        if i < n_features:
+            step[i] = 1e-4
+        else:
+            move = 1e-4
+        assert abs(loss(w + step, model.bias + move) - loss(w - step, model.bias - move)) / 2e-4 < 2e-3
+    assert w[0] == w.max()
+
+
+def test_held_out_toxicity(spark):
+    """On the given documents: four of five held-out toxic ones found, hardly a clean one."""
+    sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op5_noisy_or_toxicity"](spark, sf).where("held_out")
     n = {
         (r.toxic, r.predicted): r["count"]
@@ -343,6 +426,22 @@ def test_held_out_toxicity():
 # --- top-k --------------------------------------------------------------------------------------
 
 
+def test_katz_totals_above_32_bits():
+    """A bucket whose sums pass 2**32: the totals come back whole, and each block reads its own."""
+    keys = np.array([5, 9], dtype=np.uint64)
+    half = np.array([2**32 - 1, 3], dtype="<u4")
+    sent = katz.pa.table({
+        "size": katz.pa.array([1] * 3, katz.pa.int32()), "bucket": [0] * 3, "block": [0, 1, 2],
+        "keys": katz.pa.array([katz._planes(keys)] * 3, katz.pa.binary()),
+        "counts": katz.pa.array([half.tobytes()] * 3, katz.pa.binary()),
+    })
+    out = katz._total(sent).to_pylist()
+    for row in out[:3]:
+        assert row["width"] == 8
+        assert np.frombuffer(row["totals"], "<u8").tolist() == [3 * (2**32 - 1), 9]
+    assert out[3]["of_counts"][:2] == [3 * 2**32 + 6, 2]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(11)
     vectors = np.round(rng.normal(size=(700, 6)), 1).tolist()  # many ties
