@@ -69,11 +69,18 @@ def test_toxicity_stage(spark, sf, given):
 
 def test_stages_with_odd_rows(spark, sf, docs, tmp_path):
     texts = ["a b c d e f g", None, "", "a b c d e f g", "other words are here now and then"]
-    for build in (docs(texts, [0, 1, 2, None, 4]), docs(["x"]).where("false")):
+    extra = ", _id long, _h long, _row long, __row long, n_lines long, n_dropped long, row long, _ long, label long, key long"
+    clash = docs([*texts, "a b c d e f g", "more words that nobody else has"], [0, 1, 2, None, 4, 4, 5], extra)
+    builds = [docs(texts, [0, 1, 2, None, 4]), docs(["x"]).where("false"), clash, clash.where("false"), clash.dropDuplicates(["doc_id"])]
+    for number, build in enumerate(builds):
         out, n = build, build.count()
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, sf)
-            path = f"{tmp_path}/{name}-{n}"
+            if name != "packing":
+                assert out.dtypes == build.dtypes
+                for c in build.columns[5:]:
+                    assert out.where(f"`{c}` is null or `{c}` <> 7").isEmpty()
+            path = f"{tmp_path}/{name}-{number}"
             out.write.parquet(path)
             out = spark.read.parquet(path)
         assert (out.count() > 0) == (n > 0)
