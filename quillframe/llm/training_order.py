@@ -7,16 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import words
+from quillframe.llm.counts import opened, reachable
 from quillframe.llm.tokens import encoder
+from quillframe.operators.ordering import running
+from quillframe.session import stable
 
 LENGTH = 2048
 END_ID = 50_256
 SHARD_ROWS = 32_768  # 128 MB of 2048 ids
 LEAST_SHARDS = 64
+RANGE_ROWS = 2_048  # records that are read at a time, 8 MB
 ROUNDS = 6
 #: What stands before the ids of a record.
 HEADER = np.dtype([
@@ -71,7 +75,7 @@ def materialise(
     ``p`` has the index ``p * room + j``, where ``room`` is more than any partition can need (a
     sequence takes at least ``length`` bytes of text). ``feistel`` permutes all indexes; its order
     is the training order. Shards are equal ranges of it, so they are near equal in rows
-    and each is one task and one file, sorted, of records of one size. A sequence's slot is its
+    and each is one task (dealt by its number, not by a hash of it) and one file, sorted, of records of one size. A sequence's slot is its
     shard's first slot plus its row, which ``slots`` reads from the shards' sizes.
 
     The texts are tokenised once; the shuffle carries each sequence once. The number of shards
@@ -147,7 +151,7 @@ def materialise(
 
     (
         two.mapInArrow(cut, "shard int, place long, record binary")
-        .repartition(shards, "shard")
+        .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "place")
         .select(F.col("record").cast("string").alias("value"), "shard")
         .write.partitionBy("shard")
@@ -161,14 +165,32 @@ def stride(length: int = LENGTH) -> int:
 
 
 def manifest(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
-    """``shard``, ``file``, ``rows`` and ``first_slot`` of each shard; one row per file."""
-    files = (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select("shard", F.col("path").alias("file"), (F.col("length") / stride(length)).cast("long").alias("rows"))
+    """``shard``, ``file``, ``rows`` and ``first_slot`` of each shard; one row per file, none for an empty order."""
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # nothing was written below the folder
+        return spark.createDataFrame([], "shard int, file string, rows long, first_slot long")
+    rows = files.select(
+        "shard", F.col("path").alias("file"), F.expr(f"length div {stride(length)}").alias("rows"), F.lit(0).alias("_all")
+    )
+    placed = running(rows, ["_all"], ["shard", "file"], {"first_slot": ("sum", F.col("rows"), False)})
+    return placed.withColumn("first_slot", F.coalesce("first_slot", F.lit(0))).drop("_all")
+
+
+def ranges(
+    spark: SparkSession, path: str, first: int = 0, count: int | None = None, length: int = LENGTH,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """What is read for the slots ``first`` to ``first + count``: ``shard, file, first_slot, row, n``,
+    at most ``range_rows`` records at a time and no record besides them."""
+    last = F.lit(2**62 if count is None else first + count)
+    low = F.greatest(F.lit(0), F.lit(first) - F.col("first_slot"))
+    high = F.least("rows", last - F.col("first_slot"))
+    held = manifest(spark, path, length).select("*", low.alias("low"), high.alias("high")).where("low < high")
+    row = F.explode(F.sequence(F.col("low"), F.col("high") - 1, F.lit(range_rows).cast("long")))
+    return held.select("shard", "file", "first_slot", "high", row.alias("row")).select(
+        "shard", "file", "first_slot", "row",
+        F.least(F.col("high") - F.col("row"), F.lit(range_rows)).cast("long").alias("n"),
     )
-    before = Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("first_slot", F.coalesce(F.sum("rows").over(before), F.lit(0)))
 
 
 def read_slots(
@@ -177,56 +199,63 @@ def read_slots(
     first: int = 0,
     count: int | None = None,
     length: int = LENGTH,
-    key: int | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """The records of slots ``first`` to ``first + count`` (all by default), to resume a run.
 
-    Only shards that hold such slots are read. Returns slot, shard, row, doc_id and start (of the
-    first id), length, ids_crc32, whole (whether the stored ids have that checksum) and ids.
+    Only these records are read, by byte ranges through Arrow's file systems (``ranges``); in a store that Arrow
+    can't open from the driver, the files that hold them are read whole. Returns slot, shard, row,
+    doc_id and start (of the first id), length, ids_crc32, whole (whether the stored ids have that
+    checksum) and ids. Slots beyond the last give no rows, and so does an order of no documents.
     """
-    shards = manifest(spark, path, length)
-    last = F.lit(2**62 if count is None else first + count)
-    wanted = shards.where((F.col("first_slot") < last) & (F.col("first_slot") + F.col("rows") > first))
+    record = np.dtype([("head", HEADER), ("ids", "<u2", (length,)), ("end", "u1")])
     schema = pa.schema([
         ("slot", pa.int64()), ("shard", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()),
         ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("whole", pa.bool_()),
         ("ids", pa.binary()),
     ])
-    record = np.dtype([("head", HEADER), ("ids", "<u2", (length,)), ("end", "u1")])
-    until = 2**62 if count is None else first + count
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(shard: int, begin: int, row: int, every: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(every), 256):
+            part = every[low : low + 256]
+            at = np.arange(row + low, row + low + len(part))
+            head = part["head"]
+            ids = [r.tobytes() for r in part["ids"]]
+            own = np.array([zlib.crc32(x) for x in ids], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(begin + at), pa.array(np.full(len(part), shard, np.int32)), pa.array(at),
+                    pa.array(head["doc_id"].astype(np.int64)), pa.array(head["start"].astype(np.int64)),
+                    pa.array(head["length"].astype(np.int64)),
+                    pa.array(head["crc32"].astype(np.int64)), pa.array(own == head["crc32"]),
+                    pa.array(ids, pa.binary()),
+                ],
+                schema=schema,
+            )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, begin, raw in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            ):
-                every = np.frombuffer(raw.as_buffer(), dtype=record)
-                for low in range(max(0, first - begin), min(len(every), until - begin), 256):
-                    part = every[low : min(low + 256, until - begin)]
-                    row = np.arange(low, low + len(part))
-                    head = part["head"]
-                    ids = [r.tobytes() for r in part["ids"]]
-                    own = np.array([zlib.crc32(x) for x in ids], dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(begin + row), pa.array(np.full(len(part), shard, np.int32)), pa.array(row),
-                            pa.array(head["doc_id"].astype(np.int64)), pa.array(head["start"].astype(np.int64)),
-                            pa.array(head["length"].astype(np.int64)),
-                            pa.array(head["crc32"].astype(np.int64)), pa.array(own == head["crc32"]),
-                            pa.array(ids, pa.binary()),
-                        ],
-                        schema=schema,
-                    )
-
-    content = spark.read.format("binaryFile").load(path).select(
-        "shard", F.col("path").alias("file"), "content"
-    )
-    # One row for each file, as many as the driver lists to read them.
-    found = content.join(F.broadcast(wanted.drop("shard")), "file").select(
-        "shard", "first_slot", "content"
-    )
+            for r in batch.to_pylist():
+                if "content" in r:
+                    every = np.frombuffer(r["content"], dtype=record)[r["row"] : r["row"] + r["n"]]
+                else:
+                    with opened(r["file"]) as file:
+                        raw = file.read_at(r["n"] * record.itemsize, r["row"] * record.itemsize)
+                    every = np.frombuffer(raw, dtype=record)
+                if len(every) != r["n"]:
+                    raise OSError(f"{r['file']} has changed while it was read")
+                yield from parsed(r["shard"], r["first_slot"], r["row"], every)
+
+    wanted = stable(ranges(spark, path, first, count, length, range_rows), "ranges")
+    total, one = wanted.agg(F.sum("n"), F.min("file")).first()
+    if one is None or reachable(one):
+        tasks = max(1, -(-(total or 0) // range_rows))
+        found = wanted.repartition(tasks, "file", "row")
+    else:
+        content = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+        found = wanted.join(content, "file")
     return found.mapInArrow(
-        parse,
+        read,
         "slot long, shard int, row long, doc_id long, start long, length long, ids_crc32 long, "
         "whole boolean, ids binary",
     )
