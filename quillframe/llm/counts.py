@@ -8,10 +8,12 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm.tokens import encoder
+from quillframe.operators.ordering import WINDOW_ROWS, running
+from quillframe.session import stable
 
 END_ID = 50_256
 BLOCK_BYTES = 1 << 20
@@ -50,7 +52,7 @@ def write_flat(
     )
 
 
-def _opened(path: str):
+def opened(path: str):
     """A file, named as Spark names it, for reads at any place."""
     from pyarrow import fs
 
@@ -61,9 +63,9 @@ def _opened(path: str):
     return store.open_input_file(inner)
 
 
-def _reachable(path: str) -> bool:
+def reachable(path: str) -> bool:
     try:
-        _opened(path).close()
+        opened(path).close()
     except (pa.ArrowException, ImportError, OSError, ValueError):
         return False
     return True
@@ -75,6 +77,7 @@ def scan_flat(
     end_id: int = END_ID,
     block_bytes: int = BLOCK_BYTES,
     whole_bytes: int = WHOLE_BYTES,
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Documents of flat token files: file, ordinal in the file, start and number of ids.
 
@@ -87,7 +90,8 @@ def scan_flat(
     one only the length is listed; its blocks are dealt to tasks that read their byte ranges through Arrow's
     file systems (local, s3, gs, and hdfs where libhdfs is installed), whatever its length. In a
     store that Arrow can't open from the driver, files are read whole, and Spark's reader stops with an
-    error above 2 GiB. The scan over a file's blocks is one task with the places of its end ids.
+    error above 2 GiB. The scans hold a few numbers per block; of a file with more than ``window_rows`` blocks
+    they are cut to chunks that hand on their totals.
 
     Returns file (path), ordinal, start, n_tokens (without the end id) and closed (whether an
     end id was found; false for what stands after a file's last one). Defined cases: an end id right after
@@ -98,7 +102,7 @@ def scan_flat(
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     large = files.where(F.col("length") > whole_bytes).select("path", "length")
     total, one = large.agg(F.sum("length"), F.min("path")).first()
-    ranged = one is not None and _reachable(one)
+    ranged = one is not None and reachable(one)
 
     def cut(files: DataFrame, *content: str) -> DataFrame:
         return files.select(
@@ -143,7 +147,7 @@ def scan_flat(
             name, file = None, None
             for row in batch.to_pylist():
                 if row["file"] != name:
-                    name, file = row["file"], _opened(row["file"])
+                    name, file = row["file"], opened(row["file"])
                 start = row["block"] * block_bytes
                 want = min(block_bytes, row["length"] - start)
                 raw = file.read_at(want, start)
@@ -162,20 +166,24 @@ def scan_flat(
             math.ceil(total / WHOLE_BYTES), "file", F.floor(F.col("block") / run)
         ).sortWithinPartitions("file", "block")
         scanned = scanned.union(dealt.select("file", "length", "block").mapInArrow(read, returns))
-    order = Window.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # The scans run over a few numbers per block, in chunks where a file has very many blocks.
+    scanned = stable(scanned, "blocks")
+    last = F.try_element_at("ends", F.lit(-1))
+    few = scanned.select("file", "block", "n", F.size("ends").alias("count"), last.alias("last"))
     zero = F.lit(0).cast("long")
-    placed = scanned.withColumn("at", F.coalesce(F.sum("n").over(before), zero)).withColumn(
-        "last", F.col("at") + F.try_element_at("ends", F.lit(-1))
+    sums = {"at": ("sum", F.col("n"), False), "done": ("sum", F.col("count"), False)}
+    placed = running(few, ["file"], ["block"], sums, window_rows).select(
+        "file", "block", F.coalesce("at", zero).alias("at"), F.coalesce("done", zero).alias("done"), "last"
     )
-    stitched = placed.select(
-        "file",
-        "at",
-        "n",
-        "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), zero).alias("done"),
-        F.coalesce(F.max("last").over(before) + 1, zero).alias("open"),
-        (F.lead("block").over(order).isNull()).alias("final"),
+    open_ = running(
+        placed, ["file"], ["block"], {"open": ("max", F.col("at") + F.col("last"), False)}, window_rows
+    )
+    ends = few.groupBy("file").agg(F.max("block").alias("final"))
+    stitched = (
+        scanned.join(open_.drop("last"), ["file", "block"])
+        .join(ends, "file")
+        .withColumn("open", F.coalesce(F.col("open") + 1, zero))
+        .withColumn("final", F.col("block") == F.col("final"))
     )
     # One entry for each end id of a block, and one for what is left open at the end of the file.
     stop = F.concat(

@@ -522,8 +522,9 @@ def test_flat_ranges(spark, docs, tmp_path):
     counts.write_flat(docs([f"text {i} " * (i % 9) for i in range(60)]).repartition(3), path)
     (tmp_path / "flat files%20" / "open.bin").write_bytes(np.array([5, 50256, 7], "<u2").tobytes())
     want = sorted(counts.scan_flat(spark, path).collect())
-    for block, whole in ((2, 0), (6, 0), (64, 100), (1 << 20, 6)):
-        assert sorted(counts.scan_flat(spark, path, block_bytes=block, whole_bytes=whole).collect()) == want
+    for block, whole, rows in ((2, 0, 10**6), (6, 0, 5), (64, 100, 2), (1 << 20, 6, 1)):
+        got = counts.scan_flat(spark, path, block_bytes=block, whole_bytes=whole, window_rows=rows)
+        assert sorted(got.collect()) == want
     ends = [0, 1_073_741_823, 1_073_741_824, 1_200_000_000]
     with open(tmp_path / "large.bin", "wb") as f:  # zeros that take no disk
         for e in ends:
@@ -598,3 +599,14 @@ def test_training_order(spark, docs, odd, none, tmp_path):
     training_order.materialise(odd, str(tmp_path / "odd"), length=64)
     assert training_order.read_slots(spark, str(tmp_path / "odd"), length=64).count() > 0
     training_order.materialise(none, str(tmp_path / "none"))
+    assert training_order.read_slots(spark, str(tmp_path / "none")).count() == 0
+    assert training_order.manifest(spark, str(tmp_path / "none")).count() == 0
+    # No more is read than what is asked for, in ranges of one size.
+    for first, count, want in ((0, 1, 1), (len(got) - 2, 5, 2), (7, 40, 40), (len(got), 3, 0)):
+        asked = training_order.ranges(spark, path, first, count, 64, range_rows=4).collect()
+        assert sum(r.n for r in asked) == want and all(r.n <= 4 for r in asked)
+        slots = training_order.read_slots(spark, path, first, count, 64, range_rows=4).orderBy("slot").collect()
+        assert slots == got[first : first + count]
+    # Shards are whole tasks: one file each, none of them twice the others.
+    files = training_order.manifest(spark, path, 64).collect()
+    assert len({r.shard for r in files}) == len(files) == 5
