@@ -326,25 +326,25 @@ def translated(variants: DataFrame, seed: int = 0) -> DataFrame:
     return _warp_mapped(hold(variants, "_m", F.when(gate, shift_map(dx, dy))))
 
 
+def mirrored(v: Column, n: Column) -> Column:
+    """Index ``v`` reflected at the ends of ``range(n)`` without repeating the border."""
+    inner = F.abs(v)
+    return F.when(n == 1, 0).otherwise(F.when(inner > n - 1, 2 * (n - 1) - inner).otherwise(inner))
+
+
 def filter_image(img: Column, h: Column, w: Column, kernel: Column) -> Column:
     """Weighted sum over a square neighbourhood; ``kernel`` is an array of ``(dy, dx, k)``.
 
-    Outside the image the pixels are mirrored without repeating the border.
+    Outside the image the pixels are mirrored (``mirrored``).
     """
 
-    def mirror(v: Column, n: Column) -> Column:
-        inner = F.abs(v)
-        return F.when(n == 1, 0).otherwise(
-            F.when(inner > n - 1, 2 * (n - 1) - inner).otherwise(inner)
-        )
-
     def at(i: Column) -> Column:
         y, x = F.floor(i / w), i % w
         return F.aggregate(
             kernel,
             F.lit(0.0),
             lambda acc, k: acc
-            + k["k"] * F.get(img, (mirror(y + k["dy"], h) * w + mirror(x + k["dx"], w)).cast("int")),
+            + k["k"] * F.get(img, (mirrored(y + k["dy"], h) * w + mirrored(x + k["dx"], w)).cast("int")),
         )
 
     return F.transform(F.sequence(F.lit(0), h * w - 1), at)

@@ -10,8 +10,9 @@ from quillframe.operators import augment as au
 from quillframe.operators import components as cc
 from quillframe.operators import images as im
 from quillframe.operators import polygons as po
+from quillframe.operators import tiles as ti
 from quillframe.plans import views as v
-from quillframe.plans.registry import query, rounded
+from quillframe.plans.registry import ORACLES, query, rounded
 from quillframe.session import stable
 
 
@@ -512,6 +513,15 @@ def g4_perspective(spark, sf):
     return _totals(au.tilted(au.fan_out(v.unit_images(spark, sf), seed=SEED), seed=SEED))
 
 
+def _kernel():
+    return F.array(
+        *[
+            F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(0.25).alias("k"))
+            for dy, dx in ((-1, 0), (0, -1), (0, 0), (1, 1))
+        ]
+    )
+
+
 @query(
     "g5_neighbourhood_sum",
     f"""WITH {v.SQL_SHAPES}, kernel(dy, dx, k) AS (VALUES (-1, 0, 0.25), (0, -1, 0.25), (0, 0, 0.25), (1, 1, 0.25)),
@@ -523,14 +533,8 @@ def g4_perspective(spark, sf):
     FROM asked a JOIN pixels p ON a.image_id = p.image_id AND a.ny = p.y AND a.nx = p.x GROUP BY ALL""",
 )
 def g5(spark, sf):
-    kernel = F.array(
-        *[
-            F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(0.25).alias("k"))
-            for dy, dx in ((-1, 0), (0, -1), (0, 0), (1, 1))
-        ]
-    )
     out = v.images(spark, sf).withColumn(
-        "img", au.filter_image(F.col("img"), F.col("h"), F.col("w"), kernel)
+        "img", au.filter_image(F.col("img"), F.col("h"), F.col("w"), _kernel())
     )
     return _cells(out).withColumn("v", rounded("v"))
 
@@ -562,6 +566,42 @@ def g5_motion(spark, sf):
     return _totals(au.motion_blur(au.fan_out(v.unit_images(spark, sf), seed=SEED), seed=SEED))
 
 
+# --- the same on tiles ------------------------------------------------------------------------------
+
+# Tiles are far smaller than in use, so that every image has several and every target tile meets a border.
+
+
+@query(
+    "a4_tiled_resample",
+    f"WITH {v.SQL_SHAPES}, {_RESAMPLE_SQL.format(src='pixels', out='model', value='level', tw=128)} "
+    + _ROW_SUMS.format(src="model"),
+)
+def a4_tiled(spark, sf):
+    """Images of three by three pixel tiles to the recogniser's size."""
+    out = ti.resample(ti.tiled(v.images(spark, sf), tile=3), F.lit(im.MODEL_H), F.lit(im.MODEL_W), tile=3)
+    return _row_sums(ti.whole(out))
+
+
+@query("a5_tiled_fit_and_pad", f"WITH {v.SQL_SHAPES}, {_FIT_SQL} " + _ROW_SUMS.format(src="done"))
+def a5_tiled(spark, sf):
+    return _row_sums(ti.fit_and_pad(ti.tiled(v.images(spark, sf), tile=7), tile=7))
+
+
+@query("g4_tiled_rotation", ORACLES["g4_rotation_warp"])
+def g4_tiled(spark, sf):
+    variants = au.fan_out(v.unit_images(spark, sf), seed=SEED)
+    keys = ["image_id", "variant"]
+    turn = F.when(F.col("do_rotate"), au.rotation_map(F.col("angle"), F.col("h"), F.col("w")))
+    tiles = ti.tiled(variants, keys, tile=3)
+    return _totals(ti.whole(ti.warp_tiles(tiles, variants.select(*keys, turn.alias("m")), keys, tile=3), keys))
+
+
+@query("g5_tiled_neighbourhood_sum", ORACLES["g5_neighbourhood_sum"])
+def g5_tiled(spark, sf):
+    out = ti.filter_tiles(ti.tiled(v.images(spark, sf), tile=3), _kernel(), 1, tile=3)
+    return _cells(ti.whole(out)).withColumn("v", rounded("v"))
+
+
 # --- components -------------------------------------------------------------------------------------
 
 _FG = f"v > {v.LOW_TEXT} OR link > {v.LINK}"
