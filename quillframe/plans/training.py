@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillframe.functions.arrays import argmax
 from quillframe.operators import classify as cl
 from quillframe.operators import history as hi
+from quillframe.operators import network as nw
 from quillframe.operators.dataset import half_split
 from quillframe.operators.evaluation import classification_accuracy
 from quillframe.plans import views as v
@@ -284,3 +286,48 @@ def m3_class(spark, sf):
     return steps.select(
         "sample_id", "step", argmax(F.col("s")).alias("predicted"), rounded(F.exp(F.array_max("s"))).alias("probability")
     )
+
+
+# Weights by a rule, so that SQL can repeat the pass.
+_LAYERS = (64, 16, 8, 10)
+
+
+def _ruled_network() -> nw.Network:
+    weights, biases = [], []
+    for k, (a, b) in enumerate(zip(_LAYERS[:-1], _LAYERS[1:])):
+        i, j = np.arange(a)[:, None], np.arange(b)[None, :]
+        weights.append(((i * 31 + j * 17 + k * 7) % 19 - 9) / 10.0)
+        biases.append(((j[0] * 5 + k) % 7 - 3) / 10.0)
+    return nw.Network(weights, biases)
+
+
+def _layer_sql(k: int) -> str:
+    a, b = _LAYERS[k : k + 2]
+    total = f"""list_sum(list_transform(range(0, {a}), lambda i: v[i + 1] * ((i * 31 + j * 17 + {7 * k}) % 19 - 9) / 10.0::DOUBLE))
+      + ((j * 5 + {k}) % 7 - 3) / 10.0::DOUBLE"""
+    value = total if k + 2 == len(_LAYERS) else f"greatest(0.0::DOUBLE, {total})"
+    return f"l{k + 1} AS (SELECT id, label, list_transform(range(0, {b}), lambda j: {value}) AS v FROM l{k})"
+
+
+@query(
+    "m3_network_forward",
+    f"""WITH l0 AS (SELECT vec_id AS id, label::INTEGER AS label, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM embeddings),
+    {", ".join(_layer_sql(k) for k in range(len(_LAYERS) - 1))},
+    best AS (SELECT id, label, list_position(v, list_max(v)) - 1 AS predicted,
+      1 / list_sum(list_transform(v, lambda e: exp(e - list_max(v)))) AS probability FROM l3)
+    SELECT id, label, predicted::INTEGER AS predicted, round(probability, 9) + 0.0 AS probability FROM best""",
+)
+def m3_forward(spark, sf):
+    """Classes and probabilities of all vectors from given weights of a network with rectified units."""
+    rows = v.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), F.col("embedding").alias("features")
+    )
+    return nw.predict(rows, _ruled_network()).withColumn("probability", rounded("probability", 9))
+
+
+@query("m2_network_accuracy")
+def m2_network(spark, sf):
+    """Accuracy on the second half of the vectors of a network fitted on the first half."""
+    train, test = _halves(spark, sf)
+    out = classification_accuracy(nw.predict(test, nw.fit(train, (128, 64), 64, 10, epochs=6, batches=2)), "label", "predicted")
+    return out.withColumn("accuracy", rounded("accuracy", 9))
