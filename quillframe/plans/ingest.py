@@ -68,6 +68,20 @@ def s3(spark, sf):
     return ds.reject_counts(_checked(spark, sf))
 
 
+@query(
+    "s3_observed_rejects",
+    f"""WITH {v.SQL_INDEX} SELECT outcome, count(*) AS n, count(*) FILTER (outcome = 'ok') AS written
+    FROM checked GROUP BY outcome""",
+)
+def s3_observed(spark, sf):
+    """Outcomes as they are counted while the accepted lines are written, with the lines written."""
+    path = scratch_path(spark, "accepted")
+    counts = writers.write_accepted(_checked(spark, sf), path)
+    written = spark.read.parquet(path).select(F.lit("ok").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("written"))
+    rows = spark.createDataFrame([(o, n) for o, n in counts.items() if n], "outcome string, n long")
+    return rows.join(written, "outcome", "left").select("outcome", "n", F.coalesce("written", F.lit(0)).alias("written"))
+
+
 @query(
     "s4_caption_csv",
     f"""WITH {v.SQL_INDEX},

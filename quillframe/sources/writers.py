@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillframe.functions.geometry import truncated_line
@@ -25,6 +25,22 @@ def write_summary(report: DataFrame, path: str) -> None:
     ordered.write.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
 
 
+OUTCOMES = ("invalid_format", "bad_status", "missing_image", "encode_error", "ok")
+
+
+def write_accepted(checked: DataFrame, path: str) -> dict[str, int]:
+    """Write the accepted lines of ``dataset.outcomes`` and return how many lines had each outcome.
+
+    The counts are observed in the pass that writes, so lines are read, parsed and joined with the
+    images once. They are taken in the writing stage, whose tasks count once each, also when some
+    run again.
+    """
+    seen = Observation("outcomes")
+    counts = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES]
+    checked.observe(seen, *counts).where(F.col("outcome") == "ok").drop("outcome").write.parquet(path)
+    return {o: int(seen.get[o]) for o in OUTCOMES}
+
+
 def write_records(records: DataFrame, path: str, batch: str | None = None) -> None:
     """Result records (image, ground_truth, prediction) as JSON lines, in folders per batch."""
     writer = records.write

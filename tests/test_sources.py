@@ -125,3 +125,19 @@ def test_loss_of_an_impossible_label_is_zero(spark):
     df = spark.createDataFrame([(lp, [0, 1]), (lp, [0]), (lp, [])], "lp array<array<double>>, labels array<int>")
     got = [r.loss for r in df.select(de.ctc_loss(F.col("lp"), F.lit(1), F.col("labels"), 2).alias("loss")).collect()]
     assert got == [0.0, 1.0, 1.0]
+
+
+def test_rejects_are_counted_in_the_writing_pass(spark, tmp_path):
+    lines = [
+        "a-1-1 ok 1 2 3 4 5 6 word", "a-1-2 ok 1 2 3 4 5 6 wo%rd", "a-1-3 err 1 2 3 4 5 6 word", "a-1-4 ok 1", "",
+        "a-1-5 ok 1 2 3 4 5 6 gone", "a-1-6 ok 1 2 3 4 5 6 more words",
+    ]
+    raw = spark.createDataFrame(list(enumerate(lines)), "line_no long, raw string")
+    images = spark.createDataFrame([(f"words/a/a-1/a-1-{i}.png",) for i in (1, 2, 3, 4, 6)], "path string")
+    checked = ds.outcomes(raw, images)
+    counts = writers.write_accepted(checked, str(tmp_path / "accepted"))
+    assert counts == {"invalid_format": 2, "bad_status": 1, "missing_image": 1, "encode_error": 1, "ok": 2}
+    assert {r["outcome"]: r["n"] for r in ds.reject_counts(checked).collect()} == counts
+    assert sorted(r["word"] for r in spark.read.parquet(str(tmp_path / "accepted")).collect()) == ["morewords", "word"]
+    none = writers.write_accepted(checked.where("false"), str(tmp_path / "none"))
+    assert set(none.values()) == {0}
