@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from quillframe.session import stable
 NEIGHBOURS = 5
 TRAIN_BLOCK = 4_096  # most training rows beside each other in a task
 TEST_BLOCK = 1_024
+SLICE = 512  # rows whose distances to all pivots are held at once
+APART = 0.1  # least share of pairs of cells that don't meet, for cells to be worth a second pass
 
 _FOUND = "id long, near_id long, near_label int, dist double"
 
@@ -34,6 +37,12 @@ def _matrix(features: pd.Series) -> np.ndarray:
     return np.stack(features.to_numpy()).astype(np.float64)
 
 
+def _slices(features: pd.Series) -> Iterator[pd.Series]:
+    """Parts of a batch, so that distances to all pivots are few at a time."""
+    for low in range(0, len(features), SLICE):
+        yield features.iloc[low : low + SLICE]
+
+
 def _nearest_in_block(k: int):
     """The k nearest training rows of one block for each test row, by distance and id."""
 
@@ -75,6 +84,13 @@ def cells_for(rows: int) -> int:
     return max(4, math.isqrt(rows) // 4)
 
 
+def _apart(pivots: np.ndarray, far: np.ndarray) -> float:
+    """Share of the pairs of cells whose balls don't meet, among the first ``SLICE`` cells."""
+    pivots, far = pivots[:SLICE], far[:SLICE]
+    free = _distances(pivots, pivots) - far[None, :] > far[:, None]
+    return float(free.sum()) / max(1, len(far) * (len(far) - 1))
+
+
 def nearest(
     test: DataFrame,
     train: DataFrame,
@@ -90,7 +106,8 @@ def nearest(
     bounded size, whatever share of the rows a cell holds; a block of test rows meets one of
     training rows as a matrix product, and k rows per test row leave it.
 
-    Pivots and one line per cell pass the driver, as many as the root of the training rows. On
+    Pivots and one line per cell pass the driver, as many as the root of the training rows. Where nearly all
+    cells meet, the cells are taken as one and searched once: the same rows for less work. On
     vectors of many dimensions without clusters the bounds exclude little, so an exact search stays
     as much work as test rows times training rows there.
     """
@@ -100,12 +117,15 @@ def nearest(
     )
     if not pivot_rows or test.isEmpty():
         return spark.createDataFrame([], _FOUND)
-    pivots = np.array([r["features"] for r in pivot_rows], dtype=np.float64)
+    pivots = spark.sparkContext.broadcast(np.array([r["features"] for r in pivot_rows], dtype=np.float64))
 
     def cell_of(features: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(features), pivots)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell]})
+        out = []
+        for part in _slices(features):
+            d = _distances(_matrix(part), pivots.value)
+            cell = d.argmin(axis=1)
+            out.append(pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"cell": [], "d": []})
 
     place = F.pandas_udf(cell_of, "cell int, d double")
     celled = stable(
@@ -118,9 +138,13 @@ def nearest(
     )
     stats = celled.groupBy("cell").agg(F.count("*"), F.max("d"), F.min("d")).collect()
     cells = np.array([r[0] for r in stats])
-    far, close = (np.array([r[i] for r in stats]) for i in (2, 3))
+    sizes, far, close = (np.array([r[i] for r in stats]) for i in (1, 2, 3))
+    if _apart(pivots.value[cells], far) < APART:
+        # The bounds would exclude next to nothing: all is one cell, and its search is the answer.
+        celled, asking = celled.withColumn("cell", F.lit(0)), asking.withColumn("home", F.lit(0))
+        cells, sizes = np.array([0]), sizes.sum(keepdims=True)
     per_cell = spark.createDataFrame(
-        [(r[0], math.ceil(r[1] / train_block)) for r in stats], "cell int, blocks int"
+        [(int(c), math.ceil(n / train_block)) for c, n in zip(cells, sizes)], "cell int, blocks int"
     )
     per_home = asking.groupBy("home").agg(F.ceil(F.count("*") / test_block).cast("int").alias("parts"))
     # Test rows of one cell stay together, so that a block of them asks few other cells.
@@ -153,16 +177,23 @@ def nearest(
         return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
     at_home = stable(best(search(asking.withColumn("cell", F.col("home")))), "home")
+    if len(cells) == 1:
+        return at_home
     bound = at_home.groupBy("id").agg(F.max("dist").alias("dist"), F.count("*").alias("n"))
     reach = F.when(F.col("n") >= k, F.col("dist")).otherwise(F.lit(float("inf")))
 
     def others_of(features: pd.Series, home: pd.Series, within: pd.Series) -> pd.Series:
-        d = _distances(_matrix(features), pivots[cells])
-        least = np.maximum(d - far, close - d)
-        # Distances by products are rounded; the slack is far above that and only lets more in.
-        slack = 1e-6 * (1 + d + far)
-        keep = (least - slack <= within.to_numpy()[:, None]) & (cells[None, :] != home.to_numpy()[:, None])
-        return pd.Series([cells[row].astype("int32") for row in keep])
+        out, low = [], 0
+        for part in _slices(features):
+            own = slice(low, low + len(part))
+            low += len(part)
+            d = _distances(_matrix(part), pivots.value[cells])
+            least = np.maximum(d - far, close - d)
+            # Distances by products are rounded; the slack is far above that and only lets more in.
+            slack = 1e-6 * (1 + d + far)
+            near = least - slack <= within.to_numpy()[own, None]
+            out += [cells[row].astype("int32") for row in near & (cells[None, :] != home.to_numpy()[own, None])]
+        return pd.Series(out, dtype=object)
 
     others = F.pandas_udf(others_of, "array<int>")
     visits = (

@@ -338,3 +338,16 @@ def test_replaced_tables_are_deleted(spark, sf):
     left = [p.rsplit("/", 1)[1].split("-")[0] for p in set(glob.glob(place + "*")) - before]
     assert left.count("labels") <= 1 and left.count("jump") == 0
     assert rows.count() > 0
+
+
+def test_cells_that_meet_are_searched_once(spark):
+    """Vectors without clusters: one pass, and the same neighbours as from all distances."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(900, 24))
+    df = spark.createDataFrame([(i, 0, p.tolist()) for i, p in enumerate(x)], "id long, label int, features array<double>")
+    assert cl._apart(x[:20], np.full(20, 6.0)) < cl.APART < cl._apart(x[:20] * 50, np.full(20, 6.0))
+    got = {}
+    for r in cl.nearest(df.where("id >= 600"), df.where("id < 600"), 5, train_block=100).orderBy("id", "dist").collect():
+        got.setdefault(r.id, []).append(r.near_id)
+    for i in range(600, 900):
+        assert got[i] == np.argsort(((x[:600] - x[i]) ** 2).sum(1), kind="stable")[:5].tolist()
