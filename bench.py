@@ -36,6 +36,17 @@ HEADLINES = [
 ]
 
 
+def calibration() -> float:
+    """Seconds of a fixed amount of work outside Spark, to tell a slow machine from a slow query."""
+    import hashlib
+
+    start = time.perf_counter()
+    block = bytes(range(256)) * 4096
+    for _ in range(200):
+        block = hashlib.sha256(block).digest() * 32_768
+    return round(time.perf_counter() - start, 3)
+
+
 def main() -> None:
     from quillframe.plans import catalog
     from quillframe.session import local_session
@@ -58,6 +69,7 @@ def main() -> None:
                 "metric": "headline_queries_total",
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
+                "calibration": calibration(),
                 "queries": times,
                 "sf": os.path.basename(sf.rstrip("/")),
             }
