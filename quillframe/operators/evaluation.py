@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,10 +126,29 @@ def worst(rows: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
 
 
 def first_examples(rows: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
-    """First n right and first n wrong samples. Spark keeps n rows per task before the shuffle,
-    so the two groups do not gather their rows in two tasks."""
+    """First n right and first n wrong samples, by ``order`` (keys). Each task keeps n rows of a kind, in one
+    pass, and only these are shuffled and ranked; a window over all rows would sort them all first."""
+    few = rows.mapInArrow(_first_of_a_task(list(order), n), rows.schema)
     rank = F.row_number().over(Window.partitionBy("is_correct").orderBy(*order))
-    return rows.withColumn("example", rank).where(F.col("example") <= n)
+    return few.withColumn("example", rank).where(F.col("example") <= n)
+
+
+def _first_of_a_task(order: list[str], n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def first(table: pa.Table) -> pa.Table:
+        place = pc.sort_indices(table.select(order), [(c, "ascending") for c in order], null_placement="at_start")
+        right = table["is_correct"].take(place)
+        kinds = (pc.fill_null(right, False), pc.fill_null(pc.invert(right), False), pc.is_null(right))
+        return table.take(pa.concat_arrays([place.filter(k.combine_chunks()).slice(0, n) for k in kinds]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            found = first(pa.Table.from_batches([batch]))
+            best = found if best is None else first(pa.concat_tables([best, found]))
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    return run
 
 
 def summary(rows: DataFrame, order: Sequence[str], worst_n: int = 5, prone_n: int = 10) -> DataFrame:

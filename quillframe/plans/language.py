@@ -386,7 +386,8 @@ def e10(spark, sf):
       (PARTITION BY is_correct ORDER BY doc_id, pos) AS example FROM rows) WHERE example <= 3""",
 )
 def e11(spark, sf):
-    return ev.first_examples(_analysis(spark, sf), ["doc_id", "pos"]).select(
+    rows = _analysis(spark, sf).select("doc_id", "pos", "true_text", "predicted_text", "is_correct")
+    return ev.first_examples(rows, ["doc_id", "pos"]).select(
         "is_correct", "example", "doc_id", F.col("pos").cast("bigint").alias("pos"), "true_text", "predicted_text"
     )
 
