@@ -9,8 +9,9 @@ from quillframe.functions.geometry import truncated_line
 
 
 def write_analysis(analysis: DataFrame, path: str) -> None:
-    """Analysis rows as CSV with a header, in UTF-8."""
-    analysis.write.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+    """Analysis rows as CSV with a header, in UTF-8; gzip files, which hold a row in a few bytes."""
+    rows = analysis.write.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+    rows.option("compression", "gzip").csv(path)
 
 
 def write_summary(report: DataFrame, path: str) -> None:
