@@ -35,9 +35,10 @@ def words(s: Column) -> Column:
 
 
 def encode(word: Column) -> Column:
-    """Array of classes; -1 marks a character outside the set."""
+    """Array of classes; -1 marks a character outside the set, which is all ASCII."""
+    classes = F.array(*[F.lit(CHARSET.find(chr(i))) for i in range(128)])
     return F.when(word == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(word, ""), lambda c: F.instr(F.lit(CHARSET), c) - 1)
+        F.transform(F.split(word, ""), lambda c: F.coalesce(F.get(classes, F.ascii(c)), F.lit(-1)))
     )
 
 
@@ -47,13 +48,13 @@ def encodable(labels: Column) -> Column:
 
 def decode(labels: Column, skip: int = -1, charset: str = CHARSET) -> Column:
     """Text of a class array, leaving out ``skip`` (-1 in predictions, the blank in targets)."""
-    return F.array_join(
-        F.transform(
-            F.filter(labels, lambda i: i != skip),
-            lambda i: F.substring(F.lit(charset), i + 1, F.lit(1)),
-        ),
-        "",
-    )
+    chars = F.array(*[F.lit(c) for c in charset])
+
+    def char(i: Column) -> Column:
+        return F.coalesce(F.get(chars, i), F.substring(F.lit(charset), i + 1, F.lit(1)))
+
+    # Joining leaves out nulls.
+    return F.array_join(F.transform(labels, lambda i: F.when(i != skip, char(i))), "")
 
 
 def image_path(word_id: Column, root: str) -> Column:
