@@ -7,7 +7,7 @@ very large image nor one component that holds most pixels ends up in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,16 +77,18 @@ def label(foreground: DataFrame, tile: int = TILE) -> DataFrame:
     tiles = (
         placed.groupBy("image_id", "_ty", "_tx")
         .agg(F.sort_array(F.collect_list(F.struct("y", "x", *extra))).alias("px"))
-        .withColumn("ys", F.transform("px", lambda p: p["y"].cast("long")))
-        .withColumn("xs", F.transform("px", lambda p: p["x"].cast("long")))
+        # A pixel's place in its tile: one small number each way, as a batch has thousands of tiles.
+        .withColumn("at", F.transform("px", lambda p: (F.pmod(p["y"], F.lit(tile)) * tile + F.pmod(p["x"], F.lit(tile))).cast("int")))
     )
-    roots = F.pandas_udf(_roots_of, T.ArrayType(T.LongType()))
-    rooted = tiles.withColumn("roots", roots("ys", "xs"))
+    roots = F.pandas_udf(_roots_in(tile), T.ArrayType(T.IntegerType()))
+    rooted = tiles.withColumn("roots", roots("at"))
+    y = F.col("_ty") * tile + F.floor(F.col("z.roots") / tile)
+    root = F.shiftleft(y, _SHIFT).bitwiseOR(F.col("_tx") * tile + F.col("z.roots") % tile)
     flat = stable(
         rooted.select(
             "image_id", "_ty", "_tx", F.explode(F.arrays_zip("px", "roots")).alias("z")
         ).select(
-            "image_id", "_ty", "_tx", "z.px.*", F.col("z.roots").alias("root")
+            "image_id", "_ty", "_tx", "z.px.*", root.alias("root")
         ),
         "tiles",
     )
@@ -97,13 +99,16 @@ def label(foreground: DataFrame, tile: int = TILE) -> DataFrame:
     return found.select(*foreground.columns, F.coalesce("comp", "root").alias("comp"))
 
 
-def _roots_of(ys: pd.Series, xs: pd.Series) -> pd.Series:
-    out = []
-    for y, x in zip(ys, xs):
-        y, x = np.asarray(y, dtype=np.int64), np.asarray(x, dtype=np.int64)
-        r = _label_tile(y, x)
-        out.append((y[r] << _SHIFT) | x[r])
-    return pd.Series(out)
+def _roots_in(tile: int) -> Callable[[pd.Series], pd.Series]:
+    def roots(at: pd.Series) -> pd.Series:
+        out = []
+        for places in at:
+            y, x = np.divmod(np.asarray(places, dtype=np.int64), tile)
+            out.append(np.asarray(places, dtype=np.int32)[_label_tile(y, x)])
+        return pd.Series(out)
+
+    roots.__annotations__ = {"at": pd.Series, "return": pd.Series}
+    return roots
 
 
 def _join_tiles(flat: DataFrame, tile: int) -> DataFrame | None:
@@ -274,7 +279,7 @@ def run_pixels(runs: DataFrame) -> DataFrame:
 # --- least-area rectangles ----------------------------------------------------------------
 
 HULL_ROWS = 1_024  # rows of a component whose hull is found together
-_PAIRS = 1 << 22  # directions times points that are projected at once
+_PAIRS = 1 << 18  # directions times points that are projected at once
 
 
 def _chain(group: np.ndarray, y: np.ndarray, x: np.ndarray, sign: int) -> np.ndarray:
