@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.arrays import hold
 from quillframe.operators.ordering import with_ordinal
+from quillframe.operators.packed_counts import buckets_for, merge, pack_rows, pack_windows
 from quillframe.operators.skew import lookup
 from quillframe.session import stable
 
@@ -49,27 +50,16 @@ def window_counts(
     """Counts of the n tokens from each token on, null past the end of the sequence.
 
     Summed over their last words these are the counts of all shorter n-grams too. Windows inside a
-    segment come from its array, without a shuffle. Only the ``n - 1`` tokens at each end of a
+    segment come from its array and are counted in blocks, which are shuffled packed. Only the ``n - 1`` tokens at each end of a
     segment are ordered globally, for the windows that run into the next segments; a segment
     shorter than that is in the edge table whole, so a window may span several.
     """
     # Written before it is ordered: placing rows by range reads its input twice.
     edges = stable(segment_edges(segments, order, n, tokens), "edges")
-    return (
-        inner_windows(segments, n, tokens)
-        .unionByName(windows_at_ends(edges, order, n, chunk_rows))
-        .groupBy(*[f"w{i + 1}" for i in range(n)])
-        .agg(F.count("*").alias("n"))
-    )
-
-
-def inner_windows(segments: DataFrame, n: int, tokens: str = "tokens") -> DataFrame:
-    """The n tokens from each token on that has as many after it in its segment."""
     names = [f"w{i + 1}" for i in range(n)]
-    words = segments.where(F.size(tokens) >= n).select(F.col(tokens).alias("t"))
-    span = F.size("t") - (n - 1)
-    shifted = F.arrays_zip(*[F.slice("t", F.lit(i + 1), span).alias(names[i]) for i in range(n)])
-    return hold(words, "g", shifted).select(F.explode("g").alias("g")).select("g.*")
+    buckets = buckets_for(segments)
+    inner = pack_windows(segments, n, buckets, tokens)
+    return merge(inner.union(pack_rows(windows_at_ends(edges, order, n, chunk_rows), names, buckets)), names)
 
 
 def segment_edges(
