@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +12,14 @@ from pyspark.sql import functions as F
 from quillframe.operators.ngrams import (
     CHUNK_ROWS,
     LanguageModel,
-    inner_windows,
     segment_edges,
     totals,
     windows_at_ends,
 )
+from quillframe.operators.packed_counts import merge, pack_rows, pack_windows, repack
 from quillframe.session import stable
 
-_LOG = "name string, folder string, covers array<string>"
+_LOG = "name string, folder string, covers array<string>, buckets int"
 
 
 class KeptCounts:
@@ -34,13 +33,19 @@ class KeptCounts:
     A delta counts from the moment its row is in the log: files of a job that died before are
     overwritten by the next try, and a name that is in the log is not added twice. One writer at a time.
     ``order`` names the columns that order the segments; they are unique over all files.
+
+    Counts are kept packed in ``buckets``, each of which is counted in one piece; the number that the first
+    file was written with holds for all later ones. About 16 MB of text for each is a good size.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, order: Sequence[str], n: int = 3, chunk_rows: int = CHUNK_ROWS
+        self, spark: SparkSession, path: str, order: Sequence[str], n: int = 3, chunk_rows: int = CHUNK_ROWS,
+        buckets: int = 64,
     ):
         self.spark, self.path, self.order, self.n = spark, path.rstrip("/"), list(order), n
         self.chunk_rows = chunk_rows
+        first = self._log().first()
+        self.buckets = first["buckets"] if first else buckets
         self.names = [f"w{i + 1}" for i in range(n)]
 
     def add(self, name: str, segments: DataFrame, tokens: str = "tokens") -> bool:
@@ -54,11 +59,12 @@ class KeptCounts:
         """Counts ``(w1 .. wk, n)`` of all k-grams, ``k`` up to ``n``."""
         k = k or self.n
         names = self.names[:k]
-        return self._windows().where(F.col(names[-1]).isNotNull()).groupBy(*names).agg(F.sum("n").alias("n"))
+        known = self._windows().where(F.col(names[-1]).isNotNull())
+        return known if k == self.n else known.groupBy(*names).agg(F.sum("n").alias("n"))
 
     def model(self) -> LanguageModel:
         """The language model of the counts, longest n-grams summed once."""
-        windows = stable(self._windows().groupBy(*self.names).agg(F.sum("n").alias("n")), "windows")
+        windows = stable(self._windows(), "windows")
         tables = []
         for k in range(1, self.n + 1):
             known = windows.where(F.col(self.names[k - 1]).isNotNull())
@@ -73,9 +79,7 @@ class KeptCounts:
             return
         name = f"compacted-{uuid.uuid4().hex}"
         folder = self._folder(name)
-        self._read("grams", live).groupBy(*self.names).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(
-            f"{self.path}/grams/{folder}"
-        )
+        repack(self._read("grams", live), self.n).write.mode("overwrite").parquet(f"{self.path}/grams/{folder}")
         self._read("edges", live).write.mode("overwrite").parquet(f"{self.path}/edges/{folder}")
         self._commit(name, folder, live)
 
@@ -84,7 +88,7 @@ class KeptCounts:
 
     def _write(self, name: str, segments: DataFrame, tokens: str = "tokens") -> str:
         folder = self._folder(name)
-        grams = inner_windows(segments, self.n, tokens).groupBy(*self.names).agg(F.count("*").alias("n"))
+        grams = pack_windows(segments, self.n, self.buckets, tokens)
         grams.write.mode("overwrite").parquet(f"{self.path}/grams/{folder}")
         segment_edges(segments, self.order, self.n, tokens).write.mode("overwrite").parquet(
             f"{self.path}/edges/{folder}"
@@ -92,7 +96,7 @@ class KeptCounts:
         return folder
 
     def _commit(self, name: str, folder: str, covers: list[str]) -> None:
-        row = self.spark.createDataFrame([(name, folder, covers)], _LOG)
+        row = self.spark.createDataFrame([(name, folder, covers, self.buckets)], _LOG)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def _log(self) -> DataFrame:
@@ -111,11 +115,11 @@ class KeptCounts:
         return self.spark.read.parquet(*[f"{self.path}/{kind}/{folder}" for folder in live])
 
     def _windows(self) -> DataFrame:
-        """Windows with partial counts, null past the end of the sequence."""
+        """Counts of all windows, null past the end of the sequence."""
         live = self._live()
         if not live:
             columns = ", ".join(f"{w} string" for w in self.names)
             return self.spark.createDataFrame([], f"{columns}, n long")
         across = windows_at_ends(self._read("edges", live), self.order, self.n, self.chunk_rows)
-        parts = [self._read("grams", live), across.select(*self.names, F.lit(1).cast("long").alias("n"))]
-        return reduce(DataFrame.unionByName, parts)
+        packed = pack_rows(across, self.names, self.buckets)
+        return merge(self._read("grams", live).select("bucket", "grams").union(packed), self.names)

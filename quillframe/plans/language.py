@@ -11,6 +11,7 @@ from quillframe.operators import evaluation as ev
 from quillframe.operators import ngrams as ng
 from quillframe.operators.fuzzy_index import FuzzyIndex
 from quillframe.operators.kept_counts import KeptCounts
+from quillframe.operators.ordering import exceeds
 from quillframe.plans import views as v
 from quillframe.plans.registry import query, rounded
 from quillframe.session import scratch_path, stable
@@ -68,8 +69,12 @@ def l3(spark, sf):
 def l3_kept(spark, sf):
     """Trigrams of documents that come by language, one language at a time, with a compaction between."""
     kept = KeptCounts(spark, scratch_path(spark, "counts"), ["doc_id"], 3)
-    langs = v.table(spark, sf, "documents").select("doc_id", "lang")
-    segments = stable(v.segments(spark, sf).join(langs, "doc_id"), "segments")
+    docs = v.table(spark, sf, "documents")
+    if exceeds(docs, ["doc_id"], 1):
+        segments = v.segments(spark, sf).join(docs.select("doc_id", "lang"), "doc_id")
+    else:  # the language of a text's id is that of its own row
+        segments = v.segments(spark, sf, "lang").where(F.col("doc_id").isNotNull())
+    segments = stable(segments, "segments")
     for lang in ("fr", "de", "es"):
         kept.add(lang, segments.where(F.col("lang") == lang))
     kept.compact()
