@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.arrays import hold
 from quillframe.operators.ngrams import LanguageModel
+from quillframe.operators.packed_counts import buckets_for, merge, pack_rows
+from quillframe.operators.packed_keys import met_words
 from quillframe.operators.skew import lookup
 from quillframe.session import stable
 
 MAX_DISTANCE = 2
 DISTANCE_PENALTY = 2.0
+WORD_BYTES = 1 << 20  # size of the tables of words for each bucket of keys
 SHORT = 20  # longest vocabulary word keyed by its deletions
 PIECES = 8  # pieces of a longer word, of which two may hold the edits
 
@@ -80,29 +83,40 @@ def _literals(a: str, b: str, pairs: list[tuple[int, int]]) -> Column:
 def _keys(word: Column, probe: bool) -> Column:
     """Hashed blocking keys. Short vocabulary words meet on deletions, long ones on pieces; a
     probe near the border emits both kinds."""
-    n = F.length(word)
-    slack = MAX_DISTANCE if probe else 0
     none = F.array().cast("array<bigint>")
     short = F.when(
-        n <= SHORT + slack, F.transform(_deletion_keys(word), lambda k: F.xxhash64(k))
+        F.length(word) <= SHORT + (MAX_DISTANCE if probe else 0),
+        F.transform(_deletion_keys(word), lambda k: F.xxhash64(k)),
     ).otherwise(none)
-    long_ = F.when(n > SHORT - slack, _piece_keys(word, n, probe)).otherwise(none)
-    return F.array_distinct(F.concat(short, long_))
+    return F.array_distinct(F.concat(short, _keys_of_long(word, probe)))
+
+
+def _keys_of_long(word: Column, probe: bool) -> Column:
+    n = F.length(word)
+    none = F.array().cast("array<bigint>")
+    return F.when(n > SHORT - (MAX_DISTANCE if probe else 0), _piece_keys(word, n, probe)).otherwise(none)
+
+
+def _keyed(words: DataFrame, word: str, keys: Column) -> DataFrame:
+    # A word is a few bytes and fans out to many keys: spread the words, not the keys.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hold(words.select(word).repartition(parts, word), "keys", keys)
+
+
+def _long_keys(words: DataFrame, word: str, probe: bool) -> DataFrame:
+    keys = F.array_distinct(_keys_of_long(F.col(word), probe))
+    return _keyed(words, word, keys).select(F.col(word).alias("word"), "keys")
 
 
 def vocabulary_keys(vocabulary: DataFrame, word: str = "w1") -> DataFrame:
     """Blocking keys ``(key, candidate)`` of distinct words, several for each word."""
-    # A word is a few bytes and fans out to many keys: spread the words, not the keys.
-    parts = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = hold(vocabulary.select(word).repartition(parts, word), "keys", _keys(F.col(word), False))
+    keyed = _keyed(vocabulary, word, _keys(F.col(word), False))
     return keyed.select(F.explode("keys").alias("key"), F.col(word).alias("candidate"))
 
 
 def probe_keys(unknown: DataFrame, word: str = "word") -> DataFrame:
     """Blocking keys ``(word, key)`` that candidates of distinct words can have."""
-    parts = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = hold(unknown.select(word).repartition(parts, word), "keys", _keys(F.col(word), True))
-    return asked.select(word, F.explode("keys").alias("key"))
+    return _keyed(unknown, word, _keys(F.col(word), True)).select(word, F.explode("keys").alias("key"))
 
 
 def near_pairs(probe: DataFrame, index: DataFrame, word: str = "word") -> DataFrame:
@@ -130,9 +144,14 @@ def candidates(
     ``index`` is the vocabulary's kept keys (``fuzzy_index.FuzzyIndex.keys``); without one they are made
     for this search alone.
     """
-    if index is None:
-        index = stable(vocabulary_keys(vocabulary), "index")
-    return near_pairs(stable(probe_keys(unknown, word), "probe"), index, word)
+    if index is not None:
+        return near_pairs(stable(probe_keys(unknown, word), "probe"), index, word)
+    unknown, vocabulary = stable(unknown.select(word), "asked"), stable(vocabulary.select("w1"), "known")
+    buckets = buckets_for(vocabulary.crossJoin(unknown), WORD_BYTES)
+    met = met_words(_long_keys(unknown, word, True), _long_keys(vocabulary, "w1", False), buckets, SHORT)
+    dist = F.levenshtein("word", "candidate", MAX_DISTANCE)
+    pairs = merge(pack_rows(met.where(dist >= 0), ["word", "candidate"], buckets), ["word", "candidate"])
+    return pairs.select(F.col("word").alias(word), "candidate", dist.alias("dist"))
 
 
 def unknown_words(rows: DataFrame, model: LanguageModel, word: str = "word") -> DataFrame:
