@@ -22,6 +22,11 @@ SPACE = (
     r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same for Java alone, which looks characters below 256 up in one table and passes most others by one range.
+_JAVA_SPACE = (
+    r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
+)
 # ----------------------------------------------------------------------------------------
 
 
@@ -31,7 +36,7 @@ def strip(s: Column) -> Column:
 
 def words(s: Column) -> Column:
     """Whitespace tokens; an empty or blank string has none."""
-    return F.filter(F.split(s, f"{SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(s, f"{_JAVA_SPACE}+"), lambda w: w != "")
 
 
 def encode(word: Column) -> Column:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.arrays import hold
 from quillframe.operators.ngrams import LanguageModel
-from quillframe.operators.packed_counts import buckets_for, merge, pack_rows
-from quillframe.operators.packed_keys import met_words
+from quillframe.operators.packed_counts import buckets_for, merge, merged, pack_rows
+from quillframe.operators.packed_keys import DISTANCES, near_indexed, near_words, pack_keys
 from quillframe.operators.skew import lookup
 from quillframe.session import stable
 
 MAX_DISTANCE = 2
 DISTANCE_PENALTY = 2.0
-WORD_BYTES = 1 << 20  # size of the tables of words for each bucket of keys
+WORD_BYTES = 1 << 19  # size of the tables of words for each bucket of keys
 SHORT = 20  # longest vocabulary word keyed by its deletions
+INDEX_GROUPS = 1024  # groups of a kept index's keys; each is searched in one piece
 PIECES = 8  # pieces of a longer word, of which two may hold the edits
 
 # Offsets a long word's middle part can take: (length difference, shift of the middle) with
@@ -26,28 +31,6 @@ _SHIFTS = [
 _CUTS = [(i, j) for i in range(PIECES) for j in range(i + 1, PIECES)]
 
 
-def _without(word: Column, at: Column) -> Column:
-    return F.concat(
-        F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.length(word))
-    )
-
-
-def _deletion_keys(word: Column) -> Column:
-    """The word with up to two characters left out; the second always stands after the first."""
-    n = F.length(word)
-    none = F.array().cast("array<string>")
-    once = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: _without(word, i)))
-    twice = F.transform(
-        once,
-        lambda w, i: F.when(
-            i < n - 1, F.transform(F.sequence(i + 1, n - 1), lambda j: _without(w, j))
-        ).otherwise(none),
-    )
-    return F.concat(
-        F.array(word), F.coalesce(once, none), F.coalesce(F.flatten(twice), none)
-    )
-
-
 def _piece_keys(word: Column, length: Column, probe: bool) -> Column:
     """Keys of a long word: its text without two of its pieces, tagged with both pieces.
 
@@ -80,60 +63,58 @@ def _literals(a: str, b: str, pairs: list[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(x).alias(a), F.lit(y).alias(b)) for x, y in pairs])
 
 
-def _keys(word: Column, probe: bool) -> Column:
-    """Hashed blocking keys. Short vocabulary words meet on deletions, long ones on pieces; a
-    probe near the border emits both kinds."""
-    none = F.array().cast("array<bigint>")
-    short = F.when(
-        F.length(word) <= SHORT + (MAX_DISTANCE if probe else 0),
-        F.transform(_deletion_keys(word), lambda k: F.xxhash64(k)),
-    ).otherwise(none)
-    return F.array_distinct(F.concat(short, _keys_of_long(word, probe)))
-
-
 def _keys_of_long(word: Column, probe: bool) -> Column:
     n = F.length(word)
     none = F.array().cast("array<bigint>")
     return F.when(n > SHORT - (MAX_DISTANCE if probe else 0), _piece_keys(word, n, probe)).otherwise(none)
 
 
-def _keyed(words: DataFrame, word: str, keys: Column) -> DataFrame:
+def _keyed(words: DataFrame, word: str, probe: bool) -> DataFrame:
     # A word is a few bytes and fans out to many keys: spread the words, not the keys.
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return hold(words.select(word).repartition(parts, word), "keys", keys)
-
-
-def _long_keys(words: DataFrame, word: str, probe: bool) -> DataFrame:
+    count = [F.col(c).cast("long") for c in ("n",) if c in words.columns]
     keys = F.array_distinct(_keys_of_long(F.col(word), probe))
-    return _keyed(words, word, keys).select(F.col(word).alias("word"), "keys")
+    spread = words.select(word, *count).repartition(parts, word)
+    return hold(spread, "keys", keys).select(F.col(word).alias("word"), "keys", *count)
+
 
+def vocabulary_keys(vocabulary: DataFrame, word: str = "w1", groups: int = INDEX_GROUPS) -> DataFrame:
+    """Packed blocking keys ``(key, asked, candidates)`` of distinct words, a row per block and group of keys.
 
-def vocabulary_keys(vocabulary: DataFrame, word: str = "w1") -> DataFrame:
-    """Blocking keys ``(key, candidate)`` of distinct words, several for each word."""
-    keyed = _keyed(vocabulary, word, _keys(F.col(word), False))
-    return keyed.select(F.explode("keys").alias("key"), F.col(word).alias("candidate"))
+    Short words meet on what two deletions leave, long ones on pieces; a probe near the border has both kinds.
+    ``n``, where given, is kept beside its word.
+    """
+    return pack_keys(_keyed(vocabulary, word, False), groups, False, SHORT)
 
 
-def probe_keys(unknown: DataFrame, word: str = "word") -> DataFrame:
-    """Blocking keys ``(word, key)`` that candidates of distinct words can have."""
-    return _keyed(unknown, word, _keys(F.col(word), True)).select(word, F.explode("keys").alias("key"))
+def probe_keys(unknown: DataFrame, word: str = "word", groups: int = INDEX_GROUPS) -> DataFrame:
+    """Packed blocking keys that candidates of distinct words can have."""
+    return pack_keys(_keyed(unknown.select(word), word, True), groups, True, SHORT)
 
 
 def near_pairs(probe: DataFrame, index: DataFrame, word: str = "word") -> DataFrame:
     """Distinct ``(word, candidate, dist)`` within distance 2 of words and candidates that share a key.
 
     Two words share a key only if they agree on all but a few characters, so keys are selective
-    even when many words share a prefix. How the two tables meet is left to the optimizer, so both
-    should be written: it does not see how many keys a word makes.
+    even when many words share a prefix. Groups of keys meet by a join, whose order keeps the rows of a group together.
     """
-    dist = F.levenshtein(word, "candidate", MAX_DISTANCE)
-    return (
-        probe.join(index, "key")
-        .where(F.abs(F.length(word) - F.length("candidate")) <= MAX_DISTANCE)
-        .select(word, "candidate", dist.alias("dist"))
-        .where(F.col("dist") >= 0)
-        .distinct()
-    )
+    keys = index.hint("merge").select("key", "candidates")
+    met = probe.select("key", F.col("candidates").alias("probe")).join(keys, "key").select("probe", "candidates")
+    return _pairs(near_indexed(met, buckets_for(probe)), word)
+
+
+def _pairs(near: DataFrame, word: str) -> DataFrame:
+    pairs = merge(near, ["word", "candidate"], "value", np.minimum)
+    dist = (F.col("value") % DISTANCES).cast("int")
+    return pairs.select(F.col("word").alias(word), "candidate", dist.alias("dist"))
+
+
+def _near(unknown: DataFrame, vocabulary: DataFrame, word: str) -> DataFrame:
+    """Packed pairs of distinct words and their candidates, with counts where the vocabulary has them."""
+    count = [c for c in ("n",) if c in vocabulary.columns]
+    unknown, vocabulary = stable(unknown.select(word), "asked"), stable(vocabulary.select("w1", *count), "known")
+    groups = buckets_for(vocabulary.crossJoin(unknown), WORD_BYTES)
+    return near_words(probe_keys(unknown, word, groups), vocabulary_keys(vocabulary, "w1", groups), groups, groups)
 
 
 def candidates(
@@ -146,12 +127,7 @@ def candidates(
     """
     if index is not None:
         return near_pairs(stable(probe_keys(unknown, word), "probe"), index, word)
-    unknown, vocabulary = stable(unknown.select(word), "asked"), stable(vocabulary.select("w1"), "known")
-    buckets = buckets_for(vocabulary.crossJoin(unknown), WORD_BYTES)
-    met = met_words(_long_keys(unknown, word, True), _long_keys(vocabulary, "w1", False), buckets, SHORT)
-    dist = F.levenshtein("word", "candidate", MAX_DISTANCE)
-    pairs = merge(pack_rows(met.where(dist >= 0), ["word", "candidate"], buckets), ["word", "candidate"])
-    return pairs.select(F.col("word").alias(word), "candidate", dist.alias("dist"))
+    return _pairs(_near(unknown, vocabulary.select("w1"), word), word)
 
 
 def unknown_words(rows: DataFrame, model: LanguageModel, word: str = "word") -> DataFrame:
@@ -161,34 +137,52 @@ def unknown_words(rows: DataFrame, model: LanguageModel, word: str = "word") ->
     )
 
 
-def _scored(
-    words: DataFrame, model: LanguageModel, word: str, index: DataFrame | None = None
+def _ranked(
+    words: DataFrame, model: LanguageModel, n: int, word: str, index: DataFrame | None = None
 ) -> DataFrame:
-    """Candidates of the unknown words with ``score = ln p - 2 dist``."""
-    pairs = candidates(unknown_words(words, model, word), model.unigrams, word, index)
-    known = pairs.join(model.unigrams.select(F.col("w1").alias("candidate"), "n"), "candidate")
-    score = F.log((F.col("n") + 1) / model.mass) - F.col("dist") * DISTANCE_PENALTY
-    return known.select(word, "candidate", "dist", score.alias("score"))
+    """The n best candidates of each unknown word with ``score = ln p - 2 dist`` and their rank.
+
+    All pairs of a word are in one bucket, where they are ranked.
+    """
+    unknown = unknown_words(words, model, word)
+    if index is None:
+        near = _near(unknown, model.unigrams, word)
+    else:
+        known = model.unigrams.select(F.col("w1").alias("candidate"), "n")
+        pairs = candidates(unknown, model.unigrams, word, index).join(known, "candidate")
+        pairs = pairs.select(F.col(word).alias("word"), "candidate", (F.col("n") * DISTANCES + F.col("dist")).alias("value"))
+        near = pack_rows(pairs, ["word", "candidate"], buckets_for(words), "value", 1, np.minimum)
+    mass = model.mass
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, (of, near), value = merged([x for b in batches for x in b.column("grams")], 2, np.minimum)
+        count, dist = value // DISTANCES, value % DISTANCES
+        score = np.log((count + 1) / mass) - dist * DISTANCE_PENALTY
+        order = np.lexsort((near, dist, -score, of))
+        first = np.searchsorted(of, of[order])  # pairs are in the words' order
+        rank = np.arange(len(of)) - first + 1
+        best = order[rank <= n]
+        columns = [text.take(pa.array(x[best])).cast(pa.string()) for x in (of, near)]
+        columns += [pa.array(x) for x in (dist[best].astype(np.int32), count[best], rank[rank <= n].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "candidate", "dist", "n", "rank"])
+
+    best = near.groupBy("bucket").applyInArrow(work, "word string, candidate string, dist int, n long, rank int")
+    score = F.log((F.col("n") + 1) / mass) - F.col("dist") * DISTANCE_PENALTY
+    return best.select(F.col("word").alias(word), "candidate", "dist", score.alias("score"), "rank")
 
 
 def best_corrections(
     words: DataFrame, model: LanguageModel, word: str = "word", index: DataFrame | None = None
 ) -> DataFrame:
     """Unknown words with their best candidate; ties go to the nearer, then the smaller word."""
-    best = F.min_by("candidate", F.struct(-F.col("score"), "dist", "candidate"))
-    return _scored(words, model, word, index).groupBy(word).agg(best.alias("corrected"))
+    return _ranked(words, model, 1, word, index).select(word, F.col("candidate").alias("corrected"))
 
 
 def top_corrections(
     words: DataFrame, model: LanguageModel, n: int = 5, word: str = "word"
 ) -> DataFrame:
     """The n best candidates per unknown word, with their rank from 1."""
-    order = Window.partitionBy(word).orderBy(F.desc("score"), "dist", "candidate")
-    return (
-        _scored(words, model, word)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= n)
-    )
+    return _ranked(words, model, n, word)
 
 
 def correct(
@@ -199,7 +193,7 @@ def correct(
     Corrections are found once per distinct word and looked up; the word frequencies of the rows
     say which keys are heavy. ``index`` as in ``candidates``.
     """
-    counts = rows.groupBy(word).agg(F.count("*").alias("n"))
+    counts = stable(rows.groupBy(word).agg(F.count("*").alias("n")), "asked")
     fixes = stable(best_corrections(counts, model, word, index).join(counts, word), "corrections")
     return lookup(rows, fixes, [word], ["corrected"]).withColumn(
         "corrected", F.coalesce("corrected", word)

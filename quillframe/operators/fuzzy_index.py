@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.operators.correction import near_pairs, probe_keys, vocabulary_keys
+from quillframe.operators.packed_keys import one_run
 from quillframe.session import stable
 
 
 class FuzzyIndex:
-    """Written tables of one vocabulary: ``keys (key, candidate)`` bucketed by key and ``words`` by word.
+    """Written tables of one vocabulary: ``keys (key, candidates)`` bucketed by key and ``words`` by word.
+    ``key`` is a group of blocking keys, and ``candidates`` are the group's keys with their words, packed.
 
     Both are files below ``path`` with a bucket specification in the catalog, so a search shuffles the
     probe's keys to the buckets and never the index. Words are added by increments that touch only
@@ -26,7 +28,7 @@ class FuzzyIndex:
     def __init__(self, spark: SparkSession, path: str, generation: int, buckets: int):
         self.spark, self.path, self.generation, self.buckets = spark, path.rstrip("/"), generation, buckets
         for kind, column in (("keys", "key"), ("words", "candidate")):
-            columns = "key BIGINT, candidate STRING" if kind == "keys" else "candidate STRING"
+            columns = "key INT, candidates BINARY" if kind == "keys" else "candidate STRING"
             spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self._name(kind)} ({columns}) USING parquet "
                 f"CLUSTERED BY ({column}) SORTED BY ({column}) INTO {buckets} BUCKETS "
@@ -37,7 +39,7 @@ class FuzzyIndex:
     def create(cls, vocabulary: DataFrame, path: str, buckets: int = 64, word: str = "w1") -> FuzzyIndex:
         """Index of the distinct words in ``vocabulary``, in an empty folder."""
         index = cls(vocabulary.sparkSession, path, 0, buckets)
-        index._write(vocabulary.select(F.col(word).alias("candidate")))
+        index._write(stable(vocabulary.select(F.col(word).alias("candidate")), "fresh"))
         index._point()
         return index
 
@@ -73,8 +75,8 @@ class FuzzyIndex:
     def compact(self) -> FuzzyIndex:
         """The same index as a new generation with one run of files."""
         new = FuzzyIndex(self.spark, self.path, self.generation + 1, self.buckets)
-        new._append(self.keys.distinct(), "keys", "key")
-        new._append(self.words.distinct(), "words", "candidate")
+        new._append(one_run(self.keys).select("key", "candidates"), "keys", "key")
+        new._append(self.words.distinct().repartition(self.buckets, "candidate"), "words", "candidate")
         new._point()
         return new
 
@@ -94,12 +96,12 @@ class FuzzyIndex:
         return f"fuzzy_{hashlib.md5(self._folder(kind).encode()).hexdigest()[:16]}_{kind}"
 
     def _write(self, words: DataFrame) -> None:
-        self._append(vocabulary_keys(words, "candidate"), "keys", "key")
-        self._append(words, "words", "candidate")
+        keys = vocabulary_keys(words, "candidate").repartition(self.buckets, "key")
+        self._append(one_run(keys).select("key", "candidates"), "keys", "key")
+        self._append(words.repartition(self.buckets, "candidate"), "words", "candidate")
 
     def _append(self, rows: DataFrame, kind: str, column: str) -> None:
-        # Dealt out as the buckets are, so that each bucket gets one file.
-        rows = rows.repartition(self.buckets, column)
+        # Rows come dealt out as the buckets are, so that each bucket gets one file.
         (
             rows.write.mode("append")
             .format("parquet")

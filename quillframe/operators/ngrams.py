@@ -18,7 +18,7 @@ CHUNK_ROWS = 100_000
 
 
 def unigram_counts(segments: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return segments.select(F.explode(tokens).alias("w1")).groupBy("w1").agg(F.count("*").alias("n"))
+    return merge(pack_windows(segments, 1, buckets_for(segments), tokens), ["w1"])
 
 
 def totals(unigrams: DataFrame) -> DataFrame:

@@ -44,11 +44,21 @@ def pack_windows(segments: DataFrame, n: int, buckets: int, tokens: str = "token
             at = np.flatnonzero(np.arange(len(code)) + n <= end)
             yield words, [code[at + i] for i in range(n)], np.ones(len(at), np.int64)
 
-    return segments.select(tokens).mapInArrow(_packer(blocks, buckets), PACKED)
+    return segments.select(tokens).mapInArrow(packer(blocks, buckets), PACKED)
 
 
-def pack_rows(rows: DataFrame, names: Sequence[str], buckets: int, count: str | None = None) -> DataFrame:
-    """Packed counts of the tuples ``names``, a row counting ``count`` times or once."""
+def pack_rows(
+    rows: DataFrame,
+    names: Sequence[str],
+    buckets: int,
+    count: str | None = None,
+    by: int | None = None,
+    fold: np.ufunc = np.add,
+) -> DataFrame:
+    """Packed counts of the tuples ``names``, a row counting ``count`` times or once.
+
+    The first ``by`` words, or all, say which bucket a tuple goes to.
+    """
     n = len(names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -59,16 +69,19 @@ def pack_rows(rows: DataFrame, names: Sequence[str], buckets: int, count: str |
             yield words, list(code.reshape(n, size)), np.concatenate(counts)
 
     asked = rows.select(*names, *([F.col(count).cast("long")] if count else []))
-    return asked.mapInArrow(_packer(blocks, buckets), PACKED)
+    return asked.mapInArrow(packer(blocks, buckets, by, fold), PACKED)
+
 
+def merge(packed: DataFrame, names: Sequence[str], count: str = "n", fold: np.ufunc = np.add) -> DataFrame:
+    """The tuples of packed counts with their sums, in rows. All must have the same number of buckets.
 
-def merge(packed: DataFrame, names: Sequence[str], count: str = "n") -> DataFrame:
-    """The tuples of packed counts with their sums, in rows. All must have the same number of buckets."""
+    ``fold`` is what becomes of the values of one tuple, as in ``pack_rows``.
+    """
     names = list(names)
     schema = pa.schema([*((c, pa.string()) for c in names), (count, pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, codes, counts = _merged([x for b in batches for x in b.column("grams")], len(names))
+        words, codes, counts = merged([x for b in batches for x in b.column("grams")], len(names), fold)
         for low in range(0, len(counts), ROWS):
             part = slice(low, low + ROWS)
             columns = [words.take(pa.array(c[part])).cast(pa.string()) for c in codes]
@@ -86,7 +99,7 @@ def repack(packed: DataFrame, n: int) -> DataFrame:
         for b in batches:
             bucket = b.column("bucket")[0]
             blobs += b.column("grams")
-        grams = _pack(*_merged(blobs, n))
+        grams = _pack(*merged(blobs, n))
         yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), pa.array([grams], pa.binary())], schema=_PACKED)
 
     return packed.groupBy("bucket").applyInArrow(work, PACKED)
@@ -115,7 +128,9 @@ def _coded(columns: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(order), place[coded.indices.to_numpy()]
 
 
-def _summed(codes: list[np.ndarray], counts: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _summed(
+    codes: list[np.ndarray], counts: np.ndarray, size: int, fold: np.ufunc = np.add
+) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct tuples of codes below ``size`` in order, and the sums of their counts."""
     if not len(counts):
         return codes, counts
@@ -128,16 +143,22 @@ def _summed(codes: list[np.ndarray], counts: np.ndarray, size: int) -> tuple[lis
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return [c[order[first]] for c in codes], np.add.reduceat(counts[order], first)
+    return [c[order[first]] for c in codes], fold.reduceat(counts[order], first)
+
 
+def packer(blocks: Callable, buckets: int, by: int | None = None, fold: np.ufunc = np.add) -> Callable:
+    """A task that packs what ``blocks`` makes of its batches: words, codes of tuples in them, and counts."""
 
-def _packer(blocks: Callable, buckets: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, codes, counts in blocks(batches):
-            codes, counts = _summed(codes, counts, len(words))
-            hashed = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+            codes, counts = _summed(codes, counts, len(words), fold)
+            named = np.zeros(len(words), bool)
+            for c in codes[:by]:
+                named[c] = True
+            hashed = np.zeros(len(words), np.uint64)
+            hashed[named] = pd.util.hash_array(words.filter(pa.array(named)).to_numpy(zero_copy_only=False), categorize=False)
             mixed = np.zeros(len(counts), np.uint64)
-            for c in codes:
+            for c in codes[:by]:
                 mixed = (mixed ^ hashed[c]) * _ODD
                 mixed ^= mixed >> np.uint64(32)
             bucket = (mixed % np.uint64(buckets)).astype(np.int32)
@@ -163,7 +184,9 @@ def _pack(words: pa.Array, codes: list[np.ndarray], counts: np.ndarray) -> bytes
     return sink.getvalue().to_pybytes()
 
 
-def _merged(blobs: list[pa.BinaryScalar], n: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+def merged(
+    blobs: list[pa.BinaryScalar], n: int, fold: np.ufunc = np.add
+) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
     """Words in order, and the tuples of n words in their order with the sums of all blobs' counts."""
     words, columns = [], []
     for grams in blobs:
@@ -176,5 +199,5 @@ def _merged(blobs: list[pa.BinaryScalar], n: int) -> tuple[pa.Array, list[np.nda
     distinct, place = _coded(words)
     start = np.cumsum([0, *map(len, words)])
     codes = [np.concatenate([place[s + c[i]] for s, c in zip(start, columns)]) for i in range(n)]
-    codes, counts = _summed(codes, np.concatenate([c[n] for c in columns]), len(distinct))
+    codes, counts = _summed(codes, np.concatenate([c[n] for c in columns]), len(distinct), fold)
     return distinct, codes, counts

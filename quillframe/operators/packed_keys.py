@@ -1,4 +1,4 @@
-"""Words of two tables that share a key, whose keys travel packed by block and bucket."""
+"""Words of two tables within two edits, found on shared keys that travel packed by block and bucket."""
 
 from __future__ import annotations
 
@@ -9,31 +9,83 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quillframe.operators.packed_counts import PACKED, packer
+
 _KEYS_EACH = 32  # about what a word has
 BLOCK_KEYS = 4 << 20  # keys that are dealt out together, and what the last batch holds beyond
 PAIRS = 1 << 20  # pairs that a task holds at once, and the candidates of one more key
-MAX_APART = 2  # difference of lengths
+MAX_APART = 2  # edits, and difference of lengths
+DISTANCES = 4  # a pair's value is the candidate's count times this, and the distance
 
+KEYS = "key int, asked boolean, candidates binary"
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd
-_PACKED = pa.schema([("bucket", pa.int32()), ("asked", pa.bool_()), ("keys", pa.binary())])
+_PACKED = pa.schema([("key", pa.int32()), ("asked", pa.bool_()), ("candidates", pa.binary())])
 _KEYS = pa.schema([(c, pa.large_list(t)) for c, t in (
-    ("words", pa.large_string()), ("place", pa.uint32()), ("key", pa.uint32()),
+    ("words", pa.large_string()), ("counts", pa.int64()), ("many", pa.uint32()), ("key", pa.uint32()),
 )])
 
+Side = tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]  # words, their counts, keys in order, places of the keys' words
+
 
-def met_words(asked: DataFrame, known: DataFrame, buckets: int, longest: int) -> DataFrame:
-    """Pairs ``(word, candidate)`` of ``asked`` and ``known``, both ``(word, keys)``, that share a key.
+def pack_keys(words: DataFrame, groups: int, asked: bool, longest: int) -> DataFrame:
+    """Keys of the rows ``(word, keys)`` or ``(word, keys, n)``, packed by block and group of keys.
 
     Words of up to ``longest`` characters, asked ones of up to two more, also have a key for each way to leave
-    up to two characters out; ``keys`` are the others. Lengths differ by two at most. A pair may come more than
-    once. Keys are hashes, of which 32 bits and the bucket are compared, so words that share no key can be among the pairs.
+    up to two characters out; ``keys`` are the others. Keys are hashes, of which 32 bits and the group are kept.
     """
-    sides = [
-        df.mapInArrow(_dealt(buckets, own, longest + MAX_APART * own), "bucket int, asked boolean, keys binary")
-        for df, own in ((asked, True), (known, False))
-    ]
-    packed = sides[0].union(sides[1]).repartition(buckets, "bucket")
-    return packed.groupBy("bucket").applyInArrow(_meet, "word string, candidate string")
+    return words.mapInArrow(_dealt(groups, asked, longest + MAX_APART * asked), KEYS)
+
+
+def near_words(asked: DataFrame, known: DataFrame, groups: int, buckets: int) -> DataFrame:
+    """Packed pairs ``(word, candidate)`` within two edits that share a key; all of a word are in one of ``buckets``.
+
+    A pair's value is the candidate's count times ``DISTANCES`` and the distance. A pair may come more than once.
+    """
+    keys = asked.union(known).withColumnRenamed("key", "bucket").repartition(groups, "bucket")
+    return keys.groupBy("bucket").applyInArrow(packer(_near_of_group, buckets, 1, np.minimum), PACKED)
+
+
+def near_indexed(met: DataFrame, buckets: int) -> DataFrame:
+    """The same of rows ``(probe, candidates)``, the packed keys of one group; rows of one group follow each other."""
+    return met.mapInArrow(packer(_near_of_rows, buckets, 1, np.minimum), PACKED)
+
+
+def one_run(keys: DataFrame) -> DataFrame:
+    """Packed known keys with one row per group, each word once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, blobs = None, []
+        for b in batches:
+            group = b.column("key")[0].as_py()
+            blobs += b.column("candidates")
+        words, counts, key, place = _side(blobs)
+        coded = words.dictionary_encode()
+        same = coded.indices.to_numpy()
+        count = np.zeros(len(coded.dictionary), np.int64)
+        count[same] = counts
+        both = np.sort(same[place].astype(np.uint64) << np.uint64(32) | key)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        many = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(count))
+        yield _row(group, False, coded.dictionary, count, many, both)
+
+    return keys.groupBy("key").applyInArrow(work, KEYS)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of words of one length and words of another, a letter's code a row; above ``MAX_APART`` one more than it."""
+    far = MAX_APART + 1
+    size = b.shape[1]
+    old = {j: np.full(size, j, np.uint8) for j in range(min(len(b), far) + 1)}
+    for i in range(1, len(a) + 1):
+        new = {0: np.full(size, i, np.uint8)} if i <= far else {}
+        for j in range(max(1, i - MAX_APART), min(len(b), i + MAX_APART) + 1):
+            cell = old[j - 1] + (a[i - 1] != b[j - 1])
+            for way in (old.get(j), new.get(j - 1)):
+                if way is not None:
+                    cell = np.minimum(cell, way + np.uint8(1))
+            new[j] = np.minimum(cell, np.uint8(far))
+        old = new
+    return old[len(b)]
 
 
 def _deletions(words: np.ndarray, size: int) -> np.ndarray:
@@ -71,74 +123,152 @@ def _own_keys(words: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(keys)
 
 
-def _dealt(buckets: int, asked: bool, longest: int) -> Callable:
+def _dealt(groups: int, asked: bool, longest: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += len(batch.column(1).flatten()) + _KEYS_EACH * batch.num_rows
             if size >= BLOCK_KEYS:
-                yield from _block(pa.Table.from_batches(held), buckets, asked, longest)
+                yield from _block(pa.Table.from_batches(held), groups, asked, longest)
                 held, size = [], 0
         if held:
-            yield from _block(pa.Table.from_batches(held), buckets, asked, longest)
+            yield from _block(pa.Table.from_batches(held), groups, asked, longest)
 
     return work
 
 
-def _block(table: pa.Table, buckets: int, asked: bool, longest: int) -> Iterator[pa.RecordBatch]:
-    table = table.combine_chunks().filter(pc.is_valid(table.column(0)))
+def _block(table: pa.Table, groups: int, asked: bool, longest: int) -> Iterator[pa.RecordBatch]:
+    table = table.filter(pc.is_valid(table.column(0)))
+    table = table.take(pc.sort_indices(pc.utf8_length(table.column(0)))).combine_chunks()  # so own keys are in order of words
+    if not table.num_rows:
+        return
     words = table.column(0).cast(pa.large_string()).combine_chunks()
     lists = table.column(1).combine_chunks()
-    key = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    place = np.repeat(np.arange(len(words)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    places, keys = _own_keys(words, longest)
-    place, key = np.concatenate([place, places]), np.concatenate([key, keys])
-    bucket = (key % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((place, bucket))
-    some, first = np.unique(bucket[order], return_index=True)
-    for b, at in zip(some, np.split(order, first[1:])):
-        own, code = np.unique(place[at], return_inverse=True)
-        columns = (words.take(pa.array(own)), pa.array(code.astype(np.uint32)), pa.array((key[at] >> np.uint64(32)).astype(np.uint32)))
-        rows = [pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x) for x in columns]
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, _KEYS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-            to.write_batch(pa.RecordBatch.from_arrays(rows, schema=_KEYS))
-        values = [pa.array([b], pa.int32()), pa.array([asked]), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(values, schema=_PACKED)
-
-
-def _side(blobs: list[pa.BinaryScalar]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Words, and the keys in order with the words' places."""
+    counts = table.column(2).to_numpy() if table.num_columns > 2 else np.zeros(len(words), np.int64)
+    given = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    place, key = _own_keys(words, longest)
+    if len(given):
+        place = np.concatenate([place, np.repeat(np.arange(len(words)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        key = np.concatenate([key, given])
+        order = np.argsort(place, kind="stable")
+        place, key = place[order], key[order]
+    group = (key % np.uint64(groups)).astype(np.uint16)  # sorted by radix
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=groups))
+    place, key = place[order], (key >> np.uint64(32)).astype(np.uint32)[order]  # a group's places are in order
+    for g, (low, high) in enumerate(zip([0, *ends], ends)):
+        if low == high:
+            continue
+        of = place[low:high]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        own = of[first]
+        yield _row(g, asked, words.take(pa.array(own)), counts[own], np.diff(first, append=len(of)), key[low:high])
+
+
+def _row(group: int, asked: bool, words: pa.Array, counts: np.ndarray, many: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """Words, their counts, how many keys each has, and the keys' kept bits, word by word."""
+    columns = (words, pa.array(counts), pa.array(many.astype(np.uint32)), pa.array(key.astype(np.uint32)))
+    rows = [pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x) for x in columns]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _KEYS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(pa.RecordBatch.from_arrays(rows, schema=_KEYS))
+    values = [pa.array([group], pa.int32()), pa.array([asked]), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(values, schema=_PACKED)
+
+
+def _side(blobs: list[pa.BinaryScalar]) -> Side:
     parts = [pa.ipc.open_stream(x.as_buffer()).read_next_batch() for x in blobs]
-    words = [p.column("words").flatten() for p in parts]
-    start = np.cumsum([0, *map(len, words)])
-    place = np.concatenate([s + p.column("place").flatten().to_numpy() for s, p in zip(start, parts)])
-    key = np.concatenate([p.column("key").flatten().to_numpy() for p in parts])
+    words, counts, many, key = ([p.column(c).flatten() for p in parts] for c in _KEYS.names)
+    words = pa.concat_arrays(words)
+    place = np.repeat(np.arange(len(words)), np.concatenate(many))
+    key = np.concatenate(key)
     order = np.argsort(key, kind="stable")
-    return pa.concat_arrays(words), place[order].astype(np.int64), key[order]
+    return words, np.concatenate(counts), key[order], place[order]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_of_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     blobs = {True: [], False: []}
     for b in batches:
-        for own, keys in zip(b.column("asked").to_pylist(), b.column("keys")):
+        for own, keys in zip(b.column("asked").to_pylist(), b.column("candidates")):
             blobs[own].append(keys)
-    if not (blobs[True] and blobs[False]):
-        return
-    (word, w, asked), (candidate, c, known) = _side(blobs[True]), _side(blobs[False])
-    word_size, size = (pc.utf8_length(x).to_numpy().astype(np.int64) for x in (word, candidate))
-    low, high = np.searchsorted(known, asked, "left"), np.searchsorted(known, asked, "right")
+    if blobs[True] and blobs[False]:
+        yield from _near(_side(blobs[True]), _side(blobs[False]))
+
+
+def _near_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    held, size = [], 0
+    for probes, keys in _runs(batches):
+        for words, codes, value in _near(_side(probes), _side([keys])):
+            used, codes = np.unique(np.concatenate(codes), return_inverse=True)
+            held.append((words.take(pa.array(used)), codes.reshape(2, -1), value))
+            size += len(value)
+            if size >= PAIRS:
+                yield _together(held)
+                held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Probes that follow each other with the same known keys."""
+    last, probes = None, []
+    for b in batches:
+        for probe, keys in zip(b.column("probe"), b.column("candidates")):
+            if last is not None and not keys.as_buffer().equals(last.as_buffer()):
+                yield probes, last
+                probes = []
+            last = keys
+            probes.append(probe)
+    if probes:
+        yield probes, last
+
+
+def _together(held: list[tuple]) -> tuple:
+    start = np.cumsum([0, *(len(words) for words, _, _ in held)])
+    codes = np.concatenate([c + s for s, (_, c, _) in zip(start, held)], axis=1)
+    return pa.concat_arrays([words for words, _, _ in held]), list(codes), np.concatenate([v for _, _, v in held])
+
+
+def _near(asked: Side, known: Side) -> Iterator[tuple]:
+    """Words, pairs of their places, and the pairs' values, in blocks."""
+    (word, _, probe, w), (candidate, count, key, c) = asked, known
+    words = pa.concat_arrays([word, candidate])
+    size = pc.utf8_length(words).to_numpy().astype(np.int64)
+    bytes_ = pc.sum(pc.binary_length(words)).as_py()
+    letters = np.frombuffer(words.buffers()[2][:bytes_].to_pybytes().decode().encode("utf-32-le"), np.uint32)
+    letters = letters.astype(np.min_scalar_type(letters.max(initial=0)))
+    start = np.cumsum(size) - size
+    low, high = np.searchsorted(key, probe, "left"), np.searchsorted(key, probe, "right")
     reach = np.cumsum(high - low)
-    at = 0
-    while at < len(asked):
+    at, held, total = 0, [], 0
+    while at < len(probe):
         done = reach[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(reach, done + PAIRS, "right")))
         many = (high - low)[at:to]
         left = np.repeat(w[at:to], many)
-        right = c[np.repeat(low[at:to] - (reach[at:to] - many - done), many) + np.arange(many.sum())]
-        near = np.abs(word_size[left] - size[right]) <= MAX_APART
-        pair = np.unique(left[near] * len(candidate) + right[near])
-        columns = [word.take(pa.array(pair // len(candidate))), candidate.take(pa.array(pair % len(candidate)))]
-        yield pa.RecordBatch.from_arrays([x.cast(pa.string()) for x in columns], ["word", "candidate"])
+        right = len(word) + c[np.repeat(low[at:to] - (reach[at:to] - many - done), many) + np.arange(many.sum())]
+        near = np.abs(size[left] - size[right]) <= MAX_APART
+        pair = np.sort(left[near] * len(words) + right[near])
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
+        held.append(_measured(pair // len(words), pair % len(words), size, start, letters))
+        total += len(held[-1][0])
         at = to
+        if total >= BLOCK_KEYS or at >= len(probe):
+            left, right, far = (np.concatenate(x) for x in zip(*held))
+            yield words, [left, right], count[right - len(word)] * DISTANCES + far
+            held, total = [], 0
+
+
+def _measured(left: np.ndarray, right: np.ndarray, size: np.ndarray, start: np.ndarray, letters: np.ndarray) -> tuple:
+    """The pairs within two edits and their distances, pairs of like lengths being measured together."""
+    lengths = size[left] * (2 * MAX_APART + 1) + size[right] - size[left] + MAX_APART
+    order = np.argsort(lengths, kind="stable")
+    left, right, lengths = left[order], right[order], lengths[order]
+    first = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1]])) if len(lengths) else []
+    far = np.zeros(len(left), np.uint8)
+    for low, high in zip(first, [*first[1:], len(left)]):
+        both = [letters[np.arange(size[x[low]])[:, None] + start[x[low:high]]] for x in (left, right)]
+        far[low:high] = distances(*both)
+    near = far <= MAX_APART
+    return left[near], right[near], far[near].astype(np.int64)
