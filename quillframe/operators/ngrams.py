@@ -134,7 +134,8 @@ class LanguageModel:
                 names = [f"w{i + 1}" for i in range(k)]
                 known = windows.where(F.col(names[-1]).isNotNull())
                 if k < n:
-                    known = stable(known.groupBy(*names).agg(F.sum("n").alias("n")), "ngrams")
+                    packed = pack_rows(known, names, buckets_for(known), "n")
+                    known = stable(merge(packed, names), "ngrams")
                 tables.append(known)
         size = totals(tables[0]).first()
         return cls(size["vocabulary"], size["tokens"], *tables)

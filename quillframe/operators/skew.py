@@ -38,9 +38,10 @@ def lookup(
         often = stable(often.where(F.col("_often") > 1), "often")
         limit = (often.agg(F.sum("_often")).first()[0] or 0) // share
         keys = often.where(F.col("_often") > limit).select(*on)  # fewer than ``share``
-        heavy = F.broadcast(keys).join(table, on, "left").select(
-            *on, F.struct(*values).alias("_heavy")
-        )
+        # The table is read for the few keys in its tasks; a left join from the keys would shuffle all of it.
+        found = F.broadcast(table.join(F.broadcast(keys), on).select(*on, F.struct(*values).alias("_heavy")))
+        none = F.struct(*[F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values])
+        heavy = keys.join(found, on, "left").withColumn("_heavy", F.coalesce("_heavy", none))
         return _meet(rows, heavy, table, on, values, needed)
     if total is None:
         total = table.agg(F.sum(weight)).first()[0] or 0

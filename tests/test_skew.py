@@ -351,3 +351,24 @@ def test_cells_that_meet_are_searched_once(spark):
         got.setdefault(r.id, []).append(r.near_id)
     for i in range(600, 900):
         assert got[i] == np.argsort(((x[:600] - x[i]) ** 2).sum(1), kind="stable")[:5].tolist()
+
+
+def test_lookup_of_counted_rows_moves_no_table_for_heavy_keys(spark):
+    from pyspark.sql import functions as F
+
+    from quillframe.operators.skew import lookup
+
+    rows = spark.range(600).select(F.when(F.col("id") < 400, F.lit("a")).when(F.col("id") < 500, F.lit("z")).alias("k"), "id")
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(old, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        found = lookup(rows, table, ["k"], ["v"], weight=None)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # Only the rows without a heavy key and their side of the table are dealt out, once.
+        assert plan.count("Exchange hashpartitioning(k") <= 2
+        assert sorted((r["id"], r["v"]) for r in found.collect()) == [(i, 1 if i < 400 else None) for i in range(600)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
