@@ -28,6 +28,7 @@ SEGMENT_SHARE = 0.25
 
 # A component is named by its first pixel in raster order, as y * 2^32 + x.
 _SHIFT = 32
+_BITS = 62  # pixels of a row in one number, so that no sum leaves 64 bits
 
 
 def binarise(pixels: DataFrame, low_text: float, link_threshold: float) -> DataFrame:
@@ -39,59 +40,44 @@ def binarise(pixels: DataFrame, low_text: float, link_threshold: float) -> DataF
     )
 
 
-def _label_tile(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """First pixel (as index into the arrays) of each pixel's 4-neighbour component."""
-    y0, x0 = ys.min(), xs.min()
-    h, w = int(ys.max() - y0 + 1), int(xs.max() - x0 + 1)
-    none = np.int64(h * w)
-    flat = (ys - y0) * w + (xs - x0)
-    root = np.full(h * w + 1, none, dtype=np.int64)
-    root[flat] = flat
-    while True:
-        before = root[flat]
-        grid = root[:-1].reshape(h, w)
-        low = grid.copy()
-        low[1:] = np.minimum(low[1:], grid[:-1])
-        low[:-1] = np.minimum(low[:-1], grid[1:])
-        low[:, 1:] = np.minimum(low[:, 1:], grid[:, :-1])
-        low[:, :-1] = np.minimum(low[:, :-1], grid[:, 1:])
-        heard = low.ravel()[flat]
-        heard = np.minimum(heard, root[heard])
-        # The old root follows too, so that long paths shrink by halves.
-        np.minimum.at(root, before, heard)
-        root[flat] = np.minimum(heard, root[flat])
-        if np.array_equal(before, root[flat]):
-            break
-    index = np.full(h * w, -1, dtype=np.int64)
-    index[flat] = np.arange(len(flat))
-    return index[root[flat]]
+def _label_tiles(group: np.ndarray, y: np.ndarray, x: np.ndarray, tile: int) -> np.ndarray:
+    """First pixel (as index into the arrays) of each pixel's 4-neighbour component inside its tile.
+
+    All tiles at once: pixels are joined to row runs, runs meet the ones they touch in the next row of
+    their tile, and roots are hooked to the lower one until every pair agrees.
+    """
+    # The key grows with group, y, x; a tile has one more row, which stays empty.
+    key = (group * (tile + 1) + y % tile) * tile + x % tile
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], key[order] // tile
+    opens = np.concatenate([[True], (key[1:] - key[:-1] > 1) | (row[1:] != row[:-1])])
+    first = np.flatnonzero(opens)
+    start, end = key[first], key[np.append(first[1:], len(key)) - 1]
+    low = np.searchsorted(end, start + tile, side="left")
+    n = np.maximum(np.searchsorted(start, end + tile, side="right") - low, 0)
+    a = np.repeat(np.arange(len(first)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + low[a]
+    root = np.arange(len(first))
+    while not np.array_equal(root[a], root[b]):
+        ra, rb = root[a], root[b]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = order[first[root]][np.cumsum(opens) - 1]
+    return out
 
 
 def label(foreground: DataFrame, tile: int = TILE) -> DataFrame:
     """Add ``comp``, the same for 4-connected pixels of an image."""
+    keys = ["image_id", "_ty", "_tx"]
     placed = foreground.withColumn("_ty", F.floor(F.col("y") / tile)).withColumn(
         "_tx", F.floor(F.col("x") / tile)
     )
-    extra = [c for c in foreground.columns if c not in ("image_id", "y", "x")]
-    # A tile has at most tile * tile pixels, so it fits one row.
-    tiles = (
-        placed.groupBy("image_id", "_ty", "_tx")
-        .agg(F.sort_array(F.collect_list(F.struct("y", "x", *extra))).alias("px"))
-        # A pixel's place in its tile: one small number each way, as a batch has thousands of tiles.
-        .withColumn("at", F.transform("px", lambda p: (F.pmod(p["y"], F.lit(tile)) * tile + F.pmod(p["x"], F.lit(tile))).cast("int")))
-    )
-    roots = F.pandas_udf(_roots_in(tile), T.ArrayType(T.IntegerType()))
-    rooted = tiles.withColumn("roots", roots("at"))
-    y = F.col("_ty") * tile + F.floor(F.col("z.roots") / tile)
-    root = F.shiftleft(y, _SHIFT).bitwiseOR(F.col("_tx") * tile + F.col("z.roots") % tile)
-    flat = stable(
-        rooted.select(
-            "image_id", "_ty", "_tx", F.explode(F.arrays_zip("px", "roots")).alias("z")
-        ).select(
-            "image_id", "_ty", "_tx", "z.px.*", root.alias("root")
-        ),
-        "tiles",
-    )
+    # A tile has at most tile * tile pixels; they follow each other and pass Python in Arrow batches.
+    tiles = placed.repartition(*keys).sortWithinPartitions(*keys)
+    rooted = T.StructType([*foreground.schema.fields, T.StructField("root", T.LongType())])
+    flat = stable(tiles.mapInArrow(_root_batches(tile), rooted), "tiles")
     merged = _join_tiles(flat, tile)
     if merged is None:
         return flat.select(*foreground.columns, F.col("root").alias("comp"))
@@ -99,18 +85,60 @@ def label(foreground: DataFrame, tile: int = TILE) -> DataFrame:
     return found.select(*foreground.columns, F.coalesce("comp", "root").alias("comp"))
 
 
+def _tile_starts(rows: pa.RecordBatch) -> np.ndarray:
+    """True where a row's tile differs from the one before."""
+    image = rows.column("image_id").dictionary_encode().indices.fill_null(-1).to_numpy()
+    new = np.ones(rows.num_rows, dtype=bool)
+    new[1:] = image[1:] != image[:-1]
+    for name in ("_ty", "_tx"):
+        at = rows.column(name).to_numpy()
+        new[1:] |= at[1:] != at[:-1]
+    return new
+
+
 def _roots_in(tile: int) -> Callable[[pd.Series], pd.Series]:
+    """The same roots for lists of a tile's places ``y * tile + x``, as places."""
+
     def roots(at: pd.Series) -> pd.Series:
-        out = []
-        for places in at:
-            y, x = np.divmod(np.asarray(places, dtype=np.int64), tile)
-            out.append(np.asarray(places, dtype=np.int32)[_label_tile(y, x)])
-        return pd.Series(out)
+        sizes = [len(places) for places in at]
+        places = np.concatenate([np.empty(0, np.int32), *at]).astype(np.int32)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        first = _label_tiles(group, *np.divmod(places.astype(np.int64), tile), tile)
+        return pd.Series(np.split(places[first], np.cumsum(sizes)[:-1]))
 
-    roots.__annotations__ = {"at": pd.Series, "return": pd.Series}
     return roots
 
 
+def _root_batches(tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rooted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        group = np.cumsum(_tile_starts(rows)) - 1
+        y, x = (rows.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        first = _label_tiles(group, y, x, tile)
+        kept = [c for c in rows.schema.names if c not in ("_ty", "_tx")]
+        root = pa.array((y[first] << _SHIFT) | x[first])
+        return pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], root], [*kept, "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None  # what is not yet known to end a tile
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            cut = int(np.flatnonzero(_tile_starts(batch))[-1])
+            ends = [[batch.column(c)[i].as_py() for c in ("image_id", "_ty", "_tx")] for i in (0, -1)]
+            if held and (cut or ends[0] != last):
+                yield rooted([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield rooted([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+            last = ends[1]
+        if held:
+            yield rooted(held)
+
+    return run
+
+
 def _join_tiles(flat: DataFrame, tile: int) -> DataFrame | None:
     """Tile roots that meet across a border, with the least root of all they reach; None where no
     two tiles touch."""
@@ -225,6 +253,43 @@ def reach(stats: DataFrame) -> DataFrame:
     )
 
 
+def _pixel_bits(pixels: DataFrame) -> DataFrame:
+    """Pixels of a component's row as words of ``_BITS`` bits, ``image_id, comp, y, _word, _bits``.
+
+    Words are added up in the tasks that read the pixels, so that words are shuffled and not pixels.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(pmod(x, {_BITS}) as int))")
+    return pixels.groupBy("image_id", "comp", "y", F.floor(F.col("x") / _BITS).alias("_word")).agg(
+        F.bit_or(bit).alias("_bits")
+    )
+
+
+def _interval_bits(parts: DataFrame) -> DataFrame:
+    """The pixels of intervals, as ``_pixel_bits`` has them. An interval that ends before it starts has none."""
+    words = F.sequence(F.floor(F.col("x_first") / _BITS), F.floor(F.col("x_last") / _BITS))
+    spread = parts.where("x_first <= x_last").select(
+        "image_id", "comp", "y", "x_first", "x_last", F.explode(words).alias("_word")
+    )
+    low = f"cast(greatest(x_first - _word * {_BITS}, 0) as int)"
+    high = f"cast(least(x_last - _word * {_BITS}, {_BITS - 1}) as int)"
+    bits = F.expr(f"shiftleft(-1L, {low}) & shiftrightunsigned(-1L, 63 - {high})")
+    return spread.groupBy("image_id", "comp", "y", "_word").agg(F.bit_or(bits).alias("_bits"))
+
+
+def _bit_parts(words: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Intervals of the ones of each word, with the type of the pixels' ``x``."""
+    kind = pixels.schema["x"].dataType
+    each = words.select("image_id", "comp", "y", "_word", "_bits", F.explode(F.sequence(F.lit(0), F.lit(_BITS - 1))).alias("_at"))
+    starts = each.where("(shiftright(_bits & ~shiftleft(_bits, 1), _at) & 1L) = 1")
+    # The ones from a start on end before the lowest zero above it.
+    zeros = starts.withColumn("_zeros", F.expr("~shiftrightunsigned(_bits, _at)"))
+    first = F.col("_word") * _BITS + F.col("_at")
+    ones = F.expr("bit_count((_zeros & -_zeros) - 1L)")
+    return zeros.select(
+        "image_id", "comp", "y", first.cast(kind).alias("x_first"), (first + ones - 1).cast(kind).alias("x_last")
+    )
+
+
 def dilated_runs(pixels: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataFrame:
     """Component after dilation as runs ``(image_id, comp, y, x_first, x_last)``.
 
@@ -232,7 +297,7 @@ def dilated_runs(pixels: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataF
     reaches, so the fan-out is the kernel's height per run and not its area per pixel. ``sizes``
     holds ``(image_id, img_h, img_w)``.
     """
-    rows = _runs(pixels.select("image_id", "comp", "y", F.col("x").alias("x_first"), F.col("x").alias("x_last")))
+    rows = _runs(_bit_parts(_pixel_bits(pixels), pixels))
     box = reach(stats).join(sizes, "image_id").select(
         "image_id", "comp", F.col("area").alias("n"), "niter",
         F.greatest(F.lit(0), "win_left").alias("wl"), F.least("img_w", "win_right").alias("wr"),
@@ -253,7 +318,7 @@ def dilated_runs(pixels: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataF
             )
         ).alias("y"),
     )
-    return _runs(wide.select("image_id", "comp", "y", "x_first", "x_last"))
+    return _runs(_bit_parts(_interval_bits(wide), pixels))
 
 
 def _runs(parts: DataFrame) -> DataFrame:
@@ -455,8 +520,8 @@ def boxes_of(runs: DataFrame) -> DataFrame:
 def component_runs(labelled: DataFrame, kept: DataFrame) -> DataFrame:
     """Row runs of the kept components, link-only pixels included."""
     marked = kept.select("image_id", "comp", F.col("area").alias("n"), F.lit(True).alias("_kept"))
-    pixels = lookup(labelled, marked, ["image_id", "comp"], ["_kept"]).where("_kept")
-    return _runs(pixels.select("image_id", "comp", "y", F.col("x").alias("x_first"), F.col("x").alias("x_last")))
+    words = stable(_pixel_bits(labelled), "words")
+    return _runs(_bit_parts(lookup(words, marked, ["image_id", "comp"], ["_kept"]).where("_kept"), labelled))
 
 
 def detect_boxes(

@@ -1,18 +1,24 @@
 """Polygons along curved text: boxes rectified, pivots on the centre line, edges pushed out.
 
-A component is looked at in the upright crop of its box. Crop pixels are mapped to the source by a
-homography and tested against the component's row runs, an equi-join on the source row with an
-interval; images are never gathered in one place.
+A component is looked at in the upright crop of its box, whose pixels are mapped to the source by a
+homography. The component's row runs look up their crop and find the crop pixels they can hold; the few
+pixels of rasterised lines meet the runs by an equi-join on the source row. Images are never gathered in one
+place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import geometry as geo
 from quillframe.functions.arrays import hold
 from quillframe.operators import components as cc
+from quillframe.operators.skew import lookup
 from quillframe.session import stable
 
 MIN_SIDE = 10
@@ -22,6 +28,10 @@ EXPAND = 1.45
 REACHES = [0.5 + 0.2 * i for i in range(7)]
 
 _KEY = ["image_id", "comp"]
+_MAP = tuple("abcdefgk")
+_AT_ONCE = 1 << 18  # crop columns or pixels that are unrolled together
+_LEAST_SCALE = 0.0625  # of a map whose runs find their crop pixels
+_SLACK = 1 / 64  # source pixels, far above what rounding moves a mapped point by
 
 
 def crops(boxes: DataFrame, min_side: int = MIN_SIDE) -> DataFrame:
@@ -54,18 +64,102 @@ def on_component(points: DataFrame, runs: DataFrame) -> DataFrame:
     return met.where(inside).select(*[c for c in points.columns if c != "map"])
 
 
-def crop_profile(cropped: DataFrame, runs: DataFrame) -> DataFrame:
-    """Column profile (``image_id, comp, x, y_top, y_bottom, pixels, span``) of components in their crops.
+def _portions(counts: np.ndarray) -> Iterator[slice]:
+    """Consecutive rows whose counts add up to ``_AT_ONCE`` at most, or one row."""
+    total, low = np.cumsum(counts), 0
+    while low < len(counts):
+        base = total[low] - counts[low]
+        high = max(low + 1, int(np.searchsorted(total, base + _AT_ONCE, side="right")))
+        yield slice(low, high)
+        low = high
+
+
+def _spans(along: np.ndarray, rest: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of the whole numbers ``t`` below ``size`` with ``along * t >= rest`` on all sides, and how many there are."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = rest / along
+    low = np.ceil(np.clip(np.where(along > 0, at, -np.inf).max(axis=0), 0, size)).astype(np.int64)
+    high = np.floor(np.clip(np.where(along < 0, at, np.inf).min(axis=0), -1, size - 1)).astype(np.int64)
+    return low, np.maximum(high - low + 1, 0)
+
+
+def _unrolled(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` numbers from ``low`` on for each row, and their rows."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, low[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+
+
+def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = ("y", "x_first", "x_last", "w", "h", *_MAP)
+        v = {c: batch.column(c).to_numpy().astype(np.float64) for c in names}
+        # The sides p cx + q cy + r >= 0 of each run.
+        ends = (("x_first", -1, "abc"), ("x_last", 1, "abc"), ("y", -1, "def"), ("y", 1, "def"))
+        sides = []
+        for end, out, (p, q, r) in ends:
+            at = v[end] + out * (0.5 + _SLACK)
+            sides.append([-out * (v[p] - at * v["g"]), -out * (v[q] - at * v["k"]), -out * (v[r] - at)])
+        p, q, r = np.array(sides).transpose(1, 0, 2)
+        low, n = _spans(p, -r - np.maximum(0, q * (v["h"] - 1)), v["w"])
+        for runs in _portions(n):
+            run, cx = _unrolled(low[runs], n[runs])
+            run += runs.start
+            first, m = _spans(q[:, run], -r[:, run] - p[:, run] * cx, v["h"][run])
+            for columns in _portions(m):
+                at, cy = _unrolled(first[columns], m[columns])
+                x, i = cx[columns][at], run[columns][at]
+                a, b, c, d, e, f, g, k = (v[name][i] for name in _MAP)
+                scale = g * x + k * cy + 1.0
+                sx, sy = np.rint((a * x + b * cy + c) / scale), np.rint((d * x + e * cy + f) / scale)
+                inside = (sy == v["y"][i]) & (sx >= v["x_first"][i]) & (sx <= v["x_last"][i])
+                key = pa.array(i[inside])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(key) for c in _KEY], *[pa.array(t[inside].astype(np.int32)) for t in (x, cy)]],
+                    [*_KEY, "cx", "cy"],
+                )
+
+
+def run_cells(cropped: DataFrame, runs: DataFrame) -> DataFrame:
+    """The crop pixels ``cx, cy`` in each component, as ``on_component`` finds among all of a crop.
+
+    A run is four half-planes of the crop. They bound its columns and, in each, its rows; what lies
+    between is mapped and tested. So a run's work is the pixels it holds, not its crop's, and no
+    pixel is shuffled. Needs a map whose scale stays above 0 in the crop.
+    """
+    crop = F.struct(*[F.col(f"map.{c}").alias(c) for c in _MAP], "w", "h")
+    crops_of = cropped.groupBy(*_KEY).agg(
+        F.collect_list(crop).alias("_crops"), F.sum(F.col("w").cast("long") * F.col("h")).alias("n")
+    )
+    narrow = runs.select(*_KEY, "y", "x_first", "x_last")
+    met = lookup(narrow, stable(crops_of, "crops"), _KEY, ["_crops"])
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
+    return met.select(*narrow.columns, F.explode("_crops").alias("_c")).select(*narrow.columns, "_c.*").mapInArrow(
+        _cell_batches, f"image_id {kinds['image_id']}, comp {kinds['comp']}, cx int, cy int"
+    )
+
+
+def all_cells(cropped: DataFrame, runs: DataFrame) -> DataFrame:
+    """The same for any map, by way of all pixels of the crops.
 
     Columns are dealt out before they become pixels, so that one large crop is not one task's work.
     """
-    columns = (
-        cropped.where("map is not null")
-        .select(*_KEY, "map", "h", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("cx"))
-        .repartition("image_id", "comp", "cx")
+    columns = cropped.select(*_KEY, "map", "h", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("cx")).repartition(
+        "image_id", "comp", "cx"
     )
     cells = columns.select(*_KEY, "map", "cx", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("cy"))
-    found = on_component(cells, runs)
+    return on_component(cells, runs)
+
+
+def crop_profile(cropped: DataFrame, runs: DataFrame) -> DataFrame:
+    """Column profile (``image_id, comp, x, y_top, y_bottom, pixels, span``) of components in their crops."""
+    right, bottom = F.col("map.g") * F.col("w"), F.col("map.k") * F.col("h")
+    scale = 1 + F.least(F.lit(0.0), right, bottom, right + bottom)
+    with_map = cropped.where("map is not null").select(*_KEY, "map", "w", "h")
+    steady = F.coalesce(scale >= _LEAST_SCALE, F.lit(False))
+    found = run_cells(with_map.where(steady), runs)
+    other = with_map.where(~steady)
+    if not other.isEmpty():
+        found = found.unionByName(all_cells(other, runs))
     return cc.column_profile(found.select(*_KEY, F.col("cx").alias("x"), F.col("cy").alias("y")))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import geometry as geo
 from quillframe.operators import components as cc
 from quillframe.operators import polygons as po
+from quillframe.session import stable
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -191,3 +192,77 @@ def test_least_rectangles_over_parts(spark, monkeypatch):
                     n = dx * dx + dy * dy
                     best = (area, dy / dx), [((p * dx - q * dy) / n, (p * dy + q * dx) / n) for p, q in corners]
         assert r["area"] == best[0][0] and [(p.x, p.y) for p in r["points"]] == best[1]
+
+
+def test_runs_find_the_pixels_of_all_crops(spark):
+    """Turned, slanted and crossed corners: what runs find is what a search of whole crops finds."""
+    rng = random.Random(11)
+    cases = shapes(5)
+    for k in range(8):
+        quad = [(x + rng.uniform(-9, 9), y + rng.uniform(-9, 9)) for x, y in [(20, 20), (60, 25), (58, 50), (22, 55)]]
+        quad = quad if k % 4 else [quad[i] for i in (0, 2, 1, 3)]
+        cases.append((quad, {(rng.randrange(10, 70), rng.randrange(10, 70)) for _ in range(900)}))
+    boxes = spark.createDataFrame([(k % 3, k, [(float(x), float(y)) for x, y in quad]) for k, (quad, _) in enumerate(cases)] * 2, f"image_id long, comp long, points {POINTS}")
+    single = spark.createDataFrame(
+        [(k % 3, k, y, x) for k, (_, pixels) in enumerate(cases) for x, y in sorted(pixels)], "image_id long, comp long, y int, x int"
+    )
+    runs = cc._runs(cc._bit_parts(cc._pixel_bits(single), single))
+    cropped = stable(po.crops(boxes)).where("map is not null").withColumn("steady", F.expr("1 + least(0, map.g * w, map.k * h, map.g * w + map.k * h) >= 0.0625"))
+    assert cropped.select("steady").distinct().count() == 2
+    steady = cropped.where("steady")
+    runs = stable(runs)
+    got, want = po.run_cells(steady, runs), po.all_cells(steady, runs)
+    assert want.count() > 5000 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    profile = po.crop_profile(cropped, runs)
+    want = cc.column_profile(po.all_cells(cropped, runs).select("image_id", "comp", F.col("cx").alias("x"), F.col("cy").alias("y")))
+    assert profile.exceptAll(want).isEmpty() and want.exceptAll(profile).isEmpty()
+    # No pixel of a crop is sent anywhere but to the sums of its column.
+    plan = po.run_cells(steady, runs)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in after and "cx" not in plan[plan.index("MapInArrow") + 200 :]
+
+
+def test_runs_of_pixels_travel_as_words(spark):
+    rng = random.Random(12)
+    pixels = {(y, x) for y in range(-3, 4) for x in range(-130, 260) if rng.random() < 0.9 or 60 < x < 130}
+    rows = [(1, 5, y, x, 1) for y, x in pixels] + [(1, 6, 0, x, 1) for x in (-1, 0, 61, 62, 62, 123, 124)]
+    df = spark.createDataFrame(rows, "image_id long, comp long, y int, x int, area int")
+    kept = spark.createDataFrame([(1, 5, 9), (1, 6, 9), (1, 7, 9)], "image_id long, comp long, area int")
+    runs = cc.component_runs(df, kept)
+    assert dict(runs.dtypes)["x_first"] == "int"
+    got = {tuple(r) for r in runs.select("comp", "y", "x_first", "x_last").collect()}
+    want = {(6, 0, -1, 0), (6, 0, 61, 62), (6, 0, 123, 124)}
+    for y, x in pixels:
+        if (y, x - 1) not in pixels:
+            end = x
+            while (y, end + 1) in pixels:
+                end += 1
+            want.add((5, y, x, end))
+    assert got == want
+    parts = df.where("comp = 5").select("image_id", "comp", "y", F.expr("x - 70").alias("x_first"), F.expr("x + 70").alias("x_last"))
+    wide = cc._runs(cc._bit_parts(cc._interval_bits(parts), df))
+    assert wide.exceptAll(cc._runs(parts)).isEmpty() and cc._runs(parts).exceptAll(wide).isEmpty()
+    plan = cc._pixel_bits(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("partial_bit_or")
+
+
+def test_tiles_are_labelled_across_batches(spark):
+    """Batches that end inside tiles, repeated pixels and coordinates below 0."""
+    rng = random.Random(13)
+    rows = [(i, rng.randrange(-20, 20), rng.randrange(-20, 20), 1.0) for i in (1, 2) for _ in range(900)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, text double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = cc.label(df, 64).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted((r.image_id, r.y, r.x, r.text) for r in got) == sorted(rows)
+    for image in (1, 2):
+        # One tile per quadrant; roots are joined across them by the pixels alone.
+        comp = {(r.y, r.x): r.comp for r in got if r.image_id == image}
+        for y, x in comp:
+            for near in ((y + 1, x), (y, x + 1)):
+                if near in comp and y // 64 == near[0] // 64 and x // 64 == near[1] // 64:
+                    assert comp[y, x] == comp[near]
+        assert len(set(comp.values())) > 1
