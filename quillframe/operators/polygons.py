@@ -30,6 +30,7 @@ REACHES = [0.5 + 0.2 * i for i in range(7)]
 _KEY = ["image_id", "comp"]
 _MAP = tuple("abcdefgk")
 _AT_ONCE = 1 << 18  # crop columns or pixels that are unrolled together
+_ROWS = 256  # rows of a component whose runs are searched in one task
 _LEAST_SCALE = 0.0625  # of a map whose runs find their crop pixels
 _SLACK = 1 / 64  # source pixels, far above what rounding moves a mapped point by
 
@@ -130,7 +131,9 @@ def run_cells(cropped: DataFrame, runs: DataFrame) -> DataFrame:
     crops_of = cropped.groupBy(*_KEY).agg(
         F.collect_list(crop).alias("_crops"), F.sum(F.col("w").cast("long") * F.col("h")).alias("n")
     )
-    narrow = runs.select(*_KEY, "y", "x_first", "x_last")
+    # Rows near each other share a task, whose sums per column then cover all of them.
+    narrow = runs.select(*_KEY, "y", "x_first", "x_last").repartition(*_KEY, F.floor(F.col("y") / _ROWS))
+    narrow = stable(narrow, "runs")
     met = lookup(narrow, stable(crops_of, "crops"), _KEY, ["_crops"])
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
     return met.select(*narrow.columns, F.explode("_crops").alias("_c")).select(*narrow.columns, "_c.*").mapInArrow(
