@@ -155,16 +155,16 @@ def _ranked(
     mass = model.mass
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, (of, near), value = merged([x for b in batches for x in b.column("grams")], 2, np.minimum)
-        count, dist = value // DISTANCES, value % DISTANCES
-        score = np.log((count + 1) / mass) - dist * DISTANCE_PENALTY
-        order = np.lexsort((near, dist, -score, of))
-        first = np.searchsorted(of, of[order])  # pairs are in the words' order
-        rank = np.arange(len(of)) - first + 1
-        best = order[rank <= n]
-        columns = [text.take(pa.array(x[best])).cast(pa.string()) for x in (of, near)]
-        columns += [pa.array(x) for x in (dist[best].astype(np.int32), count[best], rank[rank <= n].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["word", "candidate", "dist", "n", "rank"])
+        for text, (of, near), value in merged((x for b in batches for x in b.column("grams")), 2, np.minimum):
+            count, dist = value // DISTANCES, value % DISTANCES
+            score = np.log((count + 1) / mass) - dist * DISTANCE_PENALTY
+            order = np.lexsort((near, dist, -score, of))
+            first = np.searchsorted(of, of[order])  # pairs are in the words' order
+            rank = np.arange(len(of)) - first + 1
+            best = order[rank <= n]
+            columns = [text.take(pa.array(x[best])).cast(pa.string()) for x in (of, near)]
+            columns += [pa.array(x) for x in (dist[best].astype(np.int32), count[best], rank[rank <= n].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "candidate", "dist", "n", "rank"])
 
     best = near.groupBy("bucket").applyInArrow(work, "word string, candidate string, dist int, n long, rank int")
     score = F.log((F.col("n") + 1) / mass) - F.col("dist") * DISTANCE_PENALTY

@@ -12,11 +12,14 @@ from quillframe.operators import ngrams as ng
 from quillframe.operators.fuzzy_index import FuzzyIndex
 from quillframe.operators.kept_counts import KeptCounts
 from quillframe.operators.ordering import exceeds
+from quillframe.operators.packed_counts import buckets_for
 from quillframe.plans import views as v
 from quillframe.plans.registry import query, rounded
 from quillframe.session import scratch_path, stable
 from quillframe.sources import writers
 
+_KEPT_BYTES = 4 << 20  # of the table of documents for each bucket of kept counts
+
 # DuckDB's edit distance counts bytes: the accented letters of the texts are exchanged for single
 # bytes first, which leaves distances between characters.
 _ACCENTED = "éóèñçêüäöíßÉÈÑÓÇÜÄÊÍÖ"
@@ -68,8 +71,8 @@ def l3(spark, sf):
 @query("l3_incremental_trigrams", f"WITH {_COUNT_SQL} SELECT w1, w2, w3, n FROM tri")
 def l3_kept(spark, sf):
     """Trigrams of documents that come by language, one language at a time, with a compaction between."""
-    kept = KeptCounts(spark, scratch_path(spark, "counts"), ["doc_id"], 3)
     docs = v.table(spark, sf, "documents")
+    kept = KeptCounts(spark, scratch_path(spark, "counts"), ["doc_id"], 3, buckets=buckets_for(docs, _KEPT_BYTES))
     if exceeds(docs, ["doc_id"], 1):
         segments = v.segments(spark, sf).join(docs.select("doc_id", "lang"), "doc_id")
     else:  # the language of a text's id is that of its own row
