@@ -19,6 +19,7 @@ from quillframe.session import stable
 MAX_DISTANCE = 2
 DISTANCE_PENALTY = 2.0
 WORD_BYTES = 1 << 19  # size of the tables of words for each bucket of keys
+PROBE_BYTES = 4 << 20  # size of the probe's packed keys for each bucket of its pairs
 SHORT = 20  # longest vocabulary word keyed by its deletions
 INDEX_GROUPS = 1024  # groups of a kept index's keys; each is searched in one piece
 PIECES = 8  # pieces of a longer word, of which two may hold the edits
@@ -99,8 +100,8 @@ def near_pairs(probe: DataFrame, index: DataFrame, word: str = "word") -> DataFr
     even when many words share a prefix. Groups of keys meet by a join, whose order keeps the rows of a group together.
     """
     keys = index.hint("merge").select("key", "candidates")
-    met = probe.select("key", F.col("candidates").alias("probe")).join(keys, "key").select("probe", "candidates")
-    return _pairs(near_indexed(met, buckets_for(probe)), word)
+    met = probe.select("key", F.col("candidates").alias("probe")).join(keys, "key").select("key", "probe", "candidates")
+    return _pairs(near_indexed(met, buckets_for(probe, PROBE_BYTES)), word)
 
 
 def _pairs(near: DataFrame, word: str) -> DataFrame:

@@ -12,9 +12,13 @@ from quillframe.operators.packed_keys import one_run
 from quillframe.session import stable
 
 
+KEY_ROWS = 16  # rows of packed keys that are written and read together
+
+
 class FuzzyIndex:
     """Written tables of one vocabulary: ``keys (key, candidates)`` bucketed by key and ``words`` by word.
-    ``key`` is a group of blocking keys, and ``candidates`` are the group's keys with their words, packed.
+    ``key`` is a group of blocking keys, and ``candidates`` are the group's keys with their words, packed; a large
+    group has several rows.
 
     Both are files below ``path`` with a bucket specification in the catalog, so a search shuffles the
     probe's keys to the buckets and never the index. Words are added by increments that touch only
@@ -29,8 +33,9 @@ class FuzzyIndex:
         self.spark, self.path, self.generation, self.buckets = spark, path.rstrip("/"), generation, buckets
         for kind, column in (("keys", "key"), ("words", "candidate")):
             columns = "key INT, candidates BINARY" if kind == "keys" else "candidate STRING"
+            options = f"OPTIONS ('parquet.block.row.count.limit' '{KEY_ROWS}') " if kind == "keys" else ""
             spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self._name(kind)} ({columns}) USING parquet "
+                f"CREATE TABLE IF NOT EXISTS {self._name(kind)} ({columns}) USING parquet {options}"
                 f"CLUSTERED BY ({column}) SORTED BY ({column}) INTO {buckets} BUCKETS "
                 f"LOCATION '{self._folder(kind)}'"
             )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from quillframe.operators.packed_counts import PACKED, packer
 
-_KEYS_EACH = 32  # about what a word has
-BLOCK_KEYS = 4 << 20  # keys that are dealt out together, and what the last batch holds beyond
+BLOCK_KEYS = 2 << 20  # most keys that are dealt out together, but for one word of more
+ROW_KEYS = 1 << 18  # about the most keys in a row of an index, of which a group has as many as it needs
 PAIRS = 1 << 20  # pairs that a task holds at once, and the candidates of one more key
 MAX_APART = 2  # edits, and difference of lengths
 DISTANCES = 4  # a pair's value is the candidate's count times this, and the distance
@@ -46,12 +46,13 @@ def near_words(asked: DataFrame, known: DataFrame, groups: int, buckets: int) ->
 
 
 def near_indexed(met: DataFrame, buckets: int) -> DataFrame:
-    """The same of rows ``(probe, candidates)``, the packed keys of one group; rows of one group follow each other."""
+    """The same of rows ``(key, probe, candidates)``, the packed keys of one group; rows of one group follow each other."""
     return met.mapInArrow(packer(_near_of_rows, buckets, 1, np.minimum), PACKED)
 
 
 def one_run(keys: DataFrame) -> DataFrame:
-    """Packed known keys with one row per group, each word once."""
+    """Packed known keys with one row per group, or per range of a large group's keys; each word once in a row."""
+    limit = ROW_KEYS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, blobs = None, []
@@ -65,8 +66,15 @@ def one_run(keys: DataFrame) -> DataFrame:
         count[same] = counts
         both = np.sort(same[place].astype(np.uint64) << np.uint64(32) | key)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-        many = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(count))
-        yield _row(group, False, coded.dictionary, count, many, both)
+        of, key = (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
+        parts = -(-len(key) // limit)
+        part = (key * np.uint64(parts)) >> np.uint64(32)  # keys are hashes
+        for p in range(parts):
+            own = of[part == p]
+            used = np.unique(own)
+            if len(used):
+                many = np.bincount(np.searchsorted(used, own), minlength=len(used))
+                yield _row(group, False, coded.dictionary.take(pa.array(used)), count[used], many, key[part == p])
 
     return keys.groupBy("key").applyInArrow(work, KEYS)
 
@@ -127,11 +135,20 @@ def _dealt(groups: int, asked: bool, longest: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += len(batch.column(1).flatten()) + _KEYS_EACH * batch.num_rows
-            if size >= BLOCK_KEYS:
-                yield from _block(pa.Table.from_batches(held), groups, asked, longest)
-                held, size = [], 0
+            length = pc.utf8_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            given = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            reach = np.cumsum(given + np.where(length <= longest, 1 + length * (length + 1) // 2, 0))
+            low = past = 0
+            while low < len(reach):
+                high = int(np.searchsorted(reach, past + BLOCK_KEYS - size, "right"))
+                if high <= low and held:
+                    yield from _block(pa.Table.from_batches(held), groups, asked, longest)
+                    held, size = [], 0
+                    continue
+                high = max(high, low + 1)
+                held.append(batch.slice(low, high - low))
+                size += int(reach[high - 1] - past)
+                low, past = high, int(reach[high - 1])
         if held:
             yield from _block(pa.Table.from_batches(held), groups, asked, longest)
 
@@ -177,7 +194,7 @@ def _row(group: int, asked: bool, words: pa.Array, counts: np.ndarray, many: np.
     return pa.RecordBatch.from_arrays(values, schema=_PACKED)
 
 
-def _side(blobs: list[pa.BinaryScalar]) -> Side:
+def _side(blobs: Iterable[pa.BinaryScalar]) -> Side:
     parts = [pa.ipc.open_stream(x.as_buffer()).read_next_batch() for x in blobs]
     words, counts, many, key = ([p.column(c).flatten() for p in parts] for c in _KEYS.names)
     words = pa.concat_arrays(words)
@@ -198,30 +215,35 @@ def _near_of_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _near_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     held, size = [], 0
-    for probes, keys in _runs(batches):
-        for words, codes, value in _near(_side(probes), _side([keys])):
-            used, codes = np.unique(np.concatenate(codes), return_inverse=True)
-            held.append((words.take(pa.array(used)), codes.reshape(2, -1), value))
-            size += len(value)
-            if size >= PAIRS:
-                yield _together(held)
-                held, size = [], 0
+    for probes, known in _groups(batches):
+        asked = _side(probes)
+        for keys in known:
+            for words, codes, value in _near(asked, _side([keys])):
+                used, codes = np.unique(np.concatenate(codes), return_inverse=True)
+                held.append((words.take(pa.array(used)), codes.reshape(2, -1), value))
+                size += len(value)
+                if size >= PAIRS:
+                    yield _together(held)
+                    held, size = [], 0
     if held:
         yield _together(held)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Probes that follow each other with the same known keys."""
-    last, probes = None, []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Probes and known keys of one group after the other, each once, from rows of all pairs of them."""
+    last, probes, known = None, {}, {}
     for b in batches:
-        for probe, keys in zip(b.column("probe"), b.column("candidates")):
-            if last is not None and not keys.as_buffer().equals(last.as_buffer()):
-                yield probes, last
-                probes = []
-            last = keys
-            probes.append(probe)
+        for group, probe, keys in zip(b.column("key").to_pylist(), b.column("probe"), b.column("candidates")):
+            if group != last and probes:
+                yield probes.values(), known.values()
+                probes, known = {}, {}
+            last = group
+            for blob, seen in ((probe, probes), (keys, known)):
+                raw = blob.as_buffer().to_pybytes()
+                if raw not in seen:
+                    seen[raw] = pa.scalar(raw, pa.binary())
     if probes:
-        yield probes, last
+        yield probes.values(), known.values()
 
 
 def _together(held: list[tuple]) -> tuple:
@@ -254,7 +276,7 @@ def _near(asked: Side, known: Side) -> Iterator[tuple]:
         held.append(_measured(pair // len(words), pair % len(words), size, start, letters))
         total += len(held[-1][0])
         at = to
-        if total >= BLOCK_KEYS or at >= len(probe):
+        if total >= PAIRS or at >= len(probe):
             left, right, far = (np.concatenate(x) for x in zip(*held))
             yield words, [left, right], count[right - len(word)] * DISTANCES + far
             held, total = [], 0
